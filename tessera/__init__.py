@@ -1,0 +1 @@
+"""Tessera: document-retrieval analytics on Spark DataFrames."""
