@@ -70,7 +70,7 @@ def language_vote(text: Column) -> Column:
 
 def title(text: Column, filename: Column) -> Column:
     """The first of ten lines that looks like a title, else the file's stem."""
-    lines = F.transform(F.slice(F.split(F.trim(text), "\n"), 1, 10), F.trim)
+    lines = F.transform(F.slice(F.split(F.trim(text), "\n"), 1, 10), lambda x: F.trim(x))
     fit = F.filter(lines, lambda x: (F.length(x) > 5) & (F.length(x) < 200) & ~_any(F.lower(x), CODE_MARKS))
     stem = F.trim(F.translate(F.regexp_replace(filename, r"(?<=.)\.[^.]*$", ""), "_-", "  "))
     return F.coalesce(F.try_element_at(fit, F.lit(1)), F.nullif(stem, F.lit("")))

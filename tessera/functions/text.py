@@ -108,7 +108,7 @@ def answer_propositions(answer: Column, limit: int = 5) -> Column:
         return F.when((n < 5) & (last > 0), merged).when(n > 40, F.concat(acc, F.split(s, pattern))).otherwise(F.concat(acc, F.array(s)))
 
     folded = F.aggregate(pieces, F.array().cast("array<string>"), step)
-    return F.filter(F.transform(F.slice(folded, 1, limit), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.slice(folded, 1, limit), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def query_terms(query: Column) -> Column:
@@ -174,7 +174,7 @@ def clean_text(text: Column) -> Column:
 
 
 def clean_keywords(keywords: Column, limit: int = 50) -> Column:
-    return F.slice(F.filter(F.transform(keywords, F.trim), lambda k: (k != "") & (F.length(k) <= 100)), 1, limit)
+    return F.slice(F.filter(F.transform(keywords, lambda x: F.trim(x)), lambda k: (k != "") & (F.length(k) <= 100)), 1, limit)
 
 
 def language_code(language: Column) -> Column:
@@ -213,7 +213,7 @@ def set_key(texts: Column) -> Column:
 
 def variations(response: Column, limit: int) -> Column:
     """Query variations from a numbered or dashed list."""
-    lines = F.filter(F.transform(F.split(response, "\n"), F.trim), lambda s: s.rlike(r"^[\d-]"))
+    lines = F.filter(F.transform(F.split(response, "\n"), lambda x: F.trim(x)), lambda s: s.rlike(r"^[\d-]"))
     bare = F.transform(lines, lambda s: F.trim(F.regexp_replace(s, r"^(\d+[.)]|-)\s*", "")))
     return F.slice(F.filter(bare, lambda s: F.length(s) > 3), 1, limit)
 
