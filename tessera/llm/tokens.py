@@ -1,52 +1,87 @@
-"""Exact byte-level BPE encoding with a bounded cache of white-space delimited pieces.
+"""Exact byte-level BPE encoding with the tokenizers library and bounded caches of pieces.
 
 Every pre-token of a byte-level BPE starts at a blank or lies inside a run without
 blanks, so a run of blanks with the following run of other characters is encoded
 alike alone and inside its text.  That makes ids of a text the concatenation of ids
-of its pieces, most of which recur.  Texts with other white space than space, tab
-and line feed are encoded whole.
+of its pieces, most of which recur.  A new piece is parted by the vocabulary's own
+pre-token pattern, and the library's BPE model encodes each part.  Texts with other white
+space than space, tab and line feed, texts that hold the start of a special token, and
+vocabularies of another kind are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
 END_ID = 2
 _PIECE = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
-_OTHER_BLANK = re.compile(r"[^\S \n\t]|<\|")
+_WHOLE = re.compile(r"[^\S \n\t]|<\|")
+# fixed value: the pre-token pattern of byte-level BPE vocabularies
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Cache(dict):
+    """Ids of strings encoded alone, as little-endian bytes.
+
+    Pieces and the pre-tokens inside them share it.  It is emptied after many misses, so that it follows a
+    change of language.
+    """
+
+    def __init__(self, model, vocabulary: int, most: int):
+        self.model, self.most, self.misses = model, most, 0
+        self.ids = [k.to_bytes(4, "little") for k in range(vocabulary)]
+        self.letters = byte_letters()
+
+    def _token(self, part: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[0] == " " and piece[1:].isalpha():
+            out = self._token(piece)
+        elif piece[0] == " " and piece[-1] in ".,!?:;" and piece[1:-1].isalpha():
+            out = self[piece[:-1]] + self[piece[-1]]
+        else:
+            parts = PRE_TOKEN.findall(piece)
+            out = self._token(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+        self.misses += 1
+        if self.misses > 20 * self.most:
+            self.clear()
+            self.misses = 0
+        if len(self) < self.most and len(piece) < 64:
+            self[piece] = out
+        return out
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = json.loads(self.tokenizer.to_str())
+        pre, model = kind.get("pre_tokenizer") or {}, kind["model"]
+        self.by_piece = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE" and not model.get("dropout")
+        self.pieces = _Cache(self.tokenizer.model, self.tokenizer.get_vocab_size(), cache_entries)
 
     def encode(self, text: str) -> bytes:
-        if _OTHER_BLANK.search(text):
-            return self._ids([text])[0]
-        pieces = _PIECE.findall(text)
-        cache = self.cache
-        new = [p for p in set(pieces) if p not in cache]
-        if new:
-            if len(cache) + len(new) > self.cache_entries:
-                cache.clear()
-                new = list(set(pieces))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                cache.update(zip(part, self._ids(part), strict=True))
-        return b"".join(map(cache.__getitem__, pieces))
+        if not self.by_piece or _WHOLE.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
