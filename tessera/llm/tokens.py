@@ -19,8 +19,7 @@ import numpy as np
 import regex
 
 END_ID = 2
-_PIECE = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
-_WHOLE = re.compile(r"[^\S \n\t]|<\|")
+_PIECE = re.compile(r"[ \n\t]*\S+|[ \n\t]+")
 # fixed value: the pre-token pattern of byte-level BPE vocabularies
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -79,9 +78,11 @@ class Encoder:
         self.pieces = _Cache(self.tokenizer.model, self.tokenizer.get_vocab_size(), cache_entries)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _WHOLE.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+        if self.by_piece and "<|" not in text:
+            pieces = _PIECE.findall(text)
+            if sum(map(len, pieces)) == len(text):  # else it has other white space, which pieces leave out
+                return b"".join(map(self.pieces.__getitem__, pieces))
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
