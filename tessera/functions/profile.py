@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -203,3 +203,36 @@ def merge_json(old: Column, new: Column) -> Column:
 
 def is_chart(description: Column) -> Column:
     return _any(F.lower(description), CHART_WORDS)
+
+
+SERVICE_SCHEMA = "title string, author string, subject string, keywords array<string>, language string, page_count int, word_count int, has_tables boolean, has_images boolean, is_scanned boolean, text_quality_score double, confidence_scores map<string,double>, creator_application string"
+
+
+def fallback_metadata(df: DataFrame, *, text: str = "text", name: str = "name", mime: str = "mime_type") -> DataFrame:
+    """Metadata from plain text alone, for files that no parser has read."""
+    t = F.col(text)
+    score = fallback_quality(t)
+    return df.select("doc_id", title(t, F.col(name)).alias("title"), language_vote(t).alias("language"), page_estimate(t).alias("page_count"), T.regex_word_count(t).alias("word_count"), F.length(t).alias("character_count"), document_type(F.col(name), F.col(mime), t).alias("document_type"), has_table(t, F.col(mime)).alias("has_tables"), F.round(score, 6).alias("text_quality_score"), band(score, FALLBACK_BANDS).alias("content_quality"))
+
+
+def parse_service(response: Column) -> Column:
+    """A metadata service's JSON as typed fields; null where it is no JSON object."""
+    return F.from_json(response, SERVICE_SCHEMA)
+
+
+def mapped_metadata(df: DataFrame, *, result: str = "result", name: str = "name", patterns: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Document metadata from a service's typed result."""
+    r = lambda f: F.col(f"{result}.{f}")
+    kinds = patterns or dict(NAME_TYPES)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    stem = F.trim(F.translate(F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), "_-", "  "))
+    return df.select(
+        "doc_id",
+        F.substring(F.coalesce(T.clean_text(r("title")), stem), 1, 500).alias("title"),
+        T.clean_keywords(r("keywords")).alias("keywords"),
+        T.language_code(r("language")).alias("language"),
+        mapped_type(F.concat_ws(" ", r("title"), F.col(name), r("subject")), kinds, no(r("has_tables")), no(r("has_images")), r("page_count")).alias("document_type"),
+        mapped_band(r("text_quality_score"), no(r("is_scanned")), no(r("has_tables")), no(r("has_images"))).alias("content_quality"),
+        mean_score(clamp_scores(r("confidence_scores"))).alias("extraction_quality"),
+        completeness(*(r(f).isNotNull() for f in ("title", "author", "language", "page_count", "word_count", "keywords", "subject", "text_quality_score", "confidence_scores", "creator_application"))).alias("completeness"),
+    )

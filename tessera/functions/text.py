@@ -222,3 +222,22 @@ def html_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def answer_prompt(question: Column, passages: Column) -> Column:
+    """Question under numbered passages with their source, page and section; ``passages``: array of (name, page, section, text)."""
+    head = lambda p: F.concat_ws(", ", F.coalesce(p["name"], F.lit("Unknown")), F.when(p["page"].isNotNull(), F.concat(F.lit("Page "), p["page"].cast("string"))), F.nullif(p["section"], F.lit("")))
+    parts = F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), head(p), F.lit(")\n"), p["text"]))
+    return F.concat(F.lit("Answer with [n] marks from these sources only.\n\n"), F.array_join(parts, "\n\n"), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def truncate_tokens_at_sentence(text: Column, limit: Column | int) -> Column:
+    """Whole sentences while their tokens stay within ``limit``; null if none fits."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+
+    def step(a: Column, s: Column) -> Column:
+        n = token_count(s)
+        full = a["full"] | (a["n"] + n > limit)
+        return F.struct(F.when(full, a["t"]).otherwise(F.concat(a["t"], F.when(a["t"] == "", "").otherwise(" "), s)).alias("t"), F.when(full, a["n"]).otherwise(a["n"] + n).cast("int").alias("n"), full.alias("full"))
+
+    return F.aggregate(sentences(text), F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(False).alias("full")), step, lambda a: F.nullif(a["t"], F.lit("")))

@@ -137,16 +137,7 @@ def fit_context(passages: DataFrame, max_tokens: int = 6000, least_rest: int = 1
     broken = F.min(F.when(~F.col("fits"), F.col("rank"))).over(Window.partitionBy("answer_id"))
     df = df.withColumn("broken", broken).where(F.col("broken").isNull() | (F.col("rank") <= F.col("broken")))
     rest = F.lit(max_tokens) - F.col("before")
-    cut = F.aggregate(
-        T.sentences(F.col("text")),
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(False).alias("full")),
-        lambda a, s: F.struct(
-            F.when(a["full"] | (a["n"] + T.token_count(s) > rest), a["t"]).otherwise(F.concat(a["t"], F.when(a["t"] == "", "").otherwise(" "), s)).alias("t"),
-            F.when(a["full"] | (a["n"] + T.token_count(s) > rest), a["n"]).otherwise(a["n"] + T.token_count(s)).cast("int").alias("n"),
-            (a["full"] | (a["n"] + T.token_count(s) > rest)).alias("full"),
-        ),
-        lambda a: F.nullif(a["t"], F.lit("")),
-    )
+    cut = T.truncate_tokens_at_sentence(F.col("text"), rest)
     out = df.withColumn("text", F.when(F.col("fits"), F.col("text")).when(rest > least_rest, cut)).where("text is not null")
     return out.select("answer_id", "passage_id", "rank", (~F.col("fits")).alias("truncated"), "text")
 
@@ -322,3 +313,29 @@ def evidence_counts(citations: DataFrame) -> DataFrame:
     return citations.groupBy("answer_id").agg(*(F.sum((F.col("quality") == q).cast("int")).alias(q.lower()) for q in ("STRONG", "MEDIUM", "WEAK")), F.count("*").alias("total"))
 
 
+
+
+def link_verifications(propositions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each claim with the answer whose question id names its index, or with the only answer there is.
+
+    Input answers: answer_id, question_id, answer.  The first fitting question id wins.
+    """
+    counted = answers.withColumn("n", F.count("*").over(Window.partitionBy("answer_id")))
+    p, a = propositions.alias("p"), counted.alias("a")
+    fits = F.contains(F.col("a.question_id"), F.concat(F.lit("_"), F.col("p.prop").cast("string"))) | (F.col("a.n") == 1)
+    joined = p.join(a, (F.col("p.answer_id") == F.col("a.answer_id")) & fits, "left")
+    return joined.groupBy("p.answer_id", "p.prop").agg(F.min_by("a.answer", "a.question_id").alias("verification"))
+
+
+def enhance(propositions: DataFrame, level: str | None = None) -> DataFrame:
+    """All steps for every answer: hallucination, confidence, verified status and abstention at one level.
+
+    Input as for :func:`hallucination` and :func:`proposition_confidence`.
+    """
+    rules = profile(level)
+    hall = hallucination(propositions)
+    conf = confidence_breakdown(proposition_confidence(propositions)).withColumnRenamed("overall", "confidence")
+    n = propositions.groupBy("answer_id").agg(F.sum("n_quotes").alias("n_quotes"))
+    df = hall.join(conf, "answer_id").join(n, "answer_id")
+    checked = df.join(verified(df, rules["remove_threshold"]), "answer_id")
+    return abstention(checked, rules["low_confidence"], rules["high_hallucination"])

@@ -193,6 +193,11 @@ def visible(docs: DataFrame) -> DataFrame:
     return docs.where((F.col("status") == "completed") & ~F.col("is_deleted"))
 
 
+def document_rows(docs: DataFrame) -> DataFrame:
+    """Documents as an API returns them: size in MB, empty values instead of nulls."""
+    return docs.select("doc_id", "name", "mime_type", "status", F.round(F.coalesce("file_size", F.lit(0)) / 1048576, 2).alias("size_mb"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), "created_at", "updated_at")
+
+
 def payload(df: DataFrame, equal: dict[str, Any]) -> DataFrame:
     """Conjunction of exact matches."""
     for column, value in equal.items():

@@ -102,6 +102,13 @@ def dedup_semantic(hits: DataFrame, *, threshold: float = 0.95, vector_col: str
     return _per_query(hits, keep)
 
 
+def deduplicate(hits: DataFrame, *, threshold: float = 0.95, semantic_rows: int = 100, vector_col: str = "embedding") -> DataFrame:
+    """By key, by content, and by meaning for queries that then have at most ``semantic_rows`` rows."""
+    out = dedup_content(dedup_key(hits)).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    few = dedup_semantic(out.where(F.col("n") <= semantic_rows), threshold=threshold, vector_col=vector_col)
+    return few.unionByName(out.where(F.col("n") > semantic_rows)).drop("n")
+
+
 def mmr(hits: DataFrame, *, top_k: int = 10, trade: float = 0.7, vector_col: str = "embedding", score_col: str = "score") -> DataFrame:
     """Maximal marginal relevance: the most relevant first, then ``trade * relevance - (1 - trade) * max(0, cosine)``.
 

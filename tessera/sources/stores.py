@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Any
 
@@ -128,3 +129,63 @@ def get_store(name: str = "parquet", **options: Any) -> Any:
     if name not in _STORES:
         raise KeyError(f"unknown vector store {name!r}; known: {sorted(_STORES)}")
     return _STORES[name](**options)
+
+
+class BlobStore:
+    """Save, read, move, delete and list files below a root, in any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str) -> Any:
+        parts = name.split("/")
+        if name.startswith("/") or ".." in parts or "\x00" in name or "//" in name:
+            raise ValueError(f"unsafe path {name!r}")
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def save(self, content: bytes, name: str) -> str:
+        """Write beside the target and rename, so that readers never see a part of a file."""
+        target, part = self._path(name), self._path(f"{name}.part")
+        self.fs.mkdirs(target.getParent())
+        out = self.fs.create(part, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        self.fs.delete(target, False)
+        if not self.fs.rename(part, target):
+            raise OSError(f"cannot write {name}")
+        return hashlib.sha256(content).hexdigest()
+
+    def read(self, names: list[str] | None = None) -> DataFrame:
+        """(path, length, modificationTime, content) of the given files, or of all."""
+        at = [self._path(n).toString() for n in names] if names else self.root
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+
+    def move(self, name: str, to: str) -> bool:
+        self.fs.mkdirs(self._path(to).getParent())
+        return bool(self.fs.rename(self._path(name), self._path(to)))
+
+    def delete(self, name: str) -> bool:
+        return bool(self.fs.delete(self._path(name), True))
+
+    def exists(self, name: str) -> bool:
+        return bool(self.fs.exists(self._path(name)))
+
+
+def index_batches(vectors: DataFrame, sink: Callable[[list[dict[str, Any]]], None], size: int = 500) -> None:
+    """Hand rows to a remote index in batches, from each partition; ``sink`` must be idempotent, as a lost task runs again."""
+
+    def send(rows: Any) -> None:
+        held: list[dict[str, Any]] = []
+        for row in rows:
+            held.append(row.asDict(recursive=True))
+            if len(held) == size:
+                sink(held)
+                held = []
+        if held:
+            sink(held)
+
+    vectors.foreachPartition(send)
