@@ -11,11 +11,12 @@ fragment into one block.
    gets one mark for it, and it comes last in the order of frequency.
 3. ``prefixes``: with rare shingles first, two linked sets share a shingle among their first
    ``m - ceil(t m) + 1``, where sizes and positions already rule out most pairs.
-4. Each shingle's sets are compared with two of them (smallest and largest).  After linking,
-   only pairs of different classes are left as candidates, so large groups of near
-   copies cost no quadratic number of pairs.
-5. ``overlaps``: common shingles are counted separately in each vertical fragment and summed
-   per pair; the threshold is tested in whole numbers.
+4. Each shingle's sets are compared with a few pivots among them, and linked.  While sets of
+   different classes still share many shingles, further rounds take new pivots; a last round
+   takes all pairs of different classes that are left.  So nothing is lost, and large groups of
+   near copies, which are one class by then, cost no quadratic number of pairs.
+5. ``overlaps``: common shingles are counted separately in each vertical part and summed per
+   pair; the threshold is tested in whole numbers.
 
 Defined cases: a text without words (or null) has an empty set, links with nothing and is its
 own class; a text of fewer than ``n`` words is one shingle; rows that repeat an identifier are
@@ -80,19 +81,21 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
 BLOCK = "route long, frag int, first long, steps binary, which binary, docs binary, hot binary"
 
 
-def _pack(route: int, frag: int, h: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> dict:
+def _pack(route: int, frag: int, h: np.ndarray, doc: np.ndarray, hot: np.ndarray, ids: np.ndarray) -> dict:
     """A block: hashes as differences of as few bytes as they need, documents by their place in a table."""
     steps = np.diff(h, prepend=h[:1])
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    ids, which = np.unique(doc, return_inverse=True)
-    small = np.uint16 if len(ids) <= 65536 else np.uint32
+    used = np.flatnonzero(np.bincount(doc, minlength=len(ids)))
+    place = np.zeros(len(ids), dtype=np.uint32)
+    place[used] = np.arange(len(used), dtype=np.uint32)
+    which, small = place[doc], np.uint16 if len(used) <= 65536 else np.uint32
     return {
         "route": [route],
         "frag": [frag],
         "first": [int(h[0])],
         "steps": [bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()],
         "which": [which.astype(small).tobytes()],
-        "docs": [ids.astype("<i8").tobytes()],
+        "docs": [ids[used].astype("<i8").tobytes()],
         "hot": [np.packbits(hot).tobytes() if hot.any() else b""],
     }
 
@@ -125,8 +128,9 @@ def blocks(docs: DataFrame, n: int, fragments: int, slice_bytes: int, hot_share:
             if not sets:
                 continue
             h = np.concatenate([s for _, s in sets.values()])
-            doc = np.repeat(np.array([d for d, _ in sets.values()], dtype=np.int64), [len(s) for _, s in sets.values()])
-            order = np.argsort(h, kind="stable")
+            known = np.array([d for d, _ in sets.values()], dtype=np.int64)
+            doc = np.repeat(np.arange(len(known), dtype=np.int32), [len(s) for _, s in sets.values()])
+            order = np.argsort(h)
             h, doc = h[order], doc[order]
             begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             runs = np.diff(np.append(begin, len(h)))
@@ -139,42 +143,66 @@ def blocks(docs: DataFrame, n: int, fragments: int, slice_bytes: int, hot_share:
                 for f in range(fragments):
                     x, y = cuts[f], cuts[f + 1]
                     if y > x:
-                        yield _pack(f if not route else -1 - (int(dd[x]) ^ f) % (1 << 20), f, hh[x:y], dd[x:y], mm[x:y])
+                        yield _pack(f if not route else -1 - (int(known[dd[x]]) ^ f) % (1 << 20), f, hh[x:y], dd[x:y], mm[x:y], known)
 
     return arrow_map(docs, run, BLOCK)
 
 
-SEGMENT = "doc long, frag int, s array<long>, df array<int>"
+GROUPED = "part int, doc array<long>, s array<long>, df array<int>"
+ENTRIES = "doc long, listed int, head array<struct<df:int,s:long>>, parts array<array<long>>"
 
 
-def segments(packed: DataFrame) -> DataFrame:
-    """Per fragment: shingles of two sets or more, back in segments of documents, with their frequencies."""
-    schema = pa.schema([("doc", pa.int64()), ("frag", pa.int32()), ("s", pa.list_(pa.int64())), ("df", pa.list_(pa.int32()))])
+def segments(packed: DataFrame, parts: int) -> DataFrame:
+    """Per fragment: shingles of two sets or more with their frequencies, one row for each of ``parts`` groups of documents."""
+    schema = pa.schema([("part", pa.int32()), ("doc", pa.list_(pa.int64())), ("s", pa.list_(pa.int64())), ("df", pa.list_(pa.int32()))])
 
-    def out(frag: int, h: np.ndarray, doc: np.ndarray, df: np.ndarray) -> pa.Table:
-        order = np.lexsort((h, doc))
-        h, doc, df = h[order].astype(np.int64), doc[order], df[order].astype(np.int32)
-        begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
-        offsets = pa.array(np.append(begin, len(doc)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (h, df)]
-        return pa.table([pa.array(doc[begin]), pa.array(np.full(len(begin), frag, dtype=np.int32)), *lists], schema=schema)
+    def out(h: np.ndarray, doc: np.ndarray, df: np.ndarray) -> pa.Table:
+        part = (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((doc, part))
+        part = part[order]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, dtype=np.int64)
+        offsets = pa.array(np.append(begin, len(part)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (doc, h.astype(np.int64), df.astype(np.int32))]
+        return pa.table([pa.array(part[begin]), *lists], schema=schema)
 
     def fragment(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        unpacked = [_unpack(r) for r in rows]
+        h, doc, hot = (np.concatenate(c) for c in zip(*unpacked, strict=True))
         if rows[0]["route"] < 0:  # documents of hot shingles, as the map task has them
-            return pa.concat_tables([out(r["frag"], h, doc, np.full(len(h), LAST)) for r in rows for h, doc, _ in [_unpack(r)]])
-        parts = [_unpack(r) for r in rows]
-        h, doc, hot = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
+            return out(h, doc, np.full(len(h), LAST))
+        order = np.argsort(h)
         h, doc, hot = h[order], doc[order], hot[order]
         begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         runs = np.diff(np.append(begin, len(h)))
-        df = np.where(np.maximum.reduceat(hot, begin), LAST, runs)
-        df = np.repeat(df, runs)
+        df = np.repeat(np.where(np.maximum.reduceat(hot, begin), LAST, runs), runs)
         keep = (df > 1) & ~hot
-        return out(rows[0]["frag"], h[keep], doc[keep], df[keep])
+        return out(h[keep], doc[keep], df[keep])
 
-    return packed.groupBy("route").applyInArrow(fragment, SEGMENT)
+    return packed.groupBy("route").applyInArrow(fragment, GROUPED)
+
+
+def entries(grouped: DataFrame, percent: int) -> DataFrame:
+    """Each document's shared shingles: their number, the rarest ones that a prefix can reach, and all by vertical part."""
+    pair = pa.struct([("df", pa.int32()), ("s", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("listed", pa.int32()), ("head", pa.list_(pair)), ("parts", pa.list_(pa.list_(pa.int64())))])
+
+    def gather(table: pa.Table) -> pa.Table:
+        doc, s, df = (np.asarray(pa.concat_arrays([c.flatten() for c in table[name].chunks])) for name in ("doc", "s", "df"))
+        order = np.lexsort((s, df, doc))
+        own = doc[order]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, dtype=np.int64)
+        listed = np.diff(np.append(begin, len(own)))
+        near = np.arange(len(own)) - np.repeat(begin, listed) < np.repeat(-(-(100 - percent) * listed // 100) + 1, listed)
+        heads = pa.StructArray.from_arrays([pa.array(df[order][near], pa.int32()), pa.array(s[order][near], pa.int64())], fields=list(pair))
+        ends = np.append(0, np.cumsum(near))[np.append(begin, len(own))].astype(np.int32)
+        by_hash = np.lexsort((s, doc))
+        cell = np.repeat(np.arange(len(begin)), listed) * VERTICAL + (s[by_hash] >> (BITS - 20)) * VERTICAL // (1 << 20)
+        inner = pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.arange(len(begin) * VERTICAL + 1)).astype(np.int32)), pa.array(s[by_hash], pa.int64()))
+        outer = pa.ListArray.from_arrays(pa.array((np.arange(len(begin) + 1) * VERTICAL).astype(np.int32)), inner)
+        return pa.table([pa.array(own[begin]), pa.array(listed.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), heads), outer], schema=schema)
+
+    return grouped.groupBy("part").applyInArrow(gather, ENTRIES)
 
 
 def _alpha(a: str, b: str, percent: int) -> F.Column:
@@ -194,13 +222,12 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(low.alias("lo"), high.alias("hi")).select(F.col("lo.doc").alias("x"), F.col("lo.m").alias("mx"), F.col("hi.doc").alias("y"), F.col("hi.m").alias("my")).distinct()
 
 
-def overlaps(pairs: DataFrame, lists: DataFrame, fragments: int = VERTICAL) -> DataFrame:
-    """(x, y, mx, my, overlap): partial overlaps by vertical fragment, summed per pair."""
-    cut = F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda v: F.struct(v.alias("v"), F.transform(F.filter("entries", lambda e: F.floor(F.shiftright(e["s"], BITS - 20) * fragments / (1 << 20)) == v), lambda e: e["s"]).alias("s")))
-    rows = lists.select("doc", F.explode(cut).alias("c")).select("doc", "c.v", "c.s").where(F.size("s") > 0)
-    left = pairs.join(rows.select(F.col("doc").alias("x"), "v", F.col("s").alias("sx")), "x")
-    both = left.join(rows.select(F.col("doc").alias("y"), "v", F.col("s").alias("sy")), ["y", "v"])
-    return both.groupBy("x", "y", "mx", "my").agg(F.sum(F.size(F.array_intersect("sx", "sy"))).alias("overlap"))
+def overlaps(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(x, y, mx, my, overlap): partial overlaps by vertical part, summed per pair."""
+    left = pairs.join(lists.select(F.col("doc").alias("x"), F.col("parts").alias("px")), "x")
+    both = left.join(lists.select(F.col("doc").alias("y"), F.col("parts").alias("py")), "y")
+    partial = F.zip_with("px", "py", lambda a, b: F.size(F.array_intersect(a, b)))
+    return both.select("x", "y", "mx", "my", F.aggregate(partial, F.lit(0), lambda a, v: a + v).alias("overlap"))
 
 
 def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -224,7 +251,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64) -> DataFrame:
+def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id).
 
     Two documents link when ``100 * |intersection| >= percent * |union|``.
@@ -236,38 +263,76 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: in
     reps = scratch.put(prints.where("m > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("m").alias("m")), "reps")
     total = reps.agg(F.sum(F.col("m").cast("long"))).first()[0] or 0
     fragments = max(1, -(-total // fragment_shingles))
-    found = segments(blocks(docs, n, fragments, slice_bytes, hot_share, hot_least))
+    found = segments(blocks(docs, n, fragments, slice_bytes, hot_share, hot_least), fragments)
     sets = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("m").alias("m"))
-    gathered = found.groupBy("doc").agg(F.flatten(F.collect_list(F.arrays_zip("df", "s"))).alias("entries"))
-    lists = scratch.put(gathered.join(sets, "doc").select("doc", "m", F.sort_array("entries").alias("entries")), "lists")
+    lists = scratch.put(entries(found, percent), "lists")
 
-    reach = F.expr(f"m - cast(ceil({percent}L * m / 100) as int) + 1 - (m - size(entries))")
-    prefix = lists.select("doc", "m", (F.col("m") - F.size("entries")).alias("alone"), F.slice("entries", 1, F.greatest(F.lit(0), reach)).alias("head"))
+    alone = F.col("m") - F.col("listed")
+    reach = F.expr(f"m - cast(ceil({percent}L * m / 100) as int) + 1 - (m - listed)")
+    prefix = lists.select("doc", "listed", "head").join(sets, "doc").select("doc", "m", alone.alias("alone"), F.slice("head", 1, F.greatest(F.lit(0), reach)).alias("head"))
     prefix = prefix.select("doc", "m", "alone", F.posexplode("head").alias("at", "e")).select(F.col("e.s").alias("s"), "doc", "m", (F.col("alone") + F.col("at")).alias("pos"))
-    prefix = scratch.put(prefix, "prefix")
-
-    ends = prefix.groupBy("s").agg(*(f(F.struct("m", "doc", "pos")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))), F.count("*").alias("n")).where("n > 1")
-    pivots = ends.select("s", F.explode(F.array("low", "high")).alias("p")).select("s", "p.doc", "p.m", "p.pos")
-    tried = scratch.put(_pairs(prefix.alias("a").join(pivots.alias("b"), "s").where((F.col("a.doc") != F.col("b.doc")) & _fits(percent))), "tried")
-    links = scratch.put(_linked(tried, lists, percent), "links0")
-    classes = components(links, scratch, "first")
+    pool = scratch.put(prefix, "pool0")
+    room = cross_factor * pool.count()
 
-    placed = prefix.join(classes.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = placed.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("s")
-    placed = scratch.put(placed.join(mixed, "s"), "placed")
-    rest = _pairs(placed.alias("a").join(placed.alias("b"), "s").where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
-    rest = scratch.put(rest.join(tried.select("x", "y"), ["x", "y"], "left_anti"), "rest")
-    more = scratch.put(_linked(rest, lists, percent), "links1")
-    classes = components(links.select("x", "y").unionByName(more.select("x", "y")), scratch, "last")
-    scratch.drop("prefix", "placed", "lists", "tried", "rest")
+    tried, links, r, last = None, None, 0, False
+    while True:
+        pairs = _all_pairs(pool, percent) if last else _pivoted(pool, percent, pivots if r else 2, r)
+        if tried is not None:
+            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        new = scratch.put(pairs, f"tried{r}")
+        found = scratch.put(_linked(new, lists, scratch, r, percent), f"links{r}")
+        tried = new if tried is None else tried.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        if r == 0 or not found.isEmpty():
+            classes = components(links, scratch, f"classes{r}")
+        if last:
+            break
+        r += 1
+        pool = _mixed(pool, classes, scratch, r)
+        last = r > rounds or _cross_pairs(pool) <= room
+    scratch.drop("lists", *(f"{t}{k}" for k in range(r + 1) for t in ("pool", "tried", "active")))
 
     named = prints.join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     out = named.join(classes.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.when(F.col("m") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    return overlaps(pairs, lists).where(f"{100 + percent}L * overlap >= {percent}L * (mx + my)")
+def _pivoted(pool: DataFrame, percent: int, pivots: int, seed: int) -> DataFrame:
+    """Pairs of each shingle's sets with at most ``pivots`` of them, drawn by hashes that all shingles share."""
+    drawn = pool.groupBy("s").agg(*(F.min(F.struct(F.xxhash64("doc", F.lit(97 * seed + k)).alias("h"), "doc", "m", "pos", *_comp(pool))).alias(f"p{k}") for k in range(pivots)), F.count("*").alias("n")).where("n > 1")
+    chosen = F.array_distinct(F.array(*(F.struct(*(F.col(f"p{k}.{c}") for c in ("doc", "m", "pos", *_comp(pool)))) for k in range(pivots))))
+    held = drawn.select("s", F.explode(chosen).alias("p")).select("s", "p.*")
+    other = F.col("a.comp") != F.col("b.comp") if _comp(pool) else F.col("a.doc") != F.col("b.doc")
+    return _pairs(pool.alias("a").join(held.alias("b"), "s").where(other & _fits(percent)))
+
+
+def _comp(pool: DataFrame) -> list[str]:
+    return ["comp"] if "comp" in pool.columns else []
+
+
+def _all_pairs(pool: DataFrame, percent: int) -> DataFrame:
+    """What pivots have left: pairs of different classes that sizes and places do not rule out."""
+    return _pairs(pool.alias("a").join(pool.alias("b"), "s").where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
+
+
+def _mixed(pool: DataFrame, classes: DataFrame, scratch: Scratch, r: int) -> DataFrame:
+    """Prefix rows of shingles whose sets are still in different classes; classes only grow, so the pool only shrinks."""
+    placed = pool.select("s", "doc", "m", "pos").join(classes.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = placed.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("s")
+    return scratch.put(placed.join(mixed, "s"), f"pool{r}")
+
+
+def _cross_pairs(pool: DataFrame) -> int:
+    """Pairs of different classes in the pool, as often as they share a shingle: what the last round would look at."""
+    n = pool.groupBy("s", "comp").agg(F.count("*").alias("n")).groupBy("s").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    return n.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+
+
+def _linked(pairs: DataFrame, lists: DataFrame, scratch: Scratch, r: int, percent: int) -> DataFrame:
+    """Pairs that reach the threshold; only documents of a pair take part in the joins."""
+    asked = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
+    active = scratch.put(lists.select("doc", "parts").join(asked, "doc", "left_semi"), f"active{r}")
+    return overlaps(pairs, active).where(f"{100 + percent}L * overlap >= {percent}L * (mx + my)").select("x", "y")
 
 
 def keep_one(df: DataFrame, classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
