@@ -12,8 +12,8 @@ fragment into one block.
 3. ``prefixes``: with rare shingles first, two linked sets share a shingle among their first
    ``m - ceil(t m) + 1``, where sizes and positions already rule out most pairs.
 4. Each shingle's sets are compared with a few pivots among them, and linked.  While sets of
-   different classes still share many shingles, further rounds take new pivots; a last round
-   takes all pairs of different classes that are left.  So nothing is lost, and large groups of
+   different classes still share many shingles, and pivots still link them, further rounds take
+   new pivots; a last round takes all pairs of different classes that are left.  So nothing is lost, and large groups of
    near copies, which are one class by then, cost no quadratic number of pairs.
 5. ``overlaps``: common shingles are counted separately in each vertical part and summed per
    pair; the threshold is tested in whole numbers.
@@ -251,7 +251,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4) -> DataFrame:
+def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4, least_gain: float = 0.05) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id).
 
     Two documents link when ``100 * |intersection| >= percent * |union|``.
@@ -274,7 +274,7 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: in
     pool = scratch.put(prefix, "pool0")
     room = cross_factor * pool.count()
 
-    tried, links, r, last = None, None, 0, False
+    tried, classes, r, last = None, None, 0, False
     while True:
         pairs = _all_pairs(pool, percent) if last else _pivoted(pool, percent, pivots if r else 2, r)
         if tried is not None:
@@ -282,14 +282,15 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: in
         new = scratch.put(pairs, f"tried{r}")
         found = scratch.put(_linked(new, lists, scratch, r, percent), f"links{r}")
         tried = new if tried is None else tried.unionByName(new)
-        links = found if links is None else links.unionByName(found)
-        if r == 0 or not found.isEmpty():
-            classes = components(links, scratch, f"classes{r}")
+        gain = found.count()
+        if r == 0 or gain:
+            classes = _merged(classes, found, scratch, f"classes{r}")
         if last:
             break
+        few = gain <= new.count() * least_gain
         r += 1
         pool = _mixed(pool, classes, scratch, r)
-        last = r > rounds or _cross_pairs(pool) <= room
+        last = few or r > rounds or _cross_pairs(pool) <= room
     scratch.drop("lists", *(f"{t}{k}" for k in range(r + 1) for t in ("pool", "tried", "active")))
 
     named = prints.join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
@@ -315,6 +316,19 @@ def _all_pairs(pool: DataFrame, percent: int) -> DataFrame:
     return _pairs(pool.alias("a").join(pool.alias("b"), "s").where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
 
 
+def _merged(classes: DataFrame | None, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """Classes after new links: links are contracted to classes, so only those that meet are labelled anew."""
+    if classes is None:
+        return components(links, scratch, tag)
+    own = classes.select("node", "comp")
+    cx = links.join(own.withColumnRenamed("node", "x"), "x", "left").select(F.coalesce("comp", "x").alias("x"), "y")
+    met = cx.join(own.withColumnRenamed("node", "y"), "y", "left").select("x", F.coalesce("comp", "y").alias("y")).where("x != y").distinct()
+    moved = components(met, scratch, tag)
+    new = moved.select("node", F.col("comp").alias("to"))
+    known = own.join(new.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return scratch.put(known.unionByName(new.join(own, "node", "left_anti").select("node", F.col("to").alias("comp"))), f"{tag}_all")
+
+
 def _mixed(pool: DataFrame, classes: DataFrame, scratch: Scratch, r: int) -> DataFrame:
     """Prefix rows of shingles whose sets are still in different classes; classes only grow, so the pool only shrinks."""
     placed = pool.select("s", "doc", "m", "pos").join(classes.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
