@@ -45,7 +45,7 @@ QUERIES = {
     "propositions": lambda s, d: _texts(s, d, F.posexplode(T.sentences(_t(), 5)).alias("pos", "proposition")).where(T.word_count(F.col("proposition")) <= 40),
     "answer_propositions": lambda s, d: table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(T.answer_propositions(_t())).alias("prop", "claim")),
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.query_terms(_t()), " ").alias("terms")),
-    "keywords_top20": lambda s, d: keywords(_texts(s, d, _t())),
+    "keywords_top20": lambda s, d: A.keywords(_texts(s, d, _t())),
     "language_vote": lambda s, d: _texts(s, d, P.language_vote(_t()).alias("language")),
     "doc_type_rule": lambda s, d: V.docs(s, d).select("doc_id", P.document_type(F.concat(F.lit("file_"), F.col("source")), F.col("mime_type"), _t()).alias("kind")),
     "title_rule": lambda s, d: V.docs(s, d).select("doc_id", P.title(_t(), F.col("name")).alias("title")),
@@ -76,16 +76,6 @@ QUERIES = {
 }
 
 
-def keywords(df, n=20):
-    """The ``n`` most frequent words of four letters or more that occur twice, in order of first appearance."""
-    from pyspark.sql import Window
-
-    words = df.where(F.length("text") >= 100).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word")).where(F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").isin(*P.STOP_WORDS))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))
-    return counts.withColumn("rank", rank).where((F.col("rank") <= n) & (F.col("n") > 1)).select("doc_id", "word", "n", "rank")
-
-
 def sentence_spans(s, d):
     """Sentences with their places, as chunks of one sentence."""
     found = F.regexp_extract_all(_t(), F.lit(r"([^.!?]+[.!?]*)"))
