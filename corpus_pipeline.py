@@ -38,7 +38,8 @@ def _kept(docs: DataFrame, score: Callable, model, rule: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each class of linked documents."""
-    return jaccard.keep_one(docs, jaccard.join(docs))
+    classes = Scratch(spark, "classes").put(jaccard.join(docs), "classes")
+    return jaccard.keep_one(docs, classes).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ def test_stages_keep_the_columns(spark, sf_dir, k):
     docs = table(spark, sf_dir, "documents").withColumn("score", F.lit("x")).withColumn("rejected", F.lit(1))
     out = corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
     assert out.columns == docs.columns
-    assert out.exceptAll(docs).count() == 0
+    known = set(map(tuple, docs.collect()))
+    assert all(tuple(r) in known for r in out.collect())
 
 
 def test_stages_take_awkward_and_empty_tables(spark, sf_dir):
