@@ -205,9 +205,11 @@ def score(df: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col:
     schema = "doc_id long, score double, predicted int, n_lines int" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def run(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(1))
-        p = shared.value.score(texts)
-        return {"doc_id": batch.column(0), "score": p, "predicted": (p >= 0.5).astype(np.int32), "n_lines": [t.count("\n") + 1 for t in texts]} | {c: batch.column(2 + k) for k, c in enumerate(keep)}
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            texts = texts_of(part.column(1))
+            p = shared.value.score(texts)
+            yield {"doc_id": part.column(0), "score": p, "predicted": (p >= 0.5).astype(np.int32), "n_lines": [t.count("\n") + 1 for t in texts]} | {c: part.column(2 + k) for k, c in enumerate(keep)}
 
     return arrow_map(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep), run, schema)
 

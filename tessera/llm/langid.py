@@ -14,6 +14,7 @@ alphabetically first language; without labelled rows every text is ``und``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,31 +29,29 @@ _LETTER = re.compile(r"[^\W\d_]")
 _ORDERS = (1, 2, 3, 4)
 
 
-def ngram_buckets(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram of all texts, and the text it belongs to; texts are in order within each n.
+def ngram_buckets(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: bucket of every n-gram of all texts, and the text it belongs to, in text order.
 
     Only letters and word borders count: other characters are read as a border.
     """
     raw = [re.sub(r"[\W\d_]+", " ", t.lower()).strip().encode() for t in texts]
     sizes = np.array([len(r) + 3 for r in raw])
-    data = np.frombuffer(b"".join(b"\0 " + r + b" " for r in raw), dtype=np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    keys, owners = [], []
+    data = np.frombuffer(b"".join(b"\0 " + r + b" " for r in raw), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+    blank, none = data == 32, data == 0
     for n in _ORDERS:
-        if len(data) < n:
+        m = len(data) - n + 1
+        if m <= 0:
             continue
-        h = np.full(len(data) - n + 1, n, dtype=np.uint64)
-        ok = np.ones(len(h), dtype=bool)
+        h = np.full(m, n, dtype=np.uint64)
+        ok = ~(blank[:m] & blank[n - 1 :]) if n <= 2 else np.ones(m, dtype=bool)
         for k in range(n):
-            part = data[k : k + len(h)]
-            h = h * np.uint64(257) + part
-            ok &= part != 0
+            h *= np.uint64(257)
+            h += data[k : k + m]
+            ok &= ~none[k : k + m]
             if 0 < k < n - 1:
-                ok &= part != 32  # a blank only at either border
-        ok &= ~((data[: len(h)] == 32) & (data[n - 1 :][: len(h)] == 32)) if n <= 2 else True
-        keys.append((mix64(h[ok]) % np.uint64(buckets)).astype(np.int64))
-        owners.append(owner[: len(h)][ok])
-    return np.concatenate(keys), np.concatenate(owners)
+                ok &= ~blank[k : k + m]  # a blank only at either border
+        yield (mix64(h[ok]) % np.uint64(buckets)).astype(np.int32), owner[:m][ok]
 
 
 @dataclass
@@ -63,7 +62,7 @@ class LanguageModel:
     temperature: float
     threshold: float
 
-    def scores(self, texts: list[str], slice_bytes: int = 1 << 20) -> np.ndarray:
+    def scores(self, texts: list[str], slice_bytes: int = 1 << 18) -> np.ndarray:
         """Calibrated probabilities, one row per text; long texts are summed in slices at word borders."""
         total = np.zeros((len(texts), len(self.langs)))
         count = np.zeros(len(texts))
@@ -76,11 +75,11 @@ class LanguageModel:
                 t = t[cut:]
             parts.append((k, t))
         for a, b in slices(np.array([len(t) for _, t in parts]), slice_bytes):
-            keys, owners = ngram_buckets([t for _, t in parts[a:b]], len(self.logits))
-            who = np.array([k for k, _ in parts[a:b]])[owners]
-            for c in range(len(self.langs)):
-                total[:, c] += np.bincount(who, weights=self.logits[keys, c], minlength=len(texts))
-            count += np.bincount(who, minlength=len(texts))
+            who = [k for k, _ in parts[a:b]]
+            for keys, owners in ngram_buckets([t for _, t in parts[a:b]], len(self.logits)):
+                for c in range(len(self.langs)):
+                    np.add.at(total[:, c], who, np.bincount(owners, weights=self.logits[keys, c], minlength=b - a))
+                np.add.at(count, who, np.bincount(owners, minlength=b - a))
         z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
@@ -109,7 +108,7 @@ def fit(texts: list[str], langs: list[str], *, buckets: int = 1 << 16, dim: int
     rng = np.random.default_rng(seed)
     grams = []
     for a, b in slices(np.array([len(t) for t in texts]), 1 << 20):
-        keys, owners = ngram_buckets(texts[a:b], buckets)
+        keys, owners = (np.concatenate(c) for c in zip(*ngram_buckets(texts[a:b], buckets), strict=True))
         order = np.argsort(owners, kind="stable")
         keys, owners = keys[order], owners[order]
         ends = np.searchsorted(owners, np.arange(b - a + 1))
@@ -166,8 +165,9 @@ def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
     schema = "doc_id long, lang_pred string, score double, rejected boolean" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        lang, score, rejected = shared.value.predict(texts)
-        return {"doc_id": batch.column(0), "lang_pred": lang, "score": score, "rejected": rejected} | {c: batch.column(2 + k) for k, c in enumerate(keep)}
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            lang, score, rejected = shared.value.predict(part.column(1).to_pylist())
+            yield {"doc_id": part.column(0), "lang_pred": lang, "score": score, "rejected": rejected} | {c: part.column(2 + k) for k, c in enumerate(keep)}
 
     return arrow_map(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep), run, schema)
