@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +57,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(key, make: Callable):
+    """A cache that outlives tasks of this Python worker; another key's cache is dropped for it.
+
+    Workers are reused by all stages, so memory would otherwise hold the caches of every operator.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        trim()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library and Arrow can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterator[dict] | None], schema: str) -> DataFrame:
     """``mapInArrow`` for functions from one batch to one or more dicts of columns.
 
@@ -75,6 +100,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterator[dict
                 arrays = [_column(cols[f.name], f.type) for f in target]
                 if len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        trim()
 
     return df.mapInArrow(run, schema)
 

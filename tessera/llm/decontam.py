@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, mix64, slices, texts_of
+from .common import Scratch, arrow_map, mix64, slices, texts_of, worker_cache
 
 WINDOW, SHORT = 8, 5
 # fixed values: unit words that follow a number
@@ -38,14 +38,10 @@ _POWERS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 class Lexicon:
     """Per distinct word: hash of its plain form, and whether it is a number, a unit, capitalised, or ends a sentence."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.hashes, self.flags = [], []
-        self._arrays: tuple[np.ndarray, np.ndarray] | None = None
+        self.hashes, self.flags = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint8)
 
     def _add(self, word: str) -> None:
         import xxhash
@@ -54,25 +50,23 @@ class Lexicon:
         plain = _CORE.sub("", word).lower()
         unit = bool(number and number[1] and number[1].lower() in UNITS)
         flag = (1 if number and (not number[1] or unit) else 0) | (2 if plain in UNITS or word == "%" else 0) | (4 if word[:1].isupper() or word.lstrip("\"'([{«„“‘¿¡")[:1].isupper() else 0) | (8 if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":") else 0) | (16 if not plain else 0) | (32 if unit else 0)
-        self.index[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(plain))
-        self.flags.append(flag)
+        k = self.index[word] = len(self.index)
+        if k == len(self.hashes):
+            self.hashes, self.flags = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hashes, self.flags))
+        self.hashes[k], self.flags[k] = xxhash.xxh3_64_intdigest(plain), flag
 
     def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.most:
-            self.clear()
+            self.index = {}
         get = self.index.get
         at = [get(w) for w in words]
         if None in at:
             for w in set(words):
                 if w not in self.index:
                     self._add(w)
-            self._arrays = None
             at = [self.index[w] for w in words]
-        if self._arrays is None:
-            self._arrays = np.array(self.hashes, dtype=np.uint64), np.array(self.flags, dtype=np.uint8)
         at = np.array(at, dtype=np.int64)
-        return self._arrays[0][at], self._arrays[1][at]
+        return self.hashes[at], self.flags[at]
 
 
 @dataclass
@@ -124,7 +118,9 @@ def _split(texts: list[str]) -> list[list[str]]:
     return [t.split() for t in texts]
 
 
-_LEXICON = Lexicon()
+def _lexicon() -> Lexicon:
+    return worker_cache("lexicon", Lexicon)
+
 
 BENCH = "item_id long, n_windows int, item_pos int, item_end int, size int, hash long, slots array<string>"
 HITS = "doc_id long, hash long, doc_pos int, slots array<string>"
@@ -138,7 +134,7 @@ def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str =
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = batch.column(0).to_pylist()
         words = _split(texts_of(batch.column(1)))
-        t = canonical(words, _LEXICON)
+        t = canonical(words, _lexicon())
         for k, item in enumerate(ids):
             a, b = int(t.starts[k]), int(t.starts[k + 1])
             size = min(WINDOW, b - a)
@@ -159,7 +155,7 @@ def doc_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
         for a, b in slices(np.array([len(x) for x in texts]), 1 << 20):
             words = _split(texts[a:b])
-            t = canonical(words, _LEXICON)
+            t = canonical(words, _lexicon())
             for size in sizes:
                 h, at = windows(t, size)
                 if wanted is not None:
@@ -176,9 +172,12 @@ def doc_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, HITS)
 
 
-def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.5, consistency: float = 0.8, broadcast_windows: int = 500_000) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000) -> DataFrame:
     """One row per contaminated (document, item): coverage of the item's windows and slot consistency.
 
+    A changed word spoils all windows over it, so ``coverage`` is well below 1: copies with every tenth word
+    changed still keep four windows in ten.
+
     Up to ``broadcast_windows`` benchmark windows (about 100 bytes each) are broadcast and filter documents
     where they are read; a larger benchmark is joined by a shuffle.  Both ways give the same rows.
     """
@@ -206,4 +205,4 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     values = pairs.groupBy("doc_id", "item_id", "s.item_slots").agg((F.min("s.slots") == F.max("s.slots")).alias("same"), F.max((F.col("s.slots") != F.col("s.item_slots")).cast("int")).alias("changed"))
     slots = values.groupBy("doc_id", "item_id").agg(F.avg(F.col("same").cast("double")).alias("consistency"), F.max("changed").alias("changed"))
     out = cover.join(slots, ["doc_id", "item_id"], "left").withColumn("coverage", F.col("matched") / F.col("n_windows")).fillna({"consistency": 1.0, "changed": 0})
-    return out.where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency)).select("doc_id", "item_id", "coverage", "consistency", (F.col("changed") == 1).alias("reparameterised"), "matched", "n_windows", "first_pos", "last_pos")
+    return out.where((F.col("coverage") >= coverage) & (F.col("matched") >= F.least(F.lit(least_windows), F.col("n_windows"))) & (F.col("consistency") >= consistency)).select("doc_id", "item_id", "coverage", "consistency", (F.col("changed") == 1).alias("reparameterised"), "matched", "n_windows", "first_pos", "last_pos")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, mix64, slices, texts_of
+from .common import Scratch, arrow_map, mix64, slices, texts_of, trim, worker_cache
 
 BITS = 56
 LAST = 2**31 - 1  # the frequency of hot shingles
@@ -46,20 +46,18 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 64:
+        if len(self) < 300_000 and len(word) < 64:
             self[word] = h
         return h
 
 
-_WORDS = _WordHashes()
-
-
 def shingles(text: str, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's n-word shingles; words are split at ASCII blanks, A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = worker_cache("word hashes", _WordHashes)
+    w = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(n, len(w))
     h = np.full(len(w) - size + 1, size, dtype=np.uint64)
     for k in range(size):
@@ -166,6 +164,7 @@ def segments(packed: DataFrame, parts: int) -> DataFrame:
         return pa.table([pa.array(part[begin]), *lists], schema=schema)
 
     def fragment(table: pa.Table) -> pa.Table:
+        trim()
         rows = table.to_pylist()
         unpacked = [_unpack(r) for r in rows]
         h, doc, hot = (np.concatenate(c) for c in zip(*unpacked, strict=True))
@@ -188,6 +187,7 @@ def entries(grouped: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("listed", pa.int32()), ("head", pa.list_(pair)), ("parts", pa.list_(pa.list_(pa.int64())))])
 
     def gather(table: pa.Table) -> pa.Table:
+        trim()
         doc, s, df = (np.asarray(pa.concat_arrays([c.flatten() for c in table[name].chunks])) for name in ("doc", "s", "df"))
         order = np.lexsort((s, df, doc))
         own = doc[order]

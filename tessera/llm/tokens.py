@@ -18,6 +18,8 @@ import re
 import numpy as np
 import regex
 
+from .common import worker_cache
+
 END_ID = 2
 _PIECE = re.compile(r"[ \n\t]*\S+|[ \n\t]+")
 # fixed value: the pre-token pattern of byte-level BPE vocabularies
@@ -67,7 +69,7 @@ class _Cache(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,16 +87,15 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name_or_path: str) -> Encoder:
     """One encoder per Python worker; a bare name is looked up among the installed vocabularies."""
-    if name_or_path not in _ENCODERS:
+
+    def load() -> Encoder:
         path = name_or_path
         if os.sep not in path:
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        _ENCODERS[name_or_path] = Encoder(str(path))
-    return _ENCODERS[name_or_path]
+        return Encoder(str(path))
+
+    return worker_cache(("encoder", name_or_path), load)
