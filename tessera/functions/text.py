@@ -28,7 +28,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """Number of words between white space, counted without building them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
 def regex_word_count(text: Column) -> Column:
@@ -121,6 +122,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"))
 
 
+def padded(low: Column) -> Column:
+    """Words of a lower-case text with two blanks between and around them, so that ``' w '`` finds and counts whole words."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.coalesce(low, F.lit("")), r"[^\p{L}\p{N}_]+", "  "), F.lit("  "))
+
+
+def word_mark(word: Column) -> Column:
+    """The form in which :func:`padded` texts hold a word."""
+    return F.concat(F.lit(" "), word, F.lit(" "))
+
+
 def occurrences(text: Column, term: Column) -> Column:
     """Non-overlapping occurrences of ``term`` as a substring."""
     return F.when(F.length(term) == 0, 0).otherwise(((F.length(text) - F.length(F.replace(text, term))) / F.length(term)).cast("int"))

@@ -37,7 +37,7 @@ def rrf(keyword_hits: DataFrame, vector_hits: DataFrame, *, keyword_weight: floa
     part = lambda side, w: F.coalesce(F.lit(float(w)) / (k + F.col(f"{side}.rank")), F.lit(0.0))
     fused = both.select("query_id", "key", F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.chunk_index", "b.chunk_index").alias("chunk_index"), F.col("a.rank").alias("keyword_rank"), F.col("b.rank").alias("vector_rank"), (part("a", keyword_weight) + part("b", vector_weight)).alias("raw"))
     most = F.max("raw").over(Window.partitionBy("query_id"))
-    scored = fused.withColumn("score", F.round(F.when(most > 0, F.col("raw") / most).otherwise(0.0), 4))
+    scored = fused.withColumn("score", F.round(F.round(F.when(most > 0, F.col("raw") / most).otherwise(0.0), 9), 4))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc(), "key")))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 

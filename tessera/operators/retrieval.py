@@ -47,11 +47,15 @@ def matches(queries: DataFrame, chunks: DataFrame, terms: str = "terms") -> Data
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, filters: SearchFilters | None = None) -> DataFrame:
-    """Query x matching chunk, in one pass over the chunks: all terms are tested against each chunk's word array."""
+    """Query x matching chunk, in one pass over the chunks.
+
+    Each text is lower-cased, counted and padded once below the join (``low``, ``dl``, ``pad``); a term is then a
+    plain substring test.
+    """
     q = small(queries.select("query_id", T.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0))
     pool = chunks.where(filters.predicate()) if filters else chunks
-    pool = pool.withColumn("word_set", F.array_distinct(T.tokens(F.col("chunk_text"))))
-    return pool.join(q, F.size(F.array_except(F.col("terms"), F.col("word_set"))) == 0).drop("word_set")
+    pool = pool.withColumns({"low": F.lower("chunk_text"), "dl": T.word_count(F.col("chunk_text")), "pad": T.padded(F.lower("chunk_text"))})
+    return pool.join(q, F.forall("terms", lambda t: F.contains(F.col("pad"), T.word_mark(t))))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -60,9 +64,13 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return full.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_chunks"), (F.coalesce(F.avg(F.length("chunk_text")), F.lit(1000.0)) / 5).alias("avgdl"))
 
 
-def document_frequency(chunks: DataFrame) -> DataFrame:
-    """(word, df) over all chunks."""
-    return chunks.select(F.explode(F.array_distinct(T.tokens(F.col("chunk_text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+def document_frequency(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(word, df) over all chunks, of all words or only of those in ``asked`` (which are picked before the shuffle)."""
+    words = F.array_distinct(F.split(F.trim(T.padded(F.lower("chunk_text"))), " +"))
+    held = chunks.select(F.explode(words).alias("word")).where("word <> ''")
+    if asked is not None:
+        held = held.join(small(asked.select("word").distinct()), "word")
+    return held.groupBy("word").agg(F.count("*").alias("df"))
 
 
 def robertson_idf(n: Column, df: Column) -> Column:
@@ -70,12 +78,12 @@ def robertson_idf(n: Column, df: Column) -> Column:
 
 
 def bm25_expr(weights: Column, k1: float = K1, b: float = B) -> Column:
-    """Sum over terms; ``weights`` is an array of structs (term, idf).  Term frequency counts substrings."""
-    text, dl = F.lower("chunk_text"), T.word_count(F.col("chunk_text"))
+    """Sum over terms of candidates; ``weights`` is an array of structs (term, idf).  Term frequency counts substrings."""
+    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
 
     def add(acc: Column, t: Column) -> Column:
-        tf = T.occurrences(text, t["term"])
-        return acc + t["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+        tf = T.occurrences(F.col("low"), t["term"])
+        return acc + t["idf"] * tf * (k1 + 1) / (tf + norm)
 
     return F.aggregate(weights, F.lit(0.0), add)
 
@@ -85,12 +93,12 @@ def bm25(queries: DataFrame, chunks: DataFrame, *, filters: SearchFilters | None
     found = candidates(queries, chunks, filters).crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
     if idf == "robertson":
         asked = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("word"))
-        known = small(asked).join(document_frequency(chunks), "word", "left").crossJoin(F.broadcast(corpus_stats(chunks)))
+        known = small(asked).join(document_frequency(chunks, asked), "word", "left").crossJoin(F.broadcast(corpus_stats(chunks)))
         weighed = known.groupBy("query_id").agg(F.collect_list(F.struct(F.col("word").alias("term"), robertson_idf(F.col("n_chunks"), F.coalesce("df", F.lit(0))).alias("idf"))).alias("weights"))
         found = found.join(small(weighed), "query_id")
     else:
         found = found.withColumn("weights", F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("idf"))))
-    scored = found.withColumn("raw", F.round(bm25_expr(F.col("weights"), k1, b), 9)).where("raw > 0").drop("weights", "avgdl", "n_chunks")
+    scored = found.withColumn("raw", F.round(bm25_expr(F.col("weights"), k1, b), 9)).where("raw > 0").drop("weights", "avgdl", "n_chunks", "low", "pad", "dl")
     page = top(scored, F.col("raw"), limit, offset)
     return page_score(page, base=0.0, scale=1.0) if normalized else page.withColumn("score", F.col("raw"))
 
@@ -98,15 +106,14 @@ def bm25(queries: DataFrame, chunks: DataFrame, *, filters: SearchFilters | None
 def page_score(page: DataFrame, base: float, scale: float) -> DataFrame:
     """``base + scale * raw / max`` over the page of each query, rounded to 4 digits."""
     most = F.max("raw").over(Window.partitionBy("query_id"))
-    return page.withColumn("score", F.round(F.when(most > 0, base + scale * F.col("raw") / most).otherwise(base), 4))
+    return page.withColumn("score", F.round(F.round(F.when(most > 0, base + scale * F.col("raw") / most).otherwise(base), 9), 4))
 
 
 def keyword(queries: DataFrame, chunks: DataFrame, *, filters: SearchFilters | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
     """Chunks with all terms, ranked by the sum of whole-word occurrences; scores lie in [0.6, 1]."""
     found = candidates(queries, chunks, filters)
-    words = T.tokens(F.col("chunk_text"))
-    raw = F.size(F.filter(words, lambda w: F.array_contains(F.col("terms"), w))).cast("double")
-    page = top(found.withColumn("raw", raw), F.col("raw"), limit, offset)
+    raw = F.aggregate("terms", F.lit(0), lambda n, t: n + T.occurrences(F.col("pad"), T.word_mark(t))).cast("double")
+    page = top(found.withColumn("raw", raw).drop("low", "pad", "dl"), F.col("raw"), limit, offset)
     return page_score(page, base=0.6, scale=0.4)
 
 

@@ -10,7 +10,7 @@ from ..functions import structure as S
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking as C
-from ..session import table
+from ..session import spread, table
 from . import views as V
 
 
@@ -20,7 +20,7 @@ def _t() -> Column:
 
 
 def _texts(s, d, *columns):
-    return table(s, d, "documents").select("doc_id", *columns)
+    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", *columns)
 
 
 def _quality(s, d):
@@ -34,7 +34,7 @@ def _metadata(s, d):
 
 
 def _chunked(s, d):
-    return C.with_flags(C.chunk_texts(table(s, d, "documents")))
+    return C.with_flags(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))))
 
 
 QUERIES = {
@@ -64,12 +64,12 @@ QUERIES = {
     "metadata_completeness": lambda s, d: _metadata(s, d).select("doc_id", F.round(P.completeness(F.col("title").isNotNull(), F.col("language").isNotNull(), F.col("pages").isNotNull(), F.col("n_words").isNotNull(), F.col("quality").isNotNull()), 4).alias("completeness"), P.is_complete(F.col("title"), F.col("language"), F.col("pages"), F.col("n_words")).alias("is_complete"), F.round(P.mean_score(P.clamp_scores(F.col("scores"))), 4).alias("mean_confidence")),
     "metadata_violations": lambda s, d: _metadata(s, d).select("doc_id", F.array_join(P.metadata_errors(F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("keywords"), F.col("pages"), F.col("n_words"), F.col("quality"), F.col("scores")), ",").alias("errors"), F.array_join(P.metadata_warnings(F.col("title"), F.col("keywords"), F.col("language"), F.col("pages"), F.col("n_words"), F.col("quality"), F.lit("high"), F.col("scores")), ",").alias("warnings")),
     "merge_metadata": lambda s, d: V.docs(s, d).select("doc_id", F.from_json(P.merge_json(F.col("metadata"), F.concat(F.lit('{"lang":"xx","n":"'), F.col("doc_id"), F.lit('"}'))), "map<string,string>").alias("m")).select("doc_id", F.col("m")["lang"].alias("lang"), F.col("m")["source"].alias("source"), F.col("m")["n"].alias("n")),
-    "chunks_greedy": lambda s, d: C.chunk_texts(table(s, d, "documents")).drop("spans"),
+    "chunks_greedy": lambda s, d: C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))).drop("spans"),
     "chunk_flags": lambda s, d: _chunked(s, d).drop("chunk_text"),
     "chunk_scores": lambda s, d: C.rule_score(_chunked(s, d)).join(C.weighted_score(_chunked(s, d)), "doc_id"),
-    "chunk_token_histogram": lambda s, d: A.histogram(C.chunk_texts(table(s, d, "documents")), "token_count", A.CHUNK_TOKEN_BUCKETS),
+    "chunk_token_histogram": lambda s, d: A.histogram(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))), "token_count", A.CHUNK_TOKEN_BUCKETS),
     "chunk_adjacent_overlap": lambda s, d: adjacent(sentence_spans(s, d)),
-    "chunk_quality_report": lambda s, d: A.chunking_report(C.chunk_texts(table(s, d, "documents")), V.texts(s, d)).withColumn("issues", F.array_join("issues", ",")),
+    "chunk_quality_report": lambda s, d: A.chunking_report(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))), V.texts(s, d)).withColumn("issues", F.array_join("issues", ",")),
     "search_readiness": lambda s, d: A.search_readiness(A.extraction_report(V.docs(s, d), _quality(s, d)), A.chunking_report(one_chunk(s, d), V.texts(s, d))),
     "readiness_rollup": lambda s, d: A.readiness_rollup(A.search_readiness(A.extraction_report(V.docs(s, d), _quality(s, d)), A.chunking_report(one_chunk(s, d), V.texts(s, d)))),
     "document_structure": lambda s, d: S.extract(table(s, d, "pages"), id_col="page_id", text_col="html").select("doc_id", F.explode("spans").alias("x")).groupBy("doc_id", "x.kind").agg(F.count("*").alias("n")),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 NOW_SQL = "TIMESTAMP '2024-02-15 00:00:00'"
 
@@ -61,7 +61,7 @@ TEXTS_SQL = "texts AS (SELECT doc_id, text, CAST(length(text) AS INTEGER) AS tex
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").where("doc_id % 13 <> 0")
+    df = spread(table(spark, sf_dir, "documents").where("doc_id % 13 <> 0"))
     return df.selectExpr("doc_id", "text", "cast(length(text) as int) AS text_length", "cast(doc_id % 5 as int) AS ocr_pages", "cast(greatest(1, length(text) div 2000) as int) AS pages", "CASE WHEN doc_id % 19 = 0 THEN NULL ELSE lang END AS language")
 
 
@@ -70,7 +70,7 @@ CHUNKS_SQL = DOCS_SQL + ", chunks AS (SELECT d.doc_id, 0 AS chunk_index, d.text
 
 
 def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
-    d = docs(spark, sf_dir).where("status = 'completed' AND NOT is_deleted")
+    d = spread(docs(spark, sf_dir).where("status = 'completed' AND NOT is_deleted"))
     d = d.select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), "name", "mime_type", "quality", "created_at", "tags")
     if not vectors:
         return d

@@ -26,3 +26,13 @@ def session(app: str = "tessera", master: str | None = None, **conf: object) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
+    """Deal a small table evenly over all cores; a file of one row group is otherwise read by one task.
+
+    The size is the optimizer's estimate, so no job runs; larger tables have row groups enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < bytes_per_core * cores else df
