@@ -350,10 +350,12 @@ def _linked(pairs: DataFrame, lists: DataFrame, scratch: Scratch, r: int, percen
 
 
 def keep_one(df: DataFrame, classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose document is the smallest of its class; repeated rows of one document become one.
+    """Rows of ``df`` without those whose class has a smaller document; repeated rows of one document become one.
 
-    Whether identifiers repeat is seen from ``classes``, so texts are only grouped if they do.
+    The rows to drop are the smaller side of the join, and texts are grouped by identifier only if
+    ``classes`` shows that identifiers repeat.  Rows without an identifier stay.
     """
     first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     unique = first.where("n > 1").isEmpty()
-    return (df if unique else df.dropDuplicates([id_col])).join(first.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    others = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return (df if unique else df.dropDuplicates([id_col])).join(others, id_col, "left_anti")
