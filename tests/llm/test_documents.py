@@ -72,7 +72,8 @@ def test_jaccard_empty(empty):
 
 def test_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (3, "")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in jaccard.keep_one(df, jaccard.join(df)).collect()) == [1, 3]
+    for rows in (1_000_000, 0):
+        assert sorted(r.doc_id for r in jaccard.keep_one(df, jaccard.join(df), broadcast_rows=rows).collect()) == [1, 3]
 
 
 @pytest.fixture(scope="module")
