@@ -349,13 +349,15 @@ def _linked(pairs: DataFrame, lists: DataFrame, scratch: Scratch, r: int, percen
     return overlaps(pairs, active).where(f"{100 + percent}L * overlap >= {percent}L * (mx + my)").select("x", "y")
 
 
-def keep_one(df: DataFrame, classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def keep_one(df: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` without those whose class has a smaller document; repeated rows of one document become one.
 
-    The rows to drop are the smaller side of the join, and texts are grouped by identifier only if
-    ``classes`` shows that identifiers repeat.  Rows without an identifier stay.
+    The identifiers to drop are broadcast if they are counted to be at most ``broadcast_rows`` (8 bytes each), so that
+    texts stay where they are; more are joined by shuffle.  Texts are grouped by identifier only if ``classes``
+    shows that identifiers repeat.  Rows without an identifier stay.
     """
     first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     unique = first.where("n > 1").isEmpty()
     others = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return (df if unique else df.dropDuplicates([id_col])).join(others, id_col, "left_anti")
+    few = others.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return (df if unique else df.dropDuplicates([id_col])).join(F.broadcast(others) if few else others, id_col, "left_anti")
