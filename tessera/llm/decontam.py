@@ -3,9 +3,9 @@
 Words are reduced to templates: numbers, units behind numbers and names (capitalised words
 inside a sentence) become typed placeholders, other words lose case and punctuation.  Hashed
 windows of template words are joined with those of the benchmark.  A document is
-contaminated by an item if it holds enough of the item's windows and the values in its
-placeholders are consistent: each value of the item always turns into the same value, as in
-a re-parameterised question.
+contaminated by an item if an occurrence in it holds enough of the item's windows and the
+values in its placeholders are consistent: each value of the item always turns into the same
+value there, as in a re-parameterised question.
 
 Defined cases: null or empty texts and items match nothing; items shorter than a window are
 one window of their own length (of ``short_words`` words at least); equal documents are each
@@ -172,9 +172,86 @@ def doc_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, HITS)
 
 
+SLACK, BLOCK = 200, 1024  # words that an occurrence may shift by; diagonals judged together, over twice SLACK
+JUDGED = "doc_id long, item_id long, coverage double, consistency double, reparameterised boolean, matched long, n_windows int, first_pos int, last_pos int"
+
+
+def _figures(hits: list[tuple], n: int) -> tuple:
+    """(matched, coverage, consistency, reparameterised, first, last) of hits (item_pos, doc_pos, item_slots, slots)."""
+    values: dict[str, set[str]] = {}
+    for _, _, own, got in hits:
+        for a, b in zip(own, got, strict=True):
+            values.setdefault(a, set()).add(b)
+    same = [len(v) == 1 for v in values.values()]
+    matched, at = len({h[0] for h in hits}), [h[1] for h in hits]
+    return matched, matched / n, sum(same) / len(same) if same else 1.0, any(v != {a} for a, v in values.items()), min(at), max(at)
+
+
+def best_occurrence(hits: list[tuple], n: int, passes) -> tuple | None:
+    """Figures of the best occurrence that passes.
+
+    An occurrence lies along a diagonal (place in the document less place in the item).  Around each one, hits of
+    near diagonals count where words were put in or left out; each place of the document and the item serves once,
+    and the nearest diagonal has it, so that an item's resemblance to itself does not count.
+    The diagonal alone is judged too.
+    """
+    lines: dict[int, list[tuple]] = {}
+    for h in hits:
+        lines.setdefault(h[1] - h[0], []).append(h)
+    slack, order = min(SLACK, max(2, n // 2)), sorted(lines)
+    best, lo, hi, held = None, 0, 0, 0
+    for d in order:
+        while hi < len(order) and order[hi] <= d + slack:
+            held += len(lines[order[hi]])
+            hi += 1
+        while order[lo] < d - slack:
+            held -= len(lines[order[lo]])
+            lo += 1
+        if not passes(min(held, n), 1.0):
+            continue
+        tried = [lines[d]]
+        if hi - lo > 1:
+            near, docs, items = [], set(), set()
+            for o in sorted(order[lo:hi], key=lambda o: (abs(o - d), o)):
+                for h in lines[o]:
+                    if h[0] not in items and h[1] not in docs:
+                        near.append(h)
+                        items.add(h[0])
+                        docs.add(h[1])
+            tried.append(near)
+        for some in tried:
+            f = _figures(some, n)
+            if passes(f[0], f[2]) and (best is None or (not f[3], f[0], f[2], -f[4]) > (not best[3], best[0], best[2], -best[4])):
+                best = f
+        if best and best[1] == 1.0 and not best[3]:
+            break
+    return best
+
+
+def _occurrences(hits: DataFrame, coverage: float, least_windows: int, consistency: float) -> DataFrame:
+    """The best passing occurrence of each pair and block of diagonals; blocks overlap by half, so none is cut."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = []
+        for doc, item, n, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            f = best_occurrence([tuple(h.values()) for h in hits], n, lambda m, c, n=n: m / n >= coverage and m >= min(least_windows, n) and c >= consistency)
+            if f:
+                out.append((doc, item, f[1], f[2], f[3], f[0], n, f[4], f[5]))
+        if out:
+            yield dict(zip((c.split()[0] for c in JUDGED.split(", ")), zip(*out, strict=True), strict=True))
+
+    at = F.col("doc_pos") - F.col("item_pos")
+    blocks = F.explode(F.array(F.floor(at / BLOCK) * 2, F.floor(at / BLOCK + 0.5) * 2 - 1))
+    one = hits.withColumn("block", blocks).groupBy("doc_id", "item_id", "n_windows", "block").agg(F.collect_list(F.struct("item_pos", "doc_pos", "item_slots", "slots")).alias("hits"))
+    return arrow_map(one.select("doc_id", "item_id", "n_windows", "hits"), run, JUDGED)
+
+
 def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000) -> DataFrame:
     """One row per contaminated (document, item): coverage of the item's windows and slot consistency.
 
+    Each occurrence in the document is judged by itself, and the best that passes is the row; an item that passes
+    only over the whole document, as when it is quoted in pieces, is a row as well.
+
     A changed word spoils all windows over it, so ``coverage`` is well below 1: copies with every tenth word
     changed still keep four windows in ten.
 
@@ -205,4 +282,8 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     values = pairs.groupBy("doc_id", "item_id", "s.item_slots").agg((F.min("s.slots") == F.max("s.slots")).alias("same"), F.max((F.col("s.slots") != F.col("s.item_slots")).cast("int")).alias("changed"))
     slots = values.groupBy("doc_id", "item_id").agg(F.avg(F.col("same").cast("double")).alias("consistency"), F.max("changed").alias("changed"))
     out = cover.join(slots, ["doc_id", "item_id"], "left").withColumn("coverage", F.col("matched") / F.col("n_windows")).fillna({"consistency": 1.0, "changed": 0})
-    return out.where((F.col("coverage") >= coverage) & (F.col("matched") >= F.least(F.lit(least_windows), F.col("n_windows"))) & (F.col("consistency") >= consistency)).select("doc_id", "item_id", "coverage", "consistency", (F.col("changed") == 1).alias("reparameterised"), "matched", "n_windows", "first_pos", "last_pos")
+    whole = out.where((F.col("coverage") >= coverage) & (F.col("matched") >= F.least(F.lit(least_windows), F.col("n_windows"))) & (F.col("consistency") >= consistency)).withColumn("reparameterised", F.col("changed") == 1)
+    names = [c.split()[0] for c in JUDGED.split(", ")]
+    both = _occurrences(hits, coverage, least_windows, consistency).withColumn("single", F.lit(True)).unionByName(whole.select(*names).withColumn("single", F.lit(False)))
+    rank = F.struct("single", ~F.col("reparameterised"), "matched", "consistency", -F.col("first_pos"), "last_pos")
+    return both.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*names[2:]), rank).alias("b")).select("doc_id", "item_id", "b.*")

@@ -190,6 +190,29 @@ def test_decontamination_by_shuffle_is_the_same(spark):
     assert set(found(spark, DOCS)) == set(found(spark, DOCS, broadcast_windows=0))
 
 
+def pairs(spark, docs, items, **o):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontam.find(d, b, **o).collect()}
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    sheet = "A farmer sells {} apples and {} pears at the market before he walks home to his family again."
+    own = "What is the value of x when y is 3? What is the value of x when y is 7?"
+    items = [(1, sheet.format(12, 30)), (2, sheet.format(9, 41)), (3, own)]
+    filler = "and then other words that nobody has asked for come here. " * 3
+    docs = [
+        (1, filler + items[0][1] + " " + filler + sheet.format(5, 8) + " " + sheet.format(6, 6)),
+        (2, items[0][1] + " " + items[1][1]),
+        (3, filler + own + " " + filler),
+        (4, "Intro. " + sheet.format(12, 30).replace("at the market", "at the very old market") + " " + sheet.format(4, 4)),
+        (5, filler * 400 + items[1][1] + " " + filler * 400),
+    ]
+    for broadcast in (500_000, 0):
+        got = pairs(spark, docs, items, broadcast_windows=broadcast)
+        assert {(1, 1), (2, 1), (2, 2), (3, 3), (4, 1), (5, 2)} <= set(got)
+        assert all(got[k].coverage == 1.0 and got[k].consistency == 1.0 and not got[k].reparameterised for k in ((1, 1), (2, 1), (2, 2), (3, 3), (5, 2)))
+
+
 def test_decontamination_empty(spark, empty):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.find(empty, b).collect() == []
