@@ -7,9 +7,12 @@ contaminated by an item if an occurrence in it holds enough of the item's window
 values in its placeholders are consistent: each value of the item always turns into the same
 value there, as in a re-parameterised question.
 
-Defined cases: null or empty texts and items match nothing; items shorter than a window are
-one window of their own length (of ``short_words`` words at least); equal documents are each
-reported; several items may hit one document, and each pair is one row.
+Items that are mostly numbers and names have few literal windows; their plain words are
+searched as well, in windows of the same length, so that a verbatim copy is always found.
+
+Defined cases: null or empty texts and items match nothing; items of fewer than
+``short_words`` words are not searched, and those below a window (where ``short_words``
+lets them in) are one window of their own length; equal documents are each reported; several items may hit one document, and each pair is one row.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, mix64, slices, texts_of, worker_cache
 
-WINDOW, SHORT = 8, 5
+WINDOW = SHORT = 5
 # fixed values: unit words that follow a number
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hours minutes seconds days weeks months years percent % usd eur gbp dollars euros cents degrees c f k w kw v a hz mb gb tb".split())
 _NUMBER = re.compile(r"^[^\w]*[-+$€£]?\d[\d.,:/]*([^\W\d_]*|%)[^\w]*$")
@@ -35,37 +38,50 @@ _TAGS = np.array([0, 0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547]
 _POWERS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+class _Index(dict):
+    """Places of words; a new word is added when it is first asked for."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        return self.add(word)
+
+
 class Lexicon:
     """Per distinct word: hash of its plain form, and whether it is a number, a unit, capitalised, or ends a sentence."""
 
     def __init__(self, most: int = 300_000):
-        self.most = most
-        self.index: dict[str, int] = {}
+        import xxhash
+
+        self.most, self._hash = most, xxhash.xxh3_64_intdigest
+        self.index = _Index(self._add)
         self.hashes, self.flags = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint8)
 
-    def _add(self, word: str) -> None:
-        import xxhash
+    def _add(self, word: str) -> int:
+        bare = word if word.isalpha() else word[:-1]
+        if bare.isalpha() and (bare is word or word[-1] in ".,;!?:"):  # letters and at most a mark: most words
+            plain = bare.lower()
+            flag = (2 if plain in UNITS else 0) | (4 if word[0].isupper() else 0) | (8 if word[-1] in ".!?:" else 0)
+        else:
+            plain, flag = self._judge(word)
+        k = self.index[word] = len(self.index)
+        if k == len(self.hashes):
+            self.hashes, self.flags = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hashes, self.flags))
+        self.hashes[k], self.flags[k] = self._hash(plain), flag
+        return k
 
+    @staticmethod
+    def _judge(word: str) -> tuple[str, int]:
         number = _NUMBER.match(word)
         plain = _CORE.sub("", word).lower()
         unit = bool(number and number[1] and number[1].lower() in UNITS)
-        flag = (1 if number and (not number[1] or unit) else 0) | (2 if plain in UNITS or word == "%" else 0) | (4 if word[:1].isupper() or word.lstrip("\"'([{«„“‘¿¡")[:1].isupper() else 0) | (8 if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":") else 0) | (16 if not plain else 0) | (32 if unit else 0)
-        k = self.index[word] = len(self.index)
-        if k == len(self.hashes):
-            self.hashes, self.flags = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hashes, self.flags))
-        self.hashes[k], self.flags[k] = xxhash.xxh3_64_intdigest(plain), flag
+        return plain, (1 if number and (not number[1] or unit) else 0) | (2 if plain in UNITS or word == "%" else 0) | (4 if word[:1].isupper() or word.lstrip("\"'([{«„“‘¿¡")[:1].isupper() else 0) | (8 if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":") else 0) | (16 if not plain else 0) | (32 if unit else 0)
 
     def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.most:
-            self.index = {}
-        get = self.index.get
-        at = [get(w) for w in words]
-        if None in at:
-            for w in set(words):
-                if w not in self.index:
-                    self._add(w)
-            at = [self.index[w] for w in words]
-        at = np.array(at, dtype=np.int64)
+            self.index.clear()
+        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
         return self.hashes[at], self.flags[at]
 
 
@@ -74,6 +90,7 @@ class Templates:
     """Template words of several texts in one array; ``owner`` and ``word`` lead back to text and source word."""
 
     hashes: np.ndarray
+    plain: np.ndarray  # hashes of the words themselves
     kinds: np.ndarray
     owner: np.ndarray
     word: np.ndarray
@@ -86,7 +103,7 @@ def canonical(words: list[list[str]], lexicon: Lexicon) -> Templates:
     starts = np.append(0, np.cumsum(sizes))
     if not flat:
         e = np.zeros(0, dtype=np.int64)
-        return Templates(e.astype(np.uint64), e, e, e, starts)
+        return Templates(e.astype(np.uint64), e.astype(np.uint64), e, e, e, starts)
     hashes, flags = lexicon.look(flat)
     owner = np.repeat(np.arange(len(words)), sizes)
     first = np.zeros(len(flat), dtype=bool)
@@ -95,23 +112,30 @@ def canonical(words: list[list[str]], lexicon: Lexicon) -> Templates:
     opens = first | ((before & 8) > 0)
     kinds = np.where(flags & 1, NUM, np.where(((flags & 2) > 0) & ((before & 1) > 0) & ~first, UNIT, np.where(((flags & 4) > 0) & ~opens, NAME, OTHER)))
     keep = (flags & 16) == 0
-    hashes = np.where(kinds == OTHER, hashes, _TAGS[kinds])
+    plain, hashes = hashes[keep], np.where(kinds == OTHER, hashes, _TAGS[kinds])
     kept = np.append(0, np.cumsum(keep))
-    return Templates(hashes[keep], kinds[keep], owner[keep], (np.arange(len(flat)) - starts[owner])[keep], kept[starts])
+    return Templates(hashes[keep], plain, kinds[keep], owner[keep], (np.arange(len(flat)) - starts[owner])[keep], kept[starts])
 
 
 def windows(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first position of each window within one text that has a literal word in it."""
-    n = len(t.hashes) - size + 1
+    """Hash and first position of each window within one text.
+
+    Windows of ``size`` template words are half literal words at least; a negative size stands for all windows of
+    so many plain words, placeholders not used.
+    """
+    words, size, exact = (t.hashes, size, False) if size > 0 else (t.plain, -size, True)
+    n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     h = np.zeros(n, dtype=np.uint64)
     for k in range(size):
-        h += t.hashes[k : k + n] * _POWERS[k]
-    literal = np.append(0, np.cumsum(t.kinds == OTHER))
-    ok = (t.owner[:n] == t.owner[size - 1 :]) & (2 * (literal[size:] - literal[:-size]) >= size)
+        h += words[k : k + n] * _POWERS[k]
+    ok = t.owner[:n] == t.owner[size - 1 :]
+    if not exact:
+        literal = np.append(0, np.cumsum(t.kinds == OTHER))
+        ok &= 2 * (literal[size:] - literal[:-size]) >= size
     at = np.flatnonzero(ok)
-    return mix64(h[at] + np.uint64(size)), at
+    return mix64(h[at] + np.uint64(size + (1 << 20 if exact else 0))), at
 
 
 def _split(texts: list[str]) -> list[list[str]]:
@@ -127,10 +151,13 @@ HITS = "doc_id long, hash long, doc_pos int, slots array<string>"
 
 
 def _slot_values(words: list[str], t: Templates, at: int, size: int) -> list[str]:
+    """Values in the placeholders of a window; windows of plain words (negative size) have none."""
     return [_CORE.sub("", words[t.word[k]]).lower() for k in range(at, at + size) if t.kinds[k] in (NUM, NAME)]
 
 
-def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str = "text", short_words: int = SHORT) -> DataFrame:
+    """Windows of the items: of templates, and of plain words where under half of the template windows are literal enough."""
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = batch.column(0).to_pylist()
         words = _split(texts_of(batch.column(1)))
@@ -138,12 +165,15 @@ def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str =
         for k, item in enumerate(ids):
             a, b = int(t.starts[k]), int(t.starts[k + 1])
             size = min(WINDOW, b - a)
-            if size < SHORT:
+            if size < max(1, short_words):
                 continue
-            own = Templates(t.hashes[a:b], t.kinds[a:b], t.owner[a:b], t.word[a:b], np.array([0, b - a]))
-            h, at = windows(own, size)
-            n = len(at)
-            yield {"item_id": [item] * n, "n_windows": [n] * n, "item_pos": at, "item_end": [b - a] * n, "size": [size] * n, "hash": h.view(np.int64), "slots": [_slot_values(words[k], own, p, size) for p in at]}
+            own = Templates(t.hashes[a:b], t.plain[a:b], t.kinds[a:b], t.owner[a:b], t.word[a:b], np.array([0, b - a]))
+            routes = {size: windows(own, size)} if size >= SHORT else {}
+            if size < SHORT or 2 * len(routes[size][1]) < b - a - size + 1:
+                routes[-size] = windows(own, -size)
+            for route, (h, at) in routes.items():
+                n = len(at)
+                yield {"item_id": [item] * n, "n_windows": [n] * n, "item_pos": at, "item_end": [b - a] * n, "size": [route] * n, "hash": h.view(np.int64), "slots": [_slot_values(words[k], own, p, route) for p in at]}
 
     return arrow_map(bench.select(F.col(id_col).cast("long"), text_col), run, BENCH)
 
@@ -242,25 +272,26 @@ def _occurrences(hits: DataFrame, coverage: float, least_windows: int, consisten
 
     at = F.col("doc_pos") - F.col("item_pos")
     blocks = F.explode(F.array(F.floor(at / BLOCK) * 2, F.floor(at / BLOCK + 0.5) * 2 - 1))
-    one = hits.withColumn("block", blocks).groupBy("doc_id", "item_id", "n_windows", "block").agg(F.collect_list(F.struct("item_pos", "doc_pos", "item_slots", "slots")).alias("hits"))
+    one = hits.withColumn("block", blocks).groupBy("doc_id", "item_id", "size", "n_windows", "block").agg(F.collect_list(F.struct("item_pos", "doc_pos", "item_slots", "slots")).alias("hits"))
     return arrow_map(one.select("doc_id", "item_id", "n_windows", "hits"), run, JUDGED)
 
 
-def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000, short_words: int = SHORT) -> DataFrame:
     """One row per contaminated (document, item): coverage of the item's windows and slot consistency.
 
     Each occurrence in the document is judged by itself, and the best that passes is the row; an item that passes
     only over the whole document, as when it is quoted in pieces, is a row as well.
 
-    A changed word spoils all windows over it, so ``coverage`` is well below 1: copies with every tenth word
-    changed still keep four windows in ten.
+    A changed word spoils all windows over it, so ``coverage`` is well below 1: with every tenth word changed,
+    9 words between two changes keep 5 of 10 windows; with the two ends of a text, items of 12 words and more keep
+    three in ten wherever the first change is.
 
     Up to ``broadcast_windows`` benchmark windows (about 100 bytes each) are broadcast and filter documents
     where they are read; a larger benchmark is joined by a shuffle.  Both ways give the same rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    items = scratch.put(bench_windows(bench, id_col=item_col, text_col=item_text_col), "items")
+    items = scratch.put(bench_windows(bench, id_col=item_col, text_col=item_text_col, short_words=short_words), "items")
     sizes = items.groupBy("size").count().collect()  # a row for each of a few sizes
     wanted, used = None, tuple(sorted(r["size"] for r in sizes))
     if sum(r["count"] for r in sizes) <= broadcast_windows:
@@ -274,14 +305,14 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     found = doc_windows(docs, id_col=id_col, text_col=text_col, wanted=wanted, sizes=used)
     known = items.withColumnRenamed("slots", "item_slots")
     hits = found.join(F.broadcast(known) if wanted is not None else known, "hash").where(F.size("slots") == F.size("item_slots"))
-    hits = scratch.put(hits.select("doc_id", "item_id", "n_windows", "item_pos", "doc_pos", "slots", "item_slots"), "hits")
-    cover = hits.groupBy("doc_id", "item_id").agg(
+    hits = scratch.put(hits.select("doc_id", "item_id", "size", "n_windows", "item_pos", "doc_pos", "slots", "item_slots"), "hits")
+    cover = hits.groupBy("doc_id", "item_id", "size").agg(
         F.count_distinct("item_pos").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("doc_pos").alias("first_pos"), F.max("doc_pos").alias("last_pos")
     )
-    pairs = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    values = pairs.groupBy("doc_id", "item_id", "s.item_slots").agg((F.min("s.slots") == F.max("s.slots")).alias("same"), F.max((F.col("s.slots") != F.col("s.item_slots")).cast("int")).alias("changed"))
-    slots = values.groupBy("doc_id", "item_id").agg(F.avg(F.col("same").cast("double")).alias("consistency"), F.max("changed").alias("changed"))
-    out = cover.join(slots, ["doc_id", "item_id"], "left").withColumn("coverage", F.col("matched") / F.col("n_windows")).fillna({"consistency": 1.0, "changed": 0})
+    pairs = hits.select("doc_id", "item_id", "size", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    values = pairs.groupBy("doc_id", "item_id", "size", "s.item_slots").agg((F.min("s.slots") == F.max("s.slots")).alias("same"), F.max((F.col("s.slots") != F.col("s.item_slots")).cast("int")).alias("changed"))
+    slots = values.groupBy("doc_id", "item_id", "size").agg(F.avg(F.col("same").cast("double")).alias("consistency"), F.max("changed").alias("changed"))
+    out = cover.join(slots, ["doc_id", "item_id", "size"], "left").withColumn("coverage", F.col("matched") / F.col("n_windows")).fillna({"consistency": 1.0, "changed": 0})
     whole = out.where((F.col("coverage") >= coverage) & (F.col("matched") >= F.least(F.lit(least_windows), F.col("n_windows"))) & (F.col("consistency") >= consistency)).withColumn("reparameterised", F.col("changed") == 1)
     names = [c.split()[0] for c in JUDGED.split(", ")]
     both = _occurrences(hits, coverage, least_windows, consistency).withColumn("single", F.lit(True)).unionByName(whole.select(*names).withColumn("single", F.lit(False)))

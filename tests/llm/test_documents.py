@@ -213,6 +213,31 @@ def test_decontamination_judges_each_occurrence(spark):
         assert all(got[k].coverage == 1.0 and got[k].consistency == 1.0 and not got[k].reparameterised for k in ((1, 1), (2, 1), (2, 2), (3, 3), (5, 2)))
 
 
+def test_decontamination_finds_items_of_numbers_and_names(spark):
+    items = [
+        (1, "12 + 7 = 19, 8 + 5 = 13, 40 + 2 = 42"),
+        (2, "Anna Berg Carl Dahl Eva Falk Gustav Holm Ida Jansson"),
+        (3, "The Quick Brown Fox Jumps Over The Lazy Dog"),
+        (4, "what is it called"),
+    ]
+    docs = [(k, f"some words before it, then {t} and some words after it") for k, t in items] + [(5, "sums: 11 + 8 = 19, 7 + 6 = 13, 39 + 3 = 42 and Olaf Berg"), (6, items[2][1].lower())]
+    for broadcast in (500_000, 0):
+        assert set(pairs(spark, docs, items, broadcast_windows=broadcast)) == {(1, 1), (2, 2), (3, 3), (6, 3)}
+    assert (4, 4) in pairs(spark, docs, items, short_words=4)
+
+
+def test_decontamination_with_every_tenth_word_changed(spark):
+    items = [(n, " ".join(f"i{chr(97 + n % 26)}{'xyz'[n // 26]}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n))) for n in range(12, 75)]
+    docs = []
+    for n, text in items:
+        for shift in range(10):
+            w = text.split()
+            w[shift::10] = ["changed"] * len(w[shift::10])
+            if 10 * w.count("changed") <= n:
+                docs.append((100 * n + shift, "before it " + " ".join(w) + " after it"))
+    assert {d for d, _ in pairs(spark, docs, items)} == {d for d, _ in docs}
+
+
 def test_decontamination_empty(spark, empty):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.find(empty, b).collect() == []
