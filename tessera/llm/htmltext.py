@@ -26,7 +26,11 @@ MAX_DEPTH = 200
 # fixed values of the HTML standard: element classes that a renderer has to know
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object svg math audio video canvas title".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas title".split())
+# inside of svg and math: elements that are not painted, and those that stand apart from their neighbours
+ISLANDS = frozenset(("svg", "math"))
+UNPAINTED = {"svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+APART = {"svg": frozenset(("text",)), "math": frozenset(("mtd",))}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -50,13 +54,14 @@ SCOPE = frozenset("table td th caption html button object".split())
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*(?:>|\Z)|/[^a-zA-Z][^>]*>)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_ISLAND = re.compile(r"<(?:svg|math)[\s/>]", re.I)
 _CLOSE_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("start", tag, attributes), ("end", tag, "")."""
-    at, n = 0, len(source)
+    at, n, island = 0, len(source), 0
     while at < n:
         found = _TAG.search(source, at)
         if not found:
@@ -69,11 +74,13 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in ISLANDS:
+            island = max(0, island - 1) if found[1] else island + (not found[3].endswith("/"))
         if found[1]:
             yield "end", tag, ""
             continue
         yield "start", tag, found[3]
-        if tag in RAW:
+        if tag in RAW and not (island and found[3].endswith("/")):
             close = _CLOSE_RAW[tag].search(source, at)
             end = close.start() if close else n
             if end > at:
@@ -100,6 +107,7 @@ def build(source: str) -> Node:
     """The element tree; text children are strings with character references resolved."""
     root = Node("#root")
     stack = [root]
+    islands = _ISLAND.search(source)
 
     def close_implied(closes: set[str], stops: frozenset | set) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -128,8 +136,12 @@ def build(source: str) -> Node:
                 stack[-1].kids.append(row)
                 stack.append(row)
             node = Node(tag, attributes(raw) if raw and "=" in raw or " " in raw else None)
-            stack[-1].kids.append(node)
-            if tag not in VOID and len(stack) < MAX_DEPTH:
+            island = next((n.tag for n in reversed(stack) if n.tag in ISLANDS), None) if islands else None
+            if island and (tag in UNPAINTED[island] or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")):
+                node.attrs["hidden"] = ""
+            apart = [" "] if island and tag in APART[island] else []
+            stack[-1].kids += [*apart, node, *apart]
+            if tag not in VOID and len(stack) < MAX_DEPTH and not ((island or tag in ISLANDS) and raw.endswith("/")):
                 stack.append(node)
         else:
             if tag == "br" or (tag == "p" and not any(n.tag == "p" for n in stack)):

@@ -152,6 +152,15 @@ def test_render(html, text):
     assert htmltext.render(html) == text
 
 
+def test_render_formulas_and_charts():
+    page = """<p>Before <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>3</mn></mrow><annotation encoding="application/x-tex">x=3 tex</annotation></semantics></math> after</p>
+    <div>Chart: <svg viewBox="0 0 9 9"><title>tip</title><desc>long tip</desc><style/><defs><text>unused</text></defs><defs/><path d="M0 0"/><g><text x="1">Sales</text><text x="2">Costs</text></g><text display="none">off</text></svg>end</div>
+    <p>last <desc>shown</desc></p>"""
+    assert htmltext.render(page) == "Before x=3 after\n\nChart: Sales Costs end\n\nlast shown"
+    assert htmltext.render("<svg>" + "<path/>" * 500 + "<text>a</text></svg><p>b</p>") == "a\n\nb"
+    assert htmltext.render("<svg/><p>c</p><svg><style>d{}</style><text>e</text></svg>") == "c\n\ne"
+
+
 def test_render_deep_and_long():
     assert htmltext.render("<div>" * 5000 + "deep") == "deep"
     assert htmltext.render("<ul><li>" * 2000 + "x").endswith("x")
