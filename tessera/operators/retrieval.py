@@ -203,8 +203,45 @@ def ivf_assign(vectors: DataFrame, lists: int = 16, *, id_col: str = "vec_id", v
 
 
 def knn_ivf(queries: DataFrame, assigned: DataFrame, centers: np.ndarray, *, probes: int = 4, limit: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Approximate neighbours: only the ``probes`` lists nearest to each query are read."""
-    near = F.slice(F.sort_array(F.array(*(F.struct(dot(F.col("vector"), F.array(*map(F.lit, c))).alias("s"), F.lit(k).alias("list")) for k, c in enumerate(centers.tolist()))), asc=False), 1, probes)
-    probed = queries.withColumn("p", F.explode(near)).select("query_id", F.col("vector").alias("q"), "p.list")
-    sim = assigned.join(small(probed), "list").withColumn("similarity", F.round(cosine(F.col(vector_col), F.col("q")), 6)).drop("q", vector_col)
-    return top(sim.where("similarity is not null"), F.col("similarity"), limit, ties=[id_col])
+    """Approximate neighbours: only the ``probes`` lists nearest to each query are read.
+
+    Up to ``BROADCAST_QUERIES`` queries meet each batch of vectors list by list, as matrix products; more are joined.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = queries.select("query_id", "vector").where("vector is not null").limit(BROADCAST_QUERIES + 1).collect()
+    if len(rows) > BROADCAST_QUERIES or not rows:
+        near = F.slice(F.sort_array(F.array(*(F.struct(dot(F.col("vector"), F.array(*map(F.lit, c))).alias("s"), F.lit(k).alias("list")) for k, c in enumerate(centers.tolist()))), asc=False), 1, probes)
+        probed = queries.withColumn("p", F.explode(near)).select("query_id", F.col("vector").alias("q"), "p.list")
+        sim = assigned.join(small(probed), "list").withColumn("similarity", F.round(cosine(F.col(vector_col), F.col("q")), 6)).drop("q", vector_col)
+        return top(sim.where("similarity is not null"), F.col("similarity"), limit, ties=[id_col])
+    q = np.array([r["vector"] for r in rows], dtype=np.float64)
+    norm = np.linalg.norm(q, axis=1)
+    q, ids = q[norm > 0] / norm[norm > 0, None], [r["query_id"] for r, n in zip(rows, norm, strict=True) if n > 0]
+    lists = np.argsort(-(q @ centers.T), axis=1, kind="stable")[:, :probes]
+    shared = queries.sparkSession.sparkContext.broadcast((q, ids, lists))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, ids, lists = shared.value
+        asks = {k: np.flatnonzero((lists == k).any(axis=1)) for k in range(lists.max(initial=-1) + 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(v, axis=1)
+            of = np.where(norm > 0, np.asarray(batch.column(2)), -1)
+            for k, asked in asks.items():
+                own = np.flatnonzero(of == k)
+                unit = v[own] / norm[own, None]
+                for a in range(0, len(asked) if len(own) else 0, 512):
+                    some = asked[a : a + 512]
+                    sim = np.round(q[some] @ unit.T, 6)
+                    n = min(limit, sim.shape[1])
+                    who, which = np.nonzero(sim >= -np.partition(-sim, n - 1, axis=1)[:, n - 1 : n])  # ties stay
+                    yield pa.record_batch([pa.array([ids[i] for i in some[who]], batch_kind), batch.column(0).take(pa.array(own[which])), pa.array(sim[who, which])], names=["query_id", id_col, "similarity"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_kind = to_arrow_type(queries.schema["query_id"].dataType)
+    pool = assigned.where((F.size(vector_col) == q.shape[1]) & F.col("list").isNotNull()).select(id_col, vector_col, "list")
+    near = pool.mapInArrow(run, f"query_id {kind}, {id_col} {pool.schema[id_col].dataType.simpleString()}, similarity double")
+    return top(near, F.col("similarity"), limit, ties=[id_col])

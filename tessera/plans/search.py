@@ -23,6 +23,11 @@ def _vectors(s, d):
     return table(s, d, "embeddings")
 
 
+def _asking(s, d):
+    """Every vector whose identifier is divisible by 50, as a query."""
+    return _vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def _bm25(s, d, **o):
     return retrieval.bm25(V.queries(s, d), V.chunks(s, d, False), **o)
 
@@ -105,7 +110,7 @@ QUERIES = {
     "knn_threshold": lambda s, d: retrieval.knn(V.queries(s, d), _vectors(s, d), limit=50, threshold=0.2).select(*KNN),
     "knn_filtered": lambda s, d: retrieval.knn(V.queries(s, d), V.chunks(s, d).where("embedding is not null"), filters=FILTER, id_col="doc_id").select("query_id", "doc_id", "similarity", "rank"),
     "knn_batch": lambda s, d: retrieval.knn_batch(_vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), _vectors(s, d), limit=5),
-    "knn_ivf": lambda s, d: (lambda a: retrieval.knn_ivf(V.queries(s, d), a[0], a[1], probes=8))(retrieval.ivf_assign(_vectors(s, d))).select(*KNN),
+    "knn_ivf": lambda s, d: (lambda a: retrieval.knn_ivf(_asking(s, d), a[0], a[1], probes=12))(retrieval.ivf_assign(_vectors(s, d))).select(*KNN),
     "embedding_coverage": lambda s, d: A.coverage(V.chunks(s, d)),
     "embedding_dims": lambda s, d: A.dimensions(_vectors(s, d), 1024),
     "invalid_vectors": lambda s, d: _vectors(s, d).select("vec_id", retrieval.invalid_vector(F.col("embedding"), 64).alias("invalid")),

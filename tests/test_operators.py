@@ -300,6 +300,30 @@ def test_ivf_recall(spark, sf_dir):
     assert len(near & want) >= 0.85 * len(want)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_ivf_recall(spark, sf_dir, size):
+    from tessera.plans import search
+
+    at = f"{sf_dir}/../{size}"
+    v = spark.read.parquet(f"{at}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = {(r.query_id, r.vec_id) for r in search.QUERIES["knn_ivf"](spark, at).collect()}
+    want = {(r.query_id, r.vec_id) for r in retrieval.knn_batch(q, v).collect()}
+    assert {i for i, _ in near} == {r.query_id for r in q.collect()}
+    assert len(near & want) >= 0.9 * len(want)
+
+
+def test_ivf_reading_all_lists_is_exact(spark, sf_dir, monkeypatch):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    assigned, centers = retrieval.ivf_assign(v)
+    found = lambda probes: {(r.query_id, r.vec_id, r.rank) for r in retrieval.knn_ivf(q, assigned, centers, probes=probes).collect()}
+    assert found(16) == {(r.query_id, r.vec_id, r.rank) for r in retrieval.knn(q, v).collect()}
+    by_product = found(4)
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
+    assert found(4) == by_product
+
+
 def test_bm25_grows_with_frequency(spark):
     c = spark.createDataFrame([(1, 0, "cat dog bird fish"), (2, 0, "cat cat bird fish"), (3, 0, "party cart x y"), (4, 0, "")], "doc_id long, chunk_index int, chunk_text string")
     q = spark.createDataFrame([(1, "cat"), (2, "art"), (3, ""), (4, "zebra")], "query_id int, text string")
