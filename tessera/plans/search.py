@@ -43,7 +43,7 @@ def _near(s, d, n=100):
 
 def _ranked(s, d):
     """Neighbours with text and vector, as a reranker's input."""
-    own = V.chunks(s, d).select("doc_id", "chunk_index", F.substring("chunk_text", 1, 120).alias("snippet"), "name", "embedding")
+    own = V.chunks(s, d).select("doc_id", "chunk_index", F.col("chunk_text").alias("snippet"), "name", "embedding")
     return _near(s, d, 60).select("query_id", "doc_id", "chunk_index", F.col("similarity").alias("score"), "rank").join(own, ["doc_id", "chunk_index"])
 
 

@@ -324,6 +324,20 @@ def test_ivf_reading_all_lists_is_exact(spark, sf_dir, monkeypatch):
     assert found(4) == by_product
 
 
+def test_texts_of_one_opening_are_not_copies(spark, tmp_path):
+    from tessera.plans import extras, search
+
+    opening = "This line of a licence stands over many documents. " * 4
+    texts = {1: opening + "the one", 2: opening + "of the other", 3: opening + "the one", 4: "something else"}
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i == k) + 0.1 for k in range(5)]) for i in range(5)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for query in (extras.QUERIES["dedup_full"], search.QUERIES["rerank_pipeline"]):
+        got = {}
+        for r in query(spark, str(tmp_path)).collect():
+            got.setdefault(r.query_id, set()).add(r.doc_id)
+        assert got and all(len(g) == 3 and {2, 4} < g for g in got.values())
+
+
 def test_bm25_grows_with_frequency(spark):
     c = spark.createDataFrame([(1, 0, "cat dog bird fish"), (2, 0, "cat cat bird fish"), (3, 0, "party cart x y"), (4, 0, "")], "doc_id long, chunk_index int, chunk_text string")
     q = spark.createDataFrame([(1, "cat"), (2, "art"), (3, ""), (4, "zebra")], "query_id int, text string")
