@@ -1,19 +1,28 @@
 """Layout-aware HTML rendering to text.
 
-A tokenizer feeds a tree builder that supplies implied tags (``p``, ``li``, ``td``,
-``tr``, ``option``, ...); visibility rules remove subtrees that a browser does not show;
-the renderer keeps block spacing, list markers, preformatted text, and tables with
-aligned cells.  Only nesting depth is bounded (``MAX_DEPTH``): deeper elements
-become siblings, and their text stays.
-
-Defined cases: null or empty HTML gives the empty text; broken markup is read as text
-or closed at the end; text is never dropped other than by the visibility rules.
+A scanner feeds a tree builder that supplies implied tags (``p``, ``li``, ``td``,
+``tr``, ``option``, ...); visibility rules remove what a browser does not show (elements
+without a box, ``hidden``, closed ``dialog`` and ``details``, ``display`` and ``visibility``
+of style attributes and of the page's own simple style rules); the renderer keeps block
+spacing, list markers, preformatted text, and tables with aligned cells, whose
+``colspan`` and ``rowspan`` keep columns in place.
+
+Scanning, building and rendering take time in proportion to the page and no recursion, at
+any depth of nesting.  Only layout is bounded, never text: indentation stops at
+``INDENT`` characters, tables nested deeper than ``GRIDS`` are laid out as blocks, and
+padding is left out where it would outweigh a table's text.
+
+Defined cases: null or empty HTML gives the empty text; broken markup is read as text or
+closed at the end, but a tag that the page's end cuts off is no text, as in a browser;
+repeated rows are rendered alike; very long pages are rendered whole; an empty table gives
+no row; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of
 
-MAX_DEPTH = 200
+INDENT, GRIDS = 60, 6
 # fixed values of the HTML standard: element classes that a renderer has to know
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -34,66 +43,136 @@ APART = {"svg": frozenset(("text",)), "math": frozenset(("mtd",))}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # for each element: open elements that its start tag closes, and the elements that such closing stops at
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "option": ({"option"}, {"select", "datalist", "optgroup"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}),
-    "body": ({"head"}, {"html"}),
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "option": (("option",), ("select", "datalist", "optgroup")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    "body": (("head",), ("html",)),
 }
-SCOPE = frozenset("table td th caption html button object".split())
+SCOPE = ("table", "td", "th", "caption", "html", "button", "object")
+TABLE_PARTS = frozenset(("table", "tr", "tbody", "thead", "tfoot", "body", "html"))
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*(?:>|\Z)|/[^a-zA-Z][^>]*>)", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\s>]*+)))?)?+")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ISLAND = re.compile(r"<(?:svg|math)[\s/>]", re.I)
-_CLOSE_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_CLOSE_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 
 
-def tokens(source: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("start", tag, attributes), ("end", tag, "")."""
-    at, n, island = 0, len(source), 0
+def _tag_end(source: str, at: int, attrs: dict[str, str] | None) -> tuple[int, bool]:
+    """(place behind the tag's ``>``, whether it closes itself); -1 if the page ends inside of the tag."""
+    n, last = len(source), at
     while at < n:
-        found = _TAG.search(source, at)
-        if not found:
-            yield "text", source[at:], ""
-            return
-        if found.start() > at:
-            yield "text", source[at : found.start()], ""
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+        if source[at] == ">":
+            return at + 1, source[at - 1] == "/" and at > last
+        m = _ATTR.match(source, at)
+        if m[1] is None:
+            if m.end() == at:
+                return -1, False
+            at = m.end()
             continue
-        tag = tag.lower()
-        if tag in ISLANDS:
-            island = max(0, island - 1) if found[1] else island + (not found[3].endswith("/"))
-        if found[1]:
-            yield "end", tag, ""
+        if m[2] is not None and not m[3] or m[4] is not None and not m[5]:
+            return -1, False  # a quote that is never closed
+        if attrs is not None:
+            name = m[1].lower()
+            if name not in attrs:
+                value = m[2] if m[2] is not None else m[4] if m[4] is not None else m[6] or ""
+                attrs[name] = _html.unescape(value) if "&" in value else value
+        at = last = m.end()
+    return -1, False
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str] | None, bool]]:
+    """("text", text, None, False), ("start", tag, attributes, self-closing), ("end", tag, None, False)."""
+    at, held, n, island = 0, 0, len(source), 0
+    while True:
+        lt = source.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            break
+        mark = source[lt + 1]
+        if mark == "/":
+            name = _NAME.match(source, lt + 2)
+            if not name:
+                if lt + 2 >= n:
+                    break
+                stop = source.find(">", lt + 2)  # no tag: a comment in the standard
+                if lt > held:
+                    yield "text", source[held:lt], None, False
+                if stop < 0:
+                    return
+                held = at = stop + 1
+                continue
+        elif mark in "!?":
+            if lt > held:
+                yield "text", source[held:lt], None, False
+            if source.startswith("<!--", lt):
+                if source.startswith((">", "->"), lt + 4):
+                    stop = source.find(">", lt + 4) + 1
+                else:
+                    found = _COMMENT_END.search(source, lt + 4)
+                    stop = found.end() if found else 0
+            else:
+                stop = source.find(">", lt + 2) + 1
+            if not stop:
+                return
+            held = at = stop
+            continue
+        else:
+            name = _NAME.match(source, lt + 1)
+            if not name:
+                at = lt + 1
+                continue
+        if lt > held:
+            yield "text", source[held:lt], None, False
+        tag = name[0].lower()
+        end = name.end()
+        if mark == "/":
+            stop, _ = (end + 1, False) if source.startswith(">", end) else _tag_end(source, end, None)
+            if stop < 0:
+                return
+            held = at = stop
+            if tag in ISLANDS:
+                island = max(0, island - 1)
+            yield "end", tag, None, False
             continue
-        yield "start", tag, found[3]
-        if tag in RAW and not (island and found[3].endswith("/")):
+        if source.startswith(">", end):
+            attrs, stop, own = None, end + 1, False
+        else:
+            attrs = {}
+            stop, own = _tag_end(source, end, attrs)
+            if stop < 0:
+                return
+        held = at = stop
+        if tag in ISLANDS and not own:
+            island += 1
+        yield "start", tag, attrs or None, own
+        if tag in RAW and not (island and own):
             close = _CLOSE_RAW[tag].search(source, at)
-            end = close.start() if close else n
-            if end > at:
-                yield "text", source[at:end], ""
-            at = close.end() if close else n
-            yield "end", tag, ""
-
-
-def attributes(raw: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(raw):
-        out.setdefault(name.lower(), _html.unescape(a or b or c))
-    return out
+            stop = close.start() if close else n
+            if stop > at:
+                yield "text", source[at:stop], None, False
+            if not close:
+                return
+            held, _ = _tag_end(source, close.end(), None)
+            if held < 0:
+                return
+            at = held
+            yield "end", tag, None, False
+    if held < n:
+        yield "text", source[held:], None, False
 
 
 class Node:
@@ -103,70 +182,137 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
-def build(source: str) -> Node:
-    """The element tree; text children are strings with character references resolved."""
-    root = Node("#root")
-    stack = [root]
-    islands = _ISLAND.search(source)
+class Page(Node):
+    """The root of a page's tree, with its style elements and the depth of its deepest element."""
 
-    def close_implied(closes: set[str], stops: frozenset | set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in stops:
-                return
-            if stack[k].tag in closes:
-                inner = any(n.tag in closes for n in stack[1:k] if n.tag not in stops)
-                del stack[k:]
-                if not inner:
-                    return
-                close_implied(closes, stops)
-                return
+    __slots__ = ("styles", "depth")
+
+    def __init__(self):
+        super().__init__("#root")
+        self.styles, self.depth = [], 0
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag, so that no question walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
-    for kind, tag, raw in tokens(source):
+    def close(self, closes, stops) -> None:
+        while (k := self.last(closes)) > self.last(stops):
+            self.cut(k)
+
+
+def build(source: str) -> Page:
+    """The element tree; text children are strings with character references resolved."""
+    root = Page()
+    tree = _Open(root)
+    stack, islands = tree.stack, _ISLAND.search(source)
+    for kind, tag, attrs, own in tokens(source):
         if kind == "text":
-            stack[-1].kids.append(tag if stack[-1].tag in ("script", "style") else _html.unescape(tag))
+            stack[-1].kids.append(tag if "&" not in tag or stack[-1].tag in ("script", "style") else _html.unescape(tag))
         elif kind == "start":
             if tag in CLOSES_P:
-                close_implied({"p"}, SCOPE)
+                tree.close(("p",), SCOPE)
             if tag in IMPLIED:
-                close_implied(*IMPLIED[tag])
-            if tag[0] == "h" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
-            if tag in ("td", "th") and not any(n.tag == "tr" for n in stack[-4:]) and any(n.tag == "table" for n in stack):
+                tree.close(*IMPLIED[tag])
+            if tag in HEADINGS and stack[-1].tag in HEADINGS:
+                tree.cut(len(stack) - 1)
+            if tag in ("td", "th") and (table := tree.last(("table",))) and tree.last(("tr",)) < table:
                 row = Node("tr")
                 stack[-1].kids.append(row)
-                stack.append(row)
-            node = Node(tag, attributes(raw) if raw and "=" in raw or " " in raw else None)
-            island = next((n.tag for n in reversed(stack) if n.tag in ISLANDS), None) if islands else None
-            if island and (tag in UNPAINTED[island] or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")):
+                tree.push(row)
+            node = Node(tag, attrs)
+            island = stack[tree.last(ISLANDS)].tag if islands and tree.last(ISLANDS) else None
+            if island and (tag in UNPAINTED[island] or node.attrs.get("display") == "none"):
                 node.attrs["hidden"] = ""
+            if island and node.attrs.get("visibility") in ("hidden", "collapse"):
+                node.attrs.setdefault("style", "visibility:hidden")
             apart = [" "] if island and tag in APART[island] else []
             stack[-1].kids += [*apart, node, *apart]
-            if tag not in VOID and len(stack) < MAX_DEPTH and not ((island or tag in ISLANDS) and raw.endswith("/")):
-                stack.append(node)
-        else:
-            if tag == "br" or (tag == "p" and not any(n.tag == "p" for n in stack)):
-                stack[-1].kids.append(Node(tag))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if tag not in VOID and not ((island or tag in ISLANDS) and own):
+                tree.push(node)
+                root.depth = max(root.depth, len(stack))
+                if tag == "style":
+                    root.styles.append(node)
+        elif tag == "br" or (tag == "p" and not tree.last(("p",))):
+            stack[-1].kids.append(Node(tag))
+        elif at := tree.last((tag,)):
+            if at >= tree.last(("table", "td", "th")) or tag in TABLE_PARTS:
+                tree.cut(at)
     return root
 
 
-def visible(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in HIDDEN:
-        return False
-    if not a:
-        return True
-    if "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and _NO_DISPLAY.search(a["style"]))
+class Styles:
+    """Rules of a page's own style elements that show or hide: simple selectors, outside of at-rules."""
+
+    def __init__(self, sheets: list[Node]):
+        self.rules: dict[str, list[tuple]] = defaultdict(list)
+        for n, (selector, body) in enumerate(b for node in sheets for b in self._blocks("".join(k for k in node.kids if isinstance(k, str)))):
+            found = self.declared(body)
+            for one in selector.split(",") if found else ():
+                m = _SELECTOR.match(one.strip())
+                if m and (m[1] or m[2]):
+                    ids, classes = re.findall(r"#([\w-]+)", m[2]), re.findall(r"\.([\w-]+)", m[2])
+                    tag = m[1].lower() if m[1] and m[1] != "*" else ""
+                    key = "#" + ids[0] if ids else "." + classes[0] if classes else tag or "*"
+                    self.rules[key].append(((len(ids), len(classes), bool(tag)), n, tag, frozenset(ids), frozenset(classes), found))
+
+    @staticmethod
+    def _blocks(css: str) -> Iterator[tuple[str, str]]:
+        css, at = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S), 0
+        while (brace := css.find("{", at)) >= 0:
+            selector = css[at:brace].rsplit(";", 1)[-1].strip()
+            if selector.startswith("@"):  # its block may hold blocks
+                depth, at = 1, brace + 1
+                for m in re.compile(r"[{}]").finditer(css, at):
+                    depth += 1 if m[0] == "{" else -1
+                    at = m.end()
+                    if not depth:
+                        break
+                else:
+                    return
+                continue
+            stop = css.find("}", brace)
+            if stop < 0:
+                return
+            yield selector, css[brace + 1 : stop]
+            at = stop + 1
+
+    @staticmethod
+    def declared(body: str) -> dict[str, tuple[str, bool]]:
+        out: dict[str, tuple[str, bool]] = {}
+        for name, value, strong in _DECLARED.findall(body):
+            if not (name.lower() in out and out[name.lower()][1] and not strong):
+                out[name.lower()] = (value.lower(), bool(strong))
+        return out
+
+    def of(self, node: Node) -> dict[str, str]:
+        """Declared ``display`` and ``visibility`` of an element, by importance, specificity and order."""
+        a, won = node.attrs, {}
+        if self.rules:
+            classes = frozenset(a["class"].split()) if "class" in a else frozenset()
+            keys = [node.tag, "*", *("." + c for c in classes), *(["#" + a["id"]] if "id" in a else [])]
+            for weight, n, tag, ids, need, found in (r for k in keys for r in self.rules.get(k, ())):
+                if (not tag or tag == node.tag) and need <= classes and (not ids or ids == {a.get("id")}):
+                    for name, (value, strong) in found.items():
+                        won[name] = max(won.get(name, ((),)), ((strong, False, weight, n), value))
+        if "style" in a:
+            for name, (value, strong) in self.declared(a["style"]).items():
+                won[name] = max(won.get(name, ((),)), ((strong, True, (0, 0, 0), 0), value))
+        return {k: v[1] for k, v in won.items()}
 
 
 class _Lines:
@@ -201,181 +347,249 @@ class _Lines:
         self.end_line()
         self.blank = True
 
-
-def _render(node: Node, out: _Lines, pre: bool = False) -> None:
-    for kid in node.kids:
-        if isinstance(kid, str):
-            if pre:
-                first, *rest = kid.split("\n")
-                out.cur.append(first)
-                for line in rest:
-                    _pre_line(out)
-                    out.cur.append(line)
-            else:
-                out.text(kid)
-            continue
-        tag = kid.tag
-        if not visible(kid):
-            continue
+    def pre_line(self, last: bool = False) -> None:
+        line = "".join(self.cur).rstrip(" \t\r")
+        self.cur = []
+        if not (last and not line):
+            self.put(self.prefix + line)
+
+
+class Renderer:
+    """Writes a tree to lines.  Its methods are generators that yield the work below them; :func:`_run` drives them."""
+
+    def __init__(self, page: Page):
+        self.styles = Styles(page.styles)
+
+    def shown(self, node: Node, seen: bool) -> tuple[bool, bool]:
+        """(has a box, its text is visible)."""
+        a = node.attrs
+        if node.tag in HIDDEN:
+            return False, False
+        if not a and not self.styles.rules:
+            return node.tag != "dialog", seen
+        if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
+            return False, False
+        css = self.styles.of(node)
+        if css.get("display", "none" if "hidden" in a else "") == "none":
+            return False, False
+        visibility = css.get("visibility")
+        return True, seen if visibility in (None, "inherit") else visibility not in ("hidden", "collapse")
+
+    def children(self, kids: list, out: _Lines, pre: bool, seen: bool, grids: int):
+        for kid in kids:
+            if isinstance(kid, str):
+                if not seen:
+                    continue
+                if pre:
+                    first, *rest = kid.split("\n")
+                    out.cur.append(first)
+                    for line in rest:
+                        out.pre_line()
+                        out.cur.append(line)
+                else:
+                    out.text(kid)
+                continue
+            box, visible = self.shown(kid, seen)
+            if box:
+                if kid.kids or kid.tag in BLOCK:
+                    yield self.element(kid, out, pre, visible, grids)
+                else:
+                    self.leaf(kid, out, pre, visible)
+
+    def leaf(self, node: Node, out: _Lines, pre: bool, seen: bool) -> None:
+        tag, a = node.tag, node.attrs
         if tag == "br":
             if pre:
-                _pre_line(out)
+                out.pre_line()
             elif out.cur:
                 out.end_line()
             else:
                 out.blank = True
-        elif tag == "wbr":
-            continue
-        elif tag == "img":
-            if kid.attrs.get("alt"):
-                out.text(kid.attrs["alt"])
-        elif tag == "input":
-            if kid.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and kid.attrs.get("value"):
-                out.text(kid.attrs["value"])
-        elif tag == "table":
+        elif tag == "img" and seen and a.get("alt"):
+            out.text(a["alt"])
+        elif tag == "input" and seen and a.get("value") and a.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+            out.text(a["value"])
+        elif tag in ("td", "th"):
+            out.text(" ")
+
+    def element(self, node: Node, out: _Lines, pre: bool, seen: bool, grids: int):
+        tag, kids = node.tag, node.kids
+        if tag == "details" and "open" not in node.attrs:
+            kids = [k for k in kids if not isinstance(k, str) and k.tag == "summary"][:1]
+        if tag == "table" and grids < GRIDS:
             out.margin()
-            for line in table_lines(kid):
+            lines: list[str] = []
+            yield self.table(node, lines, seen, grids + 1)
+            for line in lines:
                 out.put(out.prefix + line)
             out.margin()
         elif tag in ("ul", "ol", "menu", "dir"):
-            _list(kid, out)
-        elif tag == "pre" or tag == "textarea" or tag == "xmp":
+            yield self.list(node, out, seen, grids)
+        elif tag in ("pre", "textarea", "xmp"):
             out.margin()
-            _render(kid, out, True)
-            _pre_line(out, last=True)
+            yield self.children(kids, out, True, seen, grids)
+            out.pre_line(last=True)
             out.margin()
-        elif tag in BLOCK:
-            out.margin() if tag in SPACED else out.end_line()
+        elif tag in BLOCK or tag == "tr":
+            end = out.margin if tag in SPACED else out.end_line
+            end()
+            keep = out.prefix
+            if tag in ("dd", "blockquote") and len(keep) < INDENT:
+                out.prefix += "    "
+            yield self.children(kids, out, pre, seen, grids)
+            end()
             if tag in ("dd", "blockquote"):
-                keep, out.prefix = out.prefix, out.prefix + "    "
-                _render(kid, out, pre)
-                out.end_line()
                 out.prefix = keep
-            else:
-                _render(kid, out, pre)
-            out.margin() if tag in SPACED else out.end_line()
-        elif tag in ("td", "th"):
-            _render(kid, out, pre)
-            out.text(" ")
         else:
-            _render(kid, out, pre)
-
-
-def _pre_line(out: _Lines, last: bool = False) -> None:
-    line = "".join(out.cur).rstrip(" \t\r")
-    out.cur = []
-    if not (last and not line):
-        out.put(out.prefix + line)
-
-
-def _list(node: Node, out: _Lines) -> None:
-    nested = bool(out.prefix.strip()) or out.prefix.startswith("  ")
-    out.end_line() if nested else out.margin()
-    try:
-        number = int(node.attrs.get("start", "1"))
-    except ValueError:
-        number = 1
-    keep = out.prefix
-    for kid in node.kids:
-        if isinstance(kid, str):
-            if kid.strip():
-                out.text(kid)
-            continue
-        if not visible(kid):
-            continue
-        if kid.tag == "li":
-            out.end_line()
-            marker = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            out.prefix = keep.replace("-", " ") + marker
-            before = len(out.lines)
-            _render(kid, out)
-            out.end_line()
-            if len(out.lines) == before:
-                out.put(out.prefix.rstrip())
-            out.blank = False
-            out.prefix = keep
-        else:
-            holder = Node("div")
-            holder.kids = [kid]
-            _render(holder, out)
-            out.end_line()
-    out.prefix = keep
-    out.end_line() if nested else out.margin()
-
-
-def table_lines(table: Node) -> list[str]:
-    """Rows with cells padded to common column widths; ``colspan`` keeps later columns in place."""
-    rows: list[list[tuple[str, int]]] = []
-    head: list[str] = []
-
-    def walk(node: Node) -> None:
+            yield self.children(kids, out, pre, seen, grids)
+            if tag in ("td", "th"):
+                out.text(" ")
+
+    def list(self, node: Node, out: _Lines, seen: bool, grids: int):
+        nested = bool(out.prefix.strip()) or out.prefix.startswith("  ")
+        end = out.end_line if nested else out.margin
+        end()
+        try:
+            number = int(node.attrs.get("start", "1")[:12])
+        except ValueError:
+            number = 1
+        keep = out.prefix
         for kid in node.kids:
             if isinstance(kid, str):
-                if kid.strip():
-                    head.append(_SPACE.sub(" ", kid).strip())
+                if seen and kid.strip():
+                    out.text(kid)
                 continue
-            if not visible(kid):
+            box, visible = self.shown(kid, seen)
+            if not box:
                 continue
-            if kid.tag == "tr":
+            if kid.tag == "li":
+                out.end_line()
+                marker = f"{number}. " if node.tag == "ol" else "- "
+                number += 1
+                out.prefix = (keep.replace("-", " ") if len(keep) < INDENT else " " * INDENT) + marker
+                before = len(out.lines)
+                yield self.children(kid.kids, out, False, visible, grids)
+                out.end_line()
+                if len(out.lines) == before:
+                    out.put(out.prefix.rstrip())
+                out.blank = False
+                out.prefix = keep
+            else:
+                yield self.children([kid], out, False, seen, grids)
+                out.end_line()
+        out.prefix = keep
+        end()
+
+    def table(self, table: Node, lines: list[str], seen: bool, grids: int):
+        """Rows with cells padded to common column widths; spans keep later columns and rows in place."""
+        rows: list[list[tuple[str, int, int]]] = []
+        todo = [(iter(table.kids), seen)]
+        while todo:
+            kid = next(todo[-1][0], None)
+            if kid is None:
+                todo.pop()
+                continue
+            seen = todo[-1][1]
+            if isinstance(kid, str):
+                if seen and kid.strip():
+                    lines.append(_SPACE.sub(" ", kid).strip())
+                continue
+            box, visible = self.shown(kid, seen)
+            if not box:
+                continue
+            if kid.tag in ("tbody", "thead", "tfoot"):
+                todo.append((iter(kid.kids), visible))
+            elif kid.tag == "tr":
                 cells = []
                 for cell in kid.kids:
                     if isinstance(cell, str):
-                        if cell.strip():
-                            cells.append((_SPACE.sub(" ", cell).strip(), 1))
+                        if visible and cell.strip():
+                            cells.append((_SPACE.sub(" ", cell).strip(), 1, 1))
                         continue
-                    if not visible(cell):
+                    box, plain = self.shown(cell, visible)
+                    if not box:
                         continue
-                    span = cell.attrs.get("colspan", "1")
                     inner = _Lines()
-                    holder = Node("div")
-                    holder.kids = cell.kids if cell.tag in ("td", "th") else [cell]
-                    _render(holder, inner)
+                    if cell.tag in ("td", "th"):
+                        yield self.children(cell.kids, inner, False, plain, grids)
+                    else:
+                        yield self.children([cell], inner, False, visible, grids)
                     inner.end_line()
-                    cells.append((" ".join(x.strip() for x in inner.lines if x.strip()), min(int(span), 1000) if span.isdigit() and int(span) else 1))
+                    cells.append((" ".join(x for x in map(str.strip, inner.lines) if x), _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)))
                 rows.append(cells)
-            elif kid.tag in ("tbody", "thead", "tfoot"):
-                walk(kid)
             else:
                 inner = _Lines()
-                holder = Node("div")
-                holder.kids = [kid]
-                _render(holder, inner)
+                yield self.children([kid], inner, False, seen, grids)
                 inner.end_line()
-                head.extend(x for x in inner.lines if x)
-
-    walk(table)
-    widths: dict[int, int] = {}
-    for cells in rows:
-        at = 0
-        for text, span in cells:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    out = list(head)
-    for cells in rows:
-        at, line = 0, []
-        for text, span in cells:
-            line.append(text.ljust(sum(widths.get(c, 0) for c in range(at, at + min(span, len(widths)))) + 3 * (min(span, max(1, len(widths))) - 1)))
-            at += span
-        joined = " | ".join(line).rstrip()
+                lines.extend(x for x in inner.lines if x)
+        lines.extend(grid(rows))
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "1").strip()
+    return min(int(value[:6]), most) if value.isascii() and value.isdigit() and int(value[:6]) else 1
+
+
+def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of (text, columns, rows) cells; a cell that spans rows leaves its place blank in those below."""
+    placed, down, widths = [], {}, defaultdict(int)  # down: column -> (end column, row that is free again)
+    blanks = 16 * sum(map(len, rows)) + 10_000  # places left blank; a table with more is not kept in place below
+    for r, cells in enumerate(rows):
+        line, at = [], 0
+        for text, cols, deep in cells:
+            while blanks and at in down and down[at][1] > r:
+                blanks -= 1
+                line.append(("", at, down[at][0]))
+                at = down[at][0]
+            line.append((text, at, at + cols))
+            if cols == 1:
+                widths[at] = max(widths[at], len(text))
+            if deep > 1:
+                down[at] = (at + cols, r + deep)
+            at += cols
+        placed.append(line)
+    upto = [0]
+    for c in range(min(max(widths, default=-1) + 1, 4096)):
+        upto.append(upto[-1] + widths.get(c, 0) + 3)
+    width = lambda a, b: max(0, upto[min(b, len(upto) - 1)] - upto[min(a, len(upto) - 1)] - 3)
+    text = sum(len(t) + 3 for line in placed for t, _, _ in line)
+    aligned = sum(width(a, b) for line in placed for _, a, b in line) <= 16 * text + 10_000
+    out = []
+    for line in placed:
+        joined = " | ".join(t.ljust(width(a, b)) if aligned else t for t, a, b in line).rstrip()
         if joined.strip(" |"):
             out.append(joined)
     return out
 
 
+def _run(work) -> None:
+    stack = [work]
+    while stack:
+        below = next(stack[-1], None)
+        if below is None:
+            stack.pop()
+        else:
+            stack.append(below)
+
+
 def render(source: str | None) -> str:
     if not source:
         return ""
-    out = _Lines()
-    _render(build(source), out)
+    out, root = _Lines(), build(source)
+    _run(Renderer(root).children([root], out, False, True, 0))
     out.end_line()
+    if root.depth > 500:
+        _unlink(root)
     return "\n".join(line.rstrip() for line in out.lines)
 
 
-def title_of(source: str | None) -> str | None:
-    found = re.search(r"<title[^>]*>(.*?)</title", source or "", re.S | re.I)
-    return _SPACE.sub(" ", _html.unescape(found[1])).strip() if found else None
+def _unlink(root: Node) -> None:
+    """Take a tree apart, so that a very deep one is not freed by recursion."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        todo.extend(k for k in node.kids if not isinstance(k, str))
+        node.kids = []
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -387,4 +601,4 @@ def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -
             texts = [render(s) for s in sources[k : k + 256]]
             yield {"page_id": ids[k : k + 256], "text": texts, "n_lines": [t.count("\n") + 1 if t else 0 for t in texts]}
 
-    return arrow_map(df.select(F.col(id_col).cast("long"), html_col), run, "page_id long, text string, n_lines int")
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")), run, "page_id long, text string, n_lines int")
