@@ -6,9 +6,18 @@ and one ``conversion`` record (plain text).  Both name their source in
 own blocks, and the metadata record keeps the source's headers and digests verbatim.
 Record identifiers are name-based UUIDs of source and kind, so a rerun gives the same ones.
 
+The payload is decoded before it becomes text: transfer codings (``chunked``) and content
+codings (``gzip``, ``deflate``) are undone in the reverse of their order, and only textual
+media types are converted.
+
 Defined cases: a null body is an empty one (its conversion record is empty); a null URL
-leaves out ``WARC-Target-URI``; a record that is no HTTP response or has a wrong length or
-digest gives only a metadata record whose ``error`` says so; equal pages give equal records.
+leaves out ``WARC-Target-URI``; control characters in a URL are percent-encoded, so that no
+URL can end a header; a record that is no HTTP response, has a wrong length, digest, or a
+coding that is unknown or damaged, or holds no text, gives only a metadata record whose
+``error`` says so; equal pages give equal records, and two bodies of one page differ in
+their identifiers; very long texts are converted whole, in time proportional to their
+length; an empty table gives no record; only the named columns are read, so others
+(even one called ``record``) cannot clash.
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ import html as _html
 import json
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,18 +39,68 @@ from .common import arrow_map
 CRLF = b"\r\n"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tessera:warc")
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>", re.I)
-_CELL = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
-_MARKUP = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*>")
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*+>", re.I)
+_CELL = re.compile(r"</?(?:td|th)\b[^>]*+>", re.I)
+_MARKUP = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*+>")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_CHARSET = re.compile(rb"charset=[\"']?([\w.:-]+)", re.I)
+_CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
+_TEXTUAL = re.compile(r"text/|application/(?:[\w.-]+\+)?(?:xml|json|xhtml)|application/(?:xhtml\+xml|javascript|ecmascript)", re.I)
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def uri(url: str) -> str:
+    """The URL as a header value: blanks and control characters are percent-encoded."""
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def _inflate(data: bytes, kind: str) -> bytes:
+    """A gzip (of one or more members), zlib or raw deflate stream; a damaged or cut one raises ValueError."""
+    out = []
+    try:
+        while data:
+            d = zlib.decompressobj(31 if kind == "gzip" else 15 if data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0 else -15)
+            out.append(d.decompress(data) + d.flush())
+            if not d.eof:
+                raise ValueError(f"{kind} body is cut off")
+            data = d.unused_data if kind == "gzip" else b""
+    except zlib.error as e:
+        raise ValueError(f"{kind} body is damaged") from e
+    return b"".join(out)
+
+
+def _unchunk(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = data.find(CRLF, at)
+        size = data[at:end].split(b";", 1)[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise ValueError("chunked body is damaged")
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if len(data) < at + n + 2 or data[at + n : at + n + 2] != CRLF:
+            raise ValueError("chunked body is damaged")
+        out.append(data[at : at + n])
+        at += n + 2
+
+
+def decoded(payload: bytes, codings: list[str]) -> bytes:
+    """The payload without its codings, the last applied first."""
+    for coding in reversed(codings):
+        if coding == "chunked":
+            payload = _unchunk(payload)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            payload = _inflate(payload, coding.removeprefix("x-"))
+        elif coding != "identity":
+            raise ValueError(f"unknown coding {coding}")
+    return payload
+
+
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     lines = [("WARC-Type", kind), *headers, ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + CRLF + block + CRLF + CRLF
@@ -50,8 +110,8 @@ def response(url: str | None, body: str | None, name: str, date: str) -> bytes:
     """A response record as a crawler would have stored it."""
     payload = (body or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'response {name} {url}')}>"
-    head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", url)] if url else []), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload))]
+    rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'response {name} {url} {digest(payload)}')}>"
+    head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", uri(url))] if url else []), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload))]
     return record("response", head, http + payload)
 
 
@@ -82,7 +142,9 @@ def plain_text(source: str) -> str:
     """Text without markup: hidden elements go, block borders become line breaks, references are resolved."""
     text = _HIDDEN.sub(" ", source)
     text = _BLANKS.sub(" ", text.replace("\n", " "))
-    text = _MARKUP.sub("", _CELL.sub("\t", _BREAK.sub("\n", text)))
+    ends = text.rfind(">") + 1  # no tag ends behind it, so each search below ends at the next one
+    text, rest = text[:ends], text[ends:]
+    text = _MARKUP.sub("", _CELL.sub("\t", _BREAK.sub("\n", text))) + rest
     return _LINES.sub("\n", _BLANKS.sub(" ", _html.unescape(text))).strip()
 
 
@@ -102,23 +164,30 @@ def derive(raw: bytes) -> list[dict]:
         if look.get("warc-payload-digest", digest(payload)) != digest(payload):
             raise ValueError("payload digest differs")
         http = [("status", head.partition(CRLF)[0].decode("latin-1")), *_fields(head.partition(CRLF)[2])]
-        if found := _CHARSET.search(head):
-            charset = found[1].decode()
-        text = payload.decode(charset, "replace")
+        said: dict[str, str] = {}
+        for k, v in http[1:]:
+            said[k.lower()] = f"{said[k.lower()]},{v}" if k.lower() in said else v
+        mime = said.get("content-type", "text/html")
+        if not _TEXTUAL.match(mime.strip()):
+            raise ValueError(f"no text: {mime}")
+        codings = [c.strip().lower() for name in ("content-encoding", "transfer-encoding") for c in said.get(name, "").split(",") if c.strip()]
+        if found := _CHARSET.search(mime):
+            charset = found[1]
+        text = decoded(payload, codings).decode(charset, "replace")
     except (ValueError, LookupError) as e:
         error, text = str(e), ""
     look = {k.lower(): v for k, v in fields}
-    source, uri, date = look.get("warc-record-id", ""), look.get("warc-target-uri"), look.get("warc-date", "")
+    source, target, date = look.get("warc-record-id", ""), look.get("warc-target-uri"), look.get("warc-date", "")
     out = []
     for kind in ("metadata",) if error else ("metadata", "conversion"):
         if kind == "metadata":
             lines = [("source-" + k.lower(), v) for k, v in fields] + [("http-" + k.lower(), v) for k, v in http] + ([("error", error)] if error else [])
-            block, mime = "".join(f"{k}: {v}\r\n" for k, v in lines).encode(), "application/warc-fields"
+            block, kept = "".join(f"{k}: {v}\r\n" for k, v in lines).encode(), "application/warc-fields"
         else:
-            block, mime = plain_text(text).encode(), "text/plain; charset=utf-8"
+            block, kept = plain_text(text).encode(), "text/plain; charset=utf-8"
         rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {source}')}>"
-        head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", uri), ("WARC-Refers-To-Target-URI", uri)] if uri else []), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", date), ("Content-Type", mime)]
-        out.append({"record_type": kind, "record_id": rid, "refers_to": source or None, "target_uri": uri, "warc_date": date or None, "content_type": mime, "content_length": len(block), "block_digest": digest(block), "source_block_digest": look.get("warc-block-digest"), "source_payload_digest": look.get("warc-payload-digest"), "source_headers": json.dumps(fields, ensure_ascii=False), "error": error, "record": record(kind, head, block)})
+        head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", target), ("WARC-Refers-To-Target-URI", target)] if target else []), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", date), ("Content-Type", kept)]
+        out.append({"record_type": kind, "record_id": rid, "refers_to": source or None, "target_uri": target, "warc_date": date or None, "content_type": kept, "content_length": len(block), "block_digest": digest(block), "source_block_digest": look.get("warc-block-digest"), "source_payload_digest": look.get("warc-payload-digest"), "source_headers": json.dumps(fields, ensure_ascii=False), "error": error, "record": record(kind, head, block)})
     return out
 
 
@@ -133,7 +202,7 @@ def pages_to_responses(df: DataFrame, *, id_col: str = "page_id", url_col: str =
             part = range(k, min(k + 256, len(ids)))
             yield {"page_id": ids[k : k + 256], "record": [response(urls[i], bodies[i], str(ids[i]), date) for i in part]}
 
-    return arrow_map(df.select(F.col(id_col).cast("long"), url_col, html_col), run, "page_id long, record binary")
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), run, "page_id long, record binary")
 
 
 def build_derivatives(responses: DataFrame) -> DataFrame:
