@@ -6,9 +6,11 @@ by stochastic gradient descent in numpy.  Since the model is linear after averag
 folds both into one table of logits per bucket.  Temperature scaling and a rejection
 threshold are fitted on training documents that the gradient never saw.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
-very long texts are averaged over all their n-grams, in slices; ties go to the
-alphabetically first language; without labelled rows every text is ``und``.
+Defined cases: a null text or one without a letter (``str.isalpha``; number characters such
+as a half are none) is ``und`` with score 0 and rejected; very long texts are averaged over
+all their n-grams, in slices; ties go to the alphabetically first language; repeated rows
+get equal results, each its own row; without labelled rows every text is ``und``; an empty
+table gives no row; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _ORDERS = (1, 2, 3, 4)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def ngram_buckets(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: bucket of every n-gram of all texts, and the text it belongs to, in text order.
 
@@ -90,7 +96,7 @@ class LanguageModel:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         p = self.scores([t or "" for t in texts])
         best = p.argmax(axis=1)
-        letters = np.array([bool(t and _LETTER.search(t)) for t in texts], dtype=bool)
+        letters = np.array([has_letter(t) for t in texts], dtype=bool)
         score = np.where(letters, p[np.arange(len(p)), best], 0.0)
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score, ~letters | (score < self.threshold)
 
