@@ -4,13 +4,17 @@
    pieces, of which only the first may be shorter.  Only lengths travel from here on.
 2. Pieces are dealt to buckets of a bounded expected size, packed best-fit decreasing,
    and each bucket's bin count is compared with the largest of its lower bounds by
-   dual-feasible functions.  Without a gap the bucket is certified and closed.
+   dual-feasible functions.  Without a gap the bucket is certified and closed.  The deal
+   counts a row's place in its batch, so repeated rows and rows without an identifier
+   spread over all buckets.
 3. Buckets with a gap close their full bins and release the rest; released pieces of
    ``fan_in`` neighbouring buckets meet and are packed again.  A repacking counts only
-   if it needs fewer bins.
+   if it needs fewer bins.  A single bucket has no one to exchange with, so it closes.
 
 Defined cases: null text is the empty text (one piece holding the end id); equal rows are
-packed as many times as they occur; an empty table yields no piece.
+packed as many times as they occur; very long texts are cut into pieces; pieces of equal
+length are ordered by identifier, piece and place; an empty table yields no piece; only the
+named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -28,25 +32,31 @@ from .common import Scratch, arrow_map, texts_of
 from .tokens import END_ID, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", bucket long, bin long, fill long, offset long, closed boolean, bins long, bound long"
+DEALT = PIECES + ", deal long"
+PACKED = DEALT + ", bucket long, bin long, fill long, offset long, closed boolean, bins long, bound long"
 
 
 def cut(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = END_ID) -> DataFrame:
+    """The pieces of all documents."""
+    return _cut(df, tokenizer, id_col, text_col, capacity, end_id).drop("deal")
+
+
+def _cut(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int = END_ID) -> DataFrame:
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batch: pa.RecordBatch) -> dict:
         enc, out = encoder(tokenizer), []
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+        for place, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)):
             ids = enc.encode(text) + tail
             n = len(ids) // 4
             end = (n - 1) % capacity + 1
             start, piece = 0, 0
             while start < n:
-                out.append((doc_id, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                out.append((doc_id, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end]), place))
                 start, end, piece = end, end + capacity, piece + 1
-        return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*out, strict=True), strict=True))
+        return dict(zip((c.split()[0] for c in DEALT.split(", ")), zip(*out, strict=True), strict=True))
 
-    return arrow_map(df.select(F.col(id_col).cast("long"), text_col), pieces, PIECES)
+    return arrow_map(df.select(F.col(id_col).cast("long"), text_col), pieces, DEALT)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -96,7 +106,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def _pack(pdf: pd.DataFrame, capacity: int, last: bool, repack: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
+    pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32", "deal"], ascending=[False, True, True, True, True, True], ignore_index=True)
     lengths = pdf["length"].to_numpy()
     bins, offsets, n = best_fit_decreasing(lengths, capacity)
     if repack:
@@ -105,7 +115,7 @@ def _pack(pdf: pd.DataFrame, capacity: int, last: bool, repack: bool) -> pd.Data
             bins, offsets, n = old, pdf["offset"].to_numpy(), before
     bound = lower_bound(lengths, capacity)
     fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)[bins]
-    return pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(bucket=pdf["bucket"], bin=bins, fill=fill, offset=offsets, closed=(fill == capacity) | (n <= bound) | last, bins=n, bound=bound)[[c.split()[0] for c in PACKED.split(", ")]]
+    return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "deal"]].assign(bucket=pdf["bucket"], bin=bins, fill=fill, offset=offsets, closed=(fill == capacity) | (n <= bound) | last, bins=n, bound=bound)[[c.split()[0] for c in PACKED.split(", ")]]
 
 
 def _packer(capacity: int, last: bool, repack: bool):
@@ -119,13 +129,16 @@ def pack(pieces: DataFrame, scratch: Scratch, *, capacity: int = 1024, bucket_pi
     """Place pieces; each of the ``exchanges + 1`` rounds is one shuffle of lengths."""
     n = pieces.count()
     buckets = max(1, -(-n // bucket_pieces))
-    todo = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    todo = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(buckets)))
     done = []
     for r in range(exchanges + 1):
-        last = r == exchanges
+        last = r == exchanges or buckets == 1
         packed = scratch.put(todo.groupBy("bucket").applyInPandas(_packer(capacity, last, r > 0), PACKED), f"round{r}")
         done.append(packed.where("closed").withColumn("sequence_id", F.lit(r << 58).cast("long") + F.col("bucket") * (1 << 26) + F.col("bin")))
+        if last:
+            break
         todo = packed.where("not closed").withColumn("old_bucket", F.col("bucket")).withColumn("bucket", F.floor(F.col("bucket") / fan_in))
+        buckets = -(-buckets // fan_in)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -134,5 +147,7 @@ def pack(pieces: DataFrame, scratch: Scratch, *, capacity: int = 1024, bucket_pi
 
 def pack_documents(df: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     scratch = Scratch(df.sparkSession, "packing")
-    pieces = scratch.put(cut(df, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity), "pieces")
-    return pack(pieces, scratch, capacity=capacity, **options)
+    pieces = scratch.put(_cut(df, tokenizer, id_col, text_col, capacity), "pieces")
+    out = pack(pieces, scratch, capacity=capacity, **options)
+    scratch.drop("pieces")
+    return out
