@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where none is set, a session in one process (tests) gets a temporary one; on a cluster that is an error, since
+    executors do not see the driver's disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -31,12 +38,16 @@ class Scratch:
     """Tables written to the shared folder, so that lineage is cut and executors can be lost.
 
     A table that a returned DataFrame still reads has to stay; others are removed
-    with :meth:`drop` as soon as they have been used.
+    with :meth:`drop` as soon as they have been used.  Who has written out a DataFrame for
+    good removes all that was made for it with :meth:`drop_since`.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,10 +57,24 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        sc = self.spark.sparkContext
         for name in names:
-            at = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.path(name))
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls.made)
+
+    @classmethod
+    def drop_since(cls, mark: int) -> None:
+        """Remove all folders made since ``mark``; nothing may read them any more."""
+        for one in cls.made[mark:]:
+            one._delete(one.root)
+        del cls.made[mark:]
 
 
 def held_out(doc_id: Column) -> Column:
