@@ -1,30 +1,42 @@
-"""Exact Jaccard join on word shingles by vertical partitioning, and its link classes.
+"""Jaccard join on word shingles by vertical partitioning, and its link classes.
 
-The order of all shingle hashes is cut into fragments.  Documents travel as sorted segments
-of fragments, never as single shingles: a map task packs its documents' shingles of one
-fragment into one block.
+All shingles have one global order, by the number of sets that hold them and then by hash.
+Documents travel as sorted segments of it, never as single shingles: a map task packs its
+documents' shingles of one hash range into one block.
 
 1. ``fingerprints``: equal shingle sets form a class whose smallest document stands for all.
-2. ``segments``: each fragment counts in how many sets its shingles occur and keeps those that
-   occur twice or more; only they can add to an overlap.  A shingle that a map task sees in a
-   large share of its documents is *hot*: its documents are written out there, the fragment
-   gets one mark for it, and it comes last in the order of frequency.
-3. ``prefixes``: with rare shingles first, two linked sets share a shingle among their first
-   ``m - ceil(t m) + 1``, where sizes and positions already rule out most pairs.
-4. Each shingle's sets are compared with a few pivots among them, and linked.  While sets of
+2. ``segments``: each hash range counts in how many sets its shingles occur and keeps those
+   that occur twice or more; only they can add to an overlap.  A shingle that a map task sees
+   in a large share of its documents is *hot*: its documents are written out there, the range
+   gets one mark for it, and it comes last in the order.
+3. ``entries``: the global order is cut at the frequencies ``CUTS`` into vertical fragments,
+   and each document into one segment for every fragment.
+4. ``prefixes``: with rare shingles first, two linked sets share a shingle among their first
+   ``m - ceil(t m) + 1``; sizes, positions and the sizes of the segments in each fragment
+   (what two segments share is no more than the smaller one) rule out most pairs.
+5. Each shingle's sets are compared with a few pivots among them, and linked.  While sets of
    different classes still share many shingles, and pivots still link them, further rounds take
-   new pivots; a last round takes all pairs of different classes that are left.  So nothing is lost, and large groups of
-   near copies, which are one class by then, cost no quadratic number of pairs.
-5. ``overlaps``: common shingles are counted separately in each vertical part and summed per
-   pair; the threshold is tested in whole numbers.
+   new pivots; at last all pairs of different classes that are left are taken, in blocks of a
+   counted size.  So nothing is lost, and large groups of near copies, which are one class by
+   then, cost no quadratic number of pairs.  The sets of a frequent shingle are dealt over
+   several tasks (``salt``).
+6. ``overlaps``: each candidate pair meets its segments fragment by fragment; the partial
+   overlap of each fragment is counted by itself, and the counts are summed per pair.  The
+   threshold is tested in whole numbers.
+
+Shingles are known by 56-bit hashes and sets by 128-bit fingerprints of them; counts and
+links are exact but for collisions of those.
 
 Defined cases: a text without words (or null) has an empty set, links with nothing and is its
 own class; a text of fewer than ``n`` words is one shingle; rows that repeat an identifier are
-each returned, and count as one document; ties need no order, as counts are exact.
+each returned, and count as one document; a row without an identifier is returned with its
+size and no class; very long texts are read whole; ties need no order, as counts are exact;
+an empty table gives no row; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +49,8 @@ from .common import Scratch, arrow_map, mix64, slices, texts_of, trim, worker_ca
 
 BITS = 56
 LAST = 2**31 - 1  # the frequency of hot shingles
-VERTICAL = 4
+CUTS = (2, 4, 16)  # frequencies at which the global order is cut; each ends a fragment
+VERTICAL = len(CUTS) + 1
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -182,7 +195,7 @@ def segments(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def entries(grouped: DataFrame, percent: int) -> DataFrame:
-    """Each document's shared shingles: their number, the rarest ones that a prefix can reach, and all by vertical part."""
+    """Each document's shared shingles: their number, the rarest ones that a prefix can reach, and its segment of each fragment."""
     pair = pa.struct([("df", pa.int32()), ("s", pa.int64())])
     schema = pa.schema([("doc", pa.int64()), ("listed", pa.int32()), ("head", pa.list_(pair)), ("parts", pa.list_(pa.list_(pa.int64())))])
 
@@ -196,24 +209,27 @@ def entries(grouped: DataFrame, percent: int) -> DataFrame:
         near = np.arange(len(own)) - np.repeat(begin, listed) < np.repeat(-(-(100 - percent) * listed // 100) + 1, listed)
         heads = pa.StructArray.from_arrays([pa.array(df[order][near], pa.int32()), pa.array(s[order][near], pa.int64())], fields=list(pair))
         ends = np.append(0, np.cumsum(near))[np.append(begin, len(own))].astype(np.int32)
-        by_hash = np.lexsort((s, doc))
-        cell = np.repeat(np.arange(len(begin)), listed) * VERTICAL + (s[by_hash] >> (BITS - 20)) * VERTICAL // (1 << 20)
-        inner = pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.arange(len(begin) * VERTICAL + 1)).astype(np.int32)), pa.array(s[by_hash], pa.int64()))
+        cell = np.repeat(np.arange(len(begin)), listed) * VERTICAL + np.searchsorted(CUTS, df[order])
+        inner = pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.arange(len(begin) * VERTICAL + 1)).astype(np.int32)), pa.array(s[order], pa.int64()))
         outer = pa.ListArray.from_arrays(pa.array((np.arange(len(begin) + 1) * VERTICAL).astype(np.int32)), inner)
         return pa.table([pa.array(own[begin]), pa.array(listed.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), heads), outer], schema=schema)
 
     return grouped.groupBy("part").applyInArrow(gather, ENTRIES)
 
 
+SIZES = [f"z{k}" for k in range(VERTICAL)]  # sizes of a document's segments
+
+
 def _alpha(a: str, b: str, percent: int) -> F.Column:
     """The overlap that two sizes need: the smallest o with 100 o >= percent (|a| + |b| - o)."""
     return F.ceil(F.expr(f"({percent}L * ({a} + {b})) / {100 + percent}"))
 
 
 def _fits(percent: int) -> F.Column:
-    """Sizes and places of a common shingle leave room for the overlap, if that shingle is the pair's first."""
+    """Sizes, places of a common shingle (if it is the pair's first) and sizes of segments leave room for the overlap."""
     need = _alpha("a.m", "b.m", percent)
-    return (100 * F.col("a.m") >= percent * F.col("b.m")) & (100 * F.col("b.m") >= percent * F.col("a.m")) & (F.col("a.m") - F.col("a.pos") >= need) & (F.col("b.m") - F.col("b.pos") >= need)
+    shared = sum((F.least(f"a.{z}", f"b.{z}") for z in SIZES[1:]), F.least(f"a.{SIZES[0]}", f"b.{SIZES[0]}"))
+    return (shared >= need) & (100 * F.col("a.m") >= percent * F.col("b.m")) & (100 * F.col("b.m") >= percent * F.col("a.m")) & (F.col("a.m") - F.col("a.pos") >= need) & (F.col("b.m") - F.col("b.pos") >= need)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -222,12 +238,17 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(low.alias("lo"), high.alias("hi")).select(F.col("lo.doc").alias("x"), F.col("lo.m").alias("mx"), F.col("hi.doc").alias("y"), F.col("hi.m").alias("my")).distinct()
 
 
-def overlaps(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(x, y, mx, my, overlap): partial overlaps by vertical part, summed per pair."""
-    left = pairs.join(lists.select(F.col("doc").alias("x"), F.col("parts").alias("px")), "x")
-    both = left.join(lists.select(F.col("doc").alias("y"), F.col("parts").alias("py")), "y")
-    partial = F.zip_with("px", "py", lambda a, b: F.size(F.array_intersect(a, b)))
-    return both.select("x", "y", "mx", "my", F.aggregate(partial, F.lit(0), lambda a, v: a + v).alias("overlap"))
+def cells(lists: DataFrame) -> DataFrame:
+    """(doc, frag, seg): a document's segment of each fragment, where it has one."""
+    return lists.select("doc", F.posexplode("parts").alias("frag", "seg")).where(F.size("seg") > 0)
+
+
+def overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
+    """(x, y, mx, my, overlap): the partial overlap of each fragment, summed per pair."""
+    left = pairs.join(segs.select(F.col("doc").alias("x"), "frag", F.col("seg").alias("sx")), "x")
+    both = left.join(segs.select(F.col("doc").alias("y"), "frag", F.col("seg").alias("sy")), ["y", "frag"])
+    partial = both.select("x", "y", "mx", "my", F.size(F.array_intersect("sx", "sy")).alias("n")).where("n > 0")
+    return partial.groupBy("x", "y", "mx", "my").agg(F.sum("n").alias("overlap"))
 
 
 def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -251,7 +272,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4, least_gain: float = 0.05) -> DataFrame:
+def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4, least_gain: float = 0.05, hot_rows: int = 256) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id).
 
     Two documents link when ``100 * |intersection| >= percent * |union|``.
@@ -269,51 +290,77 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: in
 
     alone = F.col("m") - F.col("listed")
     reach = F.expr(f"m - cast(ceil({percent}L * m / 100) as int) + 1 - (m - listed)")
-    prefix = lists.select("doc", "listed", "head").join(sets, "doc").select("doc", "m", alone.alias("alone"), F.slice("head", 1, F.greatest(F.lit(0), reach)).alias("head"))
-    prefix = prefix.select("doc", "m", "alone", F.posexplode("head").alias("at", "e")).select(F.col("e.s").alias("s"), "doc", "m", (F.col("alone") + F.col("at")).alias("pos"))
-    pool = scratch.put(prefix, "pool0")
-    room = cross_factor * pool.count()
-
-    tried, classes, r, last = None, None, 0, False
+    sized = lists.select("doc", "listed", "head", *(F.size(F.col("parts")[k]).alias(z) for k, z in enumerate(SIZES)))
+    prefix = sized.join(sets, "doc").select("doc", "m", alone.alias("alone"), *SIZES, F.slice("head", 1, F.greatest(F.lit(0), reach)).alias("head"))
+    prefix = prefix.select("doc", "m", "alone", *SIZES, F.posexplode("head").alias("at", "e")).select(F.col("e.s").alias("s"), "doc", "m", (F.col("alone") + F.col("at")).alias("pos"), *SIZES)
+    plain = scratch.put(prefix, "pool0")
+    n_rows = plain.count()
+    pool, room = _salted(plain, max(hot_rows, n_rows // 10_000)), cross_factor * n_rows
+
+    tried, classes, r, blocks_left, few = None, None, 0, [], False
     while True:
-        pairs = _all_pairs(pool, percent) if last else _pivoted(pool, percent, pivots if r else 2, r)
+        last = bool(blocks_left)
+        pairs = _all_pairs(pool, percent, *blocks_left.pop(0)) if last else _pivoted(pool, percent, pivots if r else 2, r)
         if tried is not None:
             pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
         new = scratch.put(pairs, f"tried{r}")
         found = scratch.put(_linked(new, lists, scratch, r, percent), f"links{r}")
-        tried = new if tried is None else tried.unionByName(new)
+        scratch.drop(f"active{r}")
         gain = found.count()
         if r == 0 or gain:
             classes = _merged(classes, found, scratch, f"classes{r}")
+        r += 1
         if last:
-            break
+            if not blocks_left:
+                break
+            continue
+        tried = new if tried is None else tried.unionByName(new)
         few = gain <= new.count() * least_gain
-        r += 1
         pool = _mixed(pool, classes, scratch, r)
-        last = few or r > rounds or _cross_pairs(pool) <= room
-    scratch.drop("lists", *(f"{t}{k}" for k in range(r + 1) for t in ("pool", "tried", "active")))
+        cross = _cross_pairs(pool)
+        if few or r > rounds or cross <= room:
+            n_blocks = max(1, math.ceil(cross / max(1, room)))
+            blocks_left = [(k, n_blocks) for k in range(n_blocks)]
+    scratch.drop("lists", *(f"{t}{k}" for k in range(r + 1) for t in ("pool", "tried", "links")))
 
     named = prints.join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     out = named.join(classes.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.when(F.col("m") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _salted(pool: DataFrame, most: int) -> DataFrame:
+    """Rows of shingles with more than ``most`` sets are dealt over ``k`` tasks: their join key is (s, salt).
+
+    There are at most as many such shingles as ``most`` goes into the rows of the pool; ``join`` keeps that below 10 000.
+    """
+    hot = pool.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > most).select("s", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    dealt = pool.join(F.broadcast(hot), "s", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    return dealt.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("k")).cast("int"))
+
+
+def _each_salt(df: DataFrame) -> DataFrame:
+    """Every row once for each salt of its shingle."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+
+
 def _pivoted(pool: DataFrame, percent: int, pivots: int, seed: int) -> DataFrame:
     """Pairs of each shingle's sets with at most ``pivots`` of them, drawn by hashes that all shingles share."""
-    drawn = pool.groupBy("s").agg(*(F.min(F.struct(F.xxhash64("doc", F.lit(97 * seed + k)).alias("h"), "doc", "m", "pos", *_comp(pool))).alias(f"p{k}") for k in range(pivots)), F.count("*").alias("n")).where("n > 1")
-    chosen = F.array_distinct(F.array(*(F.struct(*(F.col(f"p{k}.{c}") for c in ("doc", "m", "pos", *_comp(pool)))) for k in range(pivots))))
-    held = drawn.select("s", F.explode(chosen).alias("p")).select("s", "p.*")
+    own = ["doc", "m", "pos", *SIZES, *_comp(pool)]
+    drawn = pool.groupBy("s").agg(*(F.min(F.struct(F.xxhash64("doc", F.lit(97 * seed + k)).alias("h"), *own)).alias(f"p{k}") for k in range(pivots)), F.count("*").alias("n"), F.max("k").alias("k")).where("n > 1")
+    chosen = F.array_distinct(F.array(*(F.struct(*(F.col(f"p{k}.{c}") for c in own)) for k in range(pivots))))
+    held = _each_salt(drawn.select("s", "k", F.explode(chosen).alias("p")).select("s", "k", "p.*"))
     other = F.col("a.comp") != F.col("b.comp") if _comp(pool) else F.col("a.doc") != F.col("b.doc")
-    return _pairs(pool.alias("a").join(held.alias("b"), "s").where(other & _fits(percent)))
+    return _pairs(pool.drop("k").alias("a").join(held.alias("b"), ["s", "salt"]).where(other & _fits(percent)))
 
 
 def _comp(pool: DataFrame) -> list[str]:
     return ["comp"] if "comp" in pool.columns else []
 
 
-def _all_pairs(pool: DataFrame, percent: int) -> DataFrame:
-    """What pivots have left: pairs of different classes that sizes and places do not rule out."""
-    return _pairs(pool.alias("a").join(pool.alias("b"), "s").where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
+def _all_pairs(pool: DataFrame, percent: int, block: int, n_blocks: int) -> DataFrame:
+    """What pivots have left: pairs of different classes that sizes and places do not rule out; one block of left sides."""
+    left = pool.drop("k").where(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(n_blocks)) == block) if n_blocks > 1 else pool.drop("k")
+    return _pairs(left.alias("a").join(_each_salt(pool).alias("b"), ["s", "salt"]).where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
 
 
 def _merged(classes: DataFrame | None, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -331,9 +378,9 @@ def _merged(classes: DataFrame | None, links: DataFrame, scratch: Scratch, tag:
 
 def _mixed(pool: DataFrame, classes: DataFrame, scratch: Scratch, r: int) -> DataFrame:
     """Prefix rows of shingles whose sets are still in different classes; classes only grow, so the pool only shrinks."""
-    placed = pool.select("s", "doc", "m", "pos").join(classes.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = placed.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("s")
-    return scratch.put(placed.join(mixed, "s"), f"pool{r}")
+    placed = pool.drop("comp").join(classes.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = placed.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("k").alias("k")).where("c0 < c1").select("s", "k")
+    return scratch.put(placed.join(_each_salt(mixed), ["s", "salt"]), f"pool{r}")
 
 
 def _cross_pairs(pool: DataFrame) -> int:
@@ -345,7 +392,7 @@ def _cross_pairs(pool: DataFrame) -> int:
 def _linked(pairs: DataFrame, lists: DataFrame, scratch: Scratch, r: int, percent: int) -> DataFrame:
     """Pairs that reach the threshold; only documents of a pair take part in the joins."""
     asked = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
-    active = scratch.put(lists.select("doc", "parts").join(asked, "doc", "left_semi"), f"active{r}")
+    active = scratch.put(cells(lists.select("doc", "parts").join(asked, "doc", "left_semi")), f"active{r}")
     return overlaps(pairs, active).where(f"{100 + percent}L * overlap >= {percent}L * (mx + my)").select("x", "y")
 
 
