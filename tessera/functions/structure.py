@@ -1,13 +1,18 @@
 """Document structure: typed spans found by patterns.
 
-Spans with offsets need several passes over one text, so :func:`extract` does them in one
-Arrow map; counts and texts without offsets are plain column expressions.
+An element is a row of :data:`RULES`: a pattern and what a match of it says.  One loop runs the
+rules over a text, and questions by position (which heading is before, which block is around)
+are binary searches.  :func:`extract` does this in one Arrow map; counts and texts without
+offsets are plain column expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,126 +44,151 @@ PATTERNS = {
     "bold_term": r"\*\*([A-Z][a-zA-Z\s]{2,50})\*\*\s*[-–—]\s*(.+?)(?:\n|$)",
     "caption": r"(?:Table \d+:|Caption:)\s*(.+)",
 }
-_FLAGS = {"fence": re.S | re.M, "figure": re.I, "display": re.S, "inline": 0, "author_year": 0, "numbered": 0, "note_ref": 0, "image": 0, "caption": re.I}
-_RE = {k: re.compile(p, _FLAGS.get(k, re.M)) for k, p in PATTERNS.items()}
-
-
-def _span(kind: str, start: int, end: int, text: str, level: int | None = None, detail: str | None = None, parent: int | None = None) -> dict:
-    return {"kind": kind, "start": start, "end": end, "level": level, "text": text, "detail": detail, "parent": parent}
-
-
-def _inside(spans: list[dict], at: int) -> bool:
-    return any(s["start"] <= at <= s["end"] for s in spans)
-
-
-def headings(text: str) -> list[dict]:
-    out = [_span("heading", m.start(), m.end(), m[2].strip(), len(m[1])) for m in _RE["atx"].finditer(text)]
-    for name, level in (("setext1", 1), ("setext2", 2)):
-        out += [_span("heading", m.start(), m.end(), m[1].strip(), level) for m in _RE[name].finditer(text) if len(m[1].strip()) < 100]
-    for m in _RE["caps"].finditer(text):
-        t = m[1].strip()
-        solid = t.replace(" ", "")
-        if solid and sum(map(str.isupper, t)) > 0.9 * len(solid):
-            out.append(_span("heading", m.start(), m.end(), t, 2))
-    out.sort(key=lambda s: s["start"])
-    return nest(out)
-
-
-def nest(found: list[dict]) -> list[dict]:
-    """Each heading's parent: the nearest one before it of a smaller level."""
-    stack: list[int] = []
-    for k, h in enumerate(found):
-        while stack and found[stack[-1]]["level"] >= h["level"]:
-            stack.pop()
-        h["parent"] = stack[-1] if stack else None
-        stack.append(k)
-    return found
-
-
-def paragraphs(text: str, heads: list[dict]) -> list[dict]:
-    """Blocks between blank lines of ten characters or more, with the last heading before each."""
-    out, offset, h = [], 0, -1
-    for block in re.split(r"\n\s*\n", text):
-        body = block.strip()
-        at = text.find(body, offset) if len(body) >= 10 else -1
-        if at < 0:
-            offset += len(block) + 2
+_DOTALL, _CASELESS = ("fence", "display"), ("figure", "caption")
+_RE = {k: re.compile(p, re.M | (re.S if k in _DOTALL else 0) | (re.I if k in _CASELESS else 0)) for k, p in PATTERNS.items()}
+_ITEM_MARK, _CODE_INDENT = re.compile(r"^(?:[-*•+]|\d+[.)\]])\s+"), re.compile(r"(?m)^(?:    |\t)")
+_BLANK_LINES = re.compile(r"\n\s*\n")
+
+
+# Readings: what a match of a pattern says, as (text, level, detail); None if it says nothing.  ``nth`` counts matches.
+
+
+def _setext(level: int):
+    return lambda m, nth: (m[1].strip(), level, None) if len(m[1].strip()) < 100 else None
+
+
+def _caps(m: re.Match, nth: int):
+    line = m[1].strip()
+    letters = len(line) - line.count(" ")
+    return (line, 2, None) if letters and sum(c.isupper() for c in line) > 0.9 * letters else None
+
+
+def _table(m: re.Match, nth: int):
+    grid = [[cell.strip() for cell in line.strip().split("|")[1:-1]] for line in m[1].splitlines() if line.strip()]
+    if len(grid) < 2:
+        return None
+    around = m.string[max(0, m.start() - 100) : m.start()] + m.string[m.end() : m.end() + 100]
+    caption = _RE["caption"].search(around)
+    return " | ".join(grid[0]), sum(len(row) == len(grid[0]) for row in grid[2:]), caption and caption[1].strip()
+
+
+def _list(kind: str):
+    def read(m: re.Match, nth: int):
+        items = [_ITEM_MARK.sub("", line.strip()) for line in m[1].split("\n") if line.strip()]
+        return ("\n".join(items), len(items), kind) if items else None
+
+    return read
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One pattern of an element.  ``unless`` names a pattern whose matches hide those that begin within them (ends count),
+    and then a match that begins where the one before it ends is hidden as well."""
+
+    kind: str
+    pattern: str
+    read: Callable
+    unless: str | None = None
+
+
+RULES = (
+    Rule("heading", "atx", lambda m, nth: (m[2].strip(), len(m[1]), None)),
+    Rule("heading", "setext1", _setext(1)),
+    Rule("heading", "setext2", _setext(2)),
+    Rule("heading", "caps", _caps),
+    Rule("table", "table", _table),
+    Rule("list", "unordered", _list("unordered")),
+    Rule("list", "ordered", _list("ordered")),
+    Rule("code", "fence", lambda m, nth: (m[2], None, m[1])),
+    Rule("code", "indented", lambda m, nth: (_CODE_INDENT.sub("", m[1]), None, None), unless="fence"),
+    Rule("figure", "image", lambda m, nth: (m[1], nth, m[2])),
+    Rule("figure", "figure", lambda m, nth: (m[2].strip(), int(m[1]), None)),
+    Rule("equation", "display", lambda m, nth: (m[1].strip(), None, "display")),
+    Rule("equation", "inline", lambda m, nth: (m[1].strip(), None, "inline"), unless="display"),
+    Rule("citation", "author_year", lambda m, nth: (m[0], int(m[2]), m[1])),
+    Rule("citation", "numbered", lambda m, nth: (m[0], None, f"Reference {m[1]}")),
+    Rule("note", "note_def", lambda m, nth: (m[2].strip(), int(m[1]), None)),
+    Rule("footnote", "note_ref", lambda m, nth: (None, int(m[1]), None)),
+    Rule("definition", "term", lambda m, nth: (m[1].strip(), None, m[2].strip())),
+    Rule("definition", "bold_term", lambda m, nth: (m[1].strip(), None, m[2].strip())),
+)
+# what a text has to hold for a pattern to match at all, so that most patterns never run on plain prose
+NEEDS = {"atx": "#", "setext1": "\n=", "setext2": "\n---", "table": "|", "fence": "```", "image": "![", "display": "$$", "inline": "$", "author_year": "(", "numbered": "[", "note_ref": "[^", "note_def": "[^", "term": ":", "bold_term": "**"}
+
+
+class _Spans:
+    """Disjoint or nested spans in the order of their starts, asked by position."""
+
+    def __init__(self, found: list[dict]):
+        self.found = sorted(found, key=lambda s: s["start"])
+        self.starts = [s["start"] for s in self.found]
+        self.reach = list(accumulate((s["end"] for s in self.found), max))
+
+    def before(self, at: int) -> int | None:
+        """The last span that starts before ``at``."""
+        return bisect_left(self.starts, at) - 1 if self.starts and self.starts[0] < at else None
+
+    def around(self, at: int) -> int | None:
+        """The first span that holds ``at``."""
+        k = bisect_left(self.reach, at)
+        return k if k < len(self.found) and self.starts[k] <= at else None
+
+
+def _matches(text: str) -> dict[str, list[dict]]:
+    """Spans of every pattern, in the order of the text."""
+    out: dict[str, list[dict]] = {}
+    for rule in RULES:
+        found = out[rule.pattern] = []
+        if NEEDS.get(rule.pattern, "") not in text:
             continue
-        while h + 1 < len(heads) and heads[h + 1]["start"] < at:
-            h += 1
-        offset = at + len(body)
-        out.append(_span("paragraph", at, offset, body, parent=h if h >= 0 else None))
+        hidden = _Spans(out[rule.unless]) if rule.unless else None
+        for nth, m in enumerate(_RE[rule.pattern].finditer(text), 1):
+            at = m.start()
+            if hidden and (hidden.around(at) is not None or found and found[-1]["end"] >= at):
+                continue
+            if said := rule.read(m, nth):
+                found.append({"kind": rule.kind, "start": m.start(), "end": m.end(), "level": said[1], "text": said[0], "detail": said[2], "parent": None})
     return out
 
 
-def tables(text: str) -> list[dict]:
-    out = []
-    for m in _RE["table"].finditer(text):
-        rows = [[c.strip() for c in line.strip().split("|")[1:-1]] for line in m[1].split("\n") if line.strip()]
-        if len(rows) < 2:
-            continue
-        body = [r for r in rows[2:] if len(r) == len(rows[0])]
-        near = _RE["caption"].search(text[max(0, m.start() - 100) : m.start()] + text[m.end() : m.end() + 100])
-        out.append(_span("table", m.start(), m.end(), " | ".join(rows[0]), len(body), near[1].strip() if near else None))
-    return out
-
-
-def lists(text: str) -> list[dict]:
-    out = []
-    for kind in ("unordered", "ordered"):
-        for m in _RE[kind].finditer(text):
-            items = [line.strip() for line in m[1].split("\n") if line.strip()]
-            if items:
-                out.append(_span("list", m.start(), m.end(), "\n".join(re.sub(r"^(?:[-*•+]|\d+[.)\]])\s+", "", i) for i in items), len(items), kind))
-    return out
-
-
-def code(text: str) -> list[dict]:
-    out = [_span("code", m.start(), m.end(), m[2], detail=m[1]) for m in _RE["fence"].finditer(text)]
-    for m in _RE["indented"].finditer(text):
-        if not _inside(out, m.start()):
-            out.append(_span("code", m.start(), m.end(), re.sub(r"(?m)^(?:    |\t)", "", m[1])))
-    return out
-
-
-def figures(text: str) -> list[dict]:
-    out = [_span("figure", m.start(), m.end(), m[1], k + 1, m[2]) for k, m in enumerate(_RE["image"].finditer(text))]
-    return out + [_span("figure", m.start(), m.end(), m[2].strip(), int(m[1])) for m in _RE["figure"].finditer(text)]
-
-
-def equations(text: str) -> list[dict]:
-    out = [_span("equation", m.start(), m.end(), m[1].strip(), detail="display") for m in _RE["display"].finditer(text)]
-    for m in _RE["inline"].finditer(text):
-        if not _inside(out, m.start()):
-            out.append(_span("equation", m.start(), m.end(), m[1].strip(), detail="inline"))
-    return out
-
-
-def citations(text: str) -> list[dict]:
-    out = [_span("citation", m.start(), m.end(), m[0], int(m[2]), m[1]) for m in _RE["author_year"].finditer(text)]
-    return out + [_span("citation", m.start(), m.end(), m[0], detail=f"Reference {m[1]}") for m in _RE["numbered"].finditer(text)]
-
-
-def footnotes(text: str) -> list[dict]:
-    defined = {int(m[1]): m[2].strip() for m in _RE["note_def"].finditer(text)}
-    return [_span("footnote", m.start(), m.start(), defined[int(m[1])], int(m[1])) for m in _RE["note_ref"].finditer(text) if int(m[1]) in defined]
+def _nest(heads: list[dict]) -> None:
+    """Each heading's parent: the nearest one before it of a smaller level."""
+    path: list[tuple[int, int]] = []
+    for k, h in enumerate(heads):
+        path = [p for p in path if p[0] < h["level"]]
+        h["parent"] = path[-1][1] if path else None
+        path.append((h["level"], k))
 
 
-def definitions(text: str, paras: list[dict]) -> list[dict]:
+def _paragraphs(text: str, least: int = 10) -> list[dict]:
+    """Blocks between blank lines of ``least`` characters or more."""
+    cuts = [(0, 0), *(m.span() for m in _BLANK_LINES.finditer(text)), (len(text), len(text))]
     out = []
-    for name in ("term", "bold_term"):
-        for m in _RE[name].finditer(text):
-            home = next((k for k, p in enumerate(paras) if p["start"] <= m.start() <= p["end"]), None)
-            out.append(_span("definition", m.start(), m.end(), m[1].strip(), detail=m[2].strip(), parent=home))
+    for (_, a), (b, _) in zip(cuts, cuts[1:], strict=False):
+        body = text[a:b].strip()
+        if len(body) >= least:
+            at = a + text[a:b].index(body[0])
+            out.append({"kind": "paragraph", "start": at, "end": at + len(body), "level": None, "text": body, "detail": None, "parent": None})
     return out
 
 
 def spans(text: str | None) -> list[dict]:
+    """All elements of a text: headings, then paragraphs, then the rest by kind."""
     if not text:
         return []
-    heads = headings(text)
-    paras = paragraphs(text, heads)
-    return heads + paras + tables(text) + lists(text) + code(text) + figures(text) + equations(text) + citations(text) + footnotes(text) + definitions(text, paras)
+    found = _matches(text)
+    by_kind: dict[str, list[dict]] = {}
+    for rule in RULES:
+        by_kind.setdefault(rule.kind, []).extend(found[rule.pattern])
+    heads, paras = _Spans(by_kind.pop("heading")), _Spans(_paragraphs(text))
+    _nest(heads.found)
+    for p in paras.found:
+        p["parent"] = heads.before(p["start"])
+    for d in by_kind["definition"]:
+        d["parent"] = paras.around(d["start"])
+    notes = {n["level"]: n["text"] for n in by_kind.pop("note")}
+    by_kind["footnote"] = [f | {"end": f["start"], "text": notes[f["level"]]} for f in by_kind["footnote"] if f["level"] in notes]
+    return heads.found + paras.found + [s for kind in by_kind.values() for s in kind]
 
 
 def extract(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
