@@ -10,7 +10,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, sample_rows: int, sample_bytes: int) -> list[Row]:
+    """Rows with ``id`` and ``text`` in the order of a hash of ``id``: at most ``sample_rows``, whose texts take at most ``sample_bytes``.
+
+    Sizes come first, and only then the texts that fit, so what reaches the driver is bounded both ways.
+    """
+    h, size = F.xxhash64("id"), F.octet_length("text")
+    fits = rows.where(size <= sample_bytes)
+    sizes = fits.select(h.alias("h"), "id", size.alias("n")).orderBy("h", "id", "n").limit(sample_rows).collect()
+    upto = np.cumsum([r["n"] for r in sizes], dtype=np.int64)
+    n = int(np.searchsorted(upto, sample_bytes, side="right"))
+    return fits.where(h <= F.lit(sizes[n - 1]["h"])).orderBy(h, "id", "text").limit(n).collect() if n else []
+
+
 _KEPT: dict = {}
 
 

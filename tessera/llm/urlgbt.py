@@ -2,18 +2,27 @@
 
 Rules are matched by host suffix and path prefix; the longest one decides.  URLs
 without a rule get the verdict of boosted trees over length, depth, digit ratio, entropy,
-parameter counts and suffix statistics.  The trees are trained from labelled URLs: the
-caller's own, or those that a rule or a list of seed terms labels.
+parameter counts and suffix statistics.  The trees are trained from labelled URLs: a table
+of the caller's (``labelled``), or else the policy's own verdicts, where a URL that no rule
+names counts as allowed with the weight ``free_weight``.  No list of words is involved.
+
+Suffix statistics are smoothed shares of blocked URLs by top-level label, by the last two
+labels of the host and by the first segment of the path, over all labelled URLs of the
+sample.  Those that a tree is trained on come from hosts of the other half, so no host
+vouches for itself; :func:`held_out_auc` measures the ranking on hosts never trained on.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and is judged on
-empty features; equal URLs get equal verdicts; without labelled URLs of both kinds
-the trees give the share of allowed ones, or allow if there are none.
+empty features; equal URLs get equal verdicts, each row its own; a probability of one half
+blocks; very long URLs are read whole, in time proportional to their length; without
+labelled URLs of both kinds the trees give the share of blocked ones; an empty table gives
+no row; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, bounded_sample
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SEED_TERMS = ("casino", "bets", "poker", "porn", "xxx", "viagra", "pills", "loan", "jackpot", "escort")
-FEATURES = ("length", "host_length", "host_depth", "host_digits", "host_hyphens", "host_entropy", "longest_label", "path_length", "path_depth", "path_digits", "path_entropy", "parameters", "query_length", "fragment", "https", "extension", "suffix_rate", "label_rate")
+FEATURES = ("length", "host_length", "host_depth", "host_digits", "host_hyphens", "host_entropy", "longest_label", "path_length", "path_depth", "path_digits", "path_entropy", "parameters", "query_length", "fragment", "https", "extension", "top_rate", "suffix_rate", "segment_rate")
 _SPLIT = re.compile(r"[/?#]")
-_WORDS = re.compile(r"[a-z]+")
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
 
@@ -58,34 +65,33 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+def suffixes(host: str, path: str) -> tuple[str, str, str]:
+    """The keys of the suffix statistics: last label, last two labels, first segment of the path."""
+    labels = host.rsplit(".", 2)
+    return labels[-1], ".".join(labels[-2:]), path[1:].partition("/")[0]
+
+
 @dataclass
 class SuffixStats:
-    """Smoothed share of blocked URLs by two-label suffix and by word of the host, from labelled URLs."""
+    """Smoothed share of blocked URLs, by each key of :func:`suffixes`; unknown keys have the overall share."""
 
     prior: float = 0.5
-    suffix: dict[str, float] = field(default_factory=dict)
-    label: dict[str, float] = field(default_factory=dict)
-
-    @staticmethod
-    def keys(host: str) -> tuple[str, list[str]]:
-        return ".".join(host.rsplit(".", 2)[-2:]), _WORDS.findall(host.rsplit(".", 2)[0])
+    rate: list[dict[str, float]] = field(default_factory=lambda: [{}, {}, {}])
 
     @classmethod
-    def fit(cls, hosts: list[str], blocked: np.ndarray) -> SuffixStats:
-        out = cls(float(blocked.mean()) if len(hosts) else 0.5)
-        for kind, smooth, most in (("suffix", 20, 10_000), ("label", 5, 50_000)):
+    def fit(cls, keys: list[tuple[str, str, str]], blocked: np.ndarray, weight: np.ndarray, smooth: float = 10.0) -> SuffixStats:
+        total = float(weight.sum())
+        out = cls(float((weight * blocked).sum()) / total if total else 0.5)
+        for k in range(3):
             n, b = Counter(), Counter()
-            for h, y in zip(hosts, blocked, strict=True):
-                k = cls.keys(h)
-                for key in {k[0]} if kind == "suffix" else set(k[1]):
-                    n[key] += 1
-                    b[key] += int(y)
-            setattr(out, kind, {k: (b[k] + smooth * out.prior) / (c + smooth) for k, c in n.most_common(most) if c > 1})
+            for key, y, w in zip(keys, blocked, weight, strict=True):
+                n[key[k]] += w
+                b[key[k]] += w * y
+            out.rate[k] = {key: float((b[key] + smooth * out.prior) / (n[key] + smooth)) for key in n}
         return out
 
-    def rates(self, host: str) -> tuple[float, float]:
-        suffix, words = self.keys(host)
-        return self.suffix.get(suffix, self.prior), max((self.label.get(w, self.prior) for w in words), default=self.prior)
+    def rates(self, keys: tuple[str, str, str]) -> list[float]:
+        return [self.rate[k].get(key, self.prior) for k, key in enumerate(keys)]
 
 
 def lexical(url: str | None, host: str, path: str, stats: SuffixStats) -> list[float]:
@@ -94,7 +100,7 @@ def lexical(url: str | None, host: str, path: str, stats: SuffixStats) -> list[f
     query = before.partition("?")[2]
     digits = lambda s: sum(c in "0123456789" for c in s) / max(1, len(s))
     leaf = path.rsplit("/", 1)[-1]
-    return [len(url), len(host), host.count("."), digits(host), host.count("-"), entropy(host), max(map(len, host.split("."))), len(path), path.count("/"), digits(path), entropy(path), query.count("=") + query.count("&"), len(query), bool(fragment), url[:6].lower() == "https:", "." in leaf, *stats.rates(host)]
+    return [len(url), len(host), host.count("."), digits(host), host.count("-"), entropy(host), max(map(len, host.split("."))), len(path), path.count("/"), digits(path), entropy(path), query.count("=") + query.count("&"), len(query), bool(fragment), url[:6].lower() == "https:", "." in leaf, *stats.rates(suffixes(host, path))]
 
 
 @dataclass
@@ -165,52 +171,69 @@ class UrlModel:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(urls: list[str | None], blocked: list[bool], *, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, l2: float = 1.0, least: float = 1.0, rules=RULES) -> UrlModel:
-    """Boosting of the logistic loss; suffix statistics of a row come from the other half of the rows."""
+def fit(urls: list[str | None], blocked: list[bool], weights: list[float] | None = None, *, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, l2: float = 1.0, least: float = 1.0, rules=RULES) -> UrlModel:
+    """Boosting of the weighted logistic loss; suffix statistics of a row come from the other half of the hosts."""
     y = np.array(blocked, dtype=float)
+    w = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
     parts = [split_url(u) for u in urls]
-    hosts = [h for h, _ in parts]
-    stats = SuffixStats.fit(hosts, y)
-    p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.01
+    keys = [suffixes(*p) for p in parts]
+    stats = SuffixStats.fit(keys, y, w)
+    p = float(np.clip(stats.prior, 0.01, 0.99)) if len(y) else 0.01
     model = UrlModel(stats, math.log(p / (1 - p)), [], depth, rate, tuple(rules))
     if len(set(blocked)) < 2:
         return model
-    half = np.arange(len(y)) % 2
-    other = [SuffixStats.fit([h for h, k in zip(hosts, half, strict=True) if k != side], y[half != side]) for side in (0, 1)]
+    half = np.array([zlib.crc32(h.encode("utf-8", "surrogatepass")) >> 7 & 1 for h, _ in parts])
+    other = [SuffixStats.fit([k for k, s in zip(keys, half, strict=True) if s != side], y[half != side], w[half != side]) for side in (0, 1)]
     x = np.array([lexical(u, h, q, other[k]) for u, (h, q), k in zip(urls, parts, half, strict=True)], dtype=float)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1)
     z = np.full(len(y), model.base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        model.trees.append(grow(binned, edges, p - y, p * (1 - p), depth, l2, least))
+        model.trees.append(grow(binned, edges, w * (p - y), w * p * (1 - p), depth, l2, least))
         z += rate * model.trees[-1].predict(x, depth)
     return model
 
 
-def seed_labels(urls: list[str | None], rules=RULES, terms=SEED_TERMS) -> tuple[list[str | None], list[bool]]:
-    """Labelled URLs: a seed term in the host blocks, a rule gives its verdict, and hosts without either count as allowed.
+def policy_labels(urls: list[str | None], rules=RULES, free_weight: float = 0.25) -> tuple[list[bool], list[float]]:
+    """The policy's verdict on each URL and its weight: 1 where a rule names the URL, ``free_weight`` (allowed) elsewhere."""
+    found = [match_rule(*split_url(u), rules) for u in urls]
+    return [bool(r) and r[1] == "block" for r in found], [1.0 if r else free_weight for r in found]
 
-    Rules that block a whole region of the web say nothing about how its URLs are built, so a rule labels
-    only URLs that carry no seed term.
-    """
-    out, labels = [], []
-    for url in urls:
-        host, path = split_url(url)
-        rule = match_rule(host, path, rules)
-        bad = any(t in host for t in terms)
-        if rule and rule[1] == "block" and not bad:
-            continue  # blocked by policy, not by its form
-        out.append(url)
-        labels.append(bad)
-    return out, labels
+
+def auc(scores: np.ndarray, truth: np.ndarray, weights: np.ndarray) -> float:
+    """Weighted chance that a blocked URL scores above an allowed one; ties count half."""
+    values, at = np.unique(scores, return_inverse=True)
+    bad, good = (np.bincount(at, weights * (truth == side), len(values)) for side in (True, False))
+    below = np.cumsum(good) - good
+    pairs = bad.sum() * good.sum()
+    return float((bad * (below + good / 2)).sum() / pairs) if pairs else float("nan")
 
 
-def train(pages: DataFrame, *, url_col: str = "url", sample_rows: int = 20_000, rules=RULES, terms=SEED_TERMS, **options) -> UrlModel:
-    """Fit on at most ``sample_rows`` distinct URLs, chosen by their hash."""
-    rows = pages.select(F.col(url_col).alias("url")).where("url is not null")
-    got = rows.distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows).collect()
-    return fit(*seed_labels([r["url"] for r in got], rules, terms), rules=rules, **options)
+def held_out_auc(urls: list[str | None], blocked: list[bool], weights: list[float] | None = None, folds: int = 5, **options) -> float:
+    """Ranking of the URLs of one fold of hosts by a model that never saw those hosts."""
+    parts = [split_url(u) for u in urls]
+    out = np.array([zlib.crc32(h.encode("utf-8", "surrogatepass")) % folds == 0 for h, _ in parts])
+    y, w = np.array(blocked), np.ones(len(urls)) if weights is None else np.array(weights, dtype=float)
+    model = fit([u for u, o in zip(urls, out, strict=True) if not o], y[~out].tolist(), w[~out].tolist(), **options)
+    x = np.array([lexical(u, h, p, model.stats) for u, (h, p), o in zip(urls, parts, out, strict=True) if o], dtype=float).reshape(-1, len(FEATURES))
+    return auc(model.blocked(x), y[out], w[out])
+
+
+def train(pages: DataFrame, *, labelled: DataFrame | None = None, url_col: str = "url", label_col: str = "blocked", sample_rows: int = 20_000, sample_bytes: int = 32 << 20, rules=RULES, free_weight: float = 0.25, **options) -> UrlModel:
+    """Fit on at most ``sample_rows`` distinct URLs of ``sample_bytes`` together, chosen by their hash.
+
+    With ``labelled`` (a table of ``url_col`` and the boolean ``label_col``; any block of a URL counts) the labels are
+    the caller's; else the URLs of ``pages`` are labelled by the policy.
+    """
+    if labelled is None:
+        rows = pages.select(F.col(url_col).alias("text")).where("text is not null").distinct().withColumn("label", F.lit(None).cast("boolean"))
+    else:
+        rows = labelled.select(F.col(url_col).alias("text"), F.col(label_col).cast("boolean").alias("label")).where("text is not null and label is not null").groupBy("text").agg(F.max("label").alias("label"))
+    got = bounded_sample(rows.withColumn("id", F.col("text")), sample_rows, sample_bytes)
+    urls = [r["text"] for r in got]
+    blocked, weights = policy_labels(urls, rules, free_weight) if labelled is None else ([r["label"] for r in got], None)
+    return fit(urls, blocked, weights, rules=rules, **options)
 
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, p_block double"
@@ -230,4 +253,4 @@ def judge(pages: DataFrame, model: UrlModel, *, id_col: str = "page_id", url_col
         verdicts = [r[1] if r else ("block" if q >= 0.5 else "allow") for r, q in zip(found, prob, strict=True)]
         return {"page_id": batch.column(0), "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [r[0] if r else None for r in found], "verdict": verdicts, "p_block": prob}
 
-    return arrow_map(pages.select(F.col(id_col).cast("long"), url_col), run, SCHEMA)
+    return arrow_map(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), run, SCHEMA)
