@@ -8,7 +8,10 @@ Forward-backward marginals, weighted by line length, give the document's quality
 one-dimensional logistic fit turns into a calibrated score.
 
 Defined cases: a null or empty text is one empty line; very long lines are read whole, in one
-pass; documents without labels are only scored; without labelled rows every score is 0.5.
+pass; documents without labels are only scored; one with conflicting labels counts as bad; a
+score of exactly 0.5 is predicted good; repeated rows get equal scores, each its own row;
+without labelled rows every score is 0.5; an empty table gives no row; only the named
+columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, slices, texts_of
+from .common import arrow_map, bounded_sample, held_out, slices, texts_of
 
 _WORD = re.compile(r"\S+")
 N_BASE = 12
@@ -188,14 +191,14 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 2, steps: int = 15
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, **options) -> LineModel:
-    """Fit on at most ``sample_rows`` labelled documents of the training fold, chosen by a hash of their identifiers."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, sample_bytes: int = 64 << 20, **options) -> LineModel:
+    """Fit on at most ``sample_rows`` labelled documents of the training fold of ``sample_bytes`` together, chosen by a hash of their identifiers."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most sample_rows rows
-    got = rows.orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows).collect()
-    return fit([r["text"] or "" for r in got], [r["label"] for r in got], **options)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")  # at most sample_rows rows
+    got = bounded_sample(rows, sample_rows, sample_bytes)
+    return fit([r["text"] for r in got], [r["label"] for r in got], **options)
 
 
 def score(df: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

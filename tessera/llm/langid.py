@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, mix64, slices, texts_of
+from .common import arrow_map, bounded_sample, held_out, mix64, slices, texts_of
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -155,12 +155,10 @@ def fit(texts: list[str], langs: list[str], *, buckets: int = 1 << 16, dim: int
     return model
 
 
-def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, **options) -> LanguageModel:
-    """Fit on at most ``sample_rows`` labelled rows of the training fold, chosen by a hash of their identifiers."""
+def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, sample_bytes: int = 64 << 20, **options) -> LanguageModel:
+    """Fit on at most ``sample_rows`` labelled rows of the training fold of ``sample_bytes`` together, chosen by a hash of their identifiers."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keep = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample_rows).agg(F.max("h")).first()[0]
-    got = rows.where(F.xxhash64("id") <= F.lit(keep)).orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows).collect() if keep is not None else []
+    got = bounded_sample(rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()), sample_rows, sample_bytes)
     return fit([r["text"] for r in got], [r["lang"] for r in got], **options)
 
 
