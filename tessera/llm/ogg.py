@@ -5,9 +5,12 @@ every page, separates the streams by serial number, reassembles packets from lac
 values (also over page borders) and derives timestamps from granule positions.
 
 Defined cases: a payload is never empty (it is padded to a positive multiple of
-``unit``); a damaged, truncated or out-of-order page raises :class:`OggError`, and the
-column reader returns that as ``error`` instead of failing the job; a null media value
-gives a null payload.
+``unit``); a null text is the empty text; very long texts are stored whole, in as many
+pages as they need; repeated rows give equal media, each its own row; a damaged, truncated
+or out-of-order page raises :class:`OggError`, and the column reader returns that as
+``error`` instead of failing the job; a null media value gives a null payload; an empty
+table gives no row; only the named columns are read, so others (even ``media`` or
+``feature``) cannot clash.
 """
 
 from __future__ import annotations

@@ -19,9 +19,10 @@ adds exactly that byte after each row, so a partition's rows are written as one
 any file system that Spark can write to, with its commit protocol; memory is bounded by
 a block plus 8 bytes for each key of the shard.
 
-Defined cases: null text is the empty text (its entry holds only the end id); rows that
-repeat an identifier become adjacent entries, in the order of their texts; rows without
-an identifier have no key and are left out; an empty table makes no shard.
+Defined cases: null text is the empty text (its entry holds only the end id); very long
+texts are one entry each; rows that repeat an identifier become adjacent entries, in the
+order of their texts; rows without an identifier have no key and are left out; an empty
+table makes no shard; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
