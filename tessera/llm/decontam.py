@@ -4,15 +4,24 @@ Words are reduced to templates: numbers, units behind numbers and names (capital
 inside a sentence) become typed placeholders, other words lose case and punctuation.  Hashed
 windows of template words are joined with those of the benchmark.  A document is
 contaminated by an item if an occurrence in it holds enough of the item's windows and the
-values in its placeholders are consistent: each value of the item always turns into the same
-value there, as in a re-parameterised question.
+values in its placeholders are consistent both ways: each value of the item always turns
+into the same value there, and no two of them into one, as in a re-parameterised question.
+Scripts that are written without blanks (Chinese, Japanese, Thai, ...) count one word for
+each character.
 
 Items that are mostly numbers and names have few literal windows; their plain words are
 searched as well, in windows of the same length, so that a verbatim copy is always found.
+Items of fewer than ``short_words`` words would be found in any text; with ``short_alone``
+they are searched as one window of plain words that stands alone: a line, a sentence, or
+the text between two ends of either.
 
 Defined cases: null or empty texts and items match nothing; items of fewer than
-``short_words`` words are not searched, and those below a window (where ``short_words``
-lets them in) are one window of their own length; equal documents are each reported; several items may hit one document, and each pair is one row.
+``short_words`` words are only searched as ``short_alone`` says; those below a window
+(where ``short_words`` lets them in) are one window of their own length; equal documents are
+each reported; several items may hit one document, and each pair is one row; of several
+occurrences the verbatim, then the fullest, then the first is reported; very long texts are
+read whole, in slices of documents; an empty table on either side gives no row; only the
+named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -35,6 +44,8 @@ _NUMBER = re.compile(r"^[^\w]*[-+$€£]?\d[\d.,:/]*([^\W\d_]*|%)[^\w]*$")
 _CORE = re.compile(r"[\W_]+")
 NUM, NAME, UNIT, OTHER = 1, 2, 3, 0
 _TAGS = np.array([0, 0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547], dtype=np.uint64)
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+ALONE = 100  # added to the length of windows that have to stand alone
 _POWERS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -95,15 +106,16 @@ class Templates:
     owner: np.ndarray
     word: np.ndarray
     starts: np.ndarray  # of texts, with the end at last
+    part: np.ndarray  # running number of the sentence that a word is in, where it was asked for
 
 
-def canonical(words: list[list[str]], lexicon: Lexicon) -> Templates:
+def canonical(words: list[list[str]], lexicon: Lexicon, parts: bool = False) -> Templates:
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     flat = [w for ws in words for w in ws]
     starts = np.append(0, np.cumsum(sizes))
     if not flat:
         e = np.zeros(0, dtype=np.int64)
-        return Templates(e.astype(np.uint64), e.astype(np.uint64), e, e, e, starts)
+        return Templates(e.astype(np.uint64), e.astype(np.uint64), e, e, e, starts, e)
     hashes, flags = lexicon.look(flat)
     owner = np.repeat(np.arange(len(words)), sizes)
     first = np.zeros(len(flat), dtype=bool)
@@ -114,16 +126,17 @@ def canonical(words: list[list[str]], lexicon: Lexicon) -> Templates:
     keep = (flags & 16) == 0
     plain, hashes = hashes[keep], np.where(kinds == OTHER, hashes, _TAGS[kinds])
     kept = np.append(0, np.cumsum(keep))
-    return Templates(hashes[keep], plain, kinds[keep], owner[keep], (np.arange(len(flat)) - starts[owner])[keep], kept[starts])
+    return Templates(hashes[keep], plain, kinds[keep], owner[keep], (np.arange(len(flat)) - starts[owner])[keep], kept[starts], np.cumsum(opens)[keep] if parts else owner[:0])
 
 
 def windows(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first position of each window within one text.
 
     Windows of ``size`` template words are half literal words at least; a negative size stands for all windows of
-    so many plain words, placeholders not used.
+    so many plain words, placeholders not used, and one below ``-ALONE`` for those that are whole sentences.
     """
-    words, size, exact = (t.hashes, size, False) if size > 0 else (t.plain, -size, True)
+    alone = size < -ALONE
+    words, size, exact = (t.hashes, size, False) if size > 0 else (t.plain, -size - ALONE if alone else -size, True)
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -134,12 +147,18 @@ def windows(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not exact:
         literal = np.append(0, np.cumsum(t.kinds == OTHER))
         ok &= 2 * (literal[size:] - literal[:-size]) >= size
+    if alone:
+        edge = np.append(True, t.part[1:] != t.part[:-1])
+        ok &= edge[:n] & np.append(edge, True)[size:]
     at = np.flatnonzero(ok)
-    return mix64(h[at] + np.uint64(size + (1 << 20 if exact else 0))), at
+    return mix64(h[at] + np.uint64(size + (1 << 21 if alone else 1 << 20 if exact else 0))), at
 
 
-def _split(texts: list[str]) -> list[list[str]]:
-    return [t.split() for t in texts]
+def _split(texts: list[str], lines: bool = False) -> list[list[str]]:
+    """Words of each text; with ``lines``, a mark that is no word ends the sentence of every line."""
+    if lines:
+        texts = [t.replace("\n", " . ") for t in texts]
+    return [(t if t.isascii() or not _SPACELESS.search(t) else _SPACELESS.sub(r" \g<0> ", t)).split() for t in texts]
 
 
 def _lexicon() -> Lexicon:
@@ -155,7 +174,7 @@ def _slot_values(words: list[str], t: Templates, at: int, size: int) -> list[str
     return [_CORE.sub("", words[t.word[k]]).lower() for k in range(at, at + size) if t.kinds[k] in (NUM, NAME)]
 
 
-def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str = "text", short_words: int = SHORT) -> DataFrame:
+def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str = "text", short_words: int = SHORT, short_alone: bool = False) -> DataFrame:
     """Windows of the items: of templates, and of plain words where under half of the template windows are literal enough."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -165,11 +184,13 @@ def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str =
         for k, item in enumerate(ids):
             a, b = int(t.starts[k]), int(t.starts[k + 1])
             size = min(WINDOW, b - a)
-            if size < max(1, short_words):
+            if size < (1 if short_alone else max(1, short_words)):
                 continue
-            own = Templates(t.hashes[a:b], t.plain[a:b], t.kinds[a:b], t.owner[a:b], t.word[a:b], np.array([0, b - a]))
+            own = Templates(t.hashes[a:b], t.plain[a:b], t.kinds[a:b], t.owner[a:b], t.word[a:b], np.array([0, b - a]), np.zeros(b - a))
             routes = {size: windows(own, size)} if size >= SHORT else {}
-            if size < SHORT or 2 * len(routes[size][1]) < b - a - size + 1:
+            if size < short_words:
+                routes = {-ALONE - size: windows(own, -ALONE - size)}
+            elif size < SHORT or 2 * len(routes[size][1]) < b - a - size + 1:
                 routes[-size] = windows(own, -size)
             for route, (h, at) in routes.items():
                 n = len(at)
@@ -186,8 +207,9 @@ def doc_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for a, b in slices(np.array([len(x) for x in texts]), 1 << 20):
             words = _split(texts[a:b])
             t = canonical(words, _lexicon())
+            by_line = canonical(_split(texts[a:b], True), _lexicon(), True) if min(sizes, default=0) < -ALONE else t  # the same words, in more sentences
             for size in sizes:
-                h, at = windows(t, size)
+                h, at = windows(by_line if size < -ALONE else t, size)
                 if wanted is not None:
                     table, bits = wanted.value[size]
                     near = np.flatnonzero(bits[h & np.uint64(len(bits) - 1)])
@@ -209,12 +231,14 @@ JUDGED = "doc_id long, item_id long, coverage double, consistency double, repara
 def _figures(hits: list[tuple], n: int) -> tuple:
     """(matched, coverage, consistency, reparameterised, first, last) of hits (item_pos, doc_pos, item_slots, slots)."""
     values: dict[str, set[str]] = {}
+    sources: dict[str, set[str]] = {}
     for _, _, own, got in hits:
         for a, b in zip(own, got, strict=True):
             values.setdefault(a, set()).add(b)
-    same = [len(v) == 1 for v in values.values()]
+            sources.setdefault(b, set()).add(a)
+    same = min((sum(len(v) == 1 for v in way.values()) / len(way) for way in (values, sources) if way), default=1.0)
     matched, at = len({h[0] for h in hits}), [h[1] for h in hits]
-    return matched, matched / n, sum(same) / len(same) if same else 1.0, any(v != {a} for a, v in values.items()), min(at), max(at)
+    return matched, matched / n, same, any(v != {a} for a, v in values.items()), min(at), max(at)
 
 
 def best_occurrence(hits: list[tuple], n: int, passes) -> tuple | None:
@@ -276,7 +300,7 @@ def _occurrences(hits: DataFrame, coverage: float, least_windows: int, consisten
     return arrow_map(one.select("doc_id", "item_id", "n_windows", "hits"), run, JUDGED)
 
 
-def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000, short_words: int = SHORT) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000, short_words: int = SHORT, short_alone: bool = False) -> DataFrame:
     """One row per contaminated (document, item): coverage of the item's windows and slot consistency.
 
     Each occurrence in the document is judged by itself, and the best that passes is the row; an item that passes
@@ -291,7 +315,7 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    items = scratch.put(bench_windows(bench, id_col=item_col, text_col=item_text_col, short_words=short_words), "items")
+    items = scratch.put(bench_windows(bench, id_col=item_col, text_col=item_text_col, short_words=short_words, short_alone=short_alone), "items")
     sizes = items.groupBy("size").count().collect()  # a row for each of a few sizes
     wanted, used = None, tuple(sorted(r["size"] for r in sizes))
     if sum(r["count"] for r in sizes) <= broadcast_windows:
@@ -310,8 +334,12 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
         F.count_distinct("item_pos").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("doc_pos").alias("first_pos"), F.max("doc_pos").alias("last_pos")
     )
     pairs = hits.select("doc_id", "item_id", "size", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    values = pairs.groupBy("doc_id", "item_id", "size", "s.item_slots").agg((F.min("s.slots") == F.max("s.slots")).alias("same"), F.max((F.col("s.slots") != F.col("s.item_slots")).cast("int")).alias("changed"))
-    slots = values.groupBy("doc_id", "item_id", "size").agg(F.avg(F.col("same").cast("double")).alias("consistency"), F.max("changed").alias("changed"))
+    changed = F.max((F.col("s.slots") != F.col("s.item_slots")).cast("int")).alias("changed")
+    ways = [
+        pairs.groupBy("doc_id", "item_id", "size", f"s.{a}").agg((F.min(f"s.{b}") == F.max(f"s.{b}")).alias("same"), changed).groupBy("doc_id", "item_id", "size").agg(F.avg(F.col("same").cast("double")).alias("consistency"), F.max("changed").alias("changed"))
+        for a, b in (("item_slots", "slots"), ("slots", "item_slots"))
+    ]
+    slots = ways[0].unionByName(ways[1]).groupBy("doc_id", "item_id", "size").agg(F.min("consistency").alias("consistency"), F.max("changed").alias("changed"))
     out = cover.join(slots, ["doc_id", "item_id", "size"], "left").withColumn("coverage", F.col("matched") / F.col("n_windows")).fillna({"consistency": 1.0, "changed": 0})
     whole = out.where((F.col("coverage") >= coverage) & (F.col("matched") >= F.least(F.lit(least_windows), F.col("n_windows"))) & (F.col("consistency") >= consistency)).withColumn("reparameterised", F.col("changed") == 1)
     names = [c.split()[0] for c in JUDGED.split(", ")]

@@ -49,7 +49,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated document and benchmark item."""
-    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_alone=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
