@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, mix64, slices, texts_of, trim, worker_cache
@@ -272,7 +272,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4, least_gain: float = 0.05, hot_rows: int = 256) -> DataFrame:
+def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, fragment_shingles: int = 2_000_000, slice_bytes: int = 12 << 20, hot_share: float = 0.02, hot_least: int = 64, rounds: int = 6, pivots: int = 8, cross_factor: int = 4, least_gain: float = 0.05, hot_rows: int = 256, block_pairs: int = 50_000_000) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id).
 
     Two documents link when ``100 * |intersection| >= percent * |union|``.
@@ -295,46 +295,45 @@ def join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: in
     prefix = prefix.select("doc", "m", "alone", *SIZES, F.posexplode("head").alias("at", "e")).select(F.col("e.s").alias("s"), "doc", "m", (F.col("alone") + F.col("at")).alias("pos"), *SIZES)
     plain = scratch.put(prefix, "pool0")
     n_rows = plain.count()
-    pool, room = _salted(plain, max(hot_rows, n_rows // 10_000)), cross_factor * n_rows
+    pool, room = _salted(plain, max(hot_rows, n_rows // 10_000), scratch), cross_factor * n_rows
 
-    tried, classes, r, blocks_left, few = None, None, 0, [], False
-    while True:
-        last = bool(blocks_left)
-        pairs = _all_pairs(pool, percent, *blocks_left.pop(0)) if last else _pivoted(pool, percent, pivots if r else 2, r)
+    tried, classes = None, None
+    for r in range(rounds + 1):
+        pairs = _pivoted(pool, percent, pivots if r else 2, r)
         if tried is not None:
-            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
         new = scratch.put(pairs, f"tried{r}")
         found = scratch.put(_linked(new, lists, scratch, r, percent), f"links{r}")
-        scratch.drop(f"active{r}")
         gain = found.count()
         if r == 0 or gain:
             classes = _merged(classes, found, scratch, f"classes{r}")
-        r += 1
-        if last:
-            if not blocks_left:
-                break
-            continue
-        tried = new if tried is None else tried.unionByName(new)
-        few = gain <= new.count() * least_gain
-        pool = _mixed(pool, classes, scratch, r)
+        tried = new.select("x", "y") if tried is None else tried.unionByName(new.select("x", "y"))
+        pool = _mixed(pool, classes, scratch, r + 1)
         cross = _cross_pairs(pool)
-        if few or r > rounds or cross <= room:
-            n_blocks = max(1, math.ceil(cross / max(1, room)))
-            blocks_left = [(k, n_blocks) for k in range(n_blocks)]
-    scratch.drop("lists", *(f"{t}{k}" for k in range(r + 1) for t in ("pool", "tried", "links")))
+        if cross <= room or gain <= new.count() * least_gain:
+            break
+    last = None
+    for b in range(n_blocks := math.ceil(cross / max(room, block_pairs))):
+        pairs = scratch.put(_all_pairs(pool, percent, b, n_blocks).join(tried, ["x", "y"], "left_anti"), f"rest{b}")
+        found = scratch.put(_linked(pairs, lists, scratch, f"_rest{b}", percent), f"rest_links{b}")
+        last = found if last is None else last.unionByName(found)
+        scratch.drop(f"rest{b}")
+    if last is not None:
+        classes = _merged(classes, last, scratch, "classes_rest")
+    scratch.drop("lists", "hot", *(f"{t}{k}" for k in range(r + 2) for t in ("pool", "tried", "links")), *(f"rest_links{b}" for b in range(n_blocks)))
 
     named = prints.join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     out = named.join(classes.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.when(F.col("m") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _salted(pool: DataFrame, most: int) -> DataFrame:
+def _salted(pool: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """Rows of shingles with more than ``most`` sets are dealt over ``k`` tasks: their join key is (s, salt).
 
     There are at most as many such shingles as ``most`` goes into the rows of the pool; ``join`` keeps that below 10 000.
     """
     hot = pool.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > most).select("s", F.ceil(F.col("n") / most).cast("int").alias("k"))
-    dealt = pool.join(F.broadcast(hot), "s", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = pool.join(F.broadcast(scratch.put(hot, "hot")), "s", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     return dealt.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("k")).cast("int"))
 
 
@@ -358,9 +357,16 @@ def _comp(pool: DataFrame) -> list[str]:
 
 
 def _all_pairs(pool: DataFrame, percent: int, block: int, n_blocks: int) -> DataFrame:
-    """What pivots have left: pairs of different classes that sizes and places do not rule out; one block of left sides."""
+    """What pivots have left: pairs of different classes that sizes and places do not rule out; one block of left sides.
+
+    Of two classes at most one is a shingle's largest, so the rows of its other classes (``minor``) meet all rows; only
+    they are repeated for each salt, and two of them meet once.
+    """
+    main = pool.groupBy("s", "comp").agg(F.count("*").alias("n"), F.max("k").alias("k")).groupBy("s").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("k").alias("k"))
+    minor = _each_salt(pool.join(_each_salt(main), ["s", "salt"]).where(F.col("comp") != F.col("main")).drop("salt"))
     left = pool.drop("k").where(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(n_blocks)) == block) if n_blocks > 1 else pool.drop("k")
-    return _pairs(left.alias("a").join(_each_salt(pool).alias("b"), ["s", "salt"]).where((F.col("a.doc") < F.col("b.doc")) & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
+    once = (F.col("a.comp") == F.col("b.main")) | (F.col("a.doc") < F.col("b.doc"))
+    return _pairs(left.alias("a").join(minor.alias("b"), ["s", "salt"]).where(once & (F.col("a.comp") != F.col("b.comp")) & _fits(percent)))
 
 
 def _merged(classes: DataFrame | None, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -389,22 +395,25 @@ def _cross_pairs(pool: DataFrame) -> int:
     return n.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
 
 
-def _linked(pairs: DataFrame, lists: DataFrame, scratch: Scratch, r: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, lists: DataFrame, scratch: Scratch, r: int | str, percent: int) -> DataFrame:
     """Pairs that reach the threshold; only documents of a pair take part in the joins."""
     asked = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
     active = scratch.put(cells(lists.select("doc", "parts").join(asked, "doc", "left_semi")), f"active{r}")
     return overlaps(pairs, active).where(f"{100 + percent}L * overlap >= {percent}L * (mx + my)").select("x", "y")
 
 
-def keep_one(df: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+def keep_one(df: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` without those whose class has a smaller document; repeated rows of one document become one.
 
     The identifiers to drop are broadcast if they are counted to be at most ``broadcast_rows`` (8 bytes each), so that
     texts stay where they are; more are joined by shuffle.  Texts are grouped by identifier only if ``classes``
-    shows that identifiers repeat.  Rows without an identifier stay.
+    shows that identifiers repeat, and then the row of the smallest text stays.  Rows without an identifier stay.
     """
     first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    unique = first.where("n > 1").isEmpty()
+    if not first.where("n > 1").isEmpty():
+        one = Window.partitionBy(id_col).orderBy(text_col)
+        named = df.where(F.col(id_col).isNotNull()).withColumn("__place", F.row_number().over(one)).where("__place = 1").drop("__place")
+        df = named.unionByName(df.where(F.col(id_col).isNull()))
     others = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     few = others.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return (df if unique else df.dropDuplicates([id_col])).join(F.broadcast(others) if few else others, id_col, "left_anti")
+    return df.join(F.broadcast(others) if few else others, id_col, "left_anti")
