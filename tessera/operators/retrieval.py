@@ -10,11 +10,15 @@ with the document's columns for filters.  Results carry an explicit ``rank``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from .filters import SearchFilters
@@ -24,9 +28,16 @@ KEY = ["doc_id", "chunk_index"]
 K1, B = 1.5, 0.75
 
 
+def pinned(queries: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+    """The query table, computed once and with a broadcast hint, and its rows; as it is and None beyond ``BROADCAST_QUERIES`` rows."""
+    rows = queries.limit(BROADCAST_QUERIES + 1).collect()
+    if len(rows) > BROADCAST_QUERIES:
+        return queries, None
+    return F.broadcast(queries.sparkSession.createDataFrame(rows, queries.schema)), rows
+
+
 def small(queries: DataFrame) -> DataFrame:
-    """The query table with a broadcast hint if it is known to be small."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+    return pinned(queries)[0]
 
 
 def top(df: DataFrame, score: Column, limit: int, offset: int = 0, by: str = "query_id", ties: list[str] | None = None) -> DataFrame:
@@ -46,16 +57,32 @@ def matches(queries: DataFrame, chunks: DataFrame, terms: str = "terms") -> Data
     return held.join(small(asked), "word").groupBy("query_id", *KEY).agg(F.count("*").alias("hit"), F.max("n").alias("n")).where("hit = n").select("query_id", *KEY)
 
 
+def asked_terms(queries: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+    """(query_id, terms) of queries that have a term, pinned if they are few."""
+    return pinned(queries.select("query_id", T.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0))
+
+
 def candidates(queries: DataFrame, chunks: DataFrame, filters: SearchFilters | None = None) -> DataFrame:
-    """Query x matching chunk, in one pass over the chunks.
+    """Query x matching chunk, in one pass over the chunks; adds ``terms``, ``low``, ``pad`` and ``dl``.
 
-    Each text is lower-cased, counted and padded once below the join (``low``, ``dl``, ``pad``); a term is then a
-    plain substring test.
+    A chunk meets a query by one word, the query's longest, in an equi-join; whether it holds the other terms is
+    a test of its own row, so nothing is counted by a shuffle.  Texts are lower-cased, padded and measured once.
     """
-    q = small(queries.select("query_id", T.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0))
+    q, rows = asked_terms(queries)
+    lead = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("word"))))["word"]
     pool = chunks.where(filters.predicate()) if filters else chunks
-    pool = pool.withColumns({"low": F.lower("chunk_text"), "dl": T.word_count(F.col("chunk_text")), "pad": T.padded(F.lower("chunk_text"))})
-    return pool.join(q, F.forall("terms", lambda t: F.contains(F.col("pad"), T.word_mark(t))))
+    pool = pool.withColumn("low", F.lower("chunk_text")).withColumns({"pad": T.padded(F.col("low")), "dl": T.word_count(F.col("chunk_text"))})
+    return pool.withColumn("word", F.explode(_present(rows, F.col("pad")))).join(q.withColumn("word", lead), "word").where(F.forall("terms", lambda t: F.contains(F.col("pad"), T.word_mark(t)))).drop("word")
+
+
+def _present(asked: list[Row] | None, pad: Column, by_search: int = 64) -> Column:
+    """Distinct words of a padded text that can be a query's; a few known words are searched for, else the text is split."""
+    held = F.array_distinct(F.split(F.trim(pad), " +"))
+    if asked is None:
+        return held
+    words = sorted({w for r in asked for w in r["terms"]})
+    known = F.lit(words) if words else F.array().cast("array<string>")
+    return F.filter(known, lambda w: F.contains(pad, T.word_mark(w))) if len(words) <= by_search else F.array_intersect(held, known)
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -64,13 +91,9 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return full.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_chunks"), (F.coalesce(F.avg(F.length("chunk_text")), F.lit(1000.0)) / 5).alias("avgdl"))
 
 
-def document_frequency(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(word, df) over all chunks, of all words or only of those in ``asked`` (which are picked before the shuffle)."""
-    words = F.array_distinct(F.split(F.trim(T.padded(F.lower("chunk_text"))), " +"))
-    held = chunks.select(F.explode(words).alias("word")).where("word <> ''")
-    if asked is not None:
-        held = held.join(small(asked.select("word").distinct()), "word")
-    return held.groupBy("word").agg(F.count("*").alias("df"))
+def document_frequency(chunks: DataFrame, asked: list[Row] | None = None) -> DataFrame:
+    """(word, df) over all chunks, of all words or only of the terms in ``asked`` (which are picked before the shuffle)."""
+    return chunks.select(F.explode(_present(asked, T.padded(F.lower("chunk_text")))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("df"))
 
 
 def robertson_idf(n: Column, df: Column) -> Column:
@@ -90,10 +113,12 @@ def bm25_expr(weights: Column, k1: float = K1, b: float = B) -> Column:
 
 def bm25(queries: DataFrame, chunks: DataFrame, *, filters: SearchFilters | None = None, limit: int = 10, offset: int = 0, idf: str = "constant", k1: float = K1, b: float = B, normalized: bool = True) -> DataFrame:
     """Ranked chunks.  ``idf`` is ``constant`` (1.0) or ``robertson``; scores are divided by the page's largest."""
-    found = candidates(queries, chunks, filters).crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
+    queries = small(queries.select("query_id", "text"))
+    stats = F.broadcast(corpus_stats(chunks))  # one row
+    found = candidates(queries, chunks, filters).crossJoin(stats)
     if idf == "robertson":
-        asked = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("word"))
-        known = small(asked).join(document_frequency(chunks, asked), "word", "left").crossJoin(F.broadcast(corpus_stats(chunks)))
+        asked, rows = asked_terms(queries)
+        known = asked.withColumn("word", F.explode("terms")).join(document_frequency(chunks, rows), "word", "left").crossJoin(stats)
         weighed = known.groupBy("query_id").agg(F.collect_list(F.struct(F.col("word").alias("term"), robertson_idf(F.col("n_chunks"), F.coalesce("df", F.lit(0))).alias("idf"))).alias("weights"))
         found = found.join(small(weighed), "query_id")
     else:
@@ -139,49 +164,76 @@ def invalid_vector(vector: Column, dim: int) -> Column:
     return (F.size(vector) != dim) | F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, *, limit: int = 10, offset: int = 0, threshold: float = 0.0, filters: SearchFilters | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Exact nearest neighbours by cosine; a threshold above 0 is strict.  Vectors are never shuffled, only hits are."""
-    pool = vectors.where(filters.predicate()) if filters else vectors
-    q = small(queries.select("query_id", F.col("vector").alias("q")))
-    sim = pool.crossJoin(q).withColumn("similarity", F.round(cosine(F.col(vector_col), F.col("q")), 6)).drop("q", vector_col)
-    if threshold > 0:
-        sim = sim.where(F.col("similarity") > threshold)
-    return top(sim.where("similarity is not null"), F.col("similarity"), limit, offset, ties=[id_col])
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Identifiers and unit vectors of the queries, ``BROADCAST_QUERIES`` at a time, one dimension in each block."""
+    ids, vectors = [], []
 
+    def block() -> tuple[list, np.ndarray]:
+        q = np.array(vectors, dtype=np.float64)
+        norm = np.linalg.norm(q, axis=1)
+        ok = np.isfinite(norm) & (norm > 0)
+        return [i for i, k in zip(ids, ok, strict=True) if k], q[ok] / norm[ok, None]
 
-def knn_batch(queries: DataFrame, vectors: DataFrame, *, limit: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 512) -> DataFrame:
-    """Exact neighbours of many queries by matrix products: each batch of vectors gives its own top ``limit``,
-    and those few are ranked per query.  Queries are collected up to ``BROADCAST_QUERIES`` rows; more are refused."""
-    rows = queries.select("query_id", "vector").orderBy("query_id").limit(BROADCAST_QUERIES + 1).collect()
-    if len(rows) > BROADCAST_QUERIES:
-        raise ValueError(f"split the query table: more than {BROADCAST_QUERIES} rows")
-    q = np.array([r["vector"] for r in rows], dtype=np.float64)
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    if len(q):
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    shared = queries.sparkSession.sparkContext.broadcast((q, ids))
+    for row in queries.select("query_id", "vector").where("vector is not null and size(vector) > 0").toLocalIterator():
+        if ids and (len(ids) == BROADCAST_QUERIES or len(row["vector"]) != len(vectors[0])):
+            yield block()
+            ids, vectors = [], []
+        ids.append(row["query_id"])
+        vectors.append([float("nan") if x is None else x for x in row["vector"]])
+    if ids:
+        yield block()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, ids = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            col = batch.column(1)
-            v = np.asarray(col.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            norm = np.linalg.norm(v, axis=1)
-            ok = norm > 0
-            v, own = v[ok] / norm[ok, None], np.asarray(batch.column(0))[ok]
-            for a in range(0, len(q), block):
-                sim = np.round(q[a : a + block] @ v.T, 6)
-                k = min(limit, sim.shape[1])
-                if not k:
+
+def products(queries: DataFrame, pool: DataFrame, *, limit: int, threshold: float = 0.0, vector_col: str = "embedding", block: int = 512) -> DataFrame:
+    """Rows of ``pool`` (without their vector) near each query, with ``query_id`` and ``similarity``.
+
+    Each batch of vectors meets the queries in matrix products and gives its own best ``limit`` of each, so vectors are
+    never shuffled and only hits leave Python.  More queries than ``BROADCAST_QUERIES`` are asked in blocks of that
+    many, each a pass over the vectors.  Vectors of another dimension or without a length are like nothing.
+    """
+    others = [c for c in pool.columns if c != vector_col]
+    schema = StructType([queries.schema["query_id"], *(pool.schema[c] for c in others), StructField("similarity", DoubleType())])
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    names = schema.names
+
+    def near(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(0)), q.shape[1]), False)
+                batch = batch.filter(fits)
+                if not batch.num_rows:
                     continue
-                least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
-                who, which = np.nonzero(sim >= least)  # ties stay
-                yield pa.record_batch([pa.array(ids[a : a + block][who]), pa.array(own[which]), pa.array(sim[who, which])], names=["query_id", id_col, "similarity"])
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(v, axis=1)
+                own = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+                v = v[own] / norm[own, None]
+                k = min(limit, len(own))
+                for a in range(0, len(q) if k else 0, block):
+                    sim = np.round(q[a : a + block] @ v.T, 6)
+                    good = sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]  # ties stay
+                    who, which = np.nonzero(good & (sim > threshold) if threshold > 0 else good)
+                    rows = batch.take(pa.array(own[which]))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in who], kind), *rows.columns[1:], pa.array(sim[who, which])], names=names)
 
-    near = vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, f"query_id long, {id_col} long, similarity double")
-    return top(near, F.col("similarity"), limit, ties=[id_col])
+        return run
+
+    source = pool.where(F.col(vector_col).isNotNull()).select(vector_col, *others)
+    found = [source.mapInArrow(near(pool.sparkSession.sparkContext.broadcast(q)), schema) for q in _query_blocks(queries) if q[0]]
+    return reduce(DataFrame.unionByName, found) if found else pool.sparkSession.createDataFrame([], schema)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, *, limit: int = 10, offset: int = 0, threshold: float = 0.0, filters: SearchFilters | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Exact nearest neighbours by cosine; a threshold above 0 is strict."""
+    pool = vectors.where(filters.predicate()) if filters else vectors
+    found = products(queries, pool, limit=limit + offset, threshold=threshold, vector_col=vector_col)
+    return top(found, F.col("similarity"), limit, offset, ties=[id_col, *(c for c in KEY if c in pool.columns and c != id_col)])
+
+
+def knn_batch(queries: DataFrame, vectors: DataFrame, *, limit: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 512) -> DataFrame:
+    """Exact neighbours of many queries: identifiers and similarities only."""
+    found = products(queries, vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col), limit=limit, vector_col=vector_col, block=block)
+    return top(found, F.col("similarity"), limit, ties=[id_col])
 
 
 def ivf_assign(vectors: DataFrame, lists: int = 16, *, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 5000, rounds: int = 8, seed: int = 3) -> tuple[DataFrame, np.ndarray]:
@@ -202,6 +254,28 @@ def ivf_assign(vectors: DataFrame, lists: int = 16, *, id_col: str = "vec_id", v
     return vectors.withColumn("list", best["list"]), centers
 
 
+class IvfIndex:
+    """A stored inverted-list index: vectors partitioned by list, and the lists' centres, both as Parquet.
+
+    Every vector is indexed, those without a direction in no list.  A search reads only the partitions of the lists
+    that some query probes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, vectors: DataFrame, lists: int = 16, **options) -> IvfIndex:
+        assigned, centers = ivf_assign(vectors, lists, **options)
+        assigned.repartition("list", F.pmod(F.xxhash64(*[c for c in vectors.columns if c != options.get("vector_col", "embedding")]), F.lit(8))).write.mode("overwrite").partitionBy("list").parquet(f"{self.path}/vectors")
+        rows = [(k, [float(x) for x in c]) for k, c in enumerate(centers)]
+        self.spark.createDataFrame(rows, "list int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centers")
+        return self
+
+    def search(self, queries: DataFrame, *, probes: int = 12, limit: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/centers").orderBy("list").collect()  # a row for each list
+        return knn_ivf(queries, self.spark.read.parquet(f"{self.path}/vectors"), np.array([r["center"] for r in rows]), probes=probes, limit=limit, id_col=id_col, vector_col=vector_col)
+
+
 def knn_ivf(queries: DataFrame, assigned: DataFrame, centers: np.ndarray, *, probes: int = 4, limit: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Approximate neighbours: only the ``probes`` lists nearest to each query are read.
 
@@ -242,6 +316,7 @@ def knn_ivf(queries: DataFrame, assigned: DataFrame, centers: np.ndarray, *, pro
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_kind = to_arrow_type(queries.schema["query_id"].dataType)
-    pool = assigned.where((F.size(vector_col) == q.shape[1]) & F.col("list").isNotNull()).select(id_col, vector_col, "list")
+    asked = sorted(set(lists.ravel().tolist()))
+    pool = assigned.where((F.size(vector_col) == q.shape[1]) & F.col("list").isin(asked)).select(id_col, vector_col, "list")
     near = pool.mapInArrow(run, f"query_id {kind}, {id_col} {pool.schema[id_col].dataType.simpleString()}, similarity double")
     return top(near, F.col("similarity"), limit, ties=[id_col])
