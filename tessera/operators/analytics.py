@@ -201,3 +201,18 @@ def keywords(df: DataFrame, n: int = 20) -> DataFrame:
     counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))
     return counts.withColumn("rank", rank).where((F.col("rank") <= n) & (F.col("n") > 1)).select("doc_id", "word", "n", "rank")
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *, least: float, text_col: str = "text") -> DataFrame:
+    """(left_id, right_id, overlap) of texts whose Jaccard similarity over distinct words is ``least`` or more.
+
+    An inverted join: common words are counted per pair and the sizes of both sets do the rest, so no two texts meet
+    that share no word.
+    """
+
+    def words(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.array_distinct(T.words(T.normalize(F.col(text_col)))).alias("w")).select(key, F.size("w").alias(f"n_{key}"), F.explode("w").alias("word"))
+
+    common = words(left, left_id).join(words(right, right_id), "word").groupBy(left_id, right_id, f"n_{left_id}", f"n_{right_id}").agg(F.count("*").alias("common"))
+    overlap = F.round(F.col("common") / (F.col(f"n_{left_id}") + F.col(f"n_{right_id}") - F.col("common")), 6)
+    return common.select(left_id, right_id, overlap.alias("overlap")).where(F.col("overlap") >= least)

@@ -301,7 +301,7 @@ def best_quotes(citations: DataFrame, quotes: DataFrame) -> DataFrame:
 def question(claim: Column) -> Column:
     """A verification question by rule; where several templates fit, a hash of the claim decides."""
     low = F.lower(claim)
-    return F.when(low.rlike("[0-9]"), F.concat(F.lit("Which figure do the sources give: "), claim, F.lit("?"))).when(low.rlike(r"\b(because|due to|causes?)\b"), F.concat(F.lit("Do the sources name this cause: "), claim, F.lit("?"))).when(F.pmod(F.xxhash64(claim), F.lit(2)) == 0, F.concat(F.lit("Is it stated that "), claim, F.lit("?"))).otherwise(F.concat(F.lit("Do the sources confirm: "), claim, F.lit("?")))
+    return F.when(low.rlike("[0-9]"), F.concat(F.lit("Which figure do the sources give: "), claim, F.lit("?"))).when(low.rlike(r"\b(because|due to|causes?)\b"), F.concat(F.lit("Do the sources name this cause: "), claim, F.lit("?"))).when(F.substring(F.md5(claim), 32, 1).isin(*"02468ace"), F.concat(F.lit("Is it stated that "), claim, F.lit("?"))).otherwise(F.concat(F.lit("Do the sources confirm: "), claim, F.lit("?")))
 
 
 def proposition_details(scored: DataFrame) -> DataFrame:

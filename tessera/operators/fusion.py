@@ -102,9 +102,12 @@ def dedup_semantic(hits: DataFrame, *, threshold: float = 0.95, vector_col: str
     return _per_query(hits, keep)
 
 
-def deduplicate(hits: DataFrame, *, threshold: float = 0.95, semantic_rows: int = 100, vector_col: str = "embedding") -> DataFrame:
-    """By key, by content, and by meaning for queries that then have at most ``semantic_rows`` rows."""
-    out = dedup_content(dedup_key(hits)).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+def deduplicate(hits: DataFrame, *, threshold: float = 0.95, semantic_rows: int | None = 100, vector_col: str = "embedding") -> DataFrame:
+    """By key, by content, and by meaning for queries that then have at most ``semantic_rows`` rows (None: any number)."""
+    out = dedup_content(dedup_key(hits))
+    if semantic_rows is None:
+        return dedup_semantic(out, threshold=threshold, vector_col=vector_col)
+    out = out.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     few = dedup_semantic(out.where(F.col("n") <= semantic_rows), threshold=threshold, vector_col=vector_col)
     return few.unionByName(out.where(F.col("n") > semantic_rows)).drop("n")
 
@@ -171,10 +174,10 @@ def rerank(hits: DataFrame, *, top_k: int = 50, raw: Column | None = None) -> Da
 
 
 def pipeline(hits: DataFrame, *, final_top_k: int = 10, rerank_top_k: int = 50, raw: Column | None = None, dedup: bool = True, use_mmr: bool = True, trade: float = 0.7, threshold: float = 0.95) -> DataFrame:
-    """Rerank, deduplicate by key, content and meaning, diversify."""
+    """Rerank, deduplicate by key, content and meaning (whatever the number of rows), diversify."""
     out = rerank(hits, top_k=rerank_top_k, raw=raw)
     if dedup:
-        out = dedup_semantic(dedup_content(dedup_key(out)), threshold=threshold)
+        out = deduplicate(out, threshold=threshold, semantic_rows=None)
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", chunk_key())))
     if use_mmr:
         return mmr(out, top_k=final_top_k, trade=trade)

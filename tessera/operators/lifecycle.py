@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +108,15 @@ def orphans(files: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame
     return files.join(docs.where(~F.col("is_deleted")).select(key), key, "left_anti")
 
 
-def duplicate_uploads(uploads: DataFrame, live: DataFrame) -> DataFrame:
-    """Uploads whose checksum a live document has."""
-    return uploads.join(live.select("checksum").distinct(), "checksum", "left_semi")
+def duplicate_uploads(uploads: DataFrame, live: DataFrame, order: str | None = None) -> DataFrame:
+    """Uploads whose checksum a live document has; with ``order``, one that comes before the upload in that column.
+
+    So a table can be checked against itself: of each group of equal files, all but the first live one are found.
+    """
+    if order is None:
+        return uploads.join(live.select("checksum").distinct(), "checksum", "left_semi")
+    first = live.groupBy("checksum").agg(F.min(order).alias("__first"))
+    return uploads.join(first, "checksum").where(F.col("__first") < F.col(order)).drop("__first")
 
 
 def soft_delete(docs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
@@ -158,27 +167,33 @@ def violations(docs: DataFrame, versions: DataFrame, chunks: DataFrame, queue: D
 def breaker(events: DataFrame, *, failures: int = 5, recovery_seconds: float = 30.0, probes: int = 3) -> DataFrame:
     """Replay a circuit breaker over ordered calls; input: store, at (seconds), ok.  Adds state and whether the call was let through.
 
-    The state after a call depends on all calls before it, so each store's calls are folded in order, batch by batch.
+    The state after a call depends on all calls before it.  Calls are sorted by store and time, and each task folds its
+    stores batch by batch with a few numbers of state, so a store of any length needs no more memory than a batch.
     """
-    import pandas as pd
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable", ignore_index=True)
-        state, bad, good, opened, out = "CLOSED", 0, 0, 0.0, []
-        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
-            if state == "OPEN" and at - opened >= recovery_seconds:
-                state, good = "HALF_OPEN", 0
-            through = state != "OPEN"
-            if through and ok:
-                bad, good = 0, good + 1
-                if state == "HALF_OPEN" and good >= probes:
-                    state = "CLOSED"
-            elif through:
-                bad += 1
-                if state == "HALF_OPEN" or bad >= failures:
-                    state, opened = "OPEN", at
-            out.append((state, through))
-        pdf["state"], pdf["allowed"] = zip(*out, strict=True) if out else ((), ())
-        return pdf[["store", "at", "ok", "state", "allowed"]]
-
-    return events.select("store", "at", "ok").groupBy("store").applyInPandas(replay, "store string, at double, ok boolean, state string, allowed boolean")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, state, bad, good, opened = None, "", 0, 0, 0.0
+        for batch in batches:
+            names, ats, oks = (c.to_pylist() for c in batch.columns)
+            states, let = [], []
+            for name, at, ok in zip(names, ats, oks, strict=True):
+                if not state or name != store:
+                    store, state, bad, good, opened = name, "CLOSED", 0, 0, 0.0
+                if state == "OPEN" and at - opened >= recovery_seconds:
+                    state, good = "HALF_OPEN", 0
+                through = state != "OPEN"
+                if through and ok:
+                    bad, good = 0, good + 1
+                    if state == "HALF_OPEN" and good >= probes:
+                        state = "CLOSED"
+                elif through:
+                    bad += 1
+                    if state == "HALF_OPEN" or bad >= failures:
+                        state, opened = "OPEN", at
+                states.append(state)
+                let.append(through)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string()), pa.array(let, pa.bool_())], names=["store", "at", "ok", "state", "allowed"])
+
+    calls = events.select(F.col("store").cast("string").alias("store"), F.col("at").cast("double").alias("at"), F.col("ok").cast("boolean").alias("ok"))
+    ordered = calls.repartition("store").sortWithinPartitions("store", "at", F.col("ok").desc())
+    return ordered.mapInArrow(replay, "store string, at double, ok boolean, state string, allowed boolean")

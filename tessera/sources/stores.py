@@ -13,6 +13,7 @@ from ..functions import paths
 from ..operators import retrieval
 from ..operators.filters import payload
 from ..operators.lifecycle import latest
+from ..session import shared_dir
 
 BUCKETS = 64
 
@@ -48,6 +49,7 @@ def write_chunks(chunks: DataFrame, path: str, *, n: int = BUCKETS) -> None:
         touched = new.select("bucket").distinct()
         kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
         # checkpoint() cuts the read of files that this job replaces
+        shared_dir(spark)
         new = new.unionByName(kept.select(*new.columns)).checkpoint()
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
@@ -74,9 +76,10 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def legacy_matches(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """Files of an old tree matched with rows by name and size."""
+    """Files of an old tree matched with rows by name and size; of rows that agree in both, the first identifier."""
     named = files.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
-    return named.join(docs.select("doc_id", "name", F.col("file_size").alias("length")), ["name", "length"], "left")
+    known = docs.groupBy("name", F.col("file_size").alias("length")).agg(F.min("doc_id").alias("doc_id"))
+    return named.join(known, ["name", "length"], "left")
 
 
 def migration_plan(files: DataFrame, docs: DataFrame, workspace: str) -> DataFrame:
