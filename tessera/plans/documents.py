@@ -45,7 +45,7 @@ QUERIES = {
     "queue_claim": lambda s, d: L.queue_claim(V.queue(s, d), V.queue_now(), 50).select("item_id", "priority", "scheduled_at"),
     "queue_summary": lambda s, d: L.queue_summary(V.queue(s, d), V.queue_now()),
     "orphan_files": lambda s, d: L.orphans(table(s, d, "labels").select("doc_id", "quality"), V.docs(s, d)),
-    "duplicate_uploads": lambda s, d: L.duplicate_uploads(V.docs(s, d).where("doc_id % 2 = 1").select("doc_id", "checksum"), V.docs(s, d).where("doc_id % 2 = 0 AND NOT is_deleted")).select("doc_id", "checksum"),
+    "duplicate_uploads": lambda s, d: L.duplicate_uploads(V.docs(s, d).select("doc_id", "checksum"), V.docs(s, d).where("NOT is_deleted").select("doc_id", "checksum"), order="doc_id").select("doc_id", "checksum"),
     "purge_due": lambda s, d: L.purge(V.docs(s, d), V.now()).select("doc_id", "deleted_at"),
     "soft_delete": lambda s, d: L.soft_delete(V.docs(s, d), V.docs(s, d).where("doc_id % 3 = 0").select("doc_id"), V.now()).select("doc_id", "status", "is_deleted", "deleted_at"),
     "access_counts": lambda s, d: L.access_counts(V.reports(s, d)),
@@ -95,7 +95,7 @@ SQL = {
     "queue_claim": f"WITH {V.QUEUE_SQL} SELECT item_id, priority, scheduled_at FROM queue WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {V.QUEUE_NOW_SQL}) ORDER BY priority, scheduled_at, item_id LIMIT 50",
     "queue_summary": f"WITH {V.QUEUE_SQL} SELECT status, count(*) AS count, round(avg(epoch({V.QUEUE_NOW_SQL}) - epoch(created_at)), 3) AS avg_age_seconds, min(created_at) AS oldest_item FROM queue GROUP BY status",
     "orphan_files": f"WITH {V.DOCS_SQL} SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = l.doc_id AND NOT d.is_deleted)",
-    "duplicate_uploads": f"WITH {V.DOCS_SQL} SELECT doc_id, checksum FROM docs WHERE doc_id % 2 = 1 AND checksum IN (SELECT checksum FROM docs WHERE doc_id % 2 = 0 AND NOT is_deleted)",
+    "duplicate_uploads": f"WITH {V.DOCS_SQL} SELECT doc_id, checksum FROM docs JOIN (SELECT checksum, min(doc_id) AS first FROM docs WHERE NOT is_deleted GROUP BY checksum) USING (checksum) WHERE first < doc_id",
     "purge_due": f"WITH {V.DOCS_SQL} SELECT doc_id, deleted_at FROM docs WHERE is_deleted AND deleted_at < {V.NOW_SQL} - INTERVAL 30 DAY",
     "soft_delete": f"WITH {V.DOCS_SQL}, g AS (SELECT *, doc_id % 3 = 0 AND status <> 'processing' AND NOT is_deleted AS go FROM docs) SELECT doc_id, status, is_deleted OR go AS is_deleted, CASE WHEN go THEN {V.NOW_SQL} ELSE deleted_at END AS deleted_at FROM g",
     "access_counts": f"WITH {V.EVENTS_SQL} SELECT doc_id, count(*) AS access_count, max(\"at\") AS last_accessed_at FROM reports GROUP BY doc_id",

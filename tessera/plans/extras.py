@@ -47,10 +47,10 @@ QUERIES = {
     "page_analysis": lambda s, d: files.page_analysis(_pages(s, d)).withColumn("parsers", F.array_join(files.parsers_for(F.col("images"), F.col("has_text")), "+")),
     "page_text": lambda s, d: files.page_text(_pages(s, d)).select("doc_id", F.sha2("text", 256).alias("text")),
     "page_ranges": lambda s, d: files.page_ranges(V.docs(s, d).select("doc_id", F.floor(F.col("file_size") / 40).cast("int").alias("pages"))),
-    "merge_parses": lambda s, d: files.merge_parses(V.docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 50).alias("text"), F.lit(0.9).alias("confidence")), V.docs(s, d).where("doc_id % 3 = 0").select("doc_id", F.lit("image").alias("text"), F.lit(0.5).alias("confidence"))).select("doc_id", "confidence", F.length("text").alias("chars")),
+    "merge_parses": lambda s, d: files.merge_parses(V.docs(s, d).select("doc_id", "text", F.lit(0.9).alias("confidence")), V.docs(s, d).where("mime_type = 'application/pdf'").select("doc_id", F.lit("image").alias("text"), F.lit(0.5).alias("confidence"))).select("doc_id", "confidence", F.length("text").alias("chars")),
     "fallback_metadata": lambda s, d: P.fallback_metadata(V.docs(s, d)),
     "mapped_metadata": lambda s, d: P.mapped_metadata(_service(s, d)).select("doc_id", "title", "language", "document_type", "content_quality", F.round("extraction_quality", 4).alias("extraction_quality"), F.round("completeness", 4).alias("completeness")),
-    "metadata_fallback": lambda s, d: files.with_fallback(V.docs(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit("service").alias("title"), F.lit(None).cast("string").alias("language")), V.docs(s, d).select("doc_id", F.lit("own").alias("title"), F.col("lang").alias("language")), ["title", "language"]),
+    "metadata_fallback": lambda s, d: files.with_fallback(V.docs(s, d).where("status = 'completed'").select("doc_id", F.lit("service").alias("title"), F.lit(None).cast("string").alias("language")), V.docs(s, d).select("doc_id", F.lit("own").alias("title"), F.col("lang").alias("language")), ["title", "language"]),
     "storage_names": lambda s, d: V.docs(s, d).select("doc_id", paths.numbered(F.concat("source", F.lit(".txt")), F.row_number().over(_by_source()) - 1).alias("file")),
     "embedding_status": lambda s, d: A.embedding_status(V.chunks(s, d)),
     "check_rollup": lambda s, d: A.check_rollup(A.coverage(V.chunks(s, d)).select("valid").unionByName(A.dimensions(table(s, d, "embeddings"), 64).select((~F.col("mismatch")).alias("valid")))),
@@ -83,8 +83,8 @@ SQL = {
     "page_analysis": f"WITH {_PAGES}, a AS (SELECT doc_id, count(*) AS pages, CAST(sum(n_images) AS BIGINT) AS images, sum(n_chars) > 0 AS has_text, CAST(sum((n_chars = 0)::INT) AS BIGINT) AS ocr_pages FROM pg GROUP BY doc_id) SELECT *, CASE WHEN images BETWEEN 3 AND 10 OR (NOT has_text AND images > 0) THEN 'text+vision' ELSE 'text' END AS parsers FROM a",
     "page_text": f"WITH {_PAGES} SELECT doc_id, sha256(string_agg(chr(10) || '--- Page ' || page || ' ---' || chr(10) || text, '' ORDER BY page)) AS text FROM pg GROUP BY doc_id",
     "page_ranges": "WITH p AS (SELECT doc_id, CAST(greatest(n_chars // 40, 1) AS INTEGER) AS pages, CASE WHEN n_chars // 40 > 100 THEN 50 ELSE CAST(greatest(n_chars // 40, 1) AS INTEGER) END AS step FROM documents), r AS (SELECT doc_id, unnest(range(1, pages + 1, step)) AS first_page, pages, step FROM p) SELECT doc_id, CAST(first_page AS INTEGER) AS first_page, CAST(least(first_page + step - 1, pages) AS INTEGER) AS last_page FROM r",
-    "merge_parses": "SELECT doc_id, round(CASE WHEN doc_id % 6 = 0 THEN 0.7::DOUBLE * 0.9::DOUBLE + 0.3::DOUBLE * 0.5::DOUBLE WHEN doc_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END, 4) AS confidence, CAST(CASE WHEN doc_id % 6 = 0 THEN length(substr(text, 1, 50)) + 26 + 5 WHEN doc_id % 2 = 0 THEN length(substr(text, 1, 50)) ELSE 5 END AS INTEGER) AS chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
-    "metadata_fallback": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'service' ELSE 'own' END AS title, lang AS language FROM documents",
+    "merge_parses": f"WITH {V.DOCS_SQL} SELECT doc_id, round(CASE WHEN mime_type = 'application/pdf' THEN 0.7::DOUBLE * 0.9::DOUBLE + 0.3::DOUBLE * 0.5::DOUBLE ELSE 0.9::DOUBLE END, 4) AS confidence, CAST(length(text) + CASE WHEN mime_type <> 'application/pdf' THEN 0 WHEN text = '' THEN 5 ELSE 26 + 5 END AS INTEGER) AS chars FROM docs",
+    "metadata_fallback": f"WITH {V.DOCS_SQL} SELECT doc_id, CASE WHEN status = 'completed' THEN 'service' ELSE 'own' END AS title, lang AS language FROM docs",
     "mapped_metadata": "SELECT doc_id, 'Report ' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS language, 'manual' AS document_type, CASE WHEN doc_id % 4 = 0 THEN 'high' WHEN doc_id % 11 >= 9 THEN 'excellent' WHEN doc_id % 11 >= 7 THEN 'high' WHEN doc_id % 11 >= 5 THEN 'medium' WHEN doc_id % 11 >= 3 THEN 'low' ELSE 'poor' END AS content_quality, round((least((doc_id % 13) / 10.0::DOUBLE, 1.0::DOUBLE) + 0.5::DOUBLE) / 2, 4) AS extraction_quality, round((3 + (doc_id % 3 <> 2)::INT + (doc_id % 4 <> 0)::INT) / 10.0::DOUBLE, 4) AS completeness FROM documents",
     "storage_names": "SELECT doc_id, source || CASE WHEN k = 1 THEN '' ELSE '_' || (k - 1) END || '.txt' AS file FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)",
     "embedding_status": f"WITH {V.CHUNKS_SQL} SELECT doc_id, count(*) AS chunks, count(embedding) AS with_vector, round(100.0::DOUBLE * count(embedding) / count(*), 2) AS percent FROM chunks GROUP BY doc_id",

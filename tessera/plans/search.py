@@ -54,16 +54,19 @@ def _variations(s, d):
 
 
 def _claims(s, d):
-    """Benchmark texts as claims of answers; the answer is the item."""
+    """Every sentence of five words or more of a benchmark text, as a claim of an answer; the answer is the item."""
     b = table(s, d, "benchmark")
-    return b.select(F.col("item_id").alias("answer_id"), F.posexplode(F.slice(T.sentences(F.col("text"), 5), 1, 3)).alias("prop", "text"))
+    return b.select(F.col("item_id").alias("answer_id"), F.posexplode(T.sentences(F.col("text"), 5)).alias("prop", "text"))
 
 
 def _passages(s, d):
-    """For each item: documents that hold its first sentence, else those with the same remainder."""
-    docs = table(s, d, "documents").where("doc_id % 5 = 0")
-    p = docs.select((F.col("doc_id") % 40).alias("answer_id"), F.concat(F.lit("p"), F.col("doc_id")).alias("passage_id"), "text", F.round(1 / (1 + F.col("doc_id") % 7), 4).alias("score"))
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.concat(F.lit("b"), F.col("item_id")).alias("passage_id"), F.concat(F.col("text"), F.lit(" Extra words follow.")).alias("text"), F.lit(0.9).alias("score")).where("answer_id % 2 = 0")
+    """For each item: all documents that share three words in a row with one of its claims, and the item itself."""
+    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(T.ngrams(F.col("text"), 3))).alias("gram"))
+    docs = table(s, d, "documents")
+    met = grams(docs, "doc_id").join(grams(_claims(s, d), "answer_id").distinct(), "gram").select("doc_id", "answer_id").distinct()
+    score = F.round(1 / (1 + F.col("doc_id") % 7), 4).alias("score")  # a retrieval's score
+    p = docs.select("doc_id", "text").join(met, "doc_id").select("answer_id", F.concat(F.lit("p"), F.col("doc_id")).alias("passage_id"), "text", score)
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.concat(F.lit("b"), F.col("item_id")).alias("passage_id"), F.concat(F.col("text"), F.lit(" Extra words follow.")).alias("text"), F.lit(0.9).alias("score"))
     return p.unionByName(b)
 
 
@@ -172,11 +175,11 @@ def _knn_sql(where="TRUE", limit=10):
     return f"WITH {V.QUERIES_SQL}, s AS (SELECT q.query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.vector')} AS similarity FROM embeddings e, queries q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE {where}) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= {limit}"
 
 
-_NEARS = f"nears AS (SELECT q.query_id, c.doc_id, c.chunk_index, c.mime_type, c.quality, c.tags, {_COS.format(a='c.embedding', b='q.vector')} AS similarity FROM chunks c, queries q WHERE c.embedding IS NOT NULL), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM nears)"
+_NEARS = f"nears AS (SELECT q.query_id, c.doc_id, c.chunk_index, c.mime_type, c.quality, c.tags, {_COS.format(a='c.embedding', b='q.vector')} AS similarity FROM chunks c, queries q WHERE c.embedding IS NOT NULL), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id, chunk_index) AS rank FROM nears)"
 
 
 def _rrf_sql(kw="0.5", vw="0.5", n=100):
-    return f"rrf AS (SELECT query_id, doc_id, doc_id || '_0' AS key, a.rank AS keyword_rank, b.rank AS vector_rank, coalesce({kw}::DOUBLE / (60 + a.rank), 0) + coalesce({vw}::DOUBLE / (60 + b.rank), 0) AS raw FROM (SELECT * FROM bmr WHERE rank <= {n}) a FULL JOIN (SELECT * FROM near WHERE rank <= {n}) b USING (query_id, doc_id)), fused AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id) + 1e-9, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, key) AS rank FROM rrf)"
+    return f"rrf AS (SELECT query_id, doc_id, doc_id || '_' || chunk_index AS key, a.rank AS keyword_rank, b.rank AS vector_rank, coalesce({kw}::DOUBLE / (60 + a.rank), 0) + coalesce({vw}::DOUBLE / (60 + b.rank), 0) AS raw FROM (SELECT * FROM bmr WHERE rank <= {n}) a FULL JOIN (SELECT * FROM near WHERE rank <= {n}) b USING (query_id, doc_id, chunk_index)), fused AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id) + 1e-9, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, key) AS rank FROM rrf)"
 
 
 _HYBRID = f"WITH {_bm25_sql()}, {_NEARS}, "
@@ -192,16 +195,16 @@ _PROFILES = ", ".join(f"('{p[0]}', {p[3]}::DOUBLE, {p[4]}::DOUBLE, {p[5]}::DOUBL
 _CSENT = "list_filter(list_transform(regexp_extract_all(chunk_text, '[^.!?]+[.!?]*'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
 SQL = {
-    "keyword_search": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_CAND}, r AS (SELECT query_id, doc_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, len(list_filter(toks, lambda w: list_contains(terms, w)))::DOUBLE AS raw FROM cand)) " + _page("r", 0, 20, "0.6::DOUBLE", "0.4::DOUBLE"),
+    "keyword_search": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_CAND}, r AS (SELECT query_id, doc_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id, chunk_index) AS rank FROM (SELECT query_id, doc_id, chunk_index, len(list_filter(toks, lambda w: list_contains(terms, w)))::DOUBLE AS raw FROM cand)) " + _page("r", 0, 20, "0.6::DOUBLE", "0.4::DOUBLE"),
     "keyword_count": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_CAND} SELECT query_id, count(*) AS matches FROM cand GROUP BY query_id",
-    "keyword_search_docs": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {V.TEXTS_SQL}, terms AS (SELECT query_id, {_TERMS} AS terms FROM queries), pool AS (SELECT doc_id, -1 AS chunk_index, text AS chunk_text, 0 AS part FROM texts UNION ALL SELECT doc_id, chunk_index, chunk_text, 1 FROM chunks), tok AS (SELECT *, {_TOK} AS toks FROM pool), r AS (SELECT query_id, part, doc_id, chunk_index, raw, row_number() OVER (PARTITION BY query_id, part ORDER BY raw DESC, doc_id) AS rank FROM (SELECT q.query_id, t.part, t.doc_id, t.chunk_index, len(list_filter(t.toks, lambda w: list_contains(q.terms, w)))::DOUBLE AS raw FROM tok t JOIN terms q ON list_has_all(t.toks, q.terms))), p AS (SELECT *, round(0.6::DOUBLE + 0.4::DOUBLE * raw / max(raw) OVER (PARTITION BY query_id, part), 4) AS score FROM r WHERE rank <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, part, chunk_index) AS rn FROM p), f AS (SELECT query_id, doc_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o WHERE rn = 1) SELECT * FROM f WHERE rank <= 10",
+    "keyword_search_docs": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {V.TEXTS_SQL}, terms AS (SELECT query_id, {_TERMS} AS terms FROM queries), pool AS (SELECT doc_id, -1 AS chunk_index, text AS chunk_text, 0 AS part FROM texts UNION ALL SELECT doc_id, chunk_index, chunk_text, 1 FROM chunks), tok AS (SELECT *, {_TOK} AS toks FROM pool), r AS (SELECT query_id, part, doc_id, chunk_index, raw, row_number() OVER (PARTITION BY query_id, part ORDER BY raw DESC, doc_id, chunk_index) AS rank FROM (SELECT q.query_id, t.part, t.doc_id, t.chunk_index, len(list_filter(t.toks, lambda w: list_contains(q.terms, w)))::DOUBLE AS raw FROM tok t JOIN terms q ON list_has_all(t.toks, q.terms))), p AS (SELECT *, round(0.6::DOUBLE + 0.4::DOUBLE * raw / max(raw) OVER (PARTITION BY query_id, part), 4) AS score FROM r WHERE rank <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, part, chunk_index) AS rn FROM p), f AS (SELECT query_id, doc_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o WHERE rn = 1) SELECT * FROM f WHERE rank <= 10",
     "bm25_topk": f"WITH {_bm25_sql()} " + _page("bmr", 0, 20),
     "bm25_page2": f"WITH {_bm25_sql()} " + _page("bmr", 10, 20),
     "bm25_filtered": f"WITH {_bm25_sql(where="c.mime_type IN ('text/plain', 'text/csv') AND c.quality >= 0.05 AND list_has_any(c.tags, ['en', 'de'])")} " + _page("bmr", 0, 10),
     "bm25_robertson_topk": f"WITH {_bm25_sql(idf='greatest(0.0::DOUBLE, ln((s.n - coalesce(df.df, 0) + 0.5::DOUBLE) / (coalesce(df.df, 0) + 0.5::DOUBLE) + 1))')} " + _page("bmr", 0, 20),
     "knn_topk": _knn_sql(),
     "knn_threshold": _knn_sql("similarity > 0.2", 50),
-    "knn_filtered": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, r AS (SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM nears WHERE mime_type IN ('text/plain', 'text/csv') AND quality >= 0.05 AND list_has_any(tags, ['en', 'de'])) SELECT * FROM r WHERE rank <= 10",
+    "knn_filtered": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, r AS (SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id, chunk_index) AS rank FROM nears WHERE mime_type IN ('text/plain', 'text/csv') AND quality >= 0.05 AND list_has_any(tags, ['en', 'de'])) SELECT * FROM r WHERE rank <= 10",
     "knn_batch": f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 5",
     "embedding_coverage": f"WITH {V.CHUNKS_SQL} SELECT count(*) AS chunks, count(embedding) AS with_vector, round(100.0::DOUBLE * count(embedding) / count(*), 2) AS percent, round(100.0::DOUBLE * count(embedding) / count(*), 2) >= 80 AS valid FROM chunks",
     "embedding_dims": "SELECT 'default' AS model, CAST(len(embedding) AS INTEGER) AS dims, count(*) AS vectors, len(embedding) <> 1024 AS mismatch FROM embeddings GROUP BY len(embedding)",
@@ -209,13 +212,13 @@ SQL = {
     "rrf_fuse": _HYBRID + _rrf_sql() + " SELECT query_id, key, keyword_rank, vector_rank, score, rank FROM fused",
     "hybrid_search": _HYBRID + _rrf_sql() + " SELECT query_id, doc_id, keyword_rank, vector_rank, score, rank FROM fused WHERE rank <= 10",
     "hybrid_page2": _HYBRID + _rrf_sql("0.7", "0.3") + " SELECT query_id, doc_id, score, rank FROM fused WHERE rank > 10 AND rank <= 20",
-    "multi_query_fuse": f"WITH {_bm25_sql()}, g AS (SELECT CASE WHEN query_id <= 2 THEN 1 ELSE 2 END AS group_id, * FROM bmr WHERE rank <= 30), a AS (SELECT group_id, doc_id, count(*) AS frequency, round(count(*) * 2.0::DOUBLE + avg(1 / (rank + 60)::DOUBLE), 12) AS raw, min(row(query_id, rank)) AS first FROM g GROUP BY 1, 2), r AS (SELECT group_id, doc_id, frequency, round(raw / max(raw) OVER (PARTITION BY group_id), 6) AS score, row_number() OVER (PARTITION BY group_id ORDER BY raw DESC, first) AS rank FROM a) SELECT * FROM r WHERE rank <= 20",
-    "dedup_chunk_id": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, k AS (SELECT query_id, doc_id % 20 AS doc_id, similarity AS score, rank FROM near WHERE rank <= 30), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, rank) AS rn, min(rank) OVER (PARTITION BY query_id, doc_id) AS place FROM k) SELECT query_id, doc_id, score, place AS rank FROM b WHERE rn = 1",
+    "multi_query_fuse": f"WITH {_bm25_sql()}, g AS (SELECT CASE WHEN query_id <= 2 THEN 1 ELSE 2 END AS group_id, * FROM bmr WHERE rank <= 30), a AS (SELECT group_id, doc_id, chunk_index, count(*) AS frequency, round(count(*) * 2.0::DOUBLE + avg(1 / (rank + 60)::DOUBLE), 12) AS raw, min(row(query_id, rank)) AS first FROM g GROUP BY 1, 2, 3), r AS (SELECT group_id, doc_id, frequency, round(raw / max(raw) OVER (PARTITION BY group_id), 6) AS score, row_number() OVER (PARTITION BY group_id ORDER BY raw DESC, first) AS rank FROM a) SELECT * FROM r WHERE rank <= 20",
+    "dedup_chunk_id": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, k AS (SELECT query_id, doc_id % 20 AS doc_id, chunk_index, similarity AS score, rank FROM near WHERE rank <= 30), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_index ORDER BY score DESC, rank) AS rn, min(rank) OVER (PARTITION BY query_id, doc_id, chunk_index) AS place FROM k) SELECT query_id, doc_id, score, place AS rank FROM b WHERE rn = 1",
     "dedup_content_hash": f"WITH {V.CHUNKS_SQL}, h AS (SELECT doc_id, sha256(lower(trim(regexp_replace(chunk_text, '\\s+', ' ', 'g')))) AS content_hash FROM chunks) SELECT min(doc_id) AS doc_id, content_hash FROM h GROUP BY content_hash",
     "dedup_stats": f"WITH {V.CHUNKS_SQL}, h AS (SELECT doc_id % 2 AS query_id, sha256(lower(trim(regexp_replace(chunk_text, '\\s+', ' ', 'g')))) AS h FROM chunks) SELECT query_id, count(*) AS original, count(DISTINCT h) AS kept, count(*) - count(DISTINCT h) AS removed, round((count(*) - count(DISTINCT h)) / count(*)::DOUBLE, 4) AS rate FROM h GROUP BY query_id",
-    "diversity_score": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, v AS (SELECT n.query_id, n.rank, CAST(c.embedding AS DOUBLE[]) AS v FROM near n JOIN chunks c USING (doc_id) WHERE n.rank <= 60) SELECT a.query_id, round(1 - avg(list_cosine_similarity(a.v, b.v)), 6) AS diversity FROM v a JOIN v b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY a.query_id",
+    "diversity_score": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, v AS (SELECT n.query_id, n.rank, CAST(c.embedding AS DOUBLE[]) AS v FROM near n JOIN chunks c USING (doc_id, chunk_index) WHERE n.rank <= 60) SELECT a.query_id, round(1 - avg(list_cosine_similarity(a.v, b.v)), 6) AS diversity FROM v a JOIN v b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY a.query_id",
     "rerank_order": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_NEARS}, s AS (SELECT query_id, doc_id, round(1 / (1 + exp(-(similarity * 6 - doc_id % 3))), 4) AS score, rank AS old FROM near WHERE rank <= 60), r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM s) SELECT * FROM r WHERE rank <= 20",
-    "citation_sentences": f"WITH {V.CHUNKS_SQL}, s AS (SELECT doc_id, {_CSENT} AS s FROM chunks), p AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM s), n AS (SELECT *, len({_WORDS.format('sentence')}) AS n FROM p), c AS (SELECT doc_id, pos, sentence, round((CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN n BETWEEN 15 AND 30 THEN 0.1::DOUBLE WHEN n BETWEEN 10 AND 40 THEN 0.05::DOUBLE ELSE 0 END), 2) AS score FROM n WHERE n BETWEEN 10 AND 50), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c) SELECT doc_id, rank, CAST(pos AS INTEGER) AS pos, score, sha256(CASE WHEN length(sentence) > 500 THEN substr(sentence, 1, 497) || '...' ELSE sentence END) AS sentence FROM r WHERE rank <= 3",
+    "citation_sentences": f"WITH {V.CHUNKS_SQL}, s AS (SELECT doc_id, chunk_index, {_CSENT} AS s FROM chunks), p AS (SELECT doc_id, chunk_index, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM s), n AS (SELECT *, len({_WORDS.format('sentence')}) AS n FROM p), c AS (SELECT doc_id, chunk_index, pos, sentence, round((CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN n BETWEEN 15 AND 30 THEN 0.1::DOUBLE WHEN n BETWEEN 10 AND 40 THEN 0.05::DOUBLE ELSE 0 END), 2) AS score FROM n WHERE n BETWEEN 10 AND 50), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY score DESC, pos) AS rank FROM c) SELECT doc_id, rank, CAST(pos AS INTEGER) AS pos, score, sha256(CASE WHEN length(sentence) > 500 THEN substr(sentence, 1, 497) || '...' ELSE sentence END) AS sentence FROM r WHERE rank <= 3",
     "citation_fallback": f"WITH {V.CHUNKS_SQL}, s AS (SELECT doc_id, list_slice(string_split(chunk_text, '. '), 1, 3) AS s FROM chunks), p AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS x FROM s), b AS (SELECT doc_id, pos, trim(x) || CASE WHEN x LIKE '%.' THEN '' ELSE '.' END AS b FROM p WHERE len({_WORDS.format('x')}) >= 10) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN length(b) > 500 THEN substr(b, 1, 497) || '...' ELSE b END AS sentence, 0.5::DOUBLE AS confidence FROM b",
     "citation_select": f"WITH {_SOURCES}, q AS (SELECT *, CASE WHEN score >= 0.8 THEN 'STRONG' WHEN score >= 0.6 THEN 'MEDIUM' ELSE 'WEAK' END AS quality FROM sources), c AS (SELECT *, sum((quality = 'STRONG')::INT) OVER w AS strong, sum((quality = 'MEDIUM')::INT) OVER w AS medium, sum((quality = 'WEAK' AND score >= 0.4)::INT) OVER (PARTITION BY answer_id ORDER BY position, passage_id) AS weak_no, row_number() OVER (PARTITION BY answer_id ORDER BY position, passage_id) AS pos FROM q WINDOW w AS (PARTITION BY answer_id)), k AS (SELECT *, quality = 'STRONG' OR (quality = 'MEDIUM' AND strong < 3) OR (quality = 'WEAK' AND score >= 0.4 AND weak_no <= 3 - (CASE WHEN strong < 3 THEN strong + medium ELSE strong END)) AS keep FROM c), a AS (SELECT *, bool_or(keep) OVER (PARTITION BY answer_id) AS any_kept FROM k) SELECT answer_id, passage_id, score, quality, row_number() OVER (PARTITION BY answer_id ORDER BY CASE quality WHEN 'STRONG' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, position, passage_id) AS citation_number FROM a WHERE keep OR (NOT any_kept AND pos = 1)",
     "hallucination_score": f"WITH {_JUDGED}, {_HALL} SELECT answer_id, probability, flagged, round(0 - probability / 2, 2) AS confidence_adjustment FROM hall",
@@ -228,3 +231,14 @@ SQL = {
     "citation_number_check": f"WITH {_SOURCES}, h AS (SELECT answer_id, list(position ORDER BY position) AS have, list(position * 2 ORDER BY position) AS used FROM sources GROUP BY answer_id) SELECT answer_id, array_to_string(list_sort(list_filter(used, lambda x: NOT list_contains(have, x))), ',') AS missing, array_to_string(list_sort(list_filter(have, lambda x: NOT list_contains(used, x))), ',') AS unused FROM h",
     "context_prefix": f"WITH {_SOURCES}, t AS (SELECT answer_id, passage_id, sum(CAST(ceil(length(text) / 4.0) AS INTEGER)) OVER w AS upto, row_number() OVER w AS rank FROM sources WINDOW w AS (PARTITION BY answer_id ORDER BY score DESC, passage_id)) SELECT answer_id, passage_id, rank FROM t WHERE upto <= 400",
 }
+
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+SQL |= {
+    "highlight": f"WITH e AS (SELECT item_id, {_ESC.format("'<b>' || text || '</b>'")} AS t, {_ESC.format('substr(text, 5, 20)')} AS p FROM benchmark), a AS (SELECT *, strpos(lower(t), lower(p)) AS hit FROM e) SELECT item_id, CASE WHEN hit > 0 AND length(p) > 0 THEN substr(t, 1, hit - 1) || '<mark>' || substr(t, hit, length(p)) || '</mark>' || substr(t, hit + length(p)) ELSE t END AS marked FROM a",
+    "verification_questions": "SELECT item_id, CASE WHEN regexp_matches(lower(text), '[0-9]') THEN 'Which figure do the sources give: ' WHEN regexp_matches(lower(text), '\\b(because|due to|causes?)\\b') THEN 'Do the sources name this cause: ' WHEN substr(md5(text), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'Is it stated that ' ELSE 'Do the sources confirm: ' END || text || '?' AS question FROM benchmark",
+    "snippet_bm25": f"""WITH {V.CHUNKS_SQL}, t AS (SELECT doc_id, chunk_text, length(chunk_text) AS n, strpos(lower(chunk_text), 'thin') AS a, strpos(lower(chunk_text), 'and') AS b FROM chunks),
+        p AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN least(a, b) WHEN a > 0 THEN a WHEN b > 0 THEN b END AS hit FROM t),
+        w AS (SELECT *, CASE WHEN hit IS NULL THEN substr(chunk_text, 1, 300) ELSE substr(chunk_text, greatest(hit - 100, 1), least(hit + 200, n + 1) - greatest(hit - 100, 1)) END AS w FROM p),
+        m AS (SELECT doc_id, trim(regexp_replace(CASE WHEN hit - 100 > 1 THEN '...' ELSE '' END || regexp_replace(regexp_replace(w, '(?i)thin', '**thin**', 'g'), '(?i)and', '**and**', 'g') || CASE WHEN hit + 200 <= n THEN '...' ELSE '' END, '\\s+', ' ', 'g')) AS m FROM w)
+        SELECT doc_id, CASE WHEN length(m) > 300 THEN substr(m, 1, 300) || '...' ELSE m END AS snippet FROM m""",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def _chunked(s, d):
 QUERIES = {
     "normalize_text": lambda s, d: _texts(s, d, F.sha2(T.normalize(_t()), 256).alias("normalized")),
     "word_ngrams": lambda s, d: _texts(s, d, F.explode(T.ngrams(_t(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 10"),
-    "jaccard_overlap": lambda s, d: table(s, d, "documents").alias("a").join(table(s, d, "benchmark").alias("b"), F.col("a.doc_id") % 40 == F.col("b.item_id")).select("a.doc_id", "b.item_id", F.round(T.word_overlap(F.col("a.text"), F.col("b.text")), 6).alias("overlap")),
+    "jaccard_overlap": lambda s, d: A.overlaps(_texts(s, d, _t()), table(s, d, "benchmark"), "doc_id", "item_id", least=0.3),
     "strip_citations": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.strip_citations(F.concat(F.col("text"), F.lit(" [12] end [3]"))).alias("stripped")),
-    "propositions": lambda s, d: _texts(s, d, F.posexplode(T.sentences(_t(), 5)).alias("pos", "proposition")).where(T.word_count(F.col("proposition")) <= 40),
+    "propositions": lambda s, d: _texts(s, d, F.posexplode(T.propositions(_t())).alias("pos", "proposition")),
     "answer_propositions": lambda s, d: table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(T.answer_propositions(_t())).alias("prop", "claim")),
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.query_terms(_t()), " ").alias("terms")),
     "keywords_top20": lambda s, d: A.keywords(_texts(s, d, _t())),
@@ -51,12 +53,12 @@ QUERIES = {
     "title_rule": lambda s, d: V.docs(s, d).select("doc_id", P.title(_t(), F.col("name")).alias("title")),
     "table_detect": lambda s, d: V.docs(s, d).select("doc_id", P.has_table(_t(), F.col("mime_type")).alias("has_table")),
     "fallback_quality": lambda s, d: _texts(s, d, F.round(P.fallback_quality(_t()), 6).alias("score"), P.band(P.fallback_quality(_t()), P.FALLBACK_BANDS).alias("band"), T.regex_word_count(_t()).alias("words"), P.page_estimate(_t()).alias("pages")),
-    "headings": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(S.caps_headings(F.upper(F.replace("html", F.lit(">"), F.lit("\n"))))).alias("pos", "heading")),
+    "headings": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(S.caps_headings(_capitals(F.regexp_replace("html", "[<>.,]", "\n")))).alias("pos", "heading")),
     "lists": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(S.list_items(F.replace(F.replace("html", F.lit("<li>"), F.lit("\n- ")), F.lit("</li>"), F.lit("\n")))).alias("pos", "item")),
     "citations_regex": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(S.citation_marks(F.concat(F.col("text"), F.lit(" [1] (Smith and Jones, 2020) [22]"))), "|").alias("marks")),
     "path_normalize": lambda s, d: table(s, d, "pages").groupBy(T.normalize_path(F.regexp_extract("url", r"://[^/]+(/[^?#]*)", 1)).alias("path")).agg(F.count("*").alias("pages")),
     "sentences": lambda s, d: _texts(s, d, F.posexplode(T.sentences(_t())).alias("pos", "sentence")).select("doc_id", "pos", F.length("sentence").alias("chars"), F.sha2("sentence", 256).alias("hash")),
-    "sentence_kinds": lambda s, d: _texts(s, d, F.posexplode(T.sentences(_t())).alias("pos", "sentence")).select("doc_id", "pos", T.is_heading(F.col("sentence")).alias("heading"), T.is_list_item(F.col("sentence")).alias("list_item")).where("heading OR list_item"),
+    "sentence_kinds": lambda s, d: _texts(s, d, F.posexplode(T.sentences(_t())).alias("pos", "sentence")).withColumn("sentence", _shown()).select("doc_id", "pos", T.is_heading(F.col("sentence")).alias("heading"), T.is_list_item(F.col("sentence")).alias("list_item")).where("heading OR list_item"),
     "snippet_plain": lambda s, d: _texts(s, d, T.snippet_plain(_t()).alias("snippet")),
     "rag_prompt": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.sha2(T.rag_prompt(F.lit("What is said?"), F.transform("t", lambda x: x["text"])), 256).alias("prompt")),
     "extraction_quality": lambda s, d: _quality(s, d).select("doc_id", "quality"),
@@ -76,6 +78,17 @@ QUERIES = {
 }
 
 
+def _capitals(text):
+    """a-z as capitals; engines differ in other letters."""
+    return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
+
+
+def _shown():
+    """Sentences as a page might set them: some as capital lines without a closing mark, some as list items."""
+    x, k = F.col("sentence"), F.col("pos") % 3
+    return F.when(k == 0, _capitals(F.rtrim(x, F.lit(".!?")))).when(k == 1, F.concat(F.lit("2) "), x)).otherwise(x)
+
+
 def sentence_spans(s, d):
     """Sentences with their places, as chunks of one sentence."""
     found = F.regexp_extract_all(_t(), F.lit(r"([^.!?]+[.!?]*)"))
@@ -93,13 +106,15 @@ def adjacent(chunks):
 
 def one_chunk(s, d):
     """Each document's text as one chunk."""
-    return V.chunks(s, d, False).select("doc_id", "chunk_index", "chunk_text", F.lit(0).alias("start_position"), F.length("chunk_text").alias("end_position"))
+    shown = V.docs(s, d).where("status = 'completed' AND NOT is_deleted")
+    return shown.select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text")).select("doc_id", "chunk_index", "chunk_text", F.lit(0).alias("start_position"), F.length("chunk_text").alias("end_position"))
 
 
 _COLLAPSE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _NORM = _COLLAPSE.format("regexp_replace(lower({}), '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')")
 _SENT = "list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: " + _COLLAPSE.format("x") + "), lambda x: x <> '')"
 _WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
+_CAPITALS = f"translate({{}}, '{string.ascii_lowercase}', '{string.ascii_uppercase}')"
 _UW = "[\\p{L}\\p{N}_]+"
 
 
@@ -114,8 +129,8 @@ _REPORT = f"""q AS (SELECT doc_id, text_length, {_QUALITY} AS quality, ocr_pages
     x AS (SELECT d.doc_id, coalesce(q.text_length, 0) AS text_length, q.quality, q.text_length IS NULL AS none, q.ocr_pages, q.pages, q.language FROM docs d LEFT JOIN q USING (doc_id)),
     extraction AS (SELECT doc_id, text_length, quality, concat_ws(',', CASE WHEN none THEN 'no text' END, CASE WHEN NOT none AND text_length = 0 THEN 'empty text' END, CASE WHEN text_length BETWEEN 1 AND 49 THEN 'short text' END, CASE WHEN quality < 0.5 THEN 'low quality' END, CASE WHEN NOT none AND quality IS NULL THEN 'no quality' END, CASE WHEN ocr_pages > 0.5 * pages THEN 'much OCR' END, CASE WHEN NOT none AND language IS NULL THEN 'no language' END) AS issues,
       CASE WHEN none OR quality < 0.5 THEN 'failed' WHEN quality IS NULL OR text_length BETWEEN 1 AND 49 THEN 'warning' WHEN text_length = 0 THEN 'failed' ELSE 'passed' END AS status FROM x)"""
-_READY = f"""WITH {V.CHUNKS_SQL}, {V.TEXTS_SQL}, {_REPORT},
-    chunking AS (SELECT c.doc_id, 1 AS chunks, CASE WHEN t.text_length > 0 AND 1 < t.text_length / 800.0 * 0.5 THEN 'warning' WHEN length(c.chunk_text) NOT BETWEEN 100 AND 1500 THEN 'warning' ELSE 'passed' END AS status FROM chunks c LEFT JOIN texts t USING (doc_id)),
+_READY = f"""WITH {V.DOCS_SQL}, whole AS (SELECT doc_id, text AS chunk_text FROM docs WHERE status = 'completed' AND NOT is_deleted), {V.TEXTS_SQL}, {_REPORT},
+    chunking AS (SELECT c.doc_id, 1 AS chunks, CASE WHEN t.text_length > 0 AND 1 < t.text_length / 800.0 * 0.5 THEN 'warning' WHEN length(c.chunk_text) NOT BETWEEN 100 AND 1500 THEN 'warning' ELSE 'passed' END AS status FROM whole c LEFT JOIN texts t USING (doc_id)),
     ready AS (SELECT e.doc_id, e.status AS extraction_status, coalesce(c.status, 'failed') AS chunking_status, list_filter([CASE WHEN e.quality > 0 THEN e.quality END, CASE WHEN e.text_length > 0 THEN least(e.text_length / 1000.0::DOUBLE, 1.0::DOUBLE) END, CASE WHEN c.chunks > 0 THEN least(c.chunks / 10.0::DOUBLE, 1.0::DOUBLE) END], lambda v: v IS NOT NULL) AS parts FROM extraction e LEFT JOIN chunking c USING (doc_id)),
     scored AS (SELECT doc_id, extraction_status, chunking_status, round(round(CASE WHEN len(parts) > 0 THEN list_sum(parts) / len(parts) ELSE 0.0::DOUBLE END, 9) + 1e-9, 4) AS score FROM ready),
     final AS (SELECT *, extraction_status = 'passed' AND chunking_status = 'passed' AND score >= 0.5 AS is_ready FROM scored)"""
@@ -134,9 +149,9 @@ _FALLBACK = f"least(((CASE WHEN length(text) > 100 THEN 0.2::DOUBLE ELSE 0 END)
 SQL = {
     "normalize_text": f"SELECT doc_id, sha256({_NORM.format('text')}) AS normalized FROM documents",
     "word_ngrams": f"WITH w AS (SELECT {_WORDS.format(_NORM.format('text'))} AS w FROM documents), g AS (SELECT unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 10",
-    "jaccard_overlap": f"WITH p AS (SELECT a.doc_id, b.item_id, list_distinct({_WORDS.format(_NORM.format('a.text'))}) AS x, list_distinct({_WORDS.format(_NORM.format('b.text'))}) AS y FROM documents a JOIN benchmark b ON a.doc_id % 40 = b.item_id) SELECT doc_id, item_id, round(CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END, 6) AS overlap FROM p",
+    "jaccard_overlap": f"WITH x AS (SELECT doc_id, list_distinct({_WORDS.format(_NORM.format('text'))}) AS x FROM documents), y AS (SELECT item_id, list_distinct({_WORDS.format(_NORM.format('text'))}) AS y FROM benchmark), p AS (SELECT doc_id, item_id, len(x) + len(y) AS n, len(list_intersect(x, y)) AS i FROM x, y) SELECT doc_id, item_id, round(i / (n - i)::DOUBLE, 6) AS overlap FROM p WHERE i > 0 AND round(i / (n - i)::DOUBLE, 6) >= 0.3",
     "strip_citations": "SELECT conv_id, turn, " + _COLLAPSE.format("regexp_replace(text || ' [12] end [3]', '\\[\\d+\\]', '', 'g')") + " AS stripped FROM conversations",
-    "propositions": f"WITH s AS (SELECT doc_id, list_filter({_SENT}, lambda x: len({_WORDS.format('x')}) >= 5) AS s FROM documents), p AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS proposition FROM s) SELECT doc_id, CAST(pos AS INTEGER) AS pos, proposition FROM p WHERE len({_WORDS.format('proposition')}) <= 40",
+    "propositions": f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), p AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN len({_WORDS.format('x')}) <= 40 THEN [x] ELSE list_transform(string_split_regex(x, '(?i)\\s+(?:{'|'.join(T.CONJUNCTIONS)})\\s+'), lambda y: array_to_string(list_slice({_WORDS.format('y')}, 1, 40), ' ')) END)), lambda y: len({_WORDS.format('y')}) >= 5) AS p FROM s) SELECT doc_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS pos, unnest(p) AS proposition FROM p",
     "query_terms": "SELECT item_id, array_to_string(list_filter((SELECT list(t ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(w) AS t, unnest(range(0, len(w))) AS i FROM (SELECT string_split_regex(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g')), '\\s+') AS w)) GROUP BY t)), lambda t: length(t) > 1), ' ') AS terms FROM benchmark",
     "keywords_top20": f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_UW}') AS w FROM documents WHERE length(text) >= 100), p AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM p WHERE regexp_matches(word, '^[a-z]{{4,}}$') AND word NOT IN ({', '.join(repr(x) for x in P.STOP_WORDS)}) GROUP BY 1, 2), r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c) SELECT doc_id, word, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20 AND n > 1",
     "language_vote": f"WITH v AS ({_VOTE}) SELECT doc_id, CASE WHEN n >= 100 THEN CASE WHEN greatest(en, es, fr) < 3 THEN 'en' WHEN en = greatest(en, es, fr) THEN 'en' WHEN es = greatest(en, es, fr) THEN 'es' ELSE 'fr' END END AS language FROM v",
@@ -144,12 +159,12 @@ SQL = {
     "title_rule": f"WITH {V.DOCS_SQL} SELECT doc_id, coalesce({_TITLE}[1], replace(name, '_', ' ')) AS title FROM docs",
     "table_detect": f"WITH {V.DOCS_SQL} SELECT doc_id, mime_type = 'text/csv' OR " + " OR ".join(_regular(x) for x in P.DELIMITERS) + " AS has_table FROM docs",
     "fallback_quality": f"WITH x AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{_UW}') AS w, length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS up FROM documents), y AS (SELECT doc_id, text, len(regexp_extract_all(text, '{_UW}')) AS words, {_FALLBACK} AS s FROM x) SELECT doc_id, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' WHEN s >= 0.4 THEN 'low' ELSE 'poor' END AS band, CAST(words AS INTEGER) AS words, CAST(greatest(1, length(text) // 2000) AS INTEGER) AS pages FROM y",
-    "headings": "WITH h AS (SELECT page_id, regexp_extract_all(upper(replace(html, '>', chr(10))), '(?m)^([A-Z][A-Z \\t]{5,80})$', 1) AS h FROM pages) SELECT page_id, CAST(unnest(range(0, len(h))) AS INTEGER) AS pos, unnest(h) AS heading FROM h",
+    "headings": f"WITH h AS (SELECT page_id, regexp_extract_all({_CAPITALS.format("regexp_replace(html, '[<>.,]', chr(10), 'g')")}, '(?m)^([A-Z][A-Z \\t]{{5,80}})$', 1) AS h FROM pages) SELECT page_id, CAST(unnest(range(0, len(h))) AS INTEGER) AS pos, unnest(h) AS heading FROM h",
     "lists": "WITH h AS (SELECT page_id, regexp_extract_all(replace(replace(html, '<li>', chr(10) || '- '), '</li>', chr(10)), '(?m)^[ \\t]*(?:[-*•+]|\\d+[.)\\]])[ \\t]+([^\\n]+)$', 1) AS h FROM pages) SELECT page_id, CAST(unnest(range(0, len(h))) AS INTEGER) AS pos, unnest(h) AS item FROM h",
     "citations_regex": "SELECT conv_id, turn, array_to_string(list_concat(regexp_extract_all(t, '\\[\\d+\\]'), regexp_extract_all(t, '\\([A-Z][a-z]+(?:\\s+(?:et\\s+al\\.|&|and)\\s+[A-Z][a-z]+)?,\\s*\\d{4}\\)')), '|') AS marks FROM (SELECT conv_id, turn, text || ' [1] (Smith and Jones, 2020) [22]' AS t FROM conversations)",
     "path_normalize": "SELECT regexp_replace(regexp_replace(regexp_extract(url, '://[^/]+(/[^?#]*)', 1), '(?i)/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '/{id}', 'g'), '/\\d+', '/{id}', 'g') AS path, count(*) AS pages FROM pages GROUP BY 1",
     "sentences": f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), p AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS x FROM s) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(x) AS INTEGER) AS chars, sha256(x) AS hash FROM p",
-    "sentence_kinds": f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), p AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS x FROM s), k AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(x) < 100 AND regexp_matches(x, '^\\p{{Lu}}') AND NOT regexp_matches(x, '[.!?,]$') AND length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) / length(x)::DOUBLE > 0.3 AS heading, regexp_matches(x, '^([-*•+]|\\d+[.)\\]])\\s') AS list_item FROM p) SELECT * FROM k WHERE heading OR list_item",
+    "sentence_kinds": f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), p AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS x FROM s), v AS (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN {_CAPITALS.format("rtrim(x, '.!?')")} WHEN 1 THEN '2) ' || x ELSE x END AS x FROM p), k AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(x) < 100 AND regexp_matches(x, '^\\p{{Lu}}') AND NOT regexp_matches(x, '[.!?,]$') AND length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) / length(x)::DOUBLE > 0.3 AS heading, regexp_matches(x, '^([-*•+]|\\d+[.)\\]])\\s') AS list_item FROM v) SELECT * FROM k WHERE heading OR list_item",
     "snippet_plain": f"WITH f AS (SELECT doc_id, {_COLLAPSE.format('text')} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '...' ELSE '...' || t || '...' END AS snippet FROM f",
     "rag_prompt": "SELECT conv_id, sha256('Answer from the context only.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('[' || k || '] ' || text, chr(10) || chr(10) ORDER BY k) || chr(10) || chr(10) || 'Question: What is said?' || chr(10) || 'Answer:') AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations) GROUP BY conv_id",
     "extraction_quality": f"WITH {V.TEXTS_SQL} SELECT doc_id, {_QUALITY} AS quality FROM texts",
@@ -161,3 +176,13 @@ SQL = {
     "search_readiness": _READY + " SELECT * FROM final",
     "readiness_rollup": _READY + " SELECT count(*) AS total, CAST(sum(is_ready::INT) AS BIGINT) AS passed, CAST(sum((NOT is_ready)::INT) AS BIGINT) AS failed, round(avg(score), 4) AS avg_score FROM final",
 }
+
+_SPLIT = f"string_split_regex(x, '(?i)\\s+(?:{'|'.join(T.ANSWER_CONJUNCTIONS)})\\s+')"
+SQL |= {
+    "answer_propositions": f"""WITH p AS (SELECT conv_id, turn, string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM conversations WHERE role = 'assistant'),
+        f AS (SELECT conv_id, turn, list_reduce(list_transform(p, lambda x: [x]), lambda acc, y: CASE
+            WHEN len({_WORDS.format("y[1]")}) < 5 AND len(acc) > 0 THEN list_concat(list_slice(acc, 1, len(acc) - 1), [acc[len(acc)] || ' ' || y[1]])
+            WHEN len({_WORDS.format("y[1]")}) > 40 THEN list_concat(acc, {_SPLIT.replace("(x,", "(y[1],")}) ELSE list_concat(acc, y) END, CAST([] AS VARCHAR[])) AS f FROM p),
+        c AS (SELECT conv_id, turn, list_filter(list_transform(list_slice(f, 1, 5), lambda x: trim(x)), lambda x: x <> '') AS c FROM f)
+        SELECT conv_id, turn, CAST(unnest(range(0, len(c))) AS INTEGER) AS prop, unnest(c) AS claim FROM c""",
+}

@@ -56,26 +56,29 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*(f"{e} AS {k}" for k, e in _pick(DOC_COLUMNS, 0).items()))
 
 
-# Texts miss for every 13th document, so that inner and left joins differ.
-TEXTS_SQL = "texts AS (SELECT doc_id, text, CAST(length(text) AS INTEGER) AS text_length, CAST(doc_id % 5 AS INTEGER) AS ocr_pages, CAST(greatest(1, length(text) // 2000) AS INTEGER) AS pages, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE lang END AS language FROM documents WHERE doc_id % 13 <> 0)"
+# Extracted texts of all documents; the language is unknown for some.
+TEXTS_SQL = "texts AS (SELECT doc_id, text, CAST(length(text) AS INTEGER) AS text_length, CAST(doc_id % 5 AS INTEGER) AS ocr_pages, CAST(greatest(1, length(text) // 2000) AS INTEGER) AS pages, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE lang END AS language FROM documents)"
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "documents").where("doc_id % 13 <> 0"))
+    df = spread(table(spark, sf_dir, "documents"))
     return df.selectExpr("doc_id", "text", "cast(length(text) as int) AS text_length", "cast(doc_id % 5 as int) AS ocr_pages", "cast(greatest(1, length(text) div 2000) as int) AS pages", "CASE WHEN doc_id % 19 = 0 THEN NULL ELSE lang END AS language")
 
 
-# One chunk per visible document with a text; vectors cover a part of them.
-CHUNKS_SQL = DOCS_SQL + ", chunks AS (SELECT d.doc_id, 0 AS chunk_index, d.text AS chunk_text, d.name, d.mime_type, d.quality, d.created_at, d.tags, e.embedding FROM docs d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.status = 'completed' AND NOT d.is_deleted)"
+# Chunks of visible documents, CHUNK characters each; vectors cover a part of them.
+CHUNK = 2000
+CHUNKS_SQL = DOCS_SQL + ", pieces AS (SELECT doc_id, CAST(unnest(range(0, CAST(greatest(1, ceil(length(text) / 2000.0)) AS BIGINT))) AS INTEGER) AS chunk_index, text, name, mime_type, quality, created_at, tags FROM docs WHERE status = 'completed' AND NOT is_deleted), chunks AS (SELECT d.doc_id, d.chunk_index, substr(d.text, d.chunk_index * 2000 + 1, 2000) AS chunk_text, d.name, d.mime_type, d.quality, d.created_at, d.tags, e.embedding FROM pieces d LEFT JOIN embeddings e ON e.vec_id = d.doc_id + d.chunk_index)"
 
 
 def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     d = spread(docs(spark, sf_dir).where("status = 'completed' AND NOT is_deleted"))
-    d = d.select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), "name", "mime_type", "quality", "created_at", "tags")
+    last = F.greatest(F.lit(0), F.ceil(F.length("text") / CHUNK) - 1).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.substr("text", k * CHUNK + 1, F.lit(CHUNK)))
+    d = d.select("doc_id", F.posexplode(parts).alias("chunk_index", "chunk_text"), "name", "mime_type", "quality", "created_at", "tags")
     if not vectors:
         return d
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return d.join(e, "doc_id", "left")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return d.join(e, F.col("doc_id") + F.col("chunk_index") == F.col("vec_id"), "left").drop("vec_id")
 
 
 # Questions: term lists that occur in the corpus, with vectors of the first rows.

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.plans import documents, extras, search, texts
+from tessera.plans import documents, extras, search, stores, texts
 
-QUERIES = documents.QUERIES | texts.QUERIES | search.QUERIES | extras.QUERIES
-SQL = documents.SQL | texts.SQL | search.SQL | extras.SQL
+QUERIES = documents.QUERIES | texts.QUERIES | search.QUERIES | extras.QUERIES | stores.QUERIES
+SQL = documents.SQL | texts.SQL | search.SQL | extras.SQL | stores.SQL
 
 
 @pytest.fixture(scope="module")
