@@ -2,14 +2,19 @@
 
 Each stage takes all rows that the one before kept, as (spark, docs, sf_dir), and returns a
 DataFrame that is written and read again as the next one's ``docs``.  All but the last keep
-the columns of ``documents``.
+the columns of ``documents``, whatever others a table has and however they are called.
+
+Defined cases, for every stage: a null text counts as the empty text, which has no letter and
+goes with the language stage; very long texts are read whole; repeated rows are judged alike,
+and the near-duplicate stage makes one of them; rows without an identifier stay until their
+text rules them out; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import crf, decontam, jaccard, langid, packing
@@ -30,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _kept(docs: DataFrame, score: Callable, model, rule: str) -> DataFrame:
     """Rows of ``docs`` that pass ``rule``; all columns travel with the score, so there is no join."""
-    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}  # so that no column can clash with a score's
     renamed = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()))
     scored = score(renamed, model, id_col=names["doc_id"], text_col=names["text"], keep=tuple(names.values()))
     return scored.where(rule).select(*(F.col(a).alias(c) for c, a in names.items()))
@@ -39,13 +44,17 @@ def _kept(docs: DataFrame, score: Callable, model, rule: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each class of linked documents."""
     classes = Scratch(spark, "classes").put(jaccard.join(docs), "classes")
-    return jaccard.keep_one(docs, classes).select(*docs.columns)
+    return jaccard.keep_one(docs, classes).select(*_columns(docs))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    hits = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(Scratch(spark, "leaks").put(hits, "doc_ids"), "doc_id", "left_anti").select(*docs.columns)
+    hits = decontam.find(docs, table(spark, sf_dir, "benchmark"), short_alone=True).select("doc_id").distinct()
+    return docs.join(Scratch(spark, "leaks").put(hits, "doc_ids"), "doc_id", "left_anti").select(*_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +75,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's scratch tables and its input go as soon as its output is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        mark = Scratch.mark()
         docs = scratch.put(stage(spark, docs, sf_dir), f"{k}_{name}")
+        Scratch.drop_since(mark)
+        if k:
+            scratch.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
