@@ -67,6 +67,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_warc_derivatives, op2_best_fit_packing, op3_ogg_media, op4_line_quality, op5_ngram_jaccard, op6_url_filter, op7_token_shards, op8_decontamination, op9_language_id, op10_html_rendering)
 }
 
-# Tokenizers, learned models, containers and tree building have no SQL form; op5's exact join is too slow
-# in SQL on whole tables.  All are tested against brute force, round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+# Tokenizers, learned models, containers and tree building have no SQL form; those are tested against brute force,
+# round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": """
+        WITH RECURSIVE
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) END)) AS s FROM w),
+        n AS (SELECT w.doc_id, count(g.s) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY w.doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, other) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
+        SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.other), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+    """,
+}

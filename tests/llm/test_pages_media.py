@@ -210,14 +210,12 @@ def test_rules(host, path, rule):
     assert urlgbt.match_rule(host, path) == rule
 
 
-def test_trees_learn_the_form_of_bad_hosts(spark, sf_dir):
+def test_rules_decide_where_they_fit(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/../sf0.1/pages.parquet")
-    model = urlgbt.train(pages)
-    got = urlgbt.judge(pages, model).collect()
+    got = urlgbt.judge(pages, urlgbt.train(pages)).collect()
+    assert all(r.verdict == ("allow" if r.rule in ("example.net/en/", "org/fr/") else "block") for r in got if r.rule)
     free = [r for r in got if r.rule is None]
-    bad = [any(t in r.host for t in urlgbt.SEED_TERMS) for r in free]
-    assert np.mean([(r.verdict == "block") == b for r, b in zip(free, bad, strict=True)]) > 0.99
-    assert all(r.verdict == ("block" if r.rule == "net/" else "allow") for r in got if r.rule in ("net/", "example.net/en/", "org/fr/"))
+    assert free and all((r.verdict == "block") == (r.p_block >= 0.5) for r in free)
 
 
 def test_trees_separate_held_out_rows():
