@@ -21,7 +21,7 @@ LETTER_MARKS = ("dear sir", "dear madam", "sincerely", "regards")
 CODE_MARKS = ("import ", "from ", "<?xml", "<!doctype", "function ", "class ")
 CHART_WORDS = ("chart", "graph", "plot", "diagram", "axis", "legend", "trend", "percentage")
 # fixed values: words that are never keywords
-STOP_WORDS = tuple("the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should this that these those i you he she it we they me him her us them".split())
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them")
 DELIMITERS = ("\t", ",", "|", ";")
 BANDS = ((0.9, "excellent"), (0.7, "high"), (0.5, "medium"), (0.3, "low"))
 FALLBACK_BANDS = ((0.8, "high"), (0.6, "medium"), (0.4, "low"))

@@ -199,8 +199,29 @@ def bench_windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str =
     return arrow_map(bench.select(F.col(id_col).cast("long"), text_col), run, BENCH)
 
 
-def doc_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wanted=None, sizes: tuple[int, ...] = tuple(range(SHORT, WINDOW + 1))) -> DataFrame:
-    """Windows of all documents; with ``wanted`` (a broadcast sorted array of hashes) only those that the benchmark has."""
+BITMAP = 1 << 27  # bits; 16 MB
+
+
+def hash_bitmap(items: DataFrame) -> np.ndarray:
+    """Bits of all window hashes, built by the executors; its size does not depend on the benchmark's."""
+    bit = (F.col("hash").bitwiseAND(F.lit(BITMAP - 1)) + 1).alias("b")
+    rows = items.select(bit).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()  # 4096 at most
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        at = (r["k"] - 1) * 4096
+        out[at : at + len(part)] = part
+    return out
+
+
+def _marked(bitmap: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bit = h & np.uint64(BITMAP - 1)
+    ok = (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return at[ok], h[ok]
+
+
+def doc_windows(docs: DataFrame, *, wanted, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = tuple(range(SHORT, WINDOW + 1))) -> DataFrame:
+    """Windows of all documents; with ``wanted`` (broadcast; hashes by size, or a bitmap of them) only those that the benchmark has or may have."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
@@ -210,7 +231,9 @@ def doc_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             by_line = canonical(_split(texts[a:b], True), _lexicon(), True) if min(sizes, default=0) < -ALONE else t  # the same words, in more sentences
             for size in sizes:
                 h, at = windows(by_line if size < -ALONE else t, size)
-                if wanted is not None:
+                if isinstance(wanted.value, np.ndarray):
+                    at, h = _marked(wanted.value, h, at)
+                else:
                     table, bits = wanted.value[size]
                     near = np.flatnonzero(bits[h & np.uint64(len(bits) - 1)])
                     h, at = h[near], at[near]
@@ -311,24 +334,26 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     three in ten wherever the first change is.
 
     Up to ``broadcast_windows`` benchmark windows (about 100 bytes each) are broadcast and filter documents
-    where they are read; a larger benchmark is joined by a shuffle.  Both ways give the same rows.
+    where they are read; a larger benchmark is joined by a shuffle, of the windows that a bitmap of its hashes (16 MB)
+    lets through.  Both ways give the same rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     items = scratch.put(bench_windows(bench, id_col=item_col, text_col=item_text_col, short_words=short_words, short_alone=short_alone), "items")
     sizes = items.groupBy("size").count().collect()  # a row for each of a few sizes
-    wanted, used = None, tuple(sorted(r["size"] for r in sizes))
-    if sum(r["count"] for r in sizes) <= broadcast_windows:
+    used = tuple(sorted(r["size"] for r in sizes))
+    few = sum(r["count"] for r in sizes) <= broadcast_windows
+    if few:
         tables = {}
         for r in items.groupBy("size").agg(F.collect_set("hash").alias("h")).collect():
             table = np.sort(np.array(r["h"], dtype=np.int64).view(np.uint64))
             bits = np.zeros(1 << 18, dtype=bool)
             bits[table & np.uint64(len(bits) - 1)] = True
             tables[r["size"]] = (table, bits)
-        wanted = spark.sparkContext.broadcast(tables)
+    wanted = spark.sparkContext.broadcast(tables if few else hash_bitmap(items))
     found = doc_windows(docs, id_col=id_col, text_col=text_col, wanted=wanted, sizes=used)
     known = items.withColumnRenamed("slots", "item_slots")
-    hits = found.join(F.broadcast(known) if wanted is not None else known, "hash").where(F.size("slots") == F.size("item_slots"))
+    hits = found.join(F.broadcast(known) if few else known, "hash").where(F.size("slots") == F.size("item_slots"))
     hits = scratch.put(hits.select("doc_id", "item_id", "size", "n_windows", "item_pos", "doc_pos", "slots", "item_slots"), "hits")
     cover = hits.groupBy("doc_id", "item_id", "size").agg(
         F.count_distinct("item_pos").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("doc_pos").alias("first_pos"), F.max("doc_pos").alias("last_pos")

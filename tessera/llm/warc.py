@@ -101,8 +101,9 @@ def decoded(payload: bytes, codings: list[str]) -> bytes:
     return payload
 
 
-def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
-    lines = [("WARC-Type", kind), *headers, ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
+def record(kind: str, headers: list[tuple[str, str]], block: bytes, own: str | None = None) -> bytes:
+    """A record; ``own`` is the block's digest, where it is known."""
+    lines = [("WARC-Type", kind), *headers, ("WARC-Block-Digest", own or digest(block)), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + CRLF + block + CRLF + CRLF
 
 
@@ -110,8 +111,9 @@ def response(url: str | None, body: str | None, name: str, date: str) -> bytes:
     """A response record as a crawler would have stored it."""
     payload = (body or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'response {name} {url} {digest(payload)}')}>"
-    head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", uri(url))] if url else []), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload))]
+    own = digest(payload)
+    rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'response {name} {url} {own}')}>"
+    head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", uri(url))] if url else []), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", own)]
     return record("response", head, http + payload)
 
 
@@ -156,12 +158,12 @@ def derive(raw: bytes) -> list[dict]:
         look = {k.lower(): v for k, v in fields}
         if look.get("warc-type") != "response":
             raise ValueError("not a response record")
-        if look.get("warc-block-digest", digest(block)) != digest(block):
+        if "warc-block-digest" in look and look["warc-block-digest"] != digest(block):
             raise ValueError("block digest differs")
         head, split, payload = block.partition(CRLF + CRLF)
         if not split or not head.startswith(b"HTTP/"):
             raise ValueError("no HTTP response")
-        if look.get("warc-payload-digest", digest(payload)) != digest(payload):
+        if "warc-payload-digest" in look and look["warc-payload-digest"] != digest(payload):
             raise ValueError("payload digest differs")
         http = [("status", head.partition(CRLF)[0].decode("latin-1")), *_fields(head.partition(CRLF)[2])]
         said: dict[str, str] = {}
@@ -187,7 +189,7 @@ def derive(raw: bytes) -> list[dict]:
             block, kept = plain_text(text).encode(), "text/plain; charset=utf-8"
         rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {source}')}>"
         head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", target), ("WARC-Refers-To-Target-URI", target)] if target else []), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", date), ("Content-Type", kept)]
-        out.append({"record_type": kind, "record_id": rid, "refers_to": source or None, "target_uri": target, "warc_date": date or None, "content_type": kept, "content_length": len(block), "block_digest": digest(block), "source_block_digest": look.get("warc-block-digest"), "source_payload_digest": look.get("warc-payload-digest"), "source_headers": json.dumps(fields, ensure_ascii=False), "error": error, "record": record(kind, head, block)})
+        out.append({"record_type": kind, "record_id": rid, "refers_to": source or None, "target_uri": target, "warc_date": date or None, "content_type": kept, "content_length": len(block), "block_digest": (own := digest(block)), "source_block_digest": look.get("warc-block-digest"), "source_payload_digest": look.get("warc-payload-digest"), "source_headers": json.dumps(fields, ensure_ascii=False), "error": error, "record": record(kind, head, block, own)})
     return out
 
 

@@ -192,14 +192,32 @@ def bound_token_sort(a: Column, b: Column) -> Column:
     return 2 * F.least(x, y) / F.greatest(x + y, F.lit(1))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of :data:`LETTERS` occurs, and at last all other characters."""
+    each = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in LETTERS]
+    return F.array(*each, F.length(F.translate(text, LETTERS, "")))
+
+
+def bound_letters(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """An upper bound of the ratio: no common subsequence holds a letter more often than both texts."""
+    common = F.aggregate(F.zip_with(x, y, lambda m, n: F.least(m, n)), F.lit(0), lambda s, v: s + v)
+    return 2 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
 def quote_matches(propositions: DataFrame, passages: DataFrame, *, threshold: float = 0.85, top_k: int = 5, min_words: int = 3) -> DataFrame:
     """The ``top_k`` sentences of an answer's passages that match a proposition.
 
-    Pairs are built within an answer; those whose lengths rule the threshold out never reach Python.
+    Pairs are built within an answer; those whose lengths or letters rule the threshold out never reach Python.
+    Letters are counted once for each text, before the join.
     """
+    least = threshold - 0.0005  # similarities are rounded to 3 digits
     sents = passages.select("answer_id", "passage_id", F.col("score").alias("passage_score"), F.col("text").alias("passage"), F.posexplode(T.sentences(F.col("text"), min_words)).alias("sentence_index", "sentence"))
-    pairs = propositions.select("answer_id", "prop", F.col("text").alias("claim")).join(sents, "answer_id")
-    pairs = pairs.withColumns({"a": T.normalize(F.col("claim")), "b": T.normalize(F.col("sentence"))}).where(bound_token_sort(F.col("a"), F.col("b")) >= threshold)
+    sents = sents.withColumn("b", T.normalize(F.col("sentence"))).withColumn("y", letter_counts(F.col("b")))
+    claims = propositions.select("answer_id", "prop", T.normalize(F.col("text")).alias("a")).withColumn("x", letter_counts(F.col("a")))
+    pairs = claims.join(sents, "answer_id").where((bound_token_sort(F.col("a"), F.col("b")) >= least) & (bound_letters(F.col("a"), F.col("b"), F.col("x"), F.col("y")) >= least))
     scored = pairs.withColumn("similarity", _similarity(token_sort_ratio)("a", "b")).where(F.col("similarity") >= threshold)
     order = Window.partitionBy("answer_id", "prop").orderBy(F.col("similarity").desc(), F.col("passage_score").desc(), "passage_id", "sentence_index")
     where = locate(F.col("passage"), F.col("sentence"))
@@ -304,6 +322,17 @@ def question(claim: Column) -> Column:
     return F.when(low.rlike("[0-9]"), F.concat(F.lit("Which figure do the sources give: "), claim, F.lit("?"))).when(low.rlike(r"\b(because|due to|causes?)\b"), F.concat(F.lit("Do the sources name this cause: "), claim, F.lit("?"))).when(F.substring(F.md5(claim), 32, 1).isin(*"02468ace"), F.concat(F.lit("Is it stated that "), claim, F.lit("?"))).otherwise(F.concat(F.lit("Do the sources confirm: "), claim, F.lit("?")))
 
 
+def questions(propositions: DataFrame, limit: int = 10) -> DataFrame:
+    """Questions for the first ``limit`` claims of each answer, with the key under which the answer's questions are kept.
+
+    Claims beyond the limit are not asked about, which is the feature; the key is the same for any order of the claims.
+    """
+    first = Window.partitionBy("answer_id").orderBy("prop")
+    asked = propositions.withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= limit).drop("__place")
+    keys = asked.groupBy("answer_id").agg(F.concat(F.lit("vq:"), T.set_key(F.collect_list("text"))).alias("cache_key"))
+    return asked.join(keys, "answer_id").select("answer_id", "prop", question(F.col("text")).alias("question"), "cache_key")
+
+
 def proposition_details(scored: DataFrame) -> DataFrame:
     """Verified if it has a quote and more than 0.5 confidence."""
     return scored.withColumn("verified", (F.col("n_quotes") > 0) & (F.col("confidence") > 0.5))

@@ -164,6 +164,13 @@ def violations(docs: DataFrame, versions: DataFrame, chunks: DataFrame, queue: D
     return out
 
 
+def batch_queue(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """Summary of a batch by ``batch_id``: requested documents, those that can be queued, and those that are not there."""
+    known = docs.select("doc_id").distinct().withColumn("known", F.lit(True))
+    joined = requests.select("batch_id", "doc_id").join(known, "doc_id", "left")
+    return joined.groupBy("batch_id").agg(F.count("*").alias("total"), F.count("known").alias("queued"), F.count_if(F.col("known").isNull()).alias("errors"))
+
+
 def breaker(events: DataFrame, *, failures: int = 5, recovery_seconds: float = 30.0, probes: int = 3) -> DataFrame:
     """Replay a circuit breaker over ordered calls; input: store, at (seconds), ok.  Adds state and whether the call was let through.
 

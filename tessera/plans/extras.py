@@ -14,6 +14,7 @@ from ..operators.filters import document_rows, validate_messages, visible
 from ..session import table
 from ..sources import files
 from . import search as S
+from . import texts as X
 from . import views as V
 
 
@@ -97,3 +98,6 @@ SQL = {
     "cache_keys": f"WITH {S._SOURCES} SELECT answer_id, sha256(string_agg(text, '|' ORDER BY text)) AS set_key, sha256('q:' || string_agg(passage_id, ',' ORDER BY passage_id) || ':5') AS cache_key FROM sources GROUP BY answer_id",
     "stage_map": f"WITH {V.STATUS_SQL} SELECT doc_id, string_agg(stage || '=' || status, ',' ORDER BY stage) AS stages FROM status GROUP BY doc_id",
 }
+
+# the files are called doc_N, which says manual
+SQL["fallback_metadata"] = f"SELECT d.doc_id, title, language, pages AS page_count, words AS word_count, CAST(length(d.text) AS INTEGER) AS character_count, 'manual' AS document_type, has_table AS has_tables, score AS text_quality_score, band AS content_quality FROM documents d JOIN ({X.SQL['title_rule']}) USING (doc_id) JOIN ({X.SQL['language_vote']}) USING (doc_id) JOIN ({X.SQL['fallback_quality']}) USING (doc_id) JOIN ({X.SQL['table_detect']}) USING (doc_id)"

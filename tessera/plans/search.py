@@ -241,4 +241,10 @@ SQL |= {
         w AS (SELECT *, CASE WHEN hit IS NULL THEN substr(chunk_text, 1, 300) ELSE substr(chunk_text, greatest(hit - 100, 1), least(hit + 200, n + 1) - greatest(hit - 100, 1)) END AS w FROM p),
         m AS (SELECT doc_id, trim(regexp_replace(CASE WHEN hit - 100 > 1 THEN '...' ELSE '' END || regexp_replace(regexp_replace(w, '(?i)thin', '**thin**', 'g'), '(?i)and', '**and**', 'g') || CASE WHEN hit + 200 <= n THEN '...' ELSE '' END, '\\s+', ' ', 'g')) AS m FROM w)
         SELECT doc_id, CASE WHEN length(m) > 300 THEN substr(m, 1, 300) || '...' ELSE m END AS snippet FROM m""",
+    "context_packing": f"""WITH {_SOURCES}, t AS (SELECT *, CAST(ceil(length(text) / 4.0) AS INTEGER) AS tokens FROM sources), u AS (SELECT *, sum(tokens) OVER w AS upto, row_number() OVER w AS rank FROM t WINDOW w AS (PARTITION BY answer_id ORDER BY score DESC, passage_id)),
+        k AS (SELECT *, min(CASE WHEN upto > 400 THEN rank END) OVER (PARTITION BY answer_id) AS broken, 400 - (upto - tokens) AS rest FROM u),
+        s AS (SELECT answer_id, passage_id, rank, rest, {_CSENT.replace('chunk_text', 'text')} AS s FROM k WHERE rank = broken AND rest > 40),
+        p AS (SELECT answer_id, passage_id, rank, rest, unnest(range(0, len(s))) AS n, unnest(s) AS x FROM s),
+        c AS (SELECT *, sum(CAST(ceil(length(x) / 4.0) AS INTEGER)) OVER (PARTITION BY answer_id, passage_id ORDER BY n) AS upto FROM p)
+        SELECT answer_id, passage_id, rank, FALSE AS truncated, length(text) AS chars FROM k WHERE upto <= 400 AND (broken IS NULL OR rank < broken) UNION ALL SELECT answer_id, passage_id, rank, TRUE, sum(length(x)) + count(*) - 1 FROM c WHERE upto <= rest GROUP BY answer_id, passage_id, rank""",
 }

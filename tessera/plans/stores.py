@@ -14,6 +14,7 @@ from ..operators import evidence as E
 from ..operators import filters, fusion, lifecycle, retrieval
 from ..session import scratch_path, table
 from ..sources import files, stores
+from ..streaming import ingest
 from . import search as S
 from . import views as V
 
@@ -124,6 +125,30 @@ def ivf_index(s, d):
     return index.search(S._asking(s, d), probes=12).select(*KNN)
 
 
+# Streams ----------------------------------------------------------------------------------
+
+
+def _stream(s, d):
+    """All documents as a stream of files."""
+    path = scratch_path(s, "stream")
+    V.docs(s, d).select("doc_id", "text", F.col("created_at").cast("timestamp").alias("at")).write.parquet(path)
+    return ingest.documents(s, path)
+
+
+def stream_trend(s, d):
+    out = scratch_path(s, "trend")
+    writer = ingest.upload_trend(_stream(s, d)).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", scratch_path(s, "trend_state")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
+def stream_sentences(s, d):
+    """Sentences counted batch by batch, each batch in a folder of its own."""
+    out = scratch_path(s, "batches")
+    ingest.chunk_stream(_stream(s, d), out, scratch_path(s, "batches_state"), stage=lambda df: df.select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))).awaitTermination()
+    return s.read.parquet(out).select("doc_id", "sentences")
+
+
 # Helpers ----------------------------------------------------------------------------------
 
 
@@ -205,6 +230,10 @@ QUERIES = {
     "profile_checks": profile_checks,
     "clamped_progress": clamped_progress,
     "statistics_bundle": statistics_bundle,
+    "stream_trend": stream_trend,
+    "stream_sentences": stream_sentences,
+    "question_batches": lambda s, d: E.questions(_talk(s, d).select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("prop"), "text"), limit=3),
+    "batch_queue": lambda s, d: lifecycle.batch_queue(table(s, d, "embeddings").select((F.col("vec_id") % 5).alias("batch_id"), (F.col("vec_id") * 3).alias("doc_id")), V.docs(s, d)),
 }
 
 _NATION = "n AS (SELECT CAST(n_nationkey AS INTEGER) AS k, n_name FROM nation)"
@@ -238,6 +267,10 @@ SQL = {
     "source_contexts": "WITH p AS (SELECT conv_id, turn, concat_ws(', ', CASE WHEN turn % 2 = 0 THEN 'Page ' || turn END, CASE WHEN turn % 3 = 0 THEN nullif(CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END, '') END) AS t FROM conversations) SELECT conv_id, turn, coalesce(nullif(t, ''), CASE WHEN turn % 5 <> 0 THEN 'file' END, 'Unknown') AS context FROM p",
     "highlight_all": f"SELECT item_id, {_HL} AS marked FROM benchmark",
     "model_costs": f"SELECT conv_id, round(sum(len({_WORDS.format('text')}) * 3.0::DOUBLE / 1e6 + len({_WORDS.format('text')}) * 2 * 15.0::DOUBLE / 1e6), 9) AS usd FROM conversations GROUP BY conv_id",
+    "question_batches": "WITH f AS (SELECT conv_id AS answer_id, turn AS prop, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3), k AS (SELECT answer_id, 'vq:' || sha256(string_agg(text, '|' ORDER BY text)) AS cache_key FROM f GROUP BY answer_id) SELECT f.answer_id, f.prop, CASE WHEN regexp_matches(lower(text), '[0-9]') THEN 'Which figure do the sources give: ' WHEN regexp_matches(lower(text), '\\b(because|due to|causes?)\\b') THEN 'Do the sources name this cause: ' WHEN substr(md5(text), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'Is it stated that ' ELSE 'Do the sources confirm: ' END || text || '?' AS question, cache_key FROM f JOIN k USING (answer_id)",
+    "stream_trend": f"WITH {V.DOCS_SQL} SELECT CAST(created_at AS DATE) AS day, count(*) AS uploads FROM docs GROUP BY 1",
+    "stream_sentences": "SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '')) AS sentences FROM documents",
+    "batch_queue": "SELECT vec_id % 5 AS batch_id, count(*) AS total, count(d.doc_id) AS queued, count(*) - count(d.doc_id) AS errors FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 3 GROUP BY 1",
     "profile_checks": f"WITH {V.DOCS_SQL} SELECT doc_id, CASE WHEN length(text) >= 100 THEN 'en' END AS language, concat_ws(',', CASE WHEN doc_id % 130 - 10 < 0 OR doc_id % 130 - 10 > 100 THEN 'percentage out of range' END, CASE WHEN doc_id % 9 = 0 THEN 'negative duration' END, CASE WHEN quality * 1.1 > 1 THEN 'quality out of range' END, CASE WHEN doc_id % 12 < 1 OR doc_id % 12 > 10 THEN 'priority out of range' END) AS errors, doc_id % 4 = 0 AS is_chart FROM docs",
     "clamped_progress": f"WITH {V.STATUS_SQL} SELECT doc_id, stage, status, CASE WHEN status = 'in_progress' THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, (doc_id % 300 - 100)::DOUBLE)) END AS percentage FROM status",
     "statistics_bundle": f"WITH {V.DOCS_SQL}, {_LIVE30}, tags AS (SELECT unnest(tags) AS tag FROM docs WHERE NOT is_deleted), b AS (SELECT 'totals' AS part, 'all' AS key, count(*) AS documents FROM live UNION ALL SELECT 'by_status', status, count(*) FROM live GROUP BY status UNION ALL (SELECT 'by_mime_type', mime_type, count(*) AS n FROM live GROUP BY mime_type ORDER BY n DESC, mime_type LIMIT 10) UNION ALL SELECT 'by_provider', storage_provider, count(*) FROM live GROUP BY 2 UNION ALL (SELECT 'tags', tag, count(*) AS n FROM tags GROUP BY tag ORDER BY n DESC, tag LIMIT 10) UNION ALL SELECT 'trend', CAST(CAST(created_at AS DATE) AS VARCHAR), count(*) FROM live GROUP BY 2) SELECT * FROM b",
