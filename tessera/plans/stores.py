@@ -139,7 +139,7 @@ def stream_trend(s, d):
     out = scratch_path(s, "trend")
     writer = ingest.upload_trend(_stream(s, d)).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out))
     writer.option("checkpointLocation", scratch_path(s, "trend_state")).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out)
+    return s.read.parquet(out).withColumn("day", F.col("day").cast("timestamp"))
 
 
 def stream_sentences(s, d):
