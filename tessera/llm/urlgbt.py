@@ -172,7 +172,10 @@ class UrlModel:
 
 
 def fit(urls: list[str | None], blocked: list[bool], weights: list[float] | None = None, *, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, l2: float = 1.0, least: float = 1.0, rules=RULES) -> UrlModel:
-    """Boosting of the weighted logistic loss; suffix statistics of a row come from the other half of the hosts."""
+    """Boosting of the weighted logistic loss; suffix statistics of a row come from the other half of the hosts.
+
+    A side of a split has a second derivative of ``least`` or more, or of an even share of the whole where that is less.
+    """
     y = np.array(blocked, dtype=float)
     w = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
     parts = [split_url(u) for u in urls]
@@ -188,6 +191,7 @@ def fit(urls: list[str | None], blocked: list[bool], weights: list[float] | None
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1)
     z = np.full(len(y), model.base)
+    least = min(least, float((w * p * (1 - p)).sum()) / 2**depth)  # so that few labels can be told apart as well
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
         model.trees.append(grow(binned, edges, w * (p - y), w * p * (1 - p), depth, l2, least))
