@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontam, htmltext, jaccard, langid, ogg, packing, sst, urlgbt, warc
+from . import alignment, audit, crf, decontam, htmltext, jaccard, langid, mixing, ogg, packing, sst, urlgbt, warc
 from .common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +63,32 @@ def op10_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document, so that sources come to their target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order and step of five filters, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_best_fit_packing, op3_ogg_media, op4_line_quality, op5_ngram_jaccard, op6_url_filter, op7_token_shards, op8_decontamination, op9_language_id, op10_html_rendering)
+    for f in (
+        op1_warc_derivatives, op2_best_fit_packing, op3_ogg_media, op4_line_quality, op5_ngram_jaccard, op6_url_filter, op7_token_shards,
+        op8_decontamination, op9_language_id, op10_html_rendering, op11_source_mixing, op12_filter_audit, op13_tokenizer_alignment,
+    )
 }
 
 # Tokenizers, learned models, containers and tree building have no SQL form; those are tested against brute force,
 # round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
+    "op12_filter_audit": audit.ORACLE_SQL,
     "op5_ngram_jaccard": """
         WITH RECURSIVE
         w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -69,33 +69,36 @@ class _Cache(dict):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 500_000, plain: bool = False):
+        """With ``plain``, strings of special tokens in a text are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.plain = plain
         kind = json.loads(self.tokenizer.to_str())
         pre, model = kind.get("pre_tokenizer") or {}, kind["model"]
         self.by_piece = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE" and not model.get("dropout")
         self.pieces = _Cache(self.tokenizer.model, self.tokenizer.get_vocab_size(), cache_entries)
 
     def encode(self, text: str) -> bytes:
-        if self.by_piece and "<|" not in text:
+        if self.by_piece and (self.plain or "<|" not in text):
             pieces = _PIECE.findall(text)
             if sum(map(len, pieces)) == len(text):  # else it has other white space, which pieces leave out
                 return b"".join(map(self.pieces.__getitem__, pieces))
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def encoder(name_or_path: str) -> Encoder:
-    """One encoder per Python worker; a bare name is looked up among the installed vocabularies."""
+def local_path(name_or_path: str) -> str:
+    """A bare name is looked up among the installed vocabularies."""
+    if os.sep in name_or_path:
+        return name_or_path
+    import public_tokenizers
 
-    def load() -> Encoder:
-        path = name_or_path
-        if os.sep not in path:
-            import public_tokenizers
+    return str(public_tokenizers.path(name_or_path))
 
-            path = public_tokenizers.path(path)
-        return Encoder(str(path))
 
-    return worker_cache(("encoder", name_or_path), load)
+def encoder(name_or_path: str) -> Encoder:
+    """One encoder per Python worker."""
+    return worker_cache(("encoder", name_or_path), lambda: Encoder(local_path(name_or_path)))

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_decontamination": {"doc_id": "bigint", "item_id": "bigint"},
     "op9_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10_html_rendering": {"page_id": "bigint", "text": "string"},
+    "op11_source_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op12_filter_audit": {"part": "string", "filter_order": "string", "step": "int", **dict.fromkeys(("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"), "bigint")},
+    "op13_tokenizer_alignment": {"doc_id": "bigint", **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "bigint"), "groups_sha256": "string"},
 }
 
 
@@ -47,6 +50,8 @@ def test_columns_and_rows(results, spark, sf_dir, name):
         assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in table(spark, sf_dir, "pages").select("page_id").collect())
     elif name == "op2_best_fit_packing":
         assert sum(r.piece == 0 for r in rows) == documents
+    elif name == "op12_filter_audit":
+        assert len(rows) == 600 * table(spark, sf_dir, "documents").select("lang").distinct().count()
     elif name != "op8_decontamination":
         assert len(rows) == documents
 
