@@ -13,7 +13,7 @@
 
 A text is encoded by pieces (a run of blanks and the run of other characters after it), which both vocabularies encode
 alike alone and inside a text; texts with other white space, or vocabularies with tokens that reach from a character
-into a blank, are encoded whole.  Joined bytes are compared piece by piece, as a piece is first met, else text by text.
+into a blank, are encoded whole.  A text's joined bytes are compared with the text.
 
 Defined cases: null and empty texts, and texts that either vocabulary does not give back byte by byte, have no tokens:
 zeros and ``''``; strings of special tokens are plain text; equal rows and rows without an identifier count as often as
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,6 @@ from .common import Scratch, arrow_map, slices, texts_of, worker_cache
 from .tokens import Encoder, byte_letters, local_path
 
 MARK = "▁"  # fixed value: stands for a space in pieces
-BAD = np.uint32(0xFFFFFFFF)  # a piece that is not given back byte by byte
 PLAIN = re.compile(r"[ \n\t]*\S+|[ \n\t]+")
 BLOCK = "block long, docs binary, a array<int>, b array<int>, n array<long>"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -46,11 +46,11 @@ DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 class Pair:
     """Both vocabularies, their tokens' byte lengths, and caches of the ids of pieces."""
 
-    def __init__(self, path_a: str, path_b: str, cache_entries: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, cache_letters: int = 3_000_000):
         import sentencepiece
 
-        self.encoder = Encoder(local_path(path_a), cache_entries, plain=True)
-        self.tokenizer = self.encoder.tokenizer
+        encoder = Encoder(local_path(path_a), 0, plain=True)
+        self.tokenizer = encoder.tokenizer
         self.model = sentencepiece.SentencePieceProcessor(model_file=local_path(path_b))
         letters = {c: b for b, c in byte_letters().items()}
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
@@ -63,52 +63,57 @@ class Pair:
         crossing = re.compile(rf"[^\s{MARK}][\s{MARK}]")
         inner = (m.id_to_piece(k) for k in range(m.get_piece_size()) if not (m.is_control(k) or m.is_byte(k) or m.is_unknown(k)))
         # a carriage return is never part of a piece, so tokens with one do not matter
-        self.by_piece = self.encoder.by_piece and not any(crossing.search(t) and "\r" not in t or set(t) & set("\n\t") for t in inner)
+        self.by_piece = encoder.by_piece and not any(crossing.search(t) and "\r" not in t or set(t) & set("\n\t") for t in inner)
         self.blank = m.piece_to_id(MARK)
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.most = cache_entries
+        self.kept: dict[str, tuple[bytes, bytes]] = {}  # ids of pieces; emptied between blocks when it holds many letters
+        self.held, self.most = 0, cache_letters
         na, nb = len(self.bytes_a), len(self.bytes_b)
         # a token's digits with the sign after it: within its group, at the end of its side
         self.signs = [b"%d%c" % (k // 2, b",|"[k % 2]) for k in range(2 * na)] + [b"%d%c" % (k // 2, b",;"[k % 2]) for k in range(2 * nb)]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of pieces that were not met before, all in one call of each library."""
+        new = list(pieces)
+        by_a = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        # the library puts a space first: the piece's own, or a token of its own, which is dropped; an empty text gets none
+        by_b = self.model.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1)
+        for piece, a, b in zip(new, by_a, by_b, strict=True):
+            b = (b or [self.blank]) if piece[0] == " " else b[1:]
+            self.kept[piece] = array("I", a.ids).tobytes(), array("I", b).tobytes()
+            self.held += len(piece)
+
     def _whole(self, text: str) -> tuple[bytes, bytes]:
         """Ids of both vocabularies for a text with its leading space."""
-        a = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        b = np.asarray(self.model.encode(text[1:]), dtype="<u4")
-        raw = text.encode()
-        if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
-            return BAD.tobytes(), BAD.tobytes()
-        return a.tobytes(), b.tobytes()
-
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        a = self.encoder.pieces[piece]
-        if piece[0] == " ":
-            ids = self.model.encode(piece[1:]) if len(piece) > 1 else [self.blank]  # an empty text gets no space
-        else:  # the library puts a space first, which is a token of its own here
-            ids = self.model.encode(piece)
-            ids = ids[1:] if ids[:1] == [self.blank] else []
-        raw = piece.encode()
-        good = b"".join([self.bytes_b[k] for k in ids]) == raw and b"".join([self.bytes_a[k] for k in np.frombuffer(a, dtype="<u4")]) == raw
-        out = (a, np.asarray(ids, dtype="<u4").tobytes()) if good else (BAD.tobytes(), BAD.tobytes())
-        if len(self.kept) >= self.most:
+        return tuple(array("I", ids).tobytes() for ids in (self.tokenizer.encode(text, add_special_tokens=False).ids, self.model.encode(text[1:])))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Both id arrays of space and text; None for empty texts and where a vocabulary does not give the text back."""
+        parted: list[list[str] | None] = []
+        new: set[str] = set()
+        for text in texts:
+            pieces = PLAIN.findall(" " + text) if text and self.by_piece else []
+            parted.append(pieces if sum(map(len, pieces)) == len(text) + 1 else None)  # else it has other white space
+            if parted[-1]:
+                new.update(set(pieces).difference(self.kept))
+        self._learn(new)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, pieces in zip(texts, parted, strict=True):
+            if not text:
+                out.append(None)
+                continue
+            if pieces:
+                found = [*map(self.kept.__getitem__, pieces)]
+                both = b"".join([x for x, _ in found]), b"".join([y for _, y in found])
+            else:
+                both = self._whole(" " + text)
+            ids = tuple(np.frombuffer(x, dtype="<u4") for x in both)
+            raw = (" " + text).encode()
+            out.append(ids if all(b"".join(map(of.__getitem__, k.tolist())) == raw for of, k in zip((self.bytes_a, self.bytes_b), ids, strict=True)) else None)
+        if self.held > self.most:
             self.kept.clear()
-        if len(piece) < 64:
-            self.kept[piece] = out
+            self.held = 0
         return out
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both id arrays of space and text; None where a vocabulary does not give the text back."""
-        text = " " + text
-        pieces = PLAIN.findall(text) if self.by_piece else []
-        if sum(map(len, pieces)) == len(text):
-            get, make = self.kept.get, self._piece
-            found = [get(p) or make(p) for p in pieces]
-            a, b = b"".join([x for x, _ in found]), b"".join([y for _, y in found])
-        else:
-            a, b = self._whole(text)
-        ids_a, ids_b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-        return None if (ids_a == BAD).any() or (ids_b == BAD).any() else (ids_a, ids_b)
-
 
 def pair_of(path_a: str, path_b: str) -> Pair:
     """One pair of vocabularies per Python worker."""
@@ -130,7 +135,7 @@ def groups_and_links(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray,
 
 def _block(pair: Pair, ids: list, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """The documents of one block (Arrow bytes), and its distinct pairs with their numbers of links."""
-    coded = [pair.encode(t) if t else None for t in texts]
+    coded = pair.encode(texts)
     good = [k for k, c in enumerate(coded) if c is not None]
     none = np.zeros(0, dtype=np.uint32)
     a, b = (np.concatenate([coded[k][side] for k in good] or [none]).astype(np.int64) for side in (0, 1))
