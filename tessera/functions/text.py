@@ -38,10 +38,17 @@ def regex_word_count(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
-    """Word n-grams of the normalised text; the whole text if it has fewer words."""
-    w = words(normalize(text))
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(grams)
+    """Word n-grams of the normalised text; the whole text if it has fewer words.
+
+    The word list is bound by a lambda of its own: an expression that an inner lambda holds is evaluated for each of
+    that lambda's elements, so the text would be split again for every n-gram.
+    """
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(each)
+
+    return F.transform(F.array(words(normalize(text))), grams)[0]
 
 
 def word_overlap(a: Column, b: Column) -> Column:

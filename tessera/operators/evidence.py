@@ -6,11 +6,18 @@ quotes ``answer_id, prop, passage_id, matched_text, similarity``; verifications
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import spread
+from . import fuzzy
+from .fuzzy import indel_ratio
 
 # fixed values: thresholds of the five verification levels
 PROFILES = (
@@ -145,23 +152,6 @@ def fit_context(passages: DataFrame, max_tokens: int = 6000, least_rest: int = 1
 # Quote matching --------------------------------------------------------------------------
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 * longest common subsequence / (len a + len b), bit-parallel."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    places: dict[str, int] = {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | (1 << k)
-    full = (1 << len(a)) - 1
-    state = full
-    for c in b:
-        hit = state & places.get(c, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return 2.0 * (len(a) - state.bit_count()) / (len(a) + len(b))
-
-
 def token_sort_ratio(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
@@ -186,42 +176,66 @@ def _similarity(fn):
     return run
 
 
-def bound_token_sort(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio from lengths alone: 2 min / (a + b)."""
-    x, y = F.length(a), F.length(b)
-    return 2 * F.least(x, y) / F.greatest(x + y, F.lit(1))
-
-
-LETTERS = "abcdefghijklmnopqrstuvwxyz "
-
-
-def letter_counts(text: Column) -> Column:
-    """How often each of :data:`LETTERS` occurs, and at last all other characters."""
-    each = [F.length(text) - F.length(F.replace(text, F.lit(c))) for c in LETTERS]
-    return F.array(*each, F.length(F.translate(text, LETTERS, "")))
-
-
-def bound_letters(a: Column, b: Column, x: Column, y: Column) -> Column:
-    """An upper bound of the ratio: no common subsequence holds a letter more often than both texts."""
-    common = F.aggregate(F.zip_with(x, y, lambda m, n: F.least(m, n)), F.lit(0), lambda s, v: s + v)
-    return 2 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
+def quote_matches(propositions: DataFrame, passages: DataFrame, *, threshold: float = 0.85, top_k: int = 5, min_words: int = 3, claim_block: int = 10_000, salts: int = 4) -> DataFrame:
+    """The ``top_k`` sentences that match a proposition, by token-sort ratio: every pair that reaches ``threshold`` is found.
 
+    ``passages``: passage_id, text, score, and answer_id; a passage without an answer_id is offered to all answers, one
+    with it to that answer only.  Either way a sentence moves at most once and carries identifiers, not its passage;
+    texts and offsets are fetched for the ranked matches alone.
+    """
+    claims = propositions.select("answer_id", "prop", fuzzy.sorted_tokens(F.col("text")).alias("a")).where("a <> ''")
 
-def quote_matches(propositions: DataFrame, passages: DataFrame, *, threshold: float = 0.85, top_k: int = 5, min_words: int = 3) -> DataFrame:
-    """The ``top_k`` sentences of an answer's passages that match a proposition.
+    def sents(of: DataFrame) -> DataFrame:
+        cut = of.select("answer_id", "passage_id", F.col("score").alias("passage_score"), F.posexplode(T.sentences(F.col("text"), min_words)).alias("sentence_index", "sentence"))
+        return cut.withColumn("b", fuzzy.sorted_tokens(F.col("sentence"))).drop("sentence")
 
-    Pairs are built within an answer; those whose lengths or letters rule the threshold out never reach Python.
-    Letters are counted once for each text, before the join.
-    """
-    least = threshold - 0.0005  # similarities are rounded to 3 digits
-    sents = passages.select("answer_id", "passage_id", F.col("score").alias("passage_score"), F.col("text").alias("passage"), F.posexplode(T.sentences(F.col("text"), min_words)).alias("sentence_index", "sentence"))
-    sents = sents.withColumn("b", T.normalize(F.col("sentence"))).withColumn("y", letter_counts(F.col("b")))
-    claims = propositions.select("answer_id", "prop", T.normalize(F.col("text")).alias("a")).withColumn("x", letter_counts(F.col("a")))
-    pairs = claims.join(sents, "answer_id").where((bound_token_sort(F.col("a"), F.col("b")) >= least) & (bound_letters(F.col("a"), F.col("b"), F.col("x"), F.col("y")) >= least))
-    scored = pairs.withColumn("similarity", _similarity(token_sort_ratio)("a", "b")).where(F.col("similarity") >= threshold)
+    scored = _match_own(claims, sents(passages.where("answer_id is not null")), threshold, salts)
+    for found in _match_shared(claims, sents(spread(passages.where("answer_id is null"))).drop("answer_id"), threshold, claim_block):
+        scored = scored.unionByName(found)
     order = Window.partitionBy("answer_id", "prop").orderBy(F.col("similarity").desc(), F.col("passage_score").desc(), "passage_id", "sentence_index")
-    where = locate(F.col("passage"), F.col("sentence"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("answer_id", "prop", "passage_id", "sentence_index", F.col("sentence").alias("matched_text"), "similarity", where["start"].alias("start_pos"), where["end"].alias("end_pos"), "rank")
+    best = scored.where(F.col("similarity") >= threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    texts = passages.select(F.col("answer_id").alias("of"), F.col("passage_id").alias("passage"), "text")
+    with_text = best.join(texts, (F.col("passage_id") == F.col("passage")) & F.col("of").eqNullSafe(F.when(F.col("own"), F.col("answer_id"))))
+    cut = with_text.withColumn("matched_text", T.sentences(F.col("text"), min_words)[F.col("sentence_index")])
+    where = locate(F.col("text"), F.col("matched_text"))
+    return cut.select("answer_id", "prop", "passage_id", "sentence_index", "matched_text", "similarity", where["start"].alias("start_pos"), where["end"].alias("end_pos"), "rank")
+
+
+_FOUND = ("answer_id", "prop", "passage_id", "passage_score", "sentence_index", "similarity", "own")
+
+
+def _match_shared(claims: DataFrame, sents: DataFrame, threshold: float, block: int) -> Iterator[DataFrame]:
+    """Matches of sentences that are offered to all claims; the claims come in blocks of a bounded number."""
+    rows = claims.toLocalIterator()
+    spark, kinds = claims.sparkSession, dict(claims.dtypes)
+    while held := list(islice(rows, block)):
+        texts = list(dict.fromkeys(r["a"] for r in held))
+        number = {a: k for k, a in enumerate(texts)}
+        names = spark.createDataFrame([(number[r["a"]], r["answer_id"], r["prop"]) for r in held], f"claim_no int, answer_id {kinds['answer_id']}, prop {kinds['prop']}")
+        found = fuzzy.match(sents, texts, threshold - 0.0005)  # similarities are rounded to 3 digits
+        yield found.join(F.broadcast(names), F.col("claim") == F.col("claim_no")).withColumns({"similarity": F.round("similarity", 3), "own": F.lit(False)}).select(*_FOUND)
+
+
+def _match_own(claims: DataFrame, sents: DataFrame, threshold: float, salts: int) -> DataFrame:
+    """Matches within an answer: its claims meet its sentences, which are dealt over ``salts`` groups."""
+    kinds = dict(claims.dtypes) | dict(sents.dtypes) | {"similarity": "double", "own": "boolean"}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], kind) for c, kind in zip(_FOUND, target, strict=True)})
+        rows, which, ratio = fuzzy.Claims(left.column("a").to_pylist(), threshold - 0.0005).match(right.column("b").to_pylist())
+        here, claim = right.take(pa.array(rows)), left.take(pa.array(which))
+        columns = [claim.column("answer_id"), claim.column("prop"), *(here.column(c) for c in ("passage_id", "passage_score", "sentence_index"))]
+        return pa.table([*columns, pa.array(ratio, pa.float64()), pa.array([True] * len(rows), pa.bool_())], names=list(_FOUND))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = [to_arrow_type(_parse_datatype_string(kinds[c])) for c in _FOUND]
+    dealt = sents.withColumn("salt", F.pmod(F.xxhash64("passage_id", "sentence_index"), F.lit(salts)))
+    asked = claims.withColumn("claim_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).withColumnRenamed("answer_id", "claim_answer").withColumn("answer_id", F.col("claim_answer"))
+    found = asked.groupBy("claim_answer", "claim_salt").cogroup(dealt.groupBy("answer_id", "salt")).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in _FOUND))
+    return found.withColumn("similarity", F.round("similarity", 3))
 
 
 def remove_flagged(sentences: DataFrame, flagged: DataFrame, threshold: float = 0.7) -> DataFrame:

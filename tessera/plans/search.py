@@ -54,18 +54,15 @@ def _variations(s, d):
 
 
 def _claims(s, d):
-    """Every sentence of five words or more of a benchmark text, as a claim of an answer; the answer is the item."""
+    """Every sentence of three words or more of a benchmark text, as a claim of an answer; the answer is the item."""
     b = table(s, d, "benchmark")
-    return b.select(F.col("item_id").alias("answer_id"), F.posexplode(T.sentences(F.col("text"), 5)).alias("prop", "text"))
+    return b.select(F.col("item_id").alias("answer_id"), F.posexplode(T.sentences(F.col("text"), 3)).alias("prop", "text"))
 
 
 def _passages(s, d):
-    """For each item: all documents that share three words in a row with one of its claims, and the item itself."""
-    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(T.ngrams(F.col("text"), 3))).alias("gram"))
-    docs = table(s, d, "documents")
-    met = grams(docs, "doc_id").join(grams(_claims(s, d), "answer_id").distinct(), "gram").select("doc_id", "answer_id").distinct()
+    """All documents, offered to every item, and each item's own text, offered to itself."""
     score = F.round(1 / (1 + F.col("doc_id") % 7), 4).alias("score")  # a retrieval's score
-    p = docs.select("doc_id", "text").join(met, "doc_id").select("answer_id", F.concat(F.lit("p"), F.col("doc_id")).alias("passage_id"), "text", score)
+    p = table(s, d, "documents").select(F.lit(None).cast("long").alias("answer_id"), F.concat(F.lit("p"), F.col("doc_id")).alias("passage_id"), "text", score)
     b = table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.concat(F.lit("b"), F.col("item_id")).alias("passage_id"), F.concat(F.col("text"), F.lit(" Extra words follow.")).alias("text"), F.lit(0.9).alias("score"))
     return p.unionByName(b)
 
@@ -74,6 +71,14 @@ def _quotes(s, d):
     return E.quote_matches(_claims(s, d), _passages(s, d))
 
 
+def _citations(s, d, quotes):
+    """The passages that an item's quotes come from, numbered, with their texts."""
+    cited = quotes.select("answer_id", "passage_id").distinct()
+    texts = _passages(s, d).select(F.col("passage_id").alias("id"), "text")
+    numbered = cited.withColumn("citation_number", F.row_number().over(Window.partitionBy("answer_id").orderBy("passage_id")))
+    return numbered.join(texts, F.col("passage_id") == F.col("id")).drop("id")
+
+
 # Deterministic stand-ins for a model's outputs, the same expressions in SQL.
 def _judged(s, d):
     c = table(s, d, "conversations").where("role = 'assistant'")
@@ -136,7 +141,7 @@ QUERIES = {
     "citation_fallback": lambda s, d: E.citation_fallback(V.chunks(s, d, False)).select("doc_id", "pos", "sentence", "confidence"),
     "citation_select": lambda s, d: E.select_citations(_sources(s, d)),
     "quote_matches": lambda s, d: _quotes(s, d),
-    "best_quotes": lambda s, d: E.best_quotes(_passages(s, d).withColumn("citation_number", F.row_number().over(Window.partitionBy("answer_id").orderBy("passage_id"))), _quotes(s, d)),
+    "best_quotes": lambda s, d: (lambda q: E.best_quotes(_citations(s, d, q), q))(_quotes(s, d)),
     "hallucination_score": lambda s, d: E.hallucination(_judged(s, d)).withColumn("flagged", F.array_join(F.transform("flagged", lambda x: x.cast("string")), ",")),
     "proposition_confidence": lambda s, d: E.proposition_confidence(_judged(s, d)).select("answer_id", "prop", "confidence", F.round("verification_agreement", 6).alias("agreement")),
     "confidence_breakdown": lambda s, d: E.confidence_breakdown(E.proposition_confidence(_judged(s, d))).select("answer_id", "overall", "n_propositions"),

@@ -84,7 +84,7 @@ def test_quote_matches_over_all_documents(spark, sf_dir):
     bags = [(i, s, collections.Counter(s)) for i, s in bags]
     want = collections.defaultdict(set)
     for item in items:
-        for k, claim in enumerate(sentences(item.text, 5)):
+        for k, claim in enumerate(sentences(item.text, 3)):
             a = norm(claim)
             bag = collections.Counter(a)
             for i, b, other in bags:
