@@ -3,14 +3,15 @@
 A scanner feeds a tree builder that supplies implied tags (``p``, ``li``, ``td``,
 ``tr``, ``option``, ...); visibility rules remove what a browser does not show (elements
 without a box, ``hidden``, closed ``dialog`` and ``details``, ``display`` and ``visibility``
-of style attributes and of the page's own simple style rules); the renderer keeps block
+of style attributes and of the page's own style rules, with combinators); the renderer keeps block
 spacing, list markers, preformatted text, and tables with aligned cells, whose
 ``colspan`` and ``rowspan`` keep columns in place.
 
 Scanning, building and rendering take time in proportion to the page and no recursion, at
-any depth of nesting.  Only layout is bounded, never text: indentation stops at
-``INDENT`` characters, tables nested deeper than ``GRIDS`` are laid out as blocks, and
-padding is left out where it would outweigh a table's text.
+any depth of nesting.  Matching style rules takes, for each element, the parts of selectors
+that its tag, identifier and classes name: rules that repeat a selector cost nothing more,
+and only a page whose many different selectors all name the same elements costs their
+product.  Only layout is bounded (:class:`Layout`), never text.
 
 Defined cases: null or empty HTML gives the empty text; broken markup is read as text or
 closed at the end, but a tag that the page's end cuts off is no text, as in a browser;
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of
 
-INDENT, GRIDS = 60, 6
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Bounds on layout; text is never bounded."""
+
+    indent: int = 60  # letters of indentation; deeper lists and quotes go on at this depth
+    grids: int = 6  # tables inside of each other that are aligned; deeper ones are laid out as blocks
+    padding: int = 16  # a table whose padding takes more than so many times its text (and ``spare``) is not padded
+    spare: int = 10_000
+    columns: int = 4096  # columns that are padded
+
+
 # fixed values of the HTML standard: element classes that a renderer has to know
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -69,6 +83,8 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ISLAND = re.compile(r"<(?:svg|math)[\s/>]", re.I)
 _CLOSE_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_WHOLE = re.compile(r"\s*([-+]?[0-9]+)")
+_LINKS = re.compile(r"(\s*[>+~]\s*|\s+)")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 
 
@@ -176,10 +192,11 @@ def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str] | None, bool]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "css")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
+        self.css: dict[str, str] | None = None  # what rules or its own style declare
 
 
 class Page(Node):
@@ -255,20 +272,113 @@ def build(source: str) -> Page:
     return root
 
 
+class Part:
+    """One compound of selectors (tag, identifiers, classes) behind another part; selectors with a common beginning share its parts."""
+
+    __slots__ = ("above", "link", "tag", "ids", "classes", "more", "found")
+
+    def __init__(self, above: Part | None, link: str, tag: str, ids: frozenset[str], classes: frozenset[str]):
+        self.above, self.link, self.tag, self.ids, self.classes = above, link, tag, ids, classes
+        self.more = False  # whether a longer selector goes on from here
+        self.found: dict[str, tuple] = {}  # name -> ((important, specificity, order), value) of selectors that end here
+
+    def fits(self, node: Node, classes: frozenset[str]) -> bool:
+        return (not self.tag or self.tag == node.tag) and self.classes <= classes and (not self.ids or self.ids == {node.attrs.get("id")})
+
+
 class Styles:
-    """Rules of a page's own style elements that show or hide: simple selectors, outside of at-rules."""
+    """Rules of a page's own style elements that show or hide, outside of at-rules: compounds of tag, identifiers and
+    classes behind each other (blank), as a child (>), as the next (+) or a later (~) sibling.
+
+    Equal compounds are one part, which keeps its winning declarations only, and a part is looked up by its rarest
+    name and by the part before it; so an element meets the parts that name it, however many rules there are.
+    """
 
     def __init__(self, sheets: list[Node]):
-        self.rules: dict[str, list[tuple]] = defaultdict(list)
+        self.parts: dict[tuple, Part] = {}
         for n, (selector, body) in enumerate(b for node in sheets for b in self._blocks("".join(k for k in node.kids if isinstance(k, str)))):
             found = self.declared(body)
             for one in selector.split(",") if found else ():
-                m = _SELECTOR.match(one.strip())
-                if m and (m[1] or m[2]):
-                    ids, classes = re.findall(r"#([\w-]+)", m[2]), re.findall(r"\.([\w-]+)", m[2])
-                    tag = m[1].lower() if m[1] and m[1] != "*" else ""
-                    key = "#" + ids[0] if ids else "." + classes[0] if classes else tag or "*"
-                    self.rules[key].append(((len(ids), len(classes), bool(tag)), n, tag, frozenset(ids), frozenset(classes), found))
+                self._add(one.strip(), n, found)
+        names: Counter[str] = Counter(name for p in self.parts.values() for name in self._names(p))
+        self.by_name: dict[str, dict[Part | None, list[Part]]] = defaultdict(lambda: defaultdict(list))
+        for part in self.parts.values():
+            own = [*self._names(part)] or [part.tag or "*"]
+            self.by_name[min(own, key=lambda name: names[name])][part.above].append(part)
+
+    @staticmethod
+    def _names(part: Part) -> Iterator[str]:
+        yield from ("#" + i for i in part.ids)
+        yield from ("." + c for c in part.classes)
+
+    def _add(self, selector: str, order: int, found: dict[str, tuple[str, bool]]) -> None:
+        part, weight, link = None, (0, 0, 0), ""
+        for word in _LINKS.split(selector):
+            if not word:
+                continue
+            if word.strip() in ("", ">", "+", "~"):
+                link = word.strip() or " "
+                continue
+            m = _SELECTOR.match(word)
+            if not m or not (m[1] or m[2]):
+                return  # states, attributes and the like are not known here
+            ids, classes = frozenset(re.findall(r"#([\w-]+)", m[2])), frozenset(re.findall(r"\.([\w-]+)", m[2]))
+            tag = m[1].lower() if m[1] and m[1] != "*" else ""
+            key = (part, link if part else "", tag, ids, classes)
+            if part:
+                part.more = True
+            part = self.parts.setdefault(key, Part(*key))
+            weight = (weight[0] + len(ids), weight[1] + len(classes), weight[2] + bool(tag))
+        if part:
+            for name, (value, strong) in found.items():
+                part.found[name] = max(part.found.get(name, ((),)), ((strong, False, weight, order), value))
+
+    def apply(self, root: Node) -> None:
+        """Give every element that rules or its own style name its declared ``display`` and ``visibility``.
+
+        One walk over the tree.  What has been matched so far goes down with it: parts whose selectors go on below an
+        element (``within``), right below it (``inside``) and after it among its siblings (``beside``, ``after``).
+        """
+        empty: frozenset[Part] = frozenset()
+        todo = [(iter(root.kids), empty, empty, [empty, empty])]
+        while todo:
+            kids, within, inside, besides = todo[-1]
+            node = next((k for k in kids if not isinstance(k, str)), None)
+            if node is None:
+                todo.pop()
+                continue
+            beside, after = besides
+            css, met = self._of(node, {" ": within, ">": inside, "+": beside, "~": after})
+            if css:
+                node.css = css
+            more = frozenset(p for p in met if p.more)
+            besides[0] = more
+            besides[1] = after if more <= after else after | more
+            if node.kids:
+                todo.append((iter(node.kids), within if more <= within else within | more, more, [empty, empty]))
+
+    def _of(self, node: Node, known: dict[str, frozenset[Part]]) -> tuple[dict[str, str], list[Part]]:
+        a = node.attrs
+        classes = frozenset(a["class"].split()) if "class" in a else frozenset()
+        met, won = [], {}
+        for name in (node.tag, "*", *("." + c for c in classes), *(["#" + a["id"]] if "id" in a else [])):
+            if not (by_above := self.by_name.get(name)):
+                continue
+            candidates = list(by_above.get(None, ()))
+            for link, parts in known.items():
+                if len(parts) < len(by_above):
+                    candidates += (p for above in parts if above in by_above for p in by_above[above] if p.link == link)
+                else:
+                    candidates += (p for above, ps in by_above.items() if above in parts for p in ps if p.link == link)
+            for part in candidates:
+                if part.fits(node, classes):
+                    met.append(part)
+                    for prop, one in part.found.items():
+                        won[prop] = max(won.get(prop, ((),)), one)
+        if "style" in a:
+            for name, (value, strong) in self.declared(a["style"]).items():
+                won[name] = max(won.get(name, ((),)), ((strong, True, (0, 0, 0), 0), value))
+        return {k: v[1] for k, v in won.items()}, met
 
     @staticmethod
     def _blocks(css: str) -> Iterator[tuple[str, str]]:
@@ -299,21 +409,6 @@ class Styles:
                 out[name.lower()] = (value.lower(), bool(strong))
         return out
 
-    def of(self, node: Node) -> dict[str, str]:
-        """Declared ``display`` and ``visibility`` of an element, by importance, specificity and order."""
-        a, won = node.attrs, {}
-        if self.rules:
-            classes = frozenset(a["class"].split()) if "class" in a else frozenset()
-            keys = [node.tag, "*", *("." + c for c in classes), *(["#" + a["id"]] if "id" in a else [])]
-            for weight, n, tag, ids, need, found in (r for k in keys for r in self.rules.get(k, ())):
-                if (not tag or tag == node.tag) and need <= classes and (not ids or ids == {a.get("id")}):
-                    for name, (value, strong) in found.items():
-                        won[name] = max(won.get(name, ((),)), ((strong, False, weight, n), value))
-        if "style" in a:
-            for name, (value, strong) in self.declared(a["style"]).items():
-                won[name] = max(won.get(name, ((),)), ((strong, True, (0, 0, 0), 0), value))
-        return {k: v[1] for k, v in won.items()}
-
 
 class _Lines:
     """Collects inline text into lines; margins collapse."""
@@ -323,6 +418,7 @@ class _Lines:
         self.cur: list[str] = []
         self.blank = False
         self.prefix = ""
+        self.kept = False  # whether some of the lines are preformatted
 
     def text(self, s: str) -> None:
         s = _SPACE.sub(" ", s)
@@ -357,19 +453,25 @@ class _Lines:
 class Renderer:
     """Writes a tree to lines.  Its methods are generators that yield the work below them; :func:`_run` drives them."""
 
-    def __init__(self, page: Page):
+    def __init__(self, page: Page, layout: Layout):
+        self.layout = layout
         self.styles = Styles(page.styles)
+        self.ruled = bool(self.styles.parts)
+        if self.ruled:
+            self.styles.apply(page)
 
     def shown(self, node: Node, seen: bool) -> tuple[bool, bool]:
         """(has a box, its text is visible)."""
         a = node.attrs
         if node.tag in HIDDEN:
             return False, False
-        if not a and not self.styles.rules:
+        if not a and not self.ruled:
             return node.tag != "dialog", seen
         if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
             return False, False
-        css = self.styles.of(node)
+        css = node.css
+        if css is None:
+            css = {k: v[0] for k, v in Styles.declared(a["style"]).items()} if not self.ruled and "style" in a else {}
         if css.get("display", "none" if "hidden" in a else "") == "none":
             return False, False
         visibility = css.get("visibility")
@@ -416,7 +518,7 @@ class Renderer:
         tag, kids = node.tag, node.kids
         if tag == "details" and "open" not in node.attrs:
             kids = [k for k in kids if not isinstance(k, str) and k.tag == "summary"][:1]
-        if tag == "table" and grids < GRIDS:
+        if tag == "table" and grids < self.layout.grids:
             out.margin()
             lines: list[str] = []
             yield self.table(node, lines, seen, grids + 1)
@@ -427,6 +529,7 @@ class Renderer:
             yield self.list(node, out, seen, grids)
         elif tag in ("pre", "textarea", "xmp"):
             out.margin()
+            out.kept = True
             yield self.children(kids, out, True, seen, grids)
             out.pre_line(last=True)
             out.margin()
@@ -434,7 +537,7 @@ class Renderer:
             end = out.margin if tag in SPACED else out.end_line
             end()
             keep = out.prefix
-            if tag in ("dd", "blockquote") and len(keep) < INDENT:
+            if tag in ("dd", "blockquote") and len(keep) < self.layout.indent:
                 out.prefix += "    "
             yield self.children(kids, out, pre, seen, grids)
             end()
@@ -449,10 +552,8 @@ class Renderer:
         nested = bool(out.prefix.strip()) or out.prefix.startswith("  ")
         end = out.end_line if nested else out.margin
         end()
-        try:
-            number = int(node.attrs.get("start", "1")[:12])
-        except ValueError:
-            number = 1
+        step = -1 if node.tag == "ol" and "reversed" in node.attrs else 1
+        number = _whole(node.attrs.get("start"), 1 if step > 0 else sum(not isinstance(k, str) and k.tag == "li" for k in node.kids))
         keep = out.prefix
         for kid in node.kids:
             if isinstance(kid, str):
@@ -464,9 +565,10 @@ class Renderer:
                 continue
             if kid.tag == "li":
                 out.end_line()
+                number = _whole(kid.attrs.get("value"), number)
                 marker = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
-                out.prefix = (keep.replace("-", " ") if len(keep) < INDENT else " " * INDENT) + marker
+                number += step
+                out.prefix = (keep.replace("-", " ") if len(keep) < self.layout.indent else " " * self.layout.indent) + marker
                 before = len(out.lines)
                 yield self.children(kid.kids, out, False, visible, grids)
                 out.end_line()
@@ -515,25 +617,34 @@ class Renderer:
                     else:
                         yield self.children([cell], inner, False, visible, grids)
                     inner.end_line()
-                    cells.append((" ".join(x for x in map(str.strip, inner.lines) if x), _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)))
+                    kept = "\n".join(x.rstrip() for x in inner.lines) if inner.kept else " ".join(x for x in map(str.strip, inner.lines) if x)
+                    cells.append((kept, _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)))
                 rows.append(cells)
             else:
                 inner = _Lines()
                 yield self.children([kid], inner, False, seen, grids)
                 inner.end_line()
                 lines.extend(x for x in inner.lines if x)
-        lines.extend(grid(rows))
+        lines.extend(grid(rows, self.layout))
+
+
+def _whole(value: str | None, other: int) -> int:
+    """A whole number as an attribute's value begins with it; ``other`` if there is none."""
+    m = _WHOLE.match(value or "")
+    return int(m[1]) if m and len(m[1]) < 4000 else other
 
 
 def _span(cell: Node, name: str, most: int) -> int:
-    value = cell.attrs.get(name, "1").strip()
-    return min(int(value[:6]), most) if value.isascii() and value.isdigit() and int(value[:6]) else 1
+    value = cell.attrs.get(name, "1").strip().lstrip("0")
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return int(value) if len(value) < 6 and int(value) < most else most
 
 
-def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+def grid(rows: list[list[tuple[str, int, int]]], layout: Layout = Layout()) -> list[str]:  # noqa: B008
     """Lines of (text, columns, rows) cells; a cell that spans rows leaves its place blank in those below."""
     placed, down, widths = [], {}, defaultdict(int)  # down: column -> (end column, row that is free again)
-    blanks = 16 * sum(map(len, rows)) + 10_000  # places left blank; a table with more is not kept in place below
+    blanks = layout.padding * sum(map(len, rows)) + layout.spare  # places left blank; a table with more is not kept in place below
     for r, cells in enumerate(rows):
         line, at = [], 0
         for text, cols, deep in cells:
@@ -543,22 +654,25 @@ def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
                 at = down[at][0]
             line.append((text, at, at + cols))
             if cols == 1:
-                widths[at] = max(widths[at], len(text))
+                widths[at] = max(widths[at], max(map(len, text.split("\n"))) if "\n" in text else len(text))
             if deep > 1:
                 down[at] = (at + cols, r + deep)
             at += cols
         placed.append(line)
     upto = [0]
-    for c in range(min(max(widths, default=-1) + 1, 4096)):
+    for c in range(min(max(widths, default=-1) + 1, layout.columns)):
         upto.append(upto[-1] + widths.get(c, 0) + 3)
     width = lambda a, b: max(0, upto[min(b, len(upto) - 1)] - upto[min(a, len(upto) - 1)] - 3)
     text = sum(len(t) + 3 for line in placed for t, _, _ in line)
-    aligned = sum(width(a, b) for line in placed for _, a, b in line) <= 16 * text + 10_000
+    aligned = sum(width(a, b) for line in placed for _, a, b in line) <= layout.padding * text + layout.spare
     out = []
     for line in placed:
-        joined = " | ".join(t.ljust(width(a, b)) if aligned else t for t, a, b in line).rstrip()
-        if joined.strip(" |"):
-            out.append(joined)
+        deep = [t.split("\n") for t, _, _ in line] if any("\n" in t for t, _, _ in line) else None
+        for k in range(max(map(len, deep)) if deep else 1):  # preformatted cells have several lines
+            texts = [t[k] if k < len(t) else "" for t in deep] if deep else [t for t, _, _ in line]
+            joined = " | ".join(t.ljust(width(a, b)) if aligned else t for t, (_, a, b) in zip(texts, line, strict=True)).rstrip()
+            if joined.strip(" |"):
+                out.append(joined)
     return out
 
 
@@ -572,11 +686,11 @@ def _run(work) -> None:
             stack.append(below)
 
 
-def render(source: str | None) -> str:
+def render(source: str | None, layout: Layout = Layout()) -> str:  # noqa: B008
     if not source:
         return ""
     out, root = _Lines(), build(source)
-    _run(Renderer(root).children([root], out, False, True, 0))
+    _run(Renderer(root, layout).children([root], out, False, True, 0))
     out.end_line()
     if root.depth > 500:
         _unlink(root)

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html as _html
 import json
 import re
 import uuid
@@ -34,18 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import htmltext
 from .common import arrow_map
 
 CRLF = b"\r\n"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tessera:warc")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*+>", re.I)
-_CELL = re.compile(r"</?(?:td|th)\b[^>]*+>", re.I)
-_MARKUP = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*+>")
-_BLANKS = re.compile(r"[ \t\r\f\v]+")
-_LINES = re.compile(r" ?\n[ \n]*")
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 _TEXTUAL = re.compile(r"text/|application/(?:[\w.-]+\+)?(?:xml|json|xhtml)|application/(?:xhtml\+xml|javascript|ecmascript)", re.I)
+_MARKUP = re.compile(r"text/html|application/(?:[\w.-]+\+)?(?:xhtml|xml)|text/xml|\Z", re.I)
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -140,19 +135,14 @@ def parse(raw: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, rest[: int(length)]
 
 
-def plain_text(source: str) -> str:
-    """Text without markup: hidden elements go, block borders become line breaks, references are resolved."""
-    text = _HIDDEN.sub(" ", source)
-    text = _BLANKS.sub(" ", text.replace("\n", " "))
-    ends = text.rfind(">") + 1  # no tag ends behind it, so each search below ends at the next one
-    text, rest = text[:ends], text[ends:]
-    text = _MARKUP.sub("", _CELL.sub("\t", _BREAK.sub("\n", text))) + rest
-    return _LINES.sub("\n", _BLANKS.sub(" ", _html.unescape(text))).strip()
+def plain_text(source: str, mime: str = "text/html") -> str:
+    """What a reader of the page sees, by the tree builder and visibility rules of :mod:`.htmltext`; other texts stay as they are."""
+    return htmltext.render(source) if _MARKUP.match(mime.strip()) else source
 
 
 def derive(raw: bytes) -> list[dict]:
     """The records derived from one response record, metadata first."""
-    error, http, payload, fields, charset = None, [], b"", [], "utf-8"
+    error, http, payload, fields, charset, mime = None, [], b"", [], "utf-8", "text/html"
     try:
         fields, block = parse(raw)
         look = {k.lower(): v for k, v in fields}
@@ -186,7 +176,7 @@ def derive(raw: bytes) -> list[dict]:
             lines = [("source-" + k.lower(), v) for k, v in fields] + [("http-" + k.lower(), v) for k, v in http] + ([("error", error)] if error else [])
             block, kept = "".join(f"{k}: {v}\r\n" for k, v in lines).encode(), "application/warc-fields"
         else:
-            block, kept = plain_text(text).encode(), "text/plain; charset=utf-8"
+            block, kept = plain_text(text, mime).encode(), "text/plain; charset=utf-8"
         rid = f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {source}')}>"
         head = [("WARC-Record-ID", rid), *([("WARC-Target-URI", target), ("WARC-Refers-To-Target-URI", target)] if target else []), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", date), ("Content-Type", kept)]
         out.append({"record_type": kind, "record_id": rid, "refers_to": source or None, "target_uri": target, "warc_date": date or None, "content_type": kept, "content_length": len(block), "block_digest": (own := digest(block)), "source_block_digest": look.get("warc-block-digest"), "source_payload_digest": look.get("warc-payload-digest"), "source_headers": json.dumps(fields, ensure_ascii=False), "error": error, "record": record(kind, head, block, own)})

@@ -37,6 +37,15 @@ DEEP = "<div>" * 205
         ("a </ b> c </p", "a c"),
         ("<a title=x>y>z</a>", "y>z"),
         ("1 <2 and <3", "1 <2 and <3"),
+        ("<style>div .z{display:none}</style><div><b><p class=z>no</p></b></div><p class=z>yes</p>", "yes"),
+        ("<style>ul > li.x{display:none}</style><ul><li class=x>no<li><div class=x>a</div></ul>", "- a"),
+        ("<style>h2+p{display:none} h2 ~ b{visibility:hidden}</style><p>0</p><h2>H</h2><p>no</p><p>yes</p><b>no</b>", "0\n\nH\n\nyes"),
+        ("<style>.a .b,.x{display:none} div.a > .b{display:block}</style><div class=a><p class=b>yes</p><div><p class=b>no</p></div></div>", "yes"),
+        ("<style>p:hover, a[b] i, .n{display:none}</style><p>yes</p><a b><i>too</i></a><p class=n>no</p>", "yes\n\ntoo"),
+        ("<ol reversed><li>a<li value=5>b<li>c</ol>", "3. a\n5. b\n4. c"),
+        ("<ol start=3><li>x<li value=9>y<li value=z>z</ol>", "3. x\n9. y\n10. z"),
+        ("<table><tr><td><pre>a\n  b</pre><td>x<tr><td>c<td>d</table>", "a   | x\n  b |\nc   | d"),
+        ("<table><tr><td colspan=0000002>a<td>b<tr><td>1<td>2<td>3</table>", "a     | b\n1 | 2 | 3"),
     ],
 )
 def test_render(html, text):
@@ -98,3 +107,27 @@ def test_words_of_whole_pages_equal_an_independent_parser(spark, sf_dir):
 def test_extra_columns_and_repeats(spark):
     df = spark.createDataFrame([(1, "<p>a", "x", 5), (1, "<p>a", "x", 5), (None, "b", "y", 6)], "page_id long, html string, text string, n_lines int")
     assert sorted((r.page_id or 0, r.text, r.n_lines) for r in htmltext.extract(df).collect()) == [(0, "b", 1), (1, "a", 1), (1, "a", 1)]
+
+
+STYLED = {
+    "one rule again and again": lambda n: "<style>" + ".a{display:none}" * n + "</style>" + "<p class=a>x" * n,
+    "below one class": lambda n: "<style>" + "".join(f".a .b{k}{{display:none}}" for k in range(n)) + "</style>" + "".join(f"<p class='a b{k}'>x" for k in range(n)),
+    "two classes": lambda n: "<style>" + "".join(f".a.c{k}{{display:none}}" for k in range(n)) + "</style>" + "<p class=a>x" * n,
+    "many above": lambda n: "<style>" + "".join(f".a{k} .b{{display:none}}" for k in range(n)) + "</style>" + "<p class=b>x" * n,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(STYLED))
+def test_time_of_style_rules(kind):
+    page = STYLED[kind](20_000)
+    began = time.process_time()
+    htmltext.render(page)
+    assert time.process_time() - began < 8
+
+
+def test_layout_is_a_parameter():
+    nested = "<table><tr><td>a<td><table><tr><td>b<td>c</table></table>"
+    assert htmltext.render(nested) == "a | b | c"
+    assert htmltext.render("<ul><li>a<ul><li>b</ul></ul>", htmltext.Layout(indent=0)) != htmltext.render("<ul><li>a<ul><li>b</ul></ul>")
+    wide = "<table><tr><td>" + "x" * 200 + "<td>1<tr><td>a<td>2</table>"
+    assert htmltext.render(wide, htmltext.Layout(padding=0, spare=0)).split("\n")[1] == "a | 2" != htmltext.render(wide).split("\n")[1]

@@ -99,7 +99,7 @@ def test_derivatives_link_to_their_source():
         assert int(f["Content-Length"]) == len(own) == d["content_length"]
         assert d["source_block_digest"] == warc.digest(block) and d["source_payload_digest"] == warc.digest(PAGE.encode())
         assert json.loads(d["source_headers"]) == [list(x) for x in source]
-    assert warc.parse(conv["record"])[1].decode() == "Head & more\nOne\ntwo\na\nb"
+    assert warc.parse(conv["record"])[1].decode() == "Head & more\n\nOne\ntwo\n\n- a\n- b"
     assert b"http-content-type: text/html; charset=utf-8\r\n" in meta["record"]
     assert b"source-warc-payload-digest: " + look["WARC-Payload-Digest"].encode() in meta["record"]
     assert warc.derive(raw) == [meta, conv]
