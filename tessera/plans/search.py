@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import evidence as E
-from ..operators import fusion, retrieval
+from ..operators import fulltext, fusion, retrieval
 from ..operators.filters import SearchFilters, SearchRequest
-from ..session import table
+from ..session import scratch_path, table
 from . import views as V
 
 KNN = ("query_id", "vec_id", "similarity", "rank")
@@ -79,6 +79,15 @@ def _citations(s, d, quotes):
     return numbered.join(texts, F.col("passage_id") == F.col("id")).drop("id")
 
 
+def _questions(s, d):
+    """Every benchmark item asks for the first three words of its text."""
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("text"))
+
+
+def _index(s, d, language="english"):
+    return fulltext.FullTextIndex.build(V.chunks(s, d, False), scratch_path(s, "fulltext"), language=language)
+
+
 # Deterministic stand-ins for a model's outputs, the same expressions in SQL.
 def _judged(s, d):
     c = table(s, d, "conversations").where("role = 'assistant'")
@@ -110,6 +119,9 @@ QUERIES = {
     "keyword_search": lambda s, d: retrieval.keyword(V.queries(s, d), V.chunks(s, d, False), limit=20).select(*HIT),
     "keyword_count": lambda s, d: retrieval.matches(V.queries(s, d).withColumn("terms", T.query_terms(F.col("text"))), V.chunks(s, d, False)).groupBy("query_id").agg(F.count("*").alias("matches")),
     "keyword_search_docs": lambda s, d: retrieval.keyword_documents(V.queries(s, d), V.chunks(s, d, False), V.texts(s, d), limit=10).select("query_id", "doc_id", "chunk_index", "score", "rank"),
+    "fulltext_simple": lambda s, d: _index(s, d, None).search(_questions(s, d)).select("query_id", "doc_id", "chunk_index", "score", "rank"),
+    "fulltext_filtered": lambda s, d: _index(s, d, None).count(_questions(s, d), FILTER),
+    "fulltext_search": lambda s, d: _index(s, d).search(_questions(s, d), snippets=True).select("query_id", "doc_id", "chunk_index", "score", "rank", "snippet"),
     "bm25_topk": lambda s, d: _bm25(s, d, limit=20).select(*HIT),
     "bm25_page2": lambda s, d: _bm25(s, d, limit=10, offset=10).select(*HIT),
     "bm25_filtered": lambda s, d: _bm25(s, d, limit=10, filters=FILTER).select(*HIT),
@@ -199,7 +211,13 @@ _FACTORS = "concat_ws(',', CASE WHEN verified_confidence < {low} THEN 'low_confi
 _PROFILES = ", ".join(f"('{p[0]}', {p[3]}::DOUBLE, {p[4]}::DOUBLE, {p[5]}::DOUBLE, {p[6]}::DOUBLE, {str(p[8]).lower()})" for p in E.PROFILES)
 _CSENT = "list_filter(list_transform(regexp_extract_all(chunk_text, '[^.!?]+[.!?]*'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
+_ASKED = f"asked AS (SELECT item_id AS query_id, list_distinct(list_slice({_TOK.replace('chunk_text', 'text')}, 1, 3)) AS terms FROM benchmark), each AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM asked), tok AS (SELECT *, {_TOK} AS toks FROM chunks), w AS (SELECT doc_id, chunk_index, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS place FROM tok), hit AS (SELECT e.query_id, e.n, w.* FROM w JOIN each e USING (term)), whole AS (SELECT query_id, doc_id, chunk_index, max(n) AS n FROM hit GROUP BY ALL HAVING count(DISTINCT term) = max(n))"
+_NEARNESS = "CASE WHEN abs(a.place - b.place) > 100 THEN 1e-30::DOUBLE ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.place - b.place) / 1.5::DOUBLE - 2)) END"
+_FULLTEXT = f"WITH {V.CHUNKS_SQL}, {_ASKED}, p AS (SELECT h.query_id, h.doc_id, h.chunk_index, h.n, h.term, h.place, row_number() OVER (PARTITION BY h.query_id, h.doc_id, h.chunk_index, h.term ORDER BY h.place) AS k FROM hit h JOIN whole USING (query_id, doc_id, chunk_index)), f AS (SELECT * FROM p WHERE k <= 256), one AS (SELECT query_id, doc_id, chunk_index, 0.1::DOUBLE / 1.64493406685::DOUBLE * sum(1 / (k * k)::DOUBLE) AS raw FROM f WHERE n = 1 GROUP BY ALL), several AS (SELECT a.query_id, a.doc_id, a.chunk_index, 1 - exp(sum(ln(1 - 0.1::DOUBLE * sqrt({_NEARNESS})))) AS raw FROM f a JOIN f b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND a.term < b.term GROUP BY ALL), both_ AS (SELECT query_id, doc_id, chunk_index, round(raw, 9) AS raw FROM (SELECT * FROM one UNION ALL SELECT * FROM several)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id, chunk_index) AS rank FROM both_)"
+
 SQL = {
+    "fulltext_simple": _FULLTEXT + " " + _page("r", 0, 10, "0.6::DOUBLE", "0.4::DOUBLE").replace("doc_id,", "doc_id, chunk_index,", 1),
+    "fulltext_filtered": f"WITH {V.CHUNKS_SQL}, {_ASKED} SELECT query_id, count(*) AS matches FROM whole JOIN chunks c USING (doc_id, chunk_index) WHERE c.mime_type IN ('text/plain', 'text/csv') AND c.quality >= 0.05 AND list_has_any(c.tags, ['en', 'de']) GROUP BY query_id",
     "keyword_search": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_CAND}, r AS (SELECT query_id, doc_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id, chunk_index) AS rank FROM (SELECT query_id, doc_id, chunk_index, len(list_filter(toks, lambda w: list_contains(terms, w)))::DOUBLE AS raw FROM cand)) " + _page("r", 0, 20, "0.6::DOUBLE", "0.4::DOUBLE"),
     "keyword_count": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {_CAND} SELECT query_id, count(*) AS matches FROM cand GROUP BY query_id",
     "keyword_search_docs": f"WITH {V.CHUNKS_SQL}, {V.QUERIES_SQL}, {V.TEXTS_SQL}, terms AS (SELECT query_id, {_TERMS} AS terms FROM queries), pool AS (SELECT doc_id, -1 AS chunk_index, text AS chunk_text, 0 AS part FROM texts UNION ALL SELECT doc_id, chunk_index, chunk_text, 1 FROM chunks), tok AS (SELECT *, {_TOK} AS toks FROM pool), r AS (SELECT query_id, part, doc_id, chunk_index, raw, row_number() OVER (PARTITION BY query_id, part ORDER BY raw DESC, doc_id, chunk_index) AS rank FROM (SELECT q.query_id, t.part, t.doc_id, t.chunk_index, len(list_filter(t.toks, lambda w: list_contains(q.terms, w)))::DOUBLE AS raw FROM tok t JOIN terms q ON list_has_all(t.toks, q.terms))), p AS (SELECT *, round(0.6::DOUBLE + 0.4::DOUBLE * raw / max(raw) OVER (PARTITION BY query_id, part), 4) AS score FROM r WHERE rank <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, part, chunk_index) AS rn FROM p), f AS (SELECT query_id, doc_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o WHERE rn = 1) SELECT * FROM f WHERE rank <= 10",
