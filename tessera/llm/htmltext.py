@@ -225,7 +225,11 @@ class _Open:
 
     def last(self, tags) -> int:
         """Place of the innermost open element of these tags; 0 if there is none."""
-        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+        found, places = 0, self.places
+        for t in tags:
+            if (p := places.get(t)) and p[-1] > found:
+                found = p[-1]
+        return found
 
     def close(self, closes, stops) -> None:
         while (k := self.last(closes)) > self.last(stops):
@@ -410,6 +414,11 @@ class Styles:
         return out
 
 
+def squeeze(s: str) -> str:
+    """White space runs become one space; most texts have none that would change, which five searches tell."""
+    return _SPACE.sub(" ", s) if "  " in s or "\n" in s or "\t" in s or "\r" in s or "\f" in s else s
+
+
 class _Lines:
     """Collects inline text into lines; margins collapse."""
 
@@ -421,13 +430,13 @@ class _Lines:
         self.kept = False  # whether some of the lines are preformatted
 
     def text(self, s: str) -> None:
-        s = _SPACE.sub(" ", s)
+        s = squeeze(s)
         if s != " " or self.cur:
             self.cur.append(s)
 
     def end_line(self) -> None:
         if self.cur:
-            line = _SPACE.sub(" ", "".join(self.cur)).strip(" ")
+            line = squeeze("".join(self.cur)).strip(" ")
             self.cur = []
             if line or self.prefix.strip():
                 self.put(self.prefix + line)
