@@ -323,7 +323,7 @@ def _occurrences(hits: DataFrame, coverage: float, least_windows: int, consisten
     return arrow_map(one.select("doc_id", "item_id", "n_windows", "hits"), run, JUDGED)
 
 
-def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000, short_words: int = SHORT, short_alone: bool = False) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.3, least_windows: int = 2, consistency: float = 0.8, broadcast_windows: int = 500_000, short_words: int = SHORT, short_alone: bool = False, salts: int = 16) -> DataFrame:
     """One row per contaminated (document, item): coverage of the item's windows and slot consistency.
 
     Each occurrence in the document is judged by itself, and the best that passes is the row; an item that passes
@@ -353,7 +353,12 @@ def find(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     wanted = spark.sparkContext.broadcast(tables if few else hash_bitmap(items))
     found = doc_windows(docs, id_col=id_col, text_col=text_col, wanted=wanted, sizes=used)
     known = items.withColumnRenamed("slots", "item_slots")
-    hits = found.join(F.broadcast(known) if few else known, "hash").where(F.size("slots") == F.size("item_slots"))
+    if few:
+        met = found.join(F.broadcast(known), "hash")
+    else:  # a window that a third of the documents hold is dealt over ``salts`` keys
+        found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_pos"), F.lit(salts)))
+        met = found.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["hash", "salt"])
+    hits = met.where(F.size("slots") == F.size("item_slots"))
     hits = scratch.put(hits.select("doc_id", "item_id", "size", "n_windows", "item_pos", "doc_pos", "slots", "item_slots"), "hits")
     cover = hits.groupBy("doc_id", "item_id", "size").agg(
         F.count_distinct("item_pos").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("doc_pos").alias("first_pos"), F.max("doc_pos").alias("last_pos")
