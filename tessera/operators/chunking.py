@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import structure
 from ..functions import text as T
+from .intervals import first_from, last_before, overlapping
 
 TARGET, MOST, OVERLAP, LEAST_CHARS = 512, 600, 50, 50
-SCHEMA = "doc_id long, chunk_index int, chunk_text string, start_position int, end_position int, token_count int, n_sentences int, is_list boolean, is_heading boolean, spans " + f"array<{structure.SPAN}>"
+SCHEMA = "doc_id long, chunk_index int, chunk_text string, start_position int, end_position int, token_count int, n_sentences int, is_list boolean, is_heading boolean"
+KEY = ["doc_id", "chunk_index"]
+FLAGS = ("table", "list", "code", "equation", "figure", "citation", "footnote")
+COUNTS = ("table", "list", "code", "equation", "figure", "citation")
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 _LIST_ITEM = re.compile(r"^\s*([-*•+]|\d+[.)\]])\s")
 
@@ -71,7 +75,7 @@ def fold(sizes: list[int], list_item: list[bool], target: int = TARGET, most: in
 
 
 def chunk_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[str], int] = default_tokens, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of each text of ``LEAST_CHARS`` characters or more, with the document's spans that touch them."""
+    """Chunks of each text of ``LEAST_CHARS`` characters or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,42 +86,51 @@ def chunk_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     if text is None or len(text.strip()) < LEAST_CHARS:
                         continue
                     found = split_sentences(text)
-                    spans = [s for s in structure.spans(text) if s["kind"] != "paragraph"]
                     items = [bool(_LIST_ITEM.match(s)) for s, _, _ in found]
                     for index, (a, b) in enumerate(fold([tokens(s) for s, _, _ in found], items, target, most, overlap)):
                         body = " ".join(s for s, _, _ in found[a:b])
                         lo, hi = found[a][1], found[b - 1][2]
-                        near = [s for s in spans if s["kind"] == "heading" or s["kind"] == "definition" or not (s["end"] < lo or s["start"] > hi)]
-                        rows.append((doc, index, body, lo, hi, sum(tokens(s) for s, _, _ in found[a:b]), b - a, any(items[a:b]), any(looks_like_heading(s) for s, _, _ in found[a:b]), near))
+                        rows.append((doc, index, body, lo, hi, sum(tokens(s) for s, _, _ in found[a:b]), b - a, any(items[a:b]), any(looks_like_heading(s) for s, _, _ in found[a:b])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCHEMA)
 
 
-_NAMES = ["doc_id", "chunk_index", "chunk_text", "start_position", "end_position", "token_count", "n_sentences", "is_list", "is_heading", "spans"]
-_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), structure._ARROW]
+_NAMES = ["doc_id", "chunk_index", "chunk_text", "start_position", "end_position", "token_count", "n_sentences", "is_list", "is_heading"]
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
 
 
-def _touches(kind: str) -> Column:
-    return F.exists("spans", lambda s: (s["kind"] == kind) & (s["end"] >= F.col("start_position")) & (s["start"] <= F.col("end_position")))
+def document_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each structure span of a text (doc_id, n, kind, from, to, level, text) in their order, paragraphs left out."""
+    one = structure.extract(df, id_col=id_col, text_col=text_col).select("doc_id", F.posexplode("spans").alias("n", "s")).where("s.kind <> 'paragraph'")
+    return one.select("doc_id", "n", "s.kind", F.col("s.start").alias("from"), F.col("s.end").alias("to"), "s.level", "s.text")
 
 
-def with_flags(chunks: DataFrame) -> DataFrame:
-    """Headings, density, content flags and type of each chunk."""
+def with_flags(chunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """Headings, density, content flags and type of each chunk.
+
+    ``spans``: rows of :func:`document_spans`.  Spans meet chunks by an interval join and headings by as-of joins, so no
+    chunk carries its document's spans.  A chunk's heading is the first of level 4 or less that starts in it or within its
+    first 50 characters, else the last one before it.  A document is named by its identifier, so both tables hold it once.
+    """
     lo, hi = F.col("start_position"), F.col("end_position")
-    heads = F.filter("spans", lambda s: s["kind"] == "heading")
-    pick = lambda where, at: F.try_element_at(F.filter(heads, where), F.lit(at))
-    ranked = lambda h: (h["level"] <= 4)
-    start = pick(lambda s: (s["start"] >= lo) & (s["start"] <= lo + 50), 1)
-    inner = pick(lambda s: (s["start"] >= lo) & (s["start"] <= hi), 1)
-    before = pick(lambda s: s["start"] < lo, -1)
-    head = F.when(ranked(start), start).when(ranked(inner), inner).when(ranked(before), before)
+    places = chunks.select(*KEY, "start_position", "end_position")
+    met = overlapping(places, spans.where(F.col("kind").isin(*FLAGS)).select("doc_id", "kind", "from", "to"), ["doc_id"], ends=("start_position", "end_position"))
+    counted = met.groupBy(*KEY).agg(*(F.count(F.when(F.col("kind") == k, 1)).cast("int").alias(f"{k}_count") for k in FLAGS))
+    heads = spans.where("kind = 'heading'")
+    mark = lambda order, name: heads.select("doc_id", F.col("from").alias("mark_at"), F.struct(order.alias("order"), F.col("from").alias("start"), "level", "text").alias(name))
+    # of headings at one place the first counts behind a chunk's start, and the last before it
+    following = first_from(places, mark(-F.col("n"), "next"), ["doc_id"], at="start_position", mark="next")
+    around = last_before(following, mark(F.col("n"), "before"), ["doc_id"], at="start_position", mark="before")
+    inside = (F.col("next.start") <= F.greatest(hi, lo + 50)) & (F.col("next.level") <= 4)
+    headed = around.select(*KEY, F.when(inside, F.col("next")).when(F.col("before.level") <= 4, F.col("before")).alias("head"))
+    terms = spans.where("kind = 'definition' AND text IS NOT NULL").select("doc_id", F.lower("text").alias("term")).distinct()
+    defined = chunks.select(*KEY, "chunk_text").join(terms, "doc_id").where(F.contains(F.lower("chunk_text"), F.col("term"))).select(*KEY).distinct().withColumn("contains_definition", F.lit(True))
+    df = chunks.join(headed, KEY, "left").join(counted, KEY, "left").join(defined, KEY, "left").fillna(0, [f"{k}_count" for k in FLAGS]).fillna({"contains_definition": False})
     w = T.words(F.col("chunk_text"))
     density = F.when(F.size(w) == 0, 0.5).otherwise(F.size(F.filter(w, lambda x: (F.length(x) > 3) & x.rlike(r"^\p{L}+$"))) / F.size(w))
-    flags = {f"contains_{k}": _touches(k) for k in ("table", "list", "code", "equation", "figure", "citation", "footnote")}
-    flags["contains_definition"] = F.exists("spans", lambda s: (s["kind"] == "definition") & F.contains(F.lower("chunk_text"), F.lower(s["text"])))
-    df = chunks.withColumns(flags).withColumn("head", head).withColumn("semantic_density", density)
+    df = df.withColumns({f"contains_{k}": F.col(f"{k}_count") > 0 for k in FLAGS}).withColumn("semantic_density", density)
     kind = (
         F.when(F.col("contains_code"), "code")
         .when(F.col("contains_table"), "table")
@@ -131,16 +144,13 @@ def with_flags(chunks: DataFrame) -> DataFrame:
         .otherwise("paragraph")
     )
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: (s["kind"] == kind) & (s["end"] >= lo) & (s["start"] <= hi))).alias(f"{kind}_count")
-
-    counts = F.to_json(F.struct(*map(count, ("table", "list", "code", "equation", "figure", "citation"))))
+    counts = F.to_json(F.struct(*(f"{k}_count" for k in COUNTS)))
     return df.withColumns({
         "section_heading": F.when(F.col("head.level") <= 2, F.col("head.text")),
         "subsection_heading": F.when(F.col("head.level") > 2, F.col("head.text")),
         "chunk_type": kind,
         "chunk_metadata": counts,
-    }).drop("head", "spans")
+    }).drop("head", *(f"{k}_count" for k in FLAGS))
 
 
 def rule_score(chunks: DataFrame) -> DataFrame:

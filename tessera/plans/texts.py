@@ -12,6 +12,7 @@ from ..functions import structure as S
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking as C
+from ..operators import intervals as I
 from ..session import spread, table
 from . import views as V
 
@@ -36,7 +37,8 @@ def _metadata(s, d):
 
 
 def _chunked(s, d):
-    return C.with_flags(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))))
+    docs = spread(table(s, d, "documents").select("doc_id", "text"))
+    return C.with_flags(C.chunk_texts(docs), C.document_spans(docs))
 
 
 QUERIES = {
@@ -66,10 +68,12 @@ QUERIES = {
     "metadata_completeness": lambda s, d: _metadata(s, d).select("doc_id", F.round(P.completeness(F.col("title").isNotNull(), F.col("language").isNotNull(), F.col("pages").isNotNull(), F.col("n_words").isNotNull(), F.col("quality").isNotNull()), 4).alias("completeness"), P.is_complete(F.col("title"), F.col("language"), F.col("pages"), F.col("n_words")).alias("is_complete"), F.round(P.mean_score(P.clamp_scores(F.col("scores"))), 4).alias("mean_confidence")),
     "metadata_violations": lambda s, d: _metadata(s, d).select("doc_id", F.array_join(P.metadata_errors(F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("keywords"), F.col("pages"), F.col("n_words"), F.col("quality"), F.col("scores")), ",").alias("errors"), F.array_join(P.metadata_warnings(F.col("title"), F.col("keywords"), F.col("language"), F.col("pages"), F.col("n_words"), F.col("quality"), F.lit("high"), F.col("scores")), ",").alias("warnings")),
     "merge_metadata": lambda s, d: V.docs(s, d).select("doc_id", F.from_json(P.merge_json(F.col("metadata"), F.concat(F.lit('{"lang":"xx","n":"'), F.col("doc_id"), F.lit('"}'))), "map<string,string>").alias("m")).select("doc_id", F.col("m")["lang"].alias("lang"), F.col("m")["source"].alias("source"), F.col("m")["n"].alias("n")),
-    "chunks_greedy": lambda s, d: C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))).drop("spans"),
+    "chunks_greedy": lambda s, d: C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))),
     "chunk_flags": lambda s, d: _chunked(s, d).drop("chunk_text"),
     "chunk_scores": lambda s, d: C.rule_score(_chunked(s, d)).join(C.weighted_score(_chunked(s, d)), "doc_id"),
     "chunk_token_histogram": lambda s, d: A.histogram(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))), "token_count", A.CHUNK_TOKEN_BUCKETS),
+    "span_overlaps": lambda s, d: span_overlaps(s, d),
+    "figure_before": lambda s, d: figure_before(s, d),
     "chunk_adjacent_overlap": lambda s, d: adjacent(sentence_spans(s, d)),
     "chunk_quality_report": lambda s, d: A.chunking_report(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))), V.texts(s, d)).withColumn("issues", F.array_join("issues", ",")),
     "search_readiness": lambda s, d: A.search_readiness(A.extraction_report(V.docs(s, d), _quality(s, d)), A.chunking_report(one_chunk(s, d), V.texts(s, d))),
@@ -96,6 +100,28 @@ def sentence_spans(s, d):
     return _texts(s, d, F.posexplode(F.arrays_zip(F.slice(upto, 1, F.size(found)).alias("start_position"), found.alias("chunk_text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.start_position", (F.col("c.start_position") + F.length("c.chunk_text")).alias("end_position"))
 
 
+def windows(s, d):
+    """Windows of 2 000 characters of each text, as closed intervals."""
+    last = F.greatest(F.lit(0), F.ceil(F.length(_t()) / V.CHUNK) - 1).cast("int")
+    one = _texts(s, d, F.length(_t()).alias("chars"), F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    return one.select("doc_id", "window", (F.col("window") * V.CHUNK).alias("start"), (F.least((F.col("window") + 1) * V.CHUNK, F.col("chars")) - 1).alias("end"))
+
+
+def span_overlaps(s, d):
+    """How many sentences touch each window, and the first and last of them."""
+    sents = sentence_spans(s, d).select("doc_id", F.col("chunk_index").alias("sentence"), F.col("start_position").alias("from"), (F.col("end_position") - 1).alias("to"))
+    return I.overlapping(windows(s, d), sents, ["doc_id"], width=V.CHUNK).groupBy("doc_id", "window").agg(F.count("*").alias("sentences"), F.min("sentence").alias("first"), F.max("sentence").alias("last"))
+
+
+def figure_before(s, d):
+    """The last sentence with a digit that starts before each window."""
+    found = F.regexp_extract_all(_t(), F.lit(r"([^.!?]+[.!?]*)"))
+    upto = F.aggregate(found, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    sents = _texts(s, d, F.posexplode(F.arrays_zip(F.slice(upto, 1, F.size(found)).alias("mark_at"), found.alias("sentence"))).alias("mark", "c"))
+    marks = sents.where(F.col("c.sentence").rlike("[0-9]")).select("doc_id", "mark", "c.mark_at")
+    return I.last_before(windows(s, d), marks, ["doc_id"], at="start", width=10_000).select("doc_id", "window", "mark")
+
+
 def adjacent(chunks):
     from pyspark.sql import Window
 
@@ -118,6 +144,9 @@ _CAPITALS = f"translate({{}}, '{string.ascii_lowercase}', '{string.ascii_upperca
 _UW = "[\\p{L}\\p{N}_]+"
 
 
+_WINDOWS = "w AS (SELECT doc_id, CAST(k AS INTEGER) AS window, k * 2000 AS lo, least((k + 1) * 2000, n) - 1 AS hi FROM (SELECT doc_id, length(text) AS n, unnest(range(0, CAST(greatest(1, ceil(length(text) / 2000.0)) AS BIGINT))) AS k FROM documents)), s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS s FROM documents), p AS (SELECT doc_id, unnest(range(0, len(s))) AS k, unnest(s) AS x FROM s), e AS (SELECT doc_id, k, sum(length(x)) OVER o - length(x) AS lo, sum(length(x)) OVER o - 1 AS hi, regexp_matches(x, '[0-9]') AS figure FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY k))"
+
+
 def _contains(words):
     return " + ".join(f"contains(lower(text), '{w}')::INT" for w in words)
 
@@ -172,6 +201,8 @@ SQL = {
     "metadata_completeness": f"WITH {V.DOCS_SQL}, {_META} SELECT doc_id, round(((title IS NOT NULL)::INT + (language IS NOT NULL)::INT + 3) / 5.0::DOUBLE, 4) AS completeness, (title IS NOT NULL)::INT + (language IS NOT NULL)::INT + 1 >= 2 AS is_complete, round((0.9::DOUBLE + quality) / 2, 4) AS mean_confidence FROM m",
     "metadata_violations": f"WITH {V.DOCS_SQL}, {_META} SELECT doc_id, '' AS errors, concat_ws(',', CASE WHEN regexp_matches(title, '^[0-9\\-_]+$') THEN 'title looks like an identifier' END, CASE WHEN language IS NULL THEN 'language missing' END, CASE WHEN n_words = 0 THEN 'word count zero' END, CASE WHEN quality < 0.3 THEN 'quality low' END, CASE WHEN quality < 0.3 THEN 'confidence low' END, CASE WHEN NOT (quality >= 0.7 AND quality < 0.9) THEN 'band differs from score' END) AS warnings FROM m",
     "merge_metadata": f"WITH {V.DOCS_SQL} SELECT doc_id, 'xx' AS lang, source, doc_id::VARCHAR AS n FROM docs",
+    "span_overlaps": f"WITH {_WINDOWS} SELECT w.doc_id, w.window, count(*) AS sentences, CAST(min(e.k) AS INTEGER) AS first, CAST(max(e.k) AS INTEGER) AS last FROM w JOIN e ON e.doc_id = w.doc_id AND w.lo <= e.hi AND e.lo <= w.hi AND w.lo <= w.hi GROUP BY 1, 2",
+    "figure_before": f"WITH {_WINDOWS} SELECT w.doc_id, w.window, CAST(max(e.k) AS INTEGER) AS mark FROM w LEFT JOIN e ON e.doc_id = w.doc_id AND e.figure AND e.lo < w.lo GROUP BY 1, 2",
     "chunk_adjacent_overlap": "WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS s FROM documents), p AS (SELECT doc_id, unnest(range(0, len(s))) AS k, length(unnest(s)) AS n FROM s), e AS (SELECT doc_id, k, sum(n) OVER w AS hi, sum(n) OVER w - n AS lo FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY k)), o AS (SELECT doc_id, hi, hi - lead(lo) OVER (PARTITION BY doc_id ORDER BY k) AS overlap FROM e) SELECT doc_id, count(*) AS pairs, CAST(sum(overlap) AS BIGINT) AS overlap, CAST(max(hi) AS INTEGER) AS last_end FROM o WHERE overlap IS NOT NULL GROUP BY doc_id",
     "search_readiness": _READY + " SELECT * FROM final",
     "readiness_rollup": _READY + " SELECT count(*) AS total, CAST(sum(is_ready::INT) AS BIGINT) AS passed, CAST(sum((NOT is_ready)::INT) AS BIGINT) AS failed, round(avg(score), 4) AS avg_score FROM final",

@@ -21,7 +21,7 @@ def documents(spark: SparkSession, path: str, schema: str = "doc_id long, text s
 
 def chunk_stream(source: DataFrame, out: str, checkpoint: str, *, once: bool = True, stage: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Documents to chunks, one folder per micro-batch."""
-    work = stage or (lambda df: chunking.with_flags(chunking.chunk_texts(df)))
+    work = stage or (lambda df: chunking.with_flags(chunking.chunk_texts(df), chunking.document_spans(df)))
 
     def write(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")

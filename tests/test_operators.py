@@ -185,7 +185,7 @@ def test_fold():
 
 def test_chunks(spark):
     df = spark.createDataFrame([(1, MARKDOWN), (2, "x" * 49), (3, None), (4, "Word " * 2000)], "doc_id long, text string")
-    got = chunking.with_flags(chunking.chunk_texts(df)).collect()
+    got = chunking.with_flags(chunking.chunk_texts(df), chunking.document_spans(df)).collect()
     assert {r.doc_id for r in got} == {1, 4}
     first = next(r for r in got if r.doc_id == 1)
     assert first.contains_table and first.contains_code and first.chunk_type == "code" and first.section_heading == "Title"
