@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-# letters with marks and their plain forms, for file names
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+@cache
+def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition holds ASCII: those that become one character, and those that become several."""
+    one, several = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.decomposition(c):
+            plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            if plain:
+                (one if len(plain) == 1 else several)[c] = plain
+    return one, several
+
+
+def ascii_form(text: Column) -> Column:
+    """The ASCII characters of the compatibility decomposition: marks go, ligatures and numbers in signs are written out.
+
+    Characters that become one other are translated at once; the rare ones that become several are looked up letter
+    by letter, in texts that hold any.
+    """
+    one, several = _ascii_forms()
+    forms = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    written = F.when(text.rlike("[" + "".join(several) + "]"), spelled).otherwise(text)
+    return F.regexp_replace(F.translate(written, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
 
 
 def extension(name: Column) -> Column:
@@ -18,7 +45,7 @@ def extension(name: Column) -> Column:
 def sanitize(name: Column, limit: int = 200) -> Column:
     """ASCII letters, digits, ``._-``; no path parts or double dots; at most ``limit`` characters."""
     base = F.regexp_replace(name, r"^.*[/\\]", "")
-    plain = F.regexp_replace(F.translate(base, _MARKED, _PLAIN), r"[^\x20-\x7E]", "")
+    plain = F.regexp_replace(ascii_form(base), r"[^\x20-\x7E]", "")
     safe = F.regexp_replace(F.regexp_replace(plain, r"[^A-Za-z0-9._-]+", "_"), r"\.{2,}", ".")
     trimmed = F.regexp_replace(safe, r"^[._]+|[._]+$", "")
     return F.when(F.length(trimmed) == 0, "unnamed").otherwise(F.substring(trimmed, 1, limit))

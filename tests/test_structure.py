@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import structure
 from tessera.functions import text as T
@@ -47,9 +48,20 @@ def test_time_is_linear(text):
 
 
 def test_ngrams_split_a_text_once(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(20_000)),)], "t string")
     began = time.time()
     assert df.select(F.size(T.ngrams(F.col("t"), 3))).first()[0] == 19_998
     assert time.time() - began < 10
+
+
+def test_ascii_form_of_every_character(spark):
+    """Alone and inside of a word, over all planes that have decompositions, against the library's own normal form."""
+    import unicodedata
+
+    from tessera.functions import paths
+
+    letters = [chr(k) for k in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]]
+    rows = [(c, f"a{c}b{c}") for c in letters]
+    got = spark.createDataFrame(rows, "c string, t string").repartition(4).select("c", "t", paths.ascii_form(F.col("c")).alias("x"), paths.ascii_form(F.col("t")).alias("y")).collect()
+    plain = lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
+    assert len(got) == len(rows) and all((r.x, r.y) == (plain(r.c), plain(r.t)) for r in got)
