@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking as C
 from ..operators import intervals as I
+from ..operators import sentences as B
 from ..session import spread, table
 from . import views as V
 
@@ -72,6 +73,7 @@ QUERIES = {
     "chunk_flags": lambda s, d: _chunked(s, d).drop("chunk_text"),
     "chunk_scores": lambda s, d: C.rule_score(_chunked(s, d)).join(C.weighted_score(_chunked(s, d)), "doc_id"),
     "chunk_token_histogram": lambda s, d: A.histogram(C.chunk_texts(spread(table(s, d, "documents").select("doc_id", "text"))), "token_count", A.CHUNK_TOKEN_BUCKETS),
+    "learned_sentences": lambda s, d: (lambda docs: B.split(docs, B.learn(docs), texts=False))(spread(table(s, d, "documents").select("doc_id", "text"))),
     "span_overlaps": lambda s, d: span_overlaps(s, d),
     "figure_before": lambda s, d: figure_before(s, d),
     "chunk_adjacent_overlap": lambda s, d: adjacent(sentence_spans(s, d)),
