@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, texts_of
 from .tokens import END_ID, encoder
 
+CACHE = 150_000  # entries of the encoder's cache: as a stage, packing shares executors with what the stages before it have left
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 DEALT = PIECES + ", deal long"
 PACKED = DEALT + ", bucket long, bin long, fill long, offset long, closed boolean, bins long, bound long"
@@ -45,7 +46,7 @@ def _cut(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: in
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batch: pa.RecordBatch) -> dict:
-        enc, out = encoder(tokenizer), []
+        enc, out = encoder(tokenizer, CACHE), []
         for place, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)):
             ids = enc.encode(text) + tail
             n = len(ids) // 4

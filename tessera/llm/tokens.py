@@ -77,9 +77,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.plain = plain
-        kind = json.loads(self.tokenizer.to_str())
-        pre, model = kind.get("pre_tokenizer") or {}, kind["model"]
-        self.by_piece = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE" and not model.get("dropout")
+        # the parts are asked one by one: the whole file as one object would take many times its size
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        model = self.tokenizer.model
+        self.by_piece = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and type(model).__name__ == "BPE" and not model.dropout
         self.pieces = _Cache(self.tokenizer.model, self.tokenizer.get_vocab_size(), cache_entries)
 
     def encode(self, text: str) -> bytes:
@@ -99,6 +100,6 @@ def local_path(name_or_path: str) -> str:
     return str(public_tokenizers.path(name_or_path))
 
 
-def encoder(name_or_path: str) -> Encoder:
+def encoder(name_or_path: str, cache_entries: int = 500_000) -> Encoder:
     """One encoder per Python worker."""
-    return worker_cache(("encoder", name_or_path), lambda: Encoder(local_path(name_or_path)))
+    return worker_cache(("encoder", name_or_path, cache_entries), lambda: Encoder(local_path(name_or_path), cache_entries))
