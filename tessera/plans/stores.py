@@ -14,7 +14,8 @@ from ..operators import evidence as E
 from ..operators import filters, fusion, lifecycle, retrieval
 from ..session import scratch_path, table
 from ..sources import files, stores
-from ..streaming import ingest
+from ..streaming import ingest, stages
+from . import documents
 from . import search as S
 from . import views as V
 
@@ -149,6 +150,17 @@ def stream_sentences(s, d):
     return s.read.parquet(out).select("doc_id", "sentences")
 
 
+def stream_stages(s, d):
+    """All stage reports as a stream of files in any order, two a micro-batch; each stage keeps its own state."""
+    path, out = scratch_path(s, "reports"), scratch_path(s, "stages")
+    reports = V.reports(s, d).select("doc_id", "stage", "status", "at", "event_id")
+    kind = dict(reports.dtypes)["at"]
+    reports.repartition(6).write.parquet(path)
+    source = s.readStream.schema(reports.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stages.run_stages(source, out, scratch_path(s, "stages_state")).awaitTermination()
+    return stages.current(s, out).select("doc_id", "stage", "status", F.col("updated_at").cast(kind).alias("updated_at"), "attempt_number")
+
+
 # Helpers ----------------------------------------------------------------------------------
 
 
@@ -232,6 +244,7 @@ QUERIES = {
     "statistics_bundle": statistics_bundle,
     "stream_trend": stream_trend,
     "stream_sentences": stream_sentences,
+    "stream_stages": stream_stages,
     "question_batches": lambda s, d: E.questions(_talk(s, d).select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("prop"), "text"), limit=3),
     "batch_queue": lambda s, d: lifecycle.batch_queue(table(s, d, "embeddings").select((F.col("vec_id") % 5).alias("batch_id"), (F.col("vec_id") * 3).alias("doc_id")), V.docs(s, d)),
 }
@@ -269,6 +282,7 @@ SQL = {
     "model_costs": f"SELECT conv_id, round(sum(len({_WORDS.format('text')}) * 3.0::DOUBLE / 1e6 + len({_WORDS.format('text')}) * 2 * 15.0::DOUBLE / 1e6), 9) AS usd FROM conversations GROUP BY conv_id",
     "question_batches": "WITH f AS (SELECT conv_id AS answer_id, turn AS prop, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3), k AS (SELECT answer_id, 'vq:' || sha256(string_agg(text, '|' ORDER BY text)) AS cache_key FROM f GROUP BY answer_id) SELECT f.answer_id, f.prop, CASE WHEN regexp_matches(lower(text), '[0-9]') THEN 'Which figure do the sources give: ' WHEN regexp_matches(lower(text), '\\b(because|due to|causes?)\\b') THEN 'Do the sources name this cause: ' WHEN substr(md5(text), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'Is it stated that ' ELSE 'Do the sources confirm: ' END || text || '?' AS question, cache_key FROM f JOIN k USING (answer_id)",
     "stream_trend": f"WITH {V.DOCS_SQL} SELECT CAST(created_at AS DATE) AS day, count(*) AS uploads FROM docs GROUP BY 1",
+    "stream_stages": documents.SQL["stage_status"],
     "stream_sentences": "SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '')) AS sentences FROM documents",
     "batch_queue": "SELECT vec_id % 5 AS batch_id, count(*) AS total, count(d.doc_id) AS queued, count(*) - count(d.doc_id) AS errors FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 3 GROUP BY 1",
     "profile_checks": f"WITH {V.DOCS_SQL} SELECT doc_id, CASE WHEN length(text) >= 100 THEN 'en' END AS language, concat_ws(',', CASE WHEN doc_id % 130 - 10 < 0 OR doc_id % 130 - 10 > 100 THEN 'percentage out of range' END, CASE WHEN doc_id % 9 = 0 THEN 'negative duration' END, CASE WHEN quality * 1.1 > 1 THEN 'quality out of range' END, CASE WHEN doc_id % 12 < 1 OR doc_id % 12 > 10 THEN 'priority out of range' END) AS errors, doc_id % 4 = 0 AS is_chart FROM docs",
