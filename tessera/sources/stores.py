@@ -15,7 +15,6 @@ from ..operators.filters import payload
 from ..operators.lifecycle import latest
 from ..session import shared_dir
 
-BUCKETS = 64
 
 
 def upsert(current: DataFrame | None, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -28,21 +27,38 @@ def delete(current: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     return current.join(ids.select(*keys).distinct(), keys, "left_anti")
 
 
-def bucket(doc_id: Column, n: int = BUCKETS) -> Column:
+def bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 
 
-def write_chunks(chunks: DataFrame, path: str, *, n: int = BUCKETS) -> None:
+def _bucket_count(chunks: DataFrame, path: str, n: int | None, bucket_rows: int) -> int:
+    """The table's number of buckets: what its first write has noted, else ``n`` or one for each ``bucket_rows`` rows."""
+    spark = chunks.sparkSession
+    note = f"{path}/_buckets"  # readers of the table pass over names that begin so
+    try:
+        return spark.read.schema("n int").json(note).first()["n"]
+    except Exception as e:  # the first write
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    n = n or max(1, -(-chunks.count() // bucket_rows))
+    spark.createDataFrame([(n,)], "n int").coalesce(1).write.mode("overwrite").json(note)
+    return n
+
+
+def write_chunks(chunks: DataFrame, path: str, *, n: int | None = None, bucket_rows: int = 1_000_000) -> None:
     """Replace the chunks of the given documents and leave all others: only the buckets that hold those documents are rewritten.
 
-    The rewritten buckets are complete before they replace the old ones (dynamic partition overwrite).
+    The first write measures the table and notes how many buckets it has; a table that has outgrown them is written
+    anew to another place.  The rewritten buckets are complete before they replace the old ones (dynamic partition
+    overwrite).
     """
     spark = chunks.sparkSession
-    new = chunks.withColumn("bucket", bucket(F.col("doc_id"), n))
+    buckets = _bucket_count(chunks, path, n, bucket_rows)
+    new = chunks.withColumn("bucket", bucket(F.col("doc_id"), buckets))
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e):
+        if not any(mark in str(e) for mark in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
             raise
         old = None
     if old is not None:

@@ -82,3 +82,13 @@ def test_stream(spark, tmp_path):
     day = ingest.upload_trend(stream).writeStream.format("memory").queryName("trend").outputMode("complete").trigger(availableNow=True).start()
     day.awaitTermination(120)
     assert [r.uploads for r in spark.sql("SELECT * FROM trend").collect()] == [1]
+
+
+def test_chunk_buckets_follow_the_size(spark, tmp_path):
+    make = lambda ids: spark.createDataFrame([(i, 0, f"text {i}") for i in ids], "doc_id long, chunk_index int, chunk_text string")
+    path = f"{tmp_path}/chunks"
+    stores.write_chunks(make(range(100)), path, bucket_rows=10)
+    assert len({p for p in (tmp_path / "chunks").iterdir() if p.name.startswith("bucket=")}) == 10
+    stores.write_chunks(make(range(90, 130)), path, bucket_rows=1000)  # the noted number holds
+    got = spark.read.parquet(path)
+    assert got.count() == 130 and got.select("bucket").distinct().count() == 10
