@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import structure
 from ..functions import text as T
+from ..session import scratch_path
 from .intervals import first_from, last_before, overlapping
 
 TARGET, MOST, OVERLAP, LEAST_CHARS = 512, 600, 50, 50
@@ -107,6 +108,13 @@ def document_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return one.select("doc_id", "n", "s.kind", F.col("s.start").alias("from"), F.col("s.end").alias("to"), "s.level", "s.text")
 
 
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """The rows from a table in the shared folder, so that the Python work behind them runs once."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_flags(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Headings, density, content flags and type of each chunk.
 
@@ -114,6 +122,7 @@ def with_flags(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     chunk carries its document's spans.  A chunk's heading is the first of level 4 or less that starts in it or within its
     first 50 characters, else the last one before it.  A document is named by its identifier, so both tables hold it once.
     """
+    chunks, spans = _stored(chunks, "chunks"), _stored(spans, "spans")  # each is read several times
     lo, hi = F.col("start_position"), F.col("end_position")
     places = chunks.select(*KEY, "start_position", "end_position")
     met = overlapping(places, spans.where(F.col("kind").isin(*FLAGS)).select("doc_id", "kind", "from", "to"), ["doc_id"], ends=("start_position", "end_position"))
