@@ -59,7 +59,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000 and len(word) < 64:
+        if len(self) < 100_000 and len(word) < 64:
             self[word] = h
         return h
 
