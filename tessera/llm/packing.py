@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, texts_of
 from .tokens import END_ID, encoder
 
-CACHE = 150_000  # entries of the encoder's cache: as a stage, packing shares executors with what the stages before it have left
+CACHE = 500_000  # pieces that the encoder keeps
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 DEALT = PIECES + ", deal long"
 PACKED = DEALT + ", bucket long, bin long, fill long, offset long, closed boolean, bins long, bound long"
@@ -42,11 +42,11 @@ def cut(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
     return _cut(df, tokenizer, id_col, text_col, capacity, end_id).drop("deal")
 
 
-def _cut(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int = END_ID) -> DataFrame:
+def _cut(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int = END_ID, cache_entries: int = CACHE) -> DataFrame:
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batch: pa.RecordBatch) -> dict:
-        enc, out = encoder(tokenizer, CACHE), []
+        enc, out = encoder(tokenizer, cache_entries), []
         for place, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)):
             ids = enc.encode(text) + tail
             n = len(ids) // 4
@@ -146,9 +146,10 @@ def pack(pieces: DataFrame, scratch: Scratch, *, capacity: int = 1024, bucket_pi
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.col("bins").alias("bucket_bins"), F.col("bound").alias("bucket_bound"))
 
 
-def pack_documents(df: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, *, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = CACHE, **options) -> DataFrame:
+    """Cut, encode and pack; ``cache_entries`` bounds the encoder's memory and changes nothing else."""
     scratch = Scratch(df.sparkSession, "packing")
-    pieces = scratch.put(_cut(df, tokenizer, id_col, text_col, capacity), "pieces")
+    pieces = scratch.put(_cut(df, tokenizer, id_col, text_col, capacity, cache_entries=cache_entries), "pieces")
     out = pack(pieces, scratch, capacity=capacity, **options)
     scratch.drop("pieces")
     return out
