@@ -37,6 +37,11 @@ def regex_word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+"))
 
 
+def whole_word(pattern: str) -> str:
+    """``pattern`` between ASCII word boundaries, on any Java version; Java 17's ``\\b`` takes other letters for word signs too."""
+    return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
     """Word n-grams of the normalised text; the whole text if it has fewer words.
 

@@ -62,3 +62,25 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_judged_queries_on_other_letters(spark, tmp_path):
+    texts = ["que noñado está", "señor no más", "está noé", "ñno", " no ", "   ", "İncorrect", "plain text", "", None]
+    talk = pd.DataFrame([(i, t, "assistant", texts[(i * 3 + t * 7) % len(texts)]) for i in range(150) for t in range(2)], columns=["conv_id", "turn", "role", "text"])
+    talk.to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    for name in ("proposition_confidence", "confidence_breakdown", "proposition_details", "hallucination_score", "profile_sweep"):
+        got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df()
+        columns = sorted(want.columns)
+        assert rows(got, columns) == rows(want, columns), name
+
+
+@pytest.mark.parametrize("text", ["la ñcause", "causeñ la", "la cause est"])
+def test_question_by_ascii_words(spark, text):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import evidence
+
+    got = spark.createDataFrame([(text,)], "t string").select(evidence.question(F.col("t"))).first()[0]
+    assert got.startswith("Do the sources name this cause: ")
