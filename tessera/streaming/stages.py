@@ -11,67 +11,36 @@ asks for; the time comes from the report and not from the clock, so a replay giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lifecycle import latest
 
-STATE = "status string, at long, event_id long, started long, failed array<long>, version long"
-REPORT = "doc_id long, stage string, status string, updated_at timestamp, started_at timestamp, failures long, retry_at timestamp, version long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class StageState(StatefulProcessor):
-    """State of one document's stage: its newest report, its first report and its failures."""
-
-    def __init__(self, retry_after_s: int, attempts: int):
-        self.retry_after_s, self.attempts = retry_after_s, attempts
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stage", STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.state.get()
-        status, at, event, started, failed, version = held if held is not None else (None, None, None, None, [], 0)
-        failed = set(failed or ())
-        for part in rows:
-            micros = part["at"].astype("datetime64[us]").astype("int64").tolist()
-            for new_status, new_at, new_event in zip(part["status"].tolist(), micros, part["event_id"].tolist(), strict=True):
-                if at is None or (new_at, new_event) >= (at, event):
-                    status, at, event = new_status, new_at, new_event
-                started = new_at if started is None else min(started, new_at)
-                if new_status == "failed":
-                    failed.add(new_event)
-        self.state.update((status, at, event, started, sorted(failed), version + 1))
-        due = at + self.retry_after_s * 1_000_000 if status == "failed" and len(failed) <= self.attempts else None
-        times = [pd.Series([pd.NaT if t is None else pd.Timestamp(t, unit="us")], dtype="datetime64[ns]") for t in (at, started, due)]
-        yield pd.DataFrame({"doc_id": [key[0]], "stage": [key[1]], "status": [status], "updated_at": times[0], "started_at": times[1], "failures": [len(failed)], "retry_at": times[2], "version": [version + 1]})
-
-    def close(self) -> None:
-        pass
-
-
 def stage_updates(reports: DataFrame, *, retry_after_s: int = 60, attempts: int = 3) -> DataFrame:
     """A row for each (document, stage) that a micro-batch changes; input: doc_id, stage, status, at, event_id.
 
-    ``version`` grows with every row of a key, so the newest row of a key is known however they are stored.
+    State is a streaming aggregate's: the newest report, the first one's time and the identifiers of the failures.
     """
     reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = reports.select("doc_id", "stage", "status", F.col("at").cast("timestamp").alias("at"), "event_id")
-    return rows.groupBy("doc_id", "stage").transformWithStateInPandas(StageState(retry_after_s, attempts), REPORT, "Update", "None")
+    failed = F.size(F.collect_set(F.when(F.col("status") == "failed", F.col("event_id")))).cast("long")
+    held = rows.groupBy("doc_id", "stage").agg(F.max_by("status", F.struct("at", "event_id")).alias("status"), F.max("at").alias("updated_at"), F.min("at").alias("started_at"), failed.alias("failures"))
+    due = F.timestamp_micros(F.unix_micros("updated_at") + retry_after_s * 1_000_000)
+    return held.withColumn("retry_at", F.when((F.col("status") == "failed") & (F.col("failures") <= attempts), due))
 
 
 def run_stages(reports: DataFrame, out: str, checkpoint: str, **options: int) -> StreamingQuery:
-    """Write the updates of each micro-batch to a folder named by its number, which a repeated batch replaces."""
+    """Write the updates of each micro-batch to a folder named by its number, which a repeated batch replaces.
+
+    ``version`` is that number, so the newest row of a key is known however they are stored.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stage_updates(reports, **options).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

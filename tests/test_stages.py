@@ -45,3 +45,17 @@ def test_a_finished_stage_is_not_tried_again(spark, tmp_path):
     stages.run_stages(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     (r,) = stages.current(spark, f"{tmp_path}/out").select("status", "attempt_number", "retry_at").collect()
     assert tuple(r) == ("completed", 2, None)
+
+
+def test_no_python_in_a_micro_batch(spark, tmp_path):
+    spark.createDataFrame([(1, "chunking", "failed", datetime.datetime(2024, 1, 1), 1)], SCHEMA).write.parquet(f"{tmp_path}/in")
+    plan = stages.stage_updates(stream(spark, f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_repeated_failures_in_later_batches_count_once(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    for _ in range(3):
+        spark.createDataFrame([(1, "chunking", "failed", at, 7), (1, "chunking", "failed", at, 8), (None, "chunking", "failed", at, 9)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stages.run_stages(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(stages.current(spark, f"{tmp_path}/out").select("doc_id", "failures", "attempt_number").collect(), key=str) == [(1, 2, 3), (None, 1, 2)]
