@@ -18,8 +18,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 # fixed values: the share of abbreviations that have their stop, and the thresholds of both ratios
 WITH_STOP, ABBREVIATION, STARTER = 0.99, 0.3, 30.0
 _TOKEN = re.compile(r"\S+")
+_CLOSING = re.compile(r"(?<!\S)\S*[.!?][\"'’”»)\]]*(?!\S)")  # a token that may end a sentence
 _END = re.compile(r"([.!?]+)([\"'’”»)\]]*)\Z")
 _INITIAL, _NUMBER, _OPENING = re.compile(r"[^\W\d_]\.\Z"), re.compile(r"[-+]?\d[\d.,]*\.\Z"), "\"'‘“«(["
 
@@ -43,24 +45,39 @@ def counted(texts: list[str | None], abbreviations: frozenset[str] = frozenset()
 
     A stop behind one of ``abbreviations`` or an initial is no sentence's end.
     """
-    out: dict[str, list[int]] = {"": [0, 0, 0]}
+    seen: Counter[str] = Counter()
+    behind: Counter[str] = Counter()
+    ending = _Ending(abbreviations)
     for text in texts:
-        ended = False
-        for token in _TOKEN.findall(text or ""):
-            kind = token_type(token)
-            end = _END.search(token)
-            stop = bool(end) and end[1] == "."
-            if kind:
-                row = out.setdefault(kind, [0, 0, 0])
-                row[stop] += 1
-                row[2] += ended
-            out[""][0] += 1
-            out[""][1] += stop
-            out[""][2] += ended
-            ended = bool(end) and not (stop and (kind in abbreviations or _INITIAL.match(token)))
+        tokens = (text or "").split()
+        seen.update(tokens)
+        behind.update(b for a, b in pairwise(tokens) if ending[a])
+    # what a token is does not depend on its place, so it is looked at once
+    out: dict[str, list[int]] = {"": [0, 0, 0]}
+    for token, n in seen.items():
+        end = _END.search(token)
+        stop = bool(end) and end[1] == "."
+        for kind in {token_type(token), ""}:
+            row = out.setdefault(kind, [0, 0, 0])
+            row[stop if kind else 0] += n
+            row[2] += behind[token]
+        out[""][1] += n if stop else 0
     return out
 
 
+class _Ending(dict):
+    """Whether a token ends a sentence, kept for each token."""
+
+    def __init__(self, abbreviations: frozenset[str]):
+        super().__init__()
+        self.abbreviations = abbreviations
+
+    def __missing__(self, token: str) -> bool:
+        end = _END.search(token)
+        out = self[token] = bool(end) and not (end[1] == "." and (token_type(token) in self.abbreviations or bool(_INITIAL.match(token))))
+        return out
+
+
 def abbreviation_score(kind: Column | str, without, with_, tokens, stops, fn=math):
     """Log-likelihood ratio of "has its stop" against chance, less for long words and for occurrences without a stop."""
     log, exp, power, larger = (F.log, F.exp, F.pow, F.greatest) if fn is F else (math.log, math.exp, math.pow, max)
@@ -110,14 +127,19 @@ class Boundaries:
 
     def split(self, text: str | None) -> list[tuple[int, int]]:
         """[start, end) of every sentence."""
-        spans = [m.span() for m in _TOKEN.finditer(text or "")]
-        out, begin = [], 0
-        for k, (a, b) in enumerate(spans):
-            following = text[slice(*spans[k + 1])] if k + 1 < len(spans) else None
-            if following is None or self.ends(text[a:b], following):
-                out.append((spans[begin][0], b))
-                begin = k + 1
-        return out
+        text = text or ""
+        first = _TOKEN.search(text)
+        if first is None:
+            return []
+        out, begin = [], first.start()
+        for m in _CLOSING.finditer(text):
+            following = _TOKEN.search(text, m.end())
+            if following is None:
+                break
+            if self.ends(m[0], following[0]):
+                out.append((begin, m.end()))
+                begin = following.start()
+        return [*out, (begin, len(text.rstrip()))]
 
 
 COUNTS = "kind string, without long, with_stop long, behind long"
@@ -145,7 +167,21 @@ def learn(df: DataFrame, text_col: str = "text", most: int = 50_000) -> Boundari
         row = seen.where("kind = ''").first()
         return [float(row[c] or 0) for c in ("without", "with_stop", "behind")] if row else [0.0, 0.0, 0.0]
 
-    seen = counts(df, text_col)
+    held = []
+
+    def kept(seen: DataFrame) -> DataFrame:
+        held.append(seen.persist())  # read twice; texts are counted once
+        return seen
+
+    try:
+        return _learned(df, text_col, kept, whole, strongest)
+    finally:
+        for seen in held:
+            seen.unpersist()
+
+
+def _learned(df: DataFrame, text_col: str, kept: Callable, whole: Callable, strongest: Callable) -> Boundaries:
+    seen = kept(counts(df, text_col))
     tokens, stops, _ = whole(seen)
     if not 0 < stops < tokens:
         return Boundaries(frozenset(), frozenset())
@@ -153,7 +189,7 @@ def learn(df: DataFrame, text_col: str = "text", most: int = 50_000) -> Boundari
     score = abbreviation_score(F.col("kind"), F.col("without"), F.col("with_stop"), F.lit(tokens), F.lit(stops), F)
     short = strongest(seen.where(lettered & (F.col("with_stop") > 0)).select("kind", score.alias("score")), ABBREVIATION)
     # once they are known, what stands behind an abbreviation is no sentence's first word
-    seen = counts(df, text_col, short)
+    seen = kept(counts(df, text_col, short))
     tokens, _, ends = whole(seen)
     if not 0 < ends < tokens:
         return Boundaries(short, frozenset())

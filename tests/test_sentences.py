@@ -81,3 +81,18 @@ def test_the_model_is_bounded(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     whole, two = S.learn(docs), S.learn(docs, most=2)
     assert two.abbreviations <= whole.abbreviations and two.starters <= whole.starters and len(two.starters) <= 2
+
+
+def test_texts_are_counted_once_for_each_model(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([("He met Dr. Low. The end is near. " * 20,)] * 3, "text string").mapInArrow(noted, "text string").where(F.col("text") != "")
+    S.learn(docs)
+    assert seen.value <= 6  # once for abbreviations, once for starters
