@@ -71,6 +71,15 @@ def _quotes(s, d):
     return E.quote_matches(_claims(s, d), _passages(s, d))
 
 
+def _best_quotes(s, d):
+    """Citations and their quotes come from the same matches, which are computed once and stored."""
+    path = scratch_path(s, "quotes")
+    found = _quotes(s, d)
+    found.write.parquet(path)
+    quotes = s.read.schema(found.schema).parquet(path)
+    return E.best_quotes(_citations(s, d, quotes), quotes)
+
+
 def _citations(s, d, quotes):
     """The passages that an item's quotes come from, numbered, with their texts."""
     cited = quotes.select("answer_id", "passage_id").distinct()
@@ -153,7 +162,7 @@ QUERIES = {
     "citation_fallback": lambda s, d: E.citation_fallback(V.chunks(s, d, False)).select("doc_id", "pos", "sentence", "confidence"),
     "citation_select": lambda s, d: E.select_citations(_sources(s, d)),
     "quote_matches": lambda s, d: _quotes(s, d),
-    "best_quotes": lambda s, d: (lambda q: E.best_quotes(_citations(s, d, q), q))(_quotes(s, d)),
+    "best_quotes": _best_quotes,
     "hallucination_score": lambda s, d: E.hallucination(_judged(s, d)).withColumn("flagged", F.array_join(F.transform("flagged", lambda x: x.cast("string")), ",")),
     "proposition_confidence": lambda s, d: E.proposition_confidence(_judged(s, d)).select("answer_id", "prop", "confidence", F.round("verification_agreement", 6).alias("agreement")),
     "confidence_breakdown": lambda s, d: E.confidence_breakdown(E.proposition_confidence(_judged(s, d))).select("answer_id", "overall", "n_propositions"),

@@ -105,3 +105,8 @@ def test_fallback_of_edge_texts(spark, tmp_path):
         assert rows(got, columns) == rows(want, columns), name
     empty = QUERIES["fallback_quality"](spark, str(tmp_path)).where("doc_id < 2").toPandas()
     assert list(empty["score"]) == [0.0, 0.0] and list(empty["band"]) == ["poor", "poor"]
+
+
+def test_best_quotes_match_once(spark, sf_dir):
+    plan = QUERIES["best_quotes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapCoGroupsInArrow" not in plan
