@@ -1,12 +1,13 @@
 """Full-text search over a stored inverted index: stems, positions, ranks by closeness, fragments.
 
-``FullTextIndex.build`` writes two tables: one row for each term of a chunk with the term's places in it (``postings``),
-in buckets of terms, and the chunks' own columns.  A search reads the buckets of its terms only (partitions are pruned
-and row groups skipped by term), joins the asked terms to them, and keeps the chunks that hold all terms of a query.  Texts
-are read for the ranked page alone.
+``FullTextIndex.build`` writes two tables: posting lists (``postings``), in buckets of terms, and the chunks' own columns.
+A row of the postings is one term of a block of chunks, with each chunk that holds it and the term's places in it.  A
+search reads the buckets of its terms only (partitions are pruned and row groups skipped by term), gathers what a chunk
+holds of the asked terms, and keeps the chunks that hold all terms of a query.  Texts are read for the ranked page alone.
 
-The number of buckets comes from the measured number of postings.  Rows of a bucket are dealt over files by their
-chunk, so a term that most chunks hold is no single task's work.
+The number of files comes from the measured size of the texts, and the number of buckets is bounded, so that there are
+as many files as the size asks for, not its square.  Chunks are dealt over the files before their words are taken, so
+texts move once, postings do not move at all, and a term that most chunks hold is no single task's work.
 
 A chunk is named by (doc_id, chunk_index); equal rows of one are one hit.  Null and empty texts have no terms, and a
 query without a term (only stop words, or nothing) has no hit.
@@ -21,51 +22,75 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem as S
-from ..functions import text as T
 from . import retrieval
 from .filters import SearchFilters
 
 # fixed values of the rank: weight of a plain word, the sum of 1 / n^2, and the distance beyond which places are strangers
 WEIGHT, BASEL, FAR = 0.1, 1.64493406685, 100
 MOST_PLACES = 256  # places of one term that a rank looks at, as in the surveyed index
-POSTING = "term string, places array<int>"
+WORD_GAPS = r"[^\p{L}\p{N}_]+"
+BLOCK = 4096  # chunks whose postings are put together at a time
+TERM_BYTES = 7  # of text for each posting, about
+MOST_BUCKETS = 32
+BROADCAST_HITS = 100_000  # hits of a page that meet the texts without a shuffle of these
 
 
 def _lexemes(language: str | None) -> dict:
     return S.Stems() if language == "english" else S.Plain()
 
 
-def postings(chunks: DataFrame, *, language: str | None = "english", text_col: str = "chunk_text") -> DataFrame:
-    """(doc_id, chunk_index, term, places): the terms of each chunk with their places, counted in words from 1.
+def _low(text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
 
-    Words come from the JVM; a task stems each distinct word once.  Nothing is shuffled.
+
+def _parted(low: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of lower-case texts one after the other, and the row and the place (from 1) of each."""
+    lists = pc.split_pattern_regex(low, WORD_GAPS)
+    words = lists.flatten()
+    row = np.repeat(np.arange(len(low)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # a text's ends leave empty parts
+    row = row[full]
+    first = np.searchsorted(row, np.arange(len(low)))
+    return words.filter(pa.array(full)), row, np.arange(len(row)) - first[row] + 1
+
+
+def postings(chunks: DataFrame, *, language: str | None = "english", text_col: str = "chunk_text", block: int = BLOCK) -> DataFrame:
+    """(term, doc_id, chunk_index, places): the terms of each block of chunks, with arrays of the chunks that hold the term and of its places there, counted in words from 1.
+
+    A block's words are numbered and sorted as arrays, and each different one is stemmed once.  Nothing is shuffled.
     """
     kinds = dict(chunks.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, chunk_index {kinds['chunk_index']}, {POSTING}"
+    schema = f"term string, doc_id array<{kinds['doc_id']}>, chunk_index array<{kinds['chunk_index']}>, places array<array<int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems = _lexemes(language)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                row, terms, places = [], [], []
-                for k, words in enumerate(part.column(2).to_pylist()):
-                    held: dict[str, list[int]] = {}
-                    for place, word in enumerate(words, 1):
-                        if (term := stems[word]) is not None:
-                            held.setdefault(term, []).append(place)
-                    row += [k] * len(held)
-                    terms += held
-                    places += held.values()
-                keys = [part.column(c).take(pa.array(row, pa.int32())) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "chunk_index", "term", "places"])
-
-    return chunks.select("doc_id", "chunk_index", T.tokens(F.col(text_col)).alias("words")).mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                words, row, place = _parted(part.column(2))
+                coded = words.dictionary_encode()
+                terms: dict[str, int] = {}
+                number = [-1 if (term := stems[w]) is None else terms.setdefault(term, len(terms)) for w in coded.dictionary.to_pylist()]
+                of = np.array(number, np.int32)[coded.indices.to_numpy()]
+                order = np.argsort(of, kind="stable")
+                order = order[np.searchsorted(of[order], 0) :]  # stop words come first
+                of, row, place = of[order], row[order], place[order]
+                new_term = np.diff(of, prepend=-1) != 0
+                lists = np.flatnonzero(new_term | (np.diff(row, prepend=-1) != 0))
+                each = pa.ListArray.from_arrays(pa.array(np.append(lists, len(of)), pa.int32()), pa.array(place, pa.int32()))
+                starts = np.flatnonzero(new_term[lists])
+                ends = pa.array(np.append(starts, len(lists)), pa.int32())
+                held = [pa.ListArray.from_arrays(ends, x) for x in (*(part.column(c).take(pa.array(row[lists])) for c in (0, 1)), each)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(of[lists[starts]])), *held], names=["term", "doc_id", "chunk_index", "places"])
+
+    return chunks.select("doc_id", "chunk_index", _low(text_col)).mapInArrow(run, schema)
 
 
 def query_terms(queries: DataFrame, language: str | None = "english") -> DataFrame:
@@ -75,10 +100,14 @@ def query_terms(queries: DataFrame, language: str | None = "english") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems = _lexemes(language)
         for batch in batches:
-            found = [[*dict.fromkeys(t for w in words if (t := stems[w]) is not None)] for words in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["query_id", "terms"])
+            words, row, _ = _parted(batch.column(1))
+            found: list[dict] = [{} for _ in range(batch.num_rows)]
+            for k, w in zip(row.tolist(), words.to_pylist(), strict=True):
+                if (term := stems[w]) is not None:
+                    found[k][term] = None
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[*f] for f in found], pa.list_(pa.string()))], names=["query_id", "terms"])
 
-    return queries.select("query_id", T.tokens(F.col("text")).alias("words")).mapInArrow(run, schema).where(F.size("terms") > 0)
+    return queries.select("query_id", _low("text")).mapInArrow(run, schema).where(F.size("terms") > 0)
 
 
 def closeness(distance: Column) -> Column:
@@ -112,22 +141,18 @@ class FullTextIndex:
     schema: str  # of the postings
 
     @classmethod
-    def build(cls, chunks: DataFrame, path: str, *, language: str | None = "english", bucket_rows: int = 2_000_000, least_buckets: int = 16) -> FullTextIndex:
-        """Write the index of ``chunks`` (doc_id, chunk_index, chunk_text and columns for filters) to ``path``."""
+    def build(cls, chunks: DataFrame, path: str, *, language: str | None = "english", bucket_rows: int = 4_000_000, least_buckets: int = 16) -> FullTextIndex:
+        """Write the index of ``chunks`` (doc_id, chunk_index, chunk_text and columns for filters) to ``path``; a file range holds about ``bucket_rows`` postings."""
         spark = chunks.sparkSession
         chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         kept = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
-        found = postings(kept, language=language)
-        found.write.mode("overwrite").parquet(f"{path}/unsorted")
-        rows = spark.read.schema(found.schema).parquet(f"{path}/unsorted")
-        n = rows.count()
-        buckets = max(least_buckets, -(-n // bucket_rows))
+        n = (kept.agg(F.sum(F.octet_length("chunk_text"))).first()[0] or 0) // TERM_BYTES
         files = max(1, -(-n // bucket_rows))
-        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        buckets = max(least_buckets, min(MOST_BUCKETS, files))
         # files of a range of chunks: a frequent term is spread over all of them
-        dealt.repartition(files, F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(files))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        dealt = kept.select(*retrieval.KEY, "chunk_text").repartition(max(files, min(spark.sparkContext.defaultParallelism, n // 100_000)), *retrieval.KEY)
+        found = postings(dealt, language=language)
+        found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         return cls(spark, path, buckets, language, ", ".join(f"{c} {t}" for c, t in found.dtypes) + ", bucket int")
 
     def chunks(self) -> DataFrame:
@@ -136,21 +161,29 @@ class FullTextIndex:
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """Postings, of ``terms`` only where they are given: their buckets, and in those their row groups."""
         found = self.spark.read.schema(self.schema).parquet(f"{self.path}/postings")
-        if terms is None:
-            return found
-        numbers = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()
-        return found.where(F.col("bucket").isin([r[0] for r in numbers]) & F.col("term").isin(terms))
+        if terms is not None:
+            numbers = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()
+            found = found.where(F.col("bucket").isin([r[0] for r in numbers]) & F.col("term").isin(terms))
+        return found.select("term", F.inline(F.arrays_zip(*retrieval.KEY, "places")))
 
     def matches(self, queries: DataFrame, filters: SearchFilters | None = None) -> DataFrame:
-        """(query_id, doc_id, chunk_index, raw): chunks that hold all terms of a query, with their rank."""
+        """(query_id, doc_id, chunk_index, raw): chunks that hold all terms of a query, with their rank.
+
+        What a chunk holds of all asked terms is gathered once, whatever the number of queries.  It meets a query by one
+        term, the query's longest; whether it holds the others is a test of its own row.
+        """
         asked, rows = retrieval.pinned(query_terms(queries, self.language))
         found = self.postings(sorted({t for r in rows for t in r["terms"]}) if rows is not None else None)
-        each = asked.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
-        hits = found.join(each, "term")
+        if rows is None:
+            found = found.join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        held = found.groupBy(*retrieval.KEY).agg(F.array_sort(F.collect_set(F.struct("term", "places"))).alias("held"))
         if filters:
-            hits = hits.join(self.chunks().where(filters.predicate()).select(*retrieval.KEY), retrieval.KEY, "left_semi")
-        whole = hits.groupBy("query_id", *retrieval.KEY).agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("k", "places"))).alias("held")).where(F.size("held") == F.col("n"))
-        return whole.select("query_id", *retrieval.KEY, F.round(rank(F.transform("held", lambda h: h["places"])), 9).alias("raw"))
+            held = held.join(self.chunks().where(filters.predicate()).select(*retrieval.KEY), retrieval.KEY, "left_semi")
+        lead = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
+        named = held.withColumn("names", F.array_distinct(F.transform("held", lambda h: h["term"])))
+        met = named.withColumn("term", F.explode("names")).join(asked.withColumn("term", lead), "term").where(F.forall("terms", lambda t: F.array_contains("names", t)))
+        whole = met.withColumn("places", F.transform("terms", lambda t: F.get(F.filter("held", lambda h: h["term"] == t), 0)["places"]))
+        return whole.select("query_id", *retrieval.KEY, F.round(rank(F.col("places")), 9).alias("raw"))
 
     def count(self, queries: DataFrame, filters: SearchFilters | None = None) -> DataFrame:
         return self.matches(queries, filters).groupBy("query_id").agg(F.count("*").alias("matches"))
@@ -161,7 +194,8 @@ class FullTextIndex:
         if not snippets:
             return page
         texts = self.chunks().select(*retrieval.KEY, "chunk_text")
-        shown = page.join(texts, retrieval.KEY).dropDuplicates(["query_id", *retrieval.KEY]).join(retrieval.small(query_terms(queries, self.language)), "query_id")
+        few = queries.limit(BROADCAST_HITS // limit + 1).count() * limit <= BROADCAST_HITS
+        shown = (F.broadcast(page) if few else page).join(texts, retrieval.KEY).dropDuplicates(["query_id", *retrieval.KEY]).join(retrieval.small(query_terms(queries, self.language)), "query_id")
         return headlines(shown, self.language).drop("chunk_text", "terms")
 
 

@@ -111,3 +111,19 @@ def test_best_fragment(terms, wanted, most, shown):
 def test_fragment_holds_the_most_terms(spark, sf_dir):
     for r in search.QUERIES["fulltext_search"](spark, sf_dir).limit(50).collect():
         assert "**" in r.snippet and len(r.snippet.split()) <= 120
+
+
+def test_files_grow_with_the_size_and_chunks_are_gathered_once(spark, tmp_path):
+    chunks = spark.createDataFrame([(k, 0, f"word{k} river cold word{k + 1}") for k in range(200)], "doc_id long, chunk_index int, chunk_text string")
+    index = fulltext.FullTextIndex.build(chunks, f"{tmp_path}/i", bucket_rows=5)
+    assert index.buckets <= fulltext.MOST_BUCKETS  # as many buckets as files would make their square
+    queries = spark.createDataFrame([(q, "cold river") for q in range(30)], "query_id int, text string")
+    found = index.matches(queries)
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30 * 200
+
+
+def test_words_of_a_block(spark):
+    chunks = spark.createDataFrame([(1, 0, "..The END, the_end!"), (2, 0, None), (3, 0, "¿Él é1 él?"), (1, 0, "end")], "doc_id long, chunk_index int, chunk_text string").coalesce(1)
+    got = {r.term: (r.doc_id, r.chunk_index, r.places) for r in fulltext.postings(chunks, language=None, block=3).where("term <> 'end'").collect()}
+    assert got == {"the": ([1], [0], [[1]]), "the_end": ([1], [0], [[3]]), "él": ([3], [0], [[1, 3]]), "é1": ([3], [0], [[2]])}
