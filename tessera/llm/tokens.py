@@ -4,7 +4,8 @@ Every pre-token of a byte-level BPE starts at a blank or lies inside a run witho
 blanks, so a run of blanks with the following run of other characters is encoded
 alike alone and inside its text.  That makes ids of a text the concatenation of ids
 of its pieces, most of which recur.  A new piece is parted by the vocabulary's own
-pre-token pattern, and the library's BPE model encodes each part.  Texts with other white
+pre-token pattern, and the library's BPE model encodes each part.  Where no blank or line feed follows another one,
+the text is simply cut before each of them, which needs no pattern.  Texts with other white
 space than space, tab and line feed, texts that hold the start of a special token, and
 vocabularies of another kind are encoded whole.
 """
@@ -22,6 +23,10 @@ from .common import worker_cache
 
 END_ID = 2
 _PIECE = re.compile(r"[ \n\t]*\S+|[ \n\t]+")
+_ODD_SPACE = re.compile(r"[^\S \n\t]")
+# fixed values: what a text that is cut before each blank and line feed must not hold
+_NOT_CUT = ("  ", "\n\n", " \n", "\n ", "\t", "\0")
+SEEN = 1 << 22
 # fixed value: the pre-token pattern of byte-level BPE vocabularies
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -33,36 +38,49 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class OddSpace(ValueError):
+    """A piece with white space that pieces do not know."""
+
+
 class _Cache(dict):
     """Ids of strings encoded alone, as little-endian bytes.
 
-    Pieces and the pre-tokens inside them share it.  It is emptied after many misses, so that it follows a
-    change of language.
+    Pieces and the pre-tokens inside them share it.  Its second half takes only strings that are met again, so that
+    those which occur once do not fill it.  It is emptied after many misses, so that it follows a change of language.
     """
 
     def __init__(self, model, vocabulary: int, most: int):
         self.model, self.most, self.misses = model, most, 0
         self.ids = [k.to_bytes(4, "little") for k in range(vocabulary)]
         self.letters = byte_letters()
+        self.seen = bytearray(SEEN)  # by hash
 
     def _token(self, part: str) -> bytes:
         ids = self.ids
         return b"".join([ids[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         if piece[0] == " " and piece[1:].isalpha():
             out = self._token(piece)
         elif piece[0] == " " and piece[-1] in ".,!?:;" and piece[1:-1].isalpha():
             out = self[piece[:-1]] + self[piece[-1]]
         else:
+            if _ODD_SPACE.search(piece):
+                raise OddSpace
             parts = PRE_TOKEN.findall(piece)
             out = self._token(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
         self.misses += 1
         if self.misses > 20 * self.most:
             self.clear()
+            self.seen = bytearray(SEEN)
             self.misses = 0
         if len(self) < self.most and len(piece) < 64:
-            self[piece] = out
+            at = hash(piece) % SEEN
+            if self.seen[at] or len(self) < self.most // 2:
+                self[piece] = out
+            self.seen[at] = 1
         return out
 
 
@@ -85,9 +103,16 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.by_piece and (self.plain or "<|" not in text):
-            pieces = _PIECE.findall(text)
-            if sum(map(len, pieces)) == len(text):  # else it has other white space, which pieces leave out
-                return b"".join(map(self.pieces.__getitem__, pieces))
+            if any(x in text for x in _NOT_CUT):
+                pieces = _PIECE.findall(text)
+                known = sum(map(len, pieces)) == len(text)  # else it has other white space, which pieces leave out
+            else:
+                pieces, known = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"), True
+            if known:
+                try:
+                    return b"".join(map(self.pieces.__getitem__, pieces))
+                except OddSpace:
+                    pass
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import packing, sst
+from tessera.llm import packing, sst, tokens
 from tessera.llm.queries import TOKENIZER
 from tessera.llm.tokens import encoder
 
@@ -136,3 +136,24 @@ def test_packing_exchanges(spark, sf_dir):
     one = check_packing(packing.pack_documents(df, TOKENIZER).collect(), df.collect())
     none = check_packing(packing.pack_documents(df, TOKENIZER, bucket_pieces=20, exchanges=0).collect(), df.collect())
     assert one <= few <= none
+
+
+def test_cut_texts_and_any_white_space():
+    rng = random.Random(7)
+    signs = ["a", "Bé", "it's", "12", ".", "?!", "日本", "_", " ", " ", " ", "\n", "\n", "\t", "\r", "\xa0", "\x0b", "\x1c", "\x85", " ", "\0", "<|"]
+    for k in range(6000):
+        some = signs[:12] if k % 2 else signs
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(1, 14)))
+        assert encoder(TOKENIZER).encode(text) == direct(text), repr(text)
+
+
+def test_cache_keeps_what_recurs():
+    """Words that occur once fill half of the cache; those that recur later still find a place."""
+    enc = tokens.Encoder(tokens.local_path(TOKENIZER), cache_entries=100)
+    letters = "bcdfghjklmnpqrstvwxz"
+    for a in letters:
+        enc.encode("".join(f" {a}{b}q" for b in letters))
+    assert " often" not in enc.pieces
+    for _ in range(2):
+        assert enc.encode(" often") == direct(" often")
+    assert " often" in enc.pieces and len(enc.pieces) <= 100
