@@ -207,12 +207,15 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *,
     """(left_id, right_id, overlap) of texts whose Jaccard similarity over distinct words is ``least`` or more.
 
     An inverted join: common words are counted per pair and the sizes of both sets do the rest, so no two texts meet
-    that share no word.
+    that share no word.  Two sets are at most as similar as the smaller one's size is to the larger one's, so pairs
+    whose sizes lie too far apart are never counted.
     """
 
     def words(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, F.array_distinct(T.words(T.normalize(F.col(text_col)))).alias("w")).select(key, F.size("w").alias(f"n_{key}"), F.explode("w").alias("word"))
 
-    common = words(left, left_id).join(words(right, right_id), "word").groupBy(left_id, right_id, f"n_{left_id}", f"n_{right_id}").agg(F.count("*").alias("common"))
+    a, b = F.col(f"n_{left_id}"), F.col(f"n_{right_id}")
+    fit = (b >= (least - 1e-6) * a) & (a >= (least - 1e-6) * b)  # overlaps are rounded to 6 digits
+    common = words(left, left_id).join(words(right, right_id), "word").where(fit).groupBy(left_id, right_id, f"n_{left_id}", f"n_{right_id}").agg(F.count("*").alias("common"))
     overlap = F.round(F.col("common") / (F.col(f"n_{left_id}") + F.col(f"n_{right_id}") - F.col("common")), 6)
     return common.select(left_id, right_id, overlap.alias("overlap")).where(F.col("overlap") >= least)

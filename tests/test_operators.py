@@ -416,3 +416,15 @@ def test_breaker(spark):
 def test_histogram_of_nothing(spark):
     df = spark.createDataFrame([], "v double")
     assert {r.n for r in analytics.histogram(df, "v", (1.0, 2.0)).collect()} <= {0}
+
+
+def test_overlaps_leaves_out_sizes_that_cannot_fit(spark):
+    from tessera.operators import analytics
+
+    texts = {1: "a b c", 2: "a b c d e f g h i j", 3: " ".join(f"w{k}" for k in range(40)) + " a b c", 4: "", 5: None, 6: "A  b"}
+    left = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    right = spark.createDataFrame([(1, "c b a"), (2, ""), (3, "a b")], "item_id long, text string")
+    found = analytics.overlaps(left, right, "doc_id", "item_id", least=0.3)
+    assert {(r.doc_id, r.item_id): r.overlap for r in found.collect()} == {(1, 1): 1.0, (1, 3): 0.666667, (2, 1): 0.3, (6, 1): 0.666667, (6, 3): 1.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join Inner" in x and "n_doc_id" in x and "n_item_id" in x]
