@@ -39,7 +39,6 @@ WORD_GAPS = r"[^\p{L}\p{N}_]+"
 BLOCK = 4096  # chunks whose postings are put together at a time
 TERM_BYTES = 7  # of text for each posting, about
 MOST_BUCKETS = 32
-BROADCAST_HITS = 100_000  # hits of a page that meet the texts without a shuffle of these
 
 
 def _lexemes(language: str | None) -> dict:
@@ -194,8 +193,7 @@ class FullTextIndex:
         if not snippets:
             return page
         texts = self.chunks().select(*retrieval.KEY, "chunk_text")
-        few = queries.limit(BROADCAST_HITS // limit + 1).count() * limit <= BROADCAST_HITS
-        shown = (F.broadcast(page) if few else page).join(texts, retrieval.KEY).dropDuplicates(["query_id", *retrieval.KEY]).join(retrieval.small(query_terms(queries, self.language)), "query_id")
+        shown = retrieval.few_hits(page, queries, limit).join(texts, retrieval.KEY).dropDuplicates(["query_id", *retrieval.KEY]).join(retrieval.small(query_terms(queries, self.language)), "query_id")
         return headlines(shown, self.language).drop("chunk_text", "terms")
 
 

@@ -194,7 +194,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, request: SearchRequest, *, vec
     fused = rrf(words, near, keyword_weight=request.keyword_weight, vector_weight=request.vector_weight)
     if request.rerank:
         own = chunks.select("doc_id", "chunk_index", F.col("chunk_text").alias("snippet"), "name", vector_col)
-        top = fused.where(F.col("rank") <= request.rerank_top_k).select("query_id", "doc_id", "chunk_index", "score", "rank").join(own, ["doc_id", "chunk_index"])
+        best = fused.where(F.col("rank") <= request.rerank_top_k).select("query_id", "doc_id", "chunk_index", "score", "rank")
+        top = retrieval.few_hits(best, queries, request.rerank_top_k).join(own, ["doc_id", "chunk_index"])
         fused = pipeline(top, final_top_k=request.limit + request.offset, rerank_top_k=request.rerank_top_k, dedup=request.dedup, use_mmr=request.mmr, trade=request.mmr_lambda, threshold=request.semantic_dedup_threshold)
     return fused.where((F.col("rank") > request.offset) & (F.col("rank") <= request.offset + request.limit))
 

@@ -24,6 +24,7 @@ from ..functions import text as T
 from .filters import SearchFilters
 
 BROADCAST_QUERIES = 10_000
+BROADCAST_HITS = 100_000
 KEY = ["doc_id", "chunk_index"]
 K1, B = 1.5, 0.75
 
@@ -40,6 +41,11 @@ def small(queries: DataFrame) -> DataFrame:
     return pinned(queries)[0]
 
 
+def few_hits(page: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """A page with a broadcast hint, so that texts which it meets are not shuffled; as it is where queries times ``limit`` exceed ``BROADCAST_HITS``."""
+    return F.broadcast(page) if queries.limit(BROADCAST_HITS // limit + 1).count() * limit <= BROADCAST_HITS else page
+
+
 def top(df: DataFrame, score: Column, limit: int, offset: int = 0, by: str = "query_id", ties: list[str] | None = None) -> DataFrame:
     """The page ``offset, limit`` of each query, with ``rank`` from 1; partial top-k runs before the shuffle."""
     order = Window.partitionBy(by).orderBy(score.desc(), *(ties or KEY))

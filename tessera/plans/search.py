@@ -97,6 +97,13 @@ def _index(s, d, language="english"):
     return fulltext.FullTextIndex.build(V.chunks(s, d, False), scratch_path(s, "fulltext"), language=language)
 
 
+def _stored_chunks(s, d):
+    """Chunks with text and vector, stored: a hybrid search reads them several times, and texts meet vectors once."""
+    path, found = scratch_path(s, "chunks"), V.chunks(s, d)
+    found.write.parquet(path)
+    return s.read.schema(found.schema).parquet(path)
+
+
 # Deterministic stand-ins for a model's outputs, the same expressions in SQL.
 def _judged(s, d):
     c = table(s, d, "conversations").where("role = 'assistant'")
@@ -145,8 +152,8 @@ QUERIES = {
     "invalid_vectors": lambda s, d: _vectors(s, d).select("vec_id", retrieval.invalid_vector(F.col("embedding"), 64).alias("invalid")),
     "snippet_bm25": lambda s, d: V.chunks(s, d, False).crossJoin(F.broadcast(V.queries(s, d).where("query_id = 2").select(T.query_terms(F.col("text")).alias("terms")))).select("doc_id", T.snippet_around(F.col("chunk_text"), F.col("terms")).alias("snippet")),
     "rrf_fuse": lambda s, d: fusion.rrf(_words(s, d), _near(s, d)).select("query_id", "key", "keyword_rank", "vector_rank", "score", "rank"),
-    "hybrid_search": lambda s, d: fusion.hybrid(V.queries(s, d), V.chunks(s, d), BASE).select("query_id", "doc_id", "keyword_rank", "vector_rank", "score", "rank"),
-    "hybrid_page2": lambda s, d: fusion.hybrid(V.queries(s, d), V.chunks(s, d), SearchRequest(query="the of", limit=10, offset=10, keyword_weight=0.7, vector_weight=0.3)).select("query_id", "doc_id", "score", "rank"),
+    "hybrid_search": lambda s, d: fusion.hybrid(V.queries(s, d), _stored_chunks(s, d), BASE).select("query_id", "doc_id", "keyword_rank", "vector_rank", "score", "rank"),
+    "hybrid_page2": lambda s, d: fusion.hybrid(V.queries(s, d), _stored_chunks(s, d), SearchRequest(query="the of", limit=10, offset=10, keyword_weight=0.7, vector_weight=0.3)).select("query_id", "doc_id", "score", "rank"),
     "multi_query_fuse": lambda s, d: fusion.multi_query(_words(s, d, 30).join(_variations(s, d).select("query_id", "group_id"), "query_id"), top_k=20).select("group_id", "doc_id", "frequency", "score", "rank"),
     "dedup_chunk_id": lambda s, d: fusion.dedup_key(_near(s, d, 30).select("query_id", F.col("doc_id") % 20, "chunk_index", F.col("similarity").alias("score"), "rank").toDF("query_id", "doc_id", "chunk_index", "score", "rank")).select(*HIT),
     "dedup_content_hash": lambda s, d: fusion.dedup_content(V.chunks(s, d, False).select(F.lit(1).alias("query_id"), "doc_id", "chunk_index", F.col("chunk_text").alias("snippet"), "name", F.col("doc_id").alias("rank"))).select("doc_id", "content_hash"),
@@ -156,8 +163,8 @@ QUERIES = {
     "diversity_score": lambda s, d: fusion.diversity(_ranked(s, d)),
     "rerank_order": lambda s, d: fusion.rerank(_ranked(s, d), top_k=20, raw=F.col("score") * 6 - F.col("doc_id") % 3).select(*HIT),
     "rerank_pipeline": lambda s, d: fusion.pipeline(_ranked(s, d), final_top_k=10).select(*HIT),
-    "hybrid_reranked": lambda s, d: fusion.hybrid(V.queries(s, d), V.chunks(s, d), SearchRequest(query="the of", limit=10, rerank=True)).select(*HIT),
-    "multi_query_search": lambda s, d: fusion.multi_query_search(_variations(s, d).where("query_id in (1, 3)"), _variations(s, d).where("query_id in (2, 4)"), V.chunks(s, d), BASE),
+    "hybrid_reranked": lambda s, d: fusion.hybrid(V.queries(s, d), _stored_chunks(s, d), SearchRequest(query="the of", limit=10, rerank=True)).select(*HIT),
+    "multi_query_search": lambda s, d: fusion.multi_query_search(_variations(s, d).where("query_id in (1, 3)"), _variations(s, d).where("query_id in (2, 4)"), _stored_chunks(s, d), BASE),
     "citation_sentences": lambda s, d: E.citation_sentences(V.chunks(s, d, False)).select("doc_id", "rank", "pos", "score", F.sha2("sentence", 256).alias("sentence")),
     "citation_fallback": lambda s, d: E.citation_fallback(V.chunks(s, d, False)).select("doc_id", "pos", "sentence", "confidence"),
     "citation_select": lambda s, d: E.select_citations(_sources(s, d)),

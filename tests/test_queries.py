@@ -110,3 +110,9 @@ def test_fallback_of_edge_texts(spark, tmp_path):
 def test_best_quotes_match_once(spark, sf_dir):
     plan = QUERIES["best_quotes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_hybrid_texts_meet_vectors_once(spark, sf_dir):
+    """Chunks are read as they were stored, and the best hits go to the texts instead of the texts to them."""
+    plan = QUERIES["hybrid_reranked"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "LeftOuter" not in plan
