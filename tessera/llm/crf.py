@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, held_out, slices, texts_of
+from .common import arrow_map, bounded_sample, held_out, slices, texts_of, trim
 
 _WORD = re.compile(r"\S+")
 N_BASE = 12
@@ -198,7 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "id")  # at most sample_rows rows
     got = bounded_sample(rows, sample_rows, sample_bytes)
-    return fit([r["text"] for r in got], [r["label"] for r in got], **options)
+    model = fit([r["text"] for r in got], [r["label"] for r in got], **options)
+    del got
+    trim()  # the sample and its features are not needed on the driver any more
+    return model
 
 
 def score(df: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, held_out, mix64, slices, texts_of
+from .common import arrow_map, bounded_sample, held_out, mix64, slices, texts_of, trim
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -159,7 +159,10 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Fit on at most ``sample_rows`` labelled rows of the training fold of ``sample_bytes`` together, chosen by a hash of their identifiers."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     got = bounded_sample(rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()), sample_rows, sample_bytes)
-    return fit([r["text"] for r in got], [r["lang"] for r in got], **options)
+    model = fit([r["text"] for r in got], [r["lang"] for r in got], **options)
+    del got
+    trim()  # the sample and its features are not needed on the driver any more
+    return model
 
 
 def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

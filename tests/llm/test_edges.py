@@ -234,6 +234,18 @@ def test_decontamination_columns_and_long_text(spark):
     assert [(r.doc_id, r.coverage) for r in decontam.find(docs, bench).collect()] == [(1, 1.0)]
 
 
+# Training -------------------------------------------------------------------------------
+
+
+def test_training_gives_the_drivers_memory_back(spark, sf_dir, monkeypatch):
+    docs, labels, trimmed = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), []
+    monkeypatch.setattr(crf, "trim", lambda: trimmed.append("crf"), raising=False)
+    monkeypatch.setattr(langid, "trim", lambda: trimmed.append("langid"), raising=False)
+    crf.train(docs, labels, sample_rows=50)
+    langid.train(docs, sample_rows=50)
+    assert trimmed == ["crf", "langid"]
+
+
 # N-gram join ----------------------------------------------------------------------------
 
 
