@@ -12,6 +12,7 @@ from ..functions import structure as S
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking as C
+from ..operators import counts as N
 from ..operators import intervals as I
 from ..operators import sentences as B
 from ..session import spread, table
@@ -27,6 +28,12 @@ def _texts(s, d, *columns):
     return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", *columns)
 
 
+def _range_bits(df):
+    """Ranges for counting n-grams, as a power of 2: one for each 2 to 4 MB of the optimizer's estimate, a million n-grams or less."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(20, max(2, (size >> 22).bit_length()))
+
+
 def _quality(s, d):
     return V.texts(s, d).withColumn("quality", P.extraction_quality(_t(), F.col("ocr_pages"), F.col("pages")))
 
@@ -44,7 +51,7 @@ def _chunked(s, d):
 
 QUERIES = {
     "normalize_text": lambda s, d: _texts(s, d, F.sha2(T.normalize(_t()), 256).alias("normalized")),
-    "word_ngrams": lambda s, d: _texts(s, d, F.explode(T.ngrams(_t(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 10"),
+    "word_ngrams": lambda s, d: N.frequent(_texts(s, d, F.explode(T.ngrams(_t(), 3)).alias("gram")), "gram", 10, range_bits=_range_bits(table(s, d, "documents"))),
     "jaccard_overlap": lambda s, d: A.overlaps(_texts(s, d, _t()), table(s, d, "benchmark"), "doc_id", "item_id", least=0.3),
     "strip_citations": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.strip_citations(F.concat(F.col("text"), F.lit(" [12] end [3]"))).alias("stripped")),
     "propositions": lambda s, d: _texts(s, d, F.posexplode(T.propositions(_t())).alias("pos", "proposition")),
