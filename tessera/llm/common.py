@@ -110,6 +110,13 @@ def worker_cache(key, make: Callable):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what :func:`worker_cache` keeps: the running step has no use for it, and its memory is shared by all steps."""
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
 def trim() -> None:
     """Give memory that is free back to the system, where the C library and Arrow can."""
     pa.default_memory_pool().release_unused()
@@ -119,25 +126,39 @@ def trim() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of this session hold about ``most`` bytes, so that long texts take no more memory than short ones; a bound that was set before stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterator[dict] | None], schema: str) -> DataFrame:
     """``mapInArrow`` for functions from one batch to one or more dicts of columns.
 
     The columns are cast to ``schema``, and an empty result keeps its schema.
     """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            made = fn(batch)
+            yield from [made] if isinstance(made, dict) else made or ()
+
+    return arrow_stream(df, each, schema)
+
+
+def arrow_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """:func:`arrow_map` for functions from all batches of a task, none of them empty, to dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = fn(batch)
-            for cols in [made] if isinstance(made, dict) else made or ():
-                arrays = [_column(cols[f.name], f.type) for f in target]
-                if len(arrays[0]):
-                    yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        for cols in fn(batch for batch in batches if batch.num_rows):
+            arrays = [_column(cols[f.name], f.type) for f in target]
+            if len(arrays[0]):
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
         trim()
 
     return df.mapInArrow(run, schema)

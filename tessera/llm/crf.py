@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, held_out, slices, texts_of, trim
+from .common import arrow_map, bounded_sample, forget, held_out, slices, texts_of, trim
 
 _WORD = re.compile(r"\S+")
 N_BASE = 12
@@ -205,19 +205,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score(df: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, predicted, n_lines), and the columns of ``keep``; one pass, no shuffle."""
+    """(id, score, predicted, n_lines), and the columns of ``keep``; one pass, no shuffle; a text that is kept travels once."""
+    rest = [c for c in keep if c != text_col]
+    place = {text_col: 1} | {c: 2 + k for k, c in enumerate(rest)}
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "doc_id long, score double, predicted int, n_lines int" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def run(batch: pa.RecordBatch):
+        forget()
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             texts = texts_of(part.column(1))
             p = shared.value.score(texts)
-            yield {"doc_id": part.column(0), "score": p, "predicted": (p >= 0.5).astype(np.int32), "n_lines": [t.count("\n") + 1 for t in texts]} | {c: part.column(2 + k) for k, c in enumerate(keep)}
+            yield {"doc_id": part.column(0), "score": p, "predicted": (p >= 0.5).astype(np.int32), "n_lines": [t.count("\n") + 1 for t in texts]} | {c: part.column(place[c]) for c in keep}
 
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep), run, schema)
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *rest), run, schema)
 
 
 def label_lines(df: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, mix64, slices, texts_of, trim, worker_cache
+from .common import Scratch, arrow_map, arrow_stream, forget, mix64, texts_of, trim, worker_cache
 
 BITS = 56
 LAST = 2**31 - 1  # the frequency of hot shingles
@@ -127,36 +127,51 @@ def blocks(docs: DataFrame, n: int, fragments: int, slice_bytes: int, hot_share:
     """Blocks of (fragment, slice of documents); equal sets of a slice count once, by their smallest document."""
     edges = np.array([-(-(k << BITS) // fragments) for k in range(1, fragments)], dtype=np.uint64)
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-        for a, b in slices(np.array([len(t) for t in texts]), slice_bytes):
-            sets: dict[bytes, list] = {}
-            for doc, text in zip(ids[a:b], texts[a:b], strict=True):
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bytes, list]]:
+        """Sets of about ``slice_bytes`` of text each, over all batches of the task; no text is held."""
+        sets: dict[bytes, list] = {}
+        held = 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                if held and held + len(text) > slice_bytes:
+                    yield sets
+                    sets, held = {}, 0
+                held += len(text)
                 s = shingles(text, n)
                 if len(s) and doc is not None:
-                    held = sets.setdefault(xxhash.xxh3_128_digest(s.tobytes()), [doc, s])
-                    held[0] = min(held[0], doc)
+                    one = sets.setdefault(xxhash.xxh3_128_digest(s.tobytes()), [doc, s])
+                    one[0] = min(one[0], doc)
+        yield sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for sets in sliced(batches):
             if not sets:
                 continue
+            n_sets = len(sets)
             h = np.concatenate([s for _, s in sets.values()])
             known = np.array([d for d, _ in sets.values()], dtype=np.int64)
-            doc = np.repeat(np.arange(len(known), dtype=np.int32), [len(s) for _, s in sets.values()])
+            doc = np.repeat(np.arange(n_sets, dtype=np.int32), [len(s) for _, s in sets.values()])
+            sets.clear()
             order = np.argsort(h)
             h, doc = h[order], doc[order]
+            del order
             begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             runs = np.diff(np.append(begin, len(h)))
-            many = np.repeat(runs > max(hot_least, hot_share * len(sets)), runs)
+            many = np.repeat(runs > max(hot_least, hot_share * n_sets), runs)
             mark = np.zeros(len(h), dtype=bool)
             mark[begin] = many[begin]
+            del begin, runs
             keep = ~many | mark
-            for route, hh, dd, mm in ((0, h[keep], doc[keep], mark[keep]), (1, h[many], doc[many], np.zeros(int(many.sum()), dtype=bool))):
+            for route, rows in ((0, keep), (1, many)):
+                hh, dd, mm = (h[rows], doc[rows], mark[rows] & (route == 0)) if not rows.all() or route else (h, doc, mark)
                 cuts = np.concatenate([[0], np.searchsorted(hh, edges), [len(hh)]])
                 for f in range(fragments):
                     x, y = cuts[f], cuts[f + 1]
                     if y > x:
                         yield _pack(f if not route else -1 - (int(known[dd[x]]) ^ f) % (1 << 20), f, hh[x:y], dd[x:y], mm[x:y], known)
 
-    return arrow_map(docs, run, BLOCK)
+    return arrow_stream(docs, run, BLOCK)
 
 
 GROUPED = "part int, doc array<long>, s array<long>, df array<int>"
@@ -177,6 +192,7 @@ def segments(packed: DataFrame, parts: int) -> DataFrame:
         return pa.table([pa.array(part[begin]), *lists], schema=schema)
 
     def fragment(table: pa.Table) -> pa.Table:
+        forget()
         trim()
         rows = table.to_pylist()
         unpacked = [_unpack(r) for r in rows]
@@ -200,6 +216,7 @@ def entries(grouped: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("listed", pa.int32()), ("head", pa.list_(pair)), ("parts", pa.list_(pa.list_(pa.int64())))])
 
     def gather(table: pa.Table) -> pa.Table:
+        forget()
         trim()
         doc, s, df = (np.asarray(pa.concat_arrays([c.flatten() for c in table[name].chunks])) for name in ("doc", "s", "df"))
         order = np.lexsort((s, df, doc))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, held_out, mix64, slices, texts_of, trim
+from .common import arrow_map, bounded_sample, forget, held_out, mix64, slices, texts_of, trim
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -166,15 +166,18 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, rejected), and the columns of ``keep``; one pass, no shuffle."""
+    """(id, lang_pred, score, rejected), and the columns of ``keep``; one pass, no shuffle; a text that is kept travels once."""
+    rest = [c for c in keep if c != text_col]
+    place = {text_col: 1} | {c: 2 + k for k, c in enumerate(rest)}
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "doc_id long, lang_pred string, score double, rejected boolean" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def run(batch: pa.RecordBatch):
+        forget()
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             lang, score, rejected = shared.value.predict(part.column(1).to_pylist())
-            yield {"doc_id": part.column(0), "lang_pred": lang, "score": score, "rejected": rejected} | {c: part.column(2 + k) for k, c in enumerate(keep)}
+            yield {"doc_id": part.column(0), "lang_pred": lang, "score": score, "rejected": rejected} | {c: part.column(place[c]) for c in keep}
 
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep), run, schema)
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *rest), run, schema)
