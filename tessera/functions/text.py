@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 # fixed values: conjunctions that part a proposition; names of languages
 CONJUNCTIONS = ("and", "but", "however", "although", "while")
 ANSWER_CONJUNCTIONS = ("and", "but", "however")
+# fixed values: blanks of any script (Unicode's space separators); Spark's trim alone takes U+0020 only
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 LANGUAGE_CODES = {"english": "en", "spanish": "es", "french": "fr", "german": "de", "italian": "it", "portuguese": "pt", "dutch": "nl", "russian": "ru", "chinese": "zh", "japanese": "ja", "korean": "ko", "arabic": "ar"}
 
 
+def letters_lower(text: Column) -> Column:
+    """Lower case letter by letter; Spark's ``lower`` makes two characters of U+0130 and looks at the neighbours of a sigma."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def collapse(text: Column) -> Column:
     """White space runs become one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

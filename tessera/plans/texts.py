@@ -62,7 +62,7 @@ QUERIES = {
     "doc_type_rule": lambda s, d: V.docs(s, d).select("doc_id", P.document_type(F.concat(F.lit("file_"), F.col("source")), F.col("mime_type"), _t()).alias("kind")),
     "title_rule": lambda s, d: V.docs(s, d).select("doc_id", P.title(_t(), F.col("name")).alias("title")),
     "table_detect": lambda s, d: V.docs(s, d).select("doc_id", P.has_table(_t(), F.col("mime_type")).alias("has_table")),
-    "fallback_quality": lambda s, d: _texts(s, d, P.fallback_quality(_t()).alias("score"), T.regex_word_count(_t()).alias("words"), P.page_estimate(_t()).alias("pages")).select("doc_id", F.round("score", 6).alias("score"), P.band(F.col("score"), P.FALLBACK_BANDS).alias("band"), "words", "pages"),
+    "fallback_quality": lambda s, d: _texts(s, d, P.fallback_quality(_t()).alias("score"), T.regex_word_count(_t()).alias("words"), P.page_estimate(_t()).alias("pages")).select("doc_id", P.round_scaled(F.col("score"), 6).alias("score"), P.band(F.col("score"), P.FALLBACK_BANDS).alias("band"), "words", "pages"),
     "headings": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(S.caps_headings(_capitals(F.regexp_replace("html", "[<>.,]", "\n")))).alias("pos", "heading")),
     "lists": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(S.list_items(F.replace(F.replace("html", F.lit("<li>"), F.lit("\n- ")), F.lit("</li>"), F.lit("\n")))).alias("pos", "item")),
     "citations_regex": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(S.citation_marks(F.concat(F.col("text"), F.lit(" [1] (Smith and Jones, 2020) [22]"))), "|").alias("marks")),

@@ -107,6 +107,37 @@ def test_fallback_of_edge_texts(spark, tmp_path):
     assert list(empty["score"]) == [0.0, 0.0] and list(empty["band"]) == ["poor", "poor"]
 
 
+def odd_documents(folder):
+    """Null and empty texts, blanks of other scripts, capitals whose small letters depend on the engine, ties in the sixth decimal."""
+    odd = [None, "", " ", "\u00a0Title line\u3000\nmore", "\u00a0 \u2003" * 50, "\u0130MPORT this\nA title", "\u0130\u0130\u0130 \u0130T in the and " * 9, "\u03a3\u0391\u03a3 \u03c3\u03b1\u03c3 \u03c3\u03b1\u03c2 la de " * 12, "S\u0130NCERELY yours"]
+    ties = [" ".join(f"w{i % d}" for i in range(6400)) for d in range(1, 400, 3)]
+    texts = odd + odd[:1] * 4 + ties
+    docs = pd.DataFrame({"doc_id": range(1, len(texts) + 1), "text": texts, "lang": "en", "source": "web", "n_chars": [len(t or "") for t in texts]})
+    docs.to_parquet(folder / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["fallback_metadata", "title_rule", "table_detect", "language_vote", "doc_type_rule"])
+def test_odd_documents_as_in_sql(spark, tmp_path, name):
+    con = odd_documents(tmp_path)
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df()
+    columns = sorted(want.columns)
+    assert rows(got, columns) == rows(want, columns)
+
+
+def test_fallback_quality_of_odd_documents(spark, tmp_path):
+    """All but the score of a null text, which is 0."""
+    con = odd_documents(tmp_path)
+    name = "fallback_quality"
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df()
+    nulls = {i for (i,) in con.sql("SELECT doc_id FROM documents WHERE text IS NULL").fetchall()}
+    keep = lambda df: df[~df["doc_id"].isin(nulls)]
+    assert rows(keep(got), sorted(want.columns)) == rows(keep(want), sorted(want.columns))
+    assert rows(got, ["band", "doc_id", "pages"]) == rows(want, ["band", "doc_id", "pages"])
+
+
 def test_best_quotes_match_once(spark, sf_dir):
     plan = QUERIES["best_quotes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "FlatMapCoGroupsInArrow" not in plan
