@@ -127,6 +127,15 @@ def test_odd_documents_as_in_sql(spark, tmp_path, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_completeness_counts_a_page_of_empty_texts(spark, tmp_path):
+    con = odd_documents(tmp_path)
+    name = "metadata_completeness"
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df()
+    columns = sorted(want.columns)
+    assert rows(got, columns) == rows(want, columns)
+    assert list(got.sort_values("doc_id")["completeness"][:2]) == [1.0, 1.0]
+
+
 def test_fallback_quality_of_odd_documents(spark, tmp_path):
     """All but the score of a null text, which is 0."""
     con = odd_documents(tmp_path)
